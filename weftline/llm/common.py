@@ -82,9 +82,9 @@ def string_hashes(words: pa.Array) -> np.ndarray:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of A-Z-lowered texts (null: none): their hashes, and for each text the offset where its words begin, with a last one."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()).fill_null("")  # a copy: ascii_lower misreads slices
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    flat, offsets = split.values, split.offsets.to_numpy()
+    flat, offsets = pc.list_flatten(split), np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(split)))])
     some = np.asarray(pc.greater(pc.binary_length(flat), 0))
     return string_hashes(flat.filter(pa.array(some))), np.concatenate([[0], np.cumsum(some)])[offsets].astype(np.int64)
 
