@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from weftline.llm import bpe, curriculum, jaccard, permutations, secrets, vectors, warc
+from weftline.llm import bpe, curriculum, jaccard, language, permutations, pii, secrets, vectors, warc
 
 QUERIES = {
     "op1_embedding_neardup": vectors.op1_embedding_neardup,
+    "op2_language_id": language.op2_language_id,
     "op3_permutation_search": permutations.op3_permutation_search,
     "op4_warc_from_arc": warc.op4_warc_from_arc,
     "op5_ngram_jaccard_join": jaccard.op5_ngram_jaccard_join,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_curriculum_mix": curriculum.op8_curriculum_mix,
+    "op10_contextual_pii": pii.op10_contextual_pii,
 }
 SQL = {
     "op4_warc_from_arc": warc.OP4_SQL,
