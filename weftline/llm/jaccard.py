@@ -14,15 +14,15 @@ return to their classes: they are all that prefixes and exact overlaps need.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import dropped, mix64, parts_for, shingle_sets, stored, table
+from weftline.llm.common import mix64, parts_for, shingle_sets, stored, table
 from weftline.llm.components import connected_components
 from weftline.llm.streams import consecutive
 
@@ -36,6 +36,8 @@ BUCKET_BYTES = 12 << 20
 SLICE = 1024
 #: Partners of one pivot that are compared in one place.
 PARTNERS = 4096
+#: Ids (8 bytes each) that are broadcast, at most.
+BROADCAST_ROWS = 1_000_000
 
 _CLASS = np.uint64(61)
 _LOW = np.uint64((1 << 48) - 1)
@@ -276,54 +278,112 @@ def verified(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> Da
     return rows.repartition("a", "lot").sortWithinPartitions("a", "lot", "partner").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """documents (doc_id, text, ...) -> doc_id, n_shingles, component_id; two documents link when 100 * intersection >= percent * union.
+def _possible(n_a: str, m_a: str, n_b: str, m_b: str, percent: int) -> Column:
+    """Whether sets of n tokens, m of them shared by any other class, could reach the threshold: no more than the smaller m is common."""
+    most = F.least(m_a, m_b)
+    return 100 * most >= percent * (F.col(n_a) + F.col(n_b) - most)
 
-    component_id is the smallest doc_id reachable by links, itself included. Null and blank texts have no shingles and
-    link with nothing, fewer than five words are one shingle, equal sets always link. A null doc_id links with nothing and
-    has a null component_id; rows that repeat a doc_id are rows of their own. An empty table gives no rows. Texts may be of
-    any length. Shingles are compared by 61 bits of hash and whole sets by 64: two different sets are taken for equal with
-    a probability of the number of pairs of sets / 2^64.
-    """
-    spark = documents.sparkSession
+
+def _open(posted: DataFrame, component: DataFrame) -> DataFrame:
+    """The postings of lists that hold more than one component, with components."""
+    own = posted.join(component.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    mixed = own.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
+    return own.join(mixed, "sig")
+
+
+def class_sets(documents: DataFrame) -> DataFrame:
+    """The stored rows of gathered()."""
     parts = parts_for(documents, BUCKET_BYTES)
-    sets = stored(gathered(shared_tokens(token_blobs(documents, parts), parts)), "shingle-sets")
-    classes = sets.where(F.col("kind") == CLASSES).select("id", "key", "n", "tokens")
+    return stored(gathered(shared_tokens(token_blobs(documents, parts), parts)), "shingle-sets")
+
+
+def posted_by(classes: DataFrame, signatures_of: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
+    """classes (key, n, tokens) -> (sig, key, n, m) for each of a class's signatures, m being the number of its shared tokens."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, out = np.asarray(batch.column(0)), batch.column(1).to_pylist(), []
+            keys, sizes, out, held = np.asarray(batch.column(0)), batch.column(1).to_pylist(), [], []
             for n, tokens in zip(sizes, batch.column(2).to_pylist(), strict=True):
-                out.append(signatures(n, np.frombuffer(tokens, np.uint64), percent))
+                out.append(np.unique(signatures_of(n, np.frombuffer(tokens, np.uint64))))
+                held.append(len(tokens) // 8)
             many = [len(x) for x in out]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.repeat(keys, many)), pa.array(np.repeat(np.array(sizes, np.int32), many))], ["sig", "key", "n"])
-
-    posted = classes.where(F.length("tokens") > 0).select("key", "n", "tokens").mapInArrow(index, "sig long, key long, n int").distinct()
-    lists = posted.groupBy("sig").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    posted = stored(posted.join(lists, "sig"), "postings")
-    near = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    heads = posted.where("key = pivot").select("sig", F.col("n").alias("pivot_n"))
-    pairs = posted.where("key <> pivot").join(heads, "sig").where(near(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct()
-    links = stored(verified(pairs, classes, percent), "links")
-    # Lists that the pivots leave in several components: all their pairs across components, but those with the pivot.
-    found = stored(connected_components(links), "first-components")
-    open_ = posted.where("many > 2 and key <> pivot").join(found.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = open_.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    open_ = stored(open_.join(mixed, "sig").select("sig", "key", "n", "component"), "open-postings")
-    left, right = open_.select("sig", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a")), open_.select("sig", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    across = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & near(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
+            columns = [np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64), np.repeat(keys, many), np.repeat(np.array(sizes, np.int32), many), np.repeat(np.array(held, np.int32), many)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "key", "n", "m"])
+
+    return classes.where(F.length("tokens") > 0).select("key", "n", "tokens").mapInArrow(index, "sig long, key long, n int, m int")
+
+
+def linked_classes(posted: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Components (id, component) of classes under the links among all that share a posting list.
+
+    Pairs inside one component need no comparison, so lists are first compared with three pivots in turn, which takes as
+    many pairs as a list is long; pairs that are then still across components are all compared.
+    """
+    lists = posted.groupBy("sig").agg(F.count(F.lit(1)).alias("many"), F.sum(F.xxhash64("key") % (1 << 40)).alias("x"), F.sum(F.hash("key").cast("long")).alias("y")).where("many > 1")
+    lists = lists.groupBy("many", "x", "y").agg(F.min("sig").alias("sig"))  # lists of the same classes are one list
+    posted = stored(posted.join(lists.select("sig"), "sig"), "postings")
+    component = known = None
+    for name in ("first", "second", "third"):
+        # Every class of a list is compared with one of them, the pivot: at first the least key, then that of the last component.
+        if component is None:
+            open_, pivot = posted.withColumn("component", F.col("key")), F.min_by(F.struct("key", "n", "m", "component"), "key")
+        else:
+            open_, pivot = _open(posted, component), F.max_by(F.struct("key", "n", "m", "component"), F.struct("component", "key"))
+        heads = open_.groupBy("sig").agg(pivot.alias("p"))
+        tried = open_.join(heads, "sig").where("component <> p.component").where(_possible("n", "m", "p.n", "p.m", percent))
+        tried = tried.select(F.least("p.key", "key").alias("a"), F.greatest("p.key", "key").alias("b")).distinct()
+        tried = stored(tried if known is None else tried.join(known, ["a", "b"], "left_anti"), f"{name}-pairs")
+        links = stored(verified(tried, classes, percent), f"{name}-links")
+        known = tried if known is None else known.union(tried)
+        component = stored(connected_components(links if component is None else component.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), f"{name}-components")
+    # All pairs across components that the pivots leave.
+    open_ = stored(_open(posted, component), "open-postings")
+    left, right = (open_.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "m", "component")]) for side in "ab")
+    across = left.join(right, "sig").where("key_a < key_b and component_a <> component_b").where(_possible("n_a", "m_a", "n_b", "m_b", percent))
+    across = across.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
     more = stored(verified(stored(across, "open-pairs"), classes, percent), "more-links")
-    every = found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
-    component = stored(connected_components(every), "components")
-    named = classes.select("key", "id").join(component.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    every = component.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
+    return stored(connected_components(every), "components")
+
+
+def assigned(sets: DataFrame, component: DataFrame) -> DataFrame:
+    """(id, key, n, component_id) of each document that has a class: component_id is the smallest id in the component of its class."""
+    named = sets.where(F.col("kind") == CLASSES).select("key", "id").join(component.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
     of_key = named.join(smallest, "component").select("key", "component_id")
-    docs = sets.where(F.col("kind") == DOCUMENTS).select("id", "key", "n").join(of_key, "key")
+    return sets.where(F.col("kind") == DOCUMENTS).select("id", "key", "n").join(of_key, "key")
+
+
+def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """documents (doc_id, text, ...) -> doc_id, n_shingles, component_id; two documents link when 100 * intersection >= percent * union.
+
+    component_id is the smallest doc_id reachable by links, itself included. Null and blank texts have no shingles and
+    link with nothing, fewer than five words are one shingle, equal sets always link. A null doc_id links with nothing and
+    has a null component_id; rows that repeat a doc_id are rows of their own. An empty table gives no rows. Texts may be of
+    any length. Shingles are compared by 61 bits of hash and whole sets by 64: two different sets are taken for equal with
+    a probability of the number of pairs of sets / 2^64.
+    """
+    sets = class_sets(documents)
+    classes = sets.where(F.col("kind") == CLASSES).select("key", "n", "tokens")
+    posted = posted_by(classes, lambda n, tokens: signatures(n, tokens, percent))
+    docs = assigned(sets, linked_classes(posted, classes, percent))
     alone = sets.where(F.col("kind") == ALONE)
     out = docs.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
     return out.union(alone.select("id", F.col("n").cast("long"), "id"))
 
 
+def one_of_each(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """documents without those that a smaller doc_id of their component stands for, and without rows that repeat a doc_id and its component; null doc_ids stay. The ids to drop are broadcast up to BROADCAST_ROWS, else joined."""
+    found = stored(jaccard_components(documents, percent), "jaccard")
+    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    out = documents.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
+    again = found.where("component_id = doc_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.head(1):
+        rest = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        out = out.join(again, "doc_id", "left_anti").unionByName(rest)
+    return out.select(documents.columns)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
