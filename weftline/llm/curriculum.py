@@ -49,7 +49,13 @@ def source_targets(sizes: DataFrame, repeats: int = MAX_REPEATS) -> DataFrame:
     return per.select("source", "source_size", "source_rows", "weight", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(documents: DataFrame, repeats: int = MAX_REPEATS) -> DataFrame:
+def _sized(documents: DataFrame, *columns: Column | str) -> DataFrame:
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+    return documents.select("doc_id", "source", words.alias("size"), draw.alias("draw"), *columns)
+
+
+def mix(documents: DataFrame, repeats: int = MAX_REPEATS, whole: bool = False) -> DataFrame:
     """documents (doc_id, text, source, ...) -> doc_id, size, source_size, target, taken, copies, positions; by position.
 
     size counts words `[^\\x20\\x09-\\x0D]+` (null or blank text: 0, never taken). Inside a source, documents are
@@ -57,17 +63,15 @@ def mix(documents: DataFrame, repeats: int = MAX_REPEATS) -> DataFrame:
     multiset. The target, rounded to words, is filled by whole rounds over the source and then by the first documents
     in that order, the last one in part: a source's taken words differ from its target by half a word. positions holds
     the time of each copy, the earliest first; documents not taken come last. An empty table gives no rows; a null
-    source is a source like any other.
+    source is a source like any other. whole: a column `document` holds the input row.
     """
-    sizes = documents.select(
-        "doc_id", "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long").alias("draw"),
-    )
+    sizes = _sized(documents)
     sizes = stored(sizes, "sizes")
     targets = source_targets(sizes, repeats)
     largest = targets.agg(F.max("source_rows")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, largest / BUCKET_ROWS))))
+    if whole:
+        sizes = _sized(documents, F.struct(*documents.columns).alias("document"))
     sizes = sizes.withColumn("bucket", F.shiftright("draw", 60 - bits)).withColumn("named", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     targets = targets.select(
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("named"), "source_size", "target", "weight",
@@ -85,8 +89,14 @@ def mix(documents: DataFrame, repeats: int = MAX_REPEATS) -> DataFrame:
     start = F.element_at(F.create_map(*[F.lit(x) for kv in STARTS.items() for x in kv]), F.col("weight"))
     copy = lambda k: _position((k * F.col("source_size") + F.col("ahead")) / F.col("quota"), start)
     out = out.withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), copy)).otherwise(F.array().cast("array<double>")))
-    out = out.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("part")).alias("taken"), "copies", "positions")
-    return out.orderBy(F.try_element_at("positions", F.lit(1)).asc_nulls_last(), "doc_id")
+    out = out.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("part")).alias("taken"), "copies", "positions", *["document"] * whole)
+    return out if whole else out.orderBy(F.try_element_at("positions", F.lit(1)).asc_nulls_last(), "doc_id")
+
+
+def schedule(documents: DataFrame, repeats: int = MAX_REPEATS) -> DataFrame:
+    """The rows of documents in training order, each as often as mix() uses it (the last of a source, used in part, whole); all columns stay."""
+    used = mix(documents, repeats, whole=True).where("copies > 0").select(F.explode("positions").alias("at"), "document")
+    return used.orderBy("at", "document.doc_id").select("document.*")
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

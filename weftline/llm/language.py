@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from weftline.llm.common import table
 
@@ -193,8 +194,9 @@ def fit(documents: DataFrame) -> Network | None:
     return train(words, np.array(target), languages)
 
 
-def predict(documents: DataFrame, network: Network | None) -> DataFrame:
-    """documents (doc_id, text, ...) -> doc_id, lang_pred, score."""
+def predict(documents: DataFrame, network: Network | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score"), echo: bool = True) -> DataFrame:
+    """All columns of documents (without echo: those before `text`), and the language and score of the column `text`."""
+    place = documents.columns.index(text)
     sent = documents.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +204,7 @@ def predict(documents: DataFrame, network: Network | None) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                words = [_LETTERS.findall((t or "").lower()) for t in batch.column(1).to_pylist()]
+                words = [_LETTERS.findall((t or "").lower()) for t in batch.column(place).to_pylist()]
                 pred, score = [UNDETERMINED] * len(words), np.zeros(len(words))
                 some = np.flatnonzero([bool(w) for w in words])
                 if net is not None and len(some):
@@ -220,10 +222,10 @@ def predict(documents: DataFrame, network: Network | None) -> DataFrame:
                     score[some] = np.clip(p[np.arange(len(some)), best], 0, 1)
                     for i, b in zip(some, best, strict=True):
                         pred[i] = net.languages[b]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                columns = batch.columns if echo else batch.columns[:place]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score)], [*batch.schema.names[: len(columns)], *names])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return documents.mapInArrow(run, StructType([*list(documents.schema)[: None if echo else place], StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def identify(documents: DataFrame) -> DataFrame:
@@ -235,7 +237,8 @@ def identify(documents: DataFrame) -> DataFrame:
     so repeated rows get the same answer; equal probabilities go to the first language by code point. Whole texts are read
     however long. An empty table gives no rows.
     """
-    out = predict(documents, fit(documents))
+    # The text is read in Python and doesn't come back.
+    out = predict(documents.select("doc_id", "text"), fit(documents), echo=False)
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.llm import bpe, curriculum, jaccard, language, permutations, pii, secrets, vectors, warc
+from weftline.llm import bpe, curriculum, jaccard, language, paragraphs, permutations, pii, secrets, vectors, warc
 
 QUERIES = {
     "op1_embedding_neardup": vectors.op1_embedding_neardup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_byte_bpe": bpe.op7_byte_bpe,
     "op8_curriculum_mix": curriculum.op8_curriculum_mix,
+    "op9_repeated_paragraphs": paragraphs.op9_repeated_paragraphs,
     "op10_contextual_pii": pii.op10_contextual_pii,
 }
 SQL = {

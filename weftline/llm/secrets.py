@@ -89,17 +89,16 @@ def find(text: str, model: np.ndarray, threshold: float) -> tuple[list[tuple[int
     return base, more
 
 
-def scan(documents: DataFrame, model: tuple[np.ndarray, float] | None = None, with_text: bool = False) -> DataFrame:
-    """documents (doc_id, text, ...) -> doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov, and redacted if asked for.
+def scan(documents: DataFrame, model: tuple[np.ndarray, float] | None = None) -> DataFrame:
+    """documents (doc_id, text, ...) -> doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov.
 
     A null text counts as empty: no spans, the digest of nothing. Offsets are code points. Base matches of one kind
-    are the leftmost, not overlapping; kinds may overlap each other; at the same start they go by kind as listed. redacted
-    is the text with each stretch covered by spans replaced by [SECRET] (null stays null). Rows are independent: repeated
+    are the leftmost, not overlapping; kinds may overlap each other; at the same start they go by kind as listed. Rows are independent: repeated
     rows give repeated rows, an empty table none (the models are then those of the seeds alone).
     """
     model, threshold = model or fit(documents)
     sent = documents.sparkSession.sparkContext.broadcast((model, threshold))
-    kinds = dict.fromkeys(("n_assign", "n_access", "n_hex"), pa.int64()) | {"base_sha256": pa.string(), "spans": pa.string(), "n_markov": pa.int64()} | ({"redacted": pa.string()} if with_text else {})
+    kinds = dict.fromkeys(("n_assign", "n_access", "n_hex"), pa.int64()) | {"base_sha256": pa.string(), "spans": pa.string(), "n_markov": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, threshold = sent.value
@@ -109,15 +108,34 @@ def scan(documents: DataFrame, model: tuple[np.ndarray, float] | None = None, wi
                 base, more = find(text or "", model, threshold)
                 named = [f"{KINDS[k]}:{a}:{b}" for a, k, b in base]
                 spans = sorted([(a, k, b) for a, k, b in base] + [(a, 3, b) for a, b in more])
-                rows.append((*[sum(k == i for _, k, _ in base) for i in range(3)], hashlib.sha256(",".join(named).encode()).hexdigest(), ",".join(f"{(*KINDS, 'markov')[k]}:{a}:{b}" for a, k, b in spans), len(more), *([redact(text, spans) if spans else text] if with_text else [])))
+                rows.append((*[sum(k == i for _, k, _ in base) for i in range(3)], hashlib.sha256(",".join(named).encode()).hexdigest(), ",".join(f"{(*KINDS, 'markov')[k]}:{a}:{b}" for a, k, b in spans), len(more)))
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *kinds])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long" + ", redacted string" * with_text)
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
 
 
-def redact(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
+def redacted(documents: DataFrame, model: tuple[np.ndarray, float] | None = None) -> DataFrame:
+    """documents with the secrets in text replaced by [SECRET]; all columns stay."""
+    model, threshold = model or fit(documents)
+    place = documents.columns.index("text")
+    sent = documents.sparkSession.sparkContext.broadcast((model, threshold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text in batch.column(place).to_pylist():
+                base, more = find(text or "", *sent.value)
+                spans = sorted([*base, *[(a, 3, b) for a, b in more]])
+                texts.append(redact(text, spans) if spans else text)
+            yield batch.set_column(place, "text", pa.array(texts, batch.column(place).type))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
+def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """text with each stretch that spans cover replaced once."""
     out, at = [], 0
     for a, _, b in spans:
         if b > at:
