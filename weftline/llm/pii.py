@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from weftline.llm.common import stored, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: A pattern stands before so many different seeds at least; so many patterns are followed at most, the best supported.
+#: A pattern stands before so many different seeds at least, and before such a share of all; so many patterns are followed at most, the best supported.
 MIN_SEEDS = 3
+MIN_SHARE = 0.001
 MAX_PATTERNS = 1000
 ROUNDS = 3
 CONFIDENCE = 0.6
@@ -166,7 +167,8 @@ def extract(documents: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float
     rows = stored(rows.withColumn("tokens", seen), "pii-spans")
     edges = rows.select(F.explode("tokens").alias("t")).where("t.p <> ''").select("t.p", "t.s", "t.seed").groupBy("p", "s").agg(F.max("seed").alias("seed"))
     edges = stored(edges, "pii-graph")
-    support = edges.where("seed").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_seeds)
+    seeds = edges.where("seed").select("s").distinct().count()
+    support = edges.where("seed").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(min_seeds, MIN_SHARE * seeds))
     patterns = [r.p for r in support.orderBy(F.desc("n"), "p").limit(MAX_PATTERNS).collect()]
     high: list[str] = []
     if patterns:
