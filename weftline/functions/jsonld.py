@@ -205,5 +205,6 @@ def facts(nodes: Nodes) -> dict:
         "modified": [n["dateModified"] for n in flat if isinstance(n.get("dateModified"), str)],
         "has_geo": any(isinstance(n.get("geo"), (dict, list)) and bool(n["geo"] or n["geo"] == []) for n in flat),
         "has_address": any(isinstance(n.get("address"), (dict, list)) for n in flat), "has_area": any(bool(n.get("areaServed")) for n in flat),
-        "actions": sum(any(t.endswith("Action") for t in types_of(n)) for n in nodes.every), "completeness": completeness(nodes),
+        "actions": sum(any(t.endswith("Action") for t in types_of(n)) for n in nodes.every),
+        "actions_ready": sum(any(t.endswith("Action") for t in types_of(n)) and "target" in n and any(k in n for k in ("query-input", "object", "result")) for n in nodes.every), "completeness": completeness(nodes),
     }

@@ -58,9 +58,9 @@ SCHEMA = """
     blocks array<struct<idx:int,empty:boolean,error:string,types:array<string>>>,
     n_nodes int, n_props int, types array<string>, business_types array<string>, names array<string>, same_as int,
     knows_about int, founders int, persons array<boolean>, orgs array<boolean>, emails array<string>, phones array<string>,
-    modified array<string>, has_geo boolean, has_address boolean, has_area boolean, actions int, completeness double,
+    modified array<string>, has_geo boolean, has_address boolean, has_area boolean, actions int, actions_ready int, completeness double,
     footer string, gate_text boolean, n_gates int, n_ads int, forms array<struct<fields:int,labelled:int,typed:int,autocomplete:int,named:int,has_name:boolean,has_submit:boolean>>,
-    n_itemscope int, scripts array<string>, body_class string, internal_links array<string>, error string
+    n_itemprop int, n_itemtype int, meta_names array<string>, scripts array<string>, body_class string, internal_links array<string>, error string
 """
 
 
@@ -148,13 +148,16 @@ def canonical(links: list[Node], root: Node, page: str) -> tuple[dict, str | Non
     return {"score": score, "urls": urls, "codes": codes}, first
 
 
-def form_facts(form: Node, labels: set[str]) -> dict:
-    own = [n for n in form.walk() if n.tag in ("input", "select", "textarea") and n.attrs.get("type", "").lower() not in ("hidden", "submit", "button", "reset", "image")]
-    labelled = sum(n.attrs.get("id", "") in labels or "aria-label" in n.attrs or "aria-labelledby" in n.attrs or any(a.tag == "label" for a in n.ancestors()) for n in own)
-    submit = any(n.tag == "button" and n.attrs.get("type", "submit").lower() == "submit" or n.tag == "input" and n.attrs.get("type", "").lower() in ("submit", "image") for n in form.walk())
+def form_facts(form: Node) -> dict:
+    own = [n for n in form.walk() if n.tag in ("input", "select", "textarea") and n.attrs.get("type") not in ("hidden", "submit", "button")]
+    labels = {n.attrs.get("for") for n in form.walk() if n.tag == "label"}
+    labelled = sum(bool(n.attrs.get("id")) and n.attrs["id"] in labels or bool(n.attrs.get("aria-label") or n.attrs.get("aria-labelledby")) or any(a.tag == "label" for a in n.ancestors()) for n in own)
+    typed = sum(n.tag != "input" or n.attrs.get("type", "").lower() not in ("", "text") for n in own)
+    named = sum(len(n.attrs.get("name", "")) >= 2 and not re.fullmatch(r"field[_-]?\d+", n.attrs["name"], re.IGNORECASE) for n in own)
+    sends = [n for n in form.walk() if n.tag == "button" and n.attrs.get("type", "submit") == "submit" or n.tag == "input" and n.attrs.get("type") == "submit"]
     return {
-        "fields": len(own), "labelled": labelled, "typed": sum(n.tag != "input" or n.attrs.get("type", "text").lower() != "text" for n in own), "autocomplete": sum(bool(n.attrs.get("autocomplete")) for n in own),
-        "named": sum(bool(n.attrs.get("name")) for n in own), "has_name": any(form.attrs.get(k) for k in ("name", "aria-label", "id")), "has_submit": submit,
+        "fields": len(own), "labelled": labelled, "typed": typed, "autocomplete": sum(bool(n.attrs.get("autocomplete")) for n in own), "named": named,
+        "has_name": any(form.attrs.get(k) for k in ("aria-label", "aria-labelledby", "name", "title")), "has_submit": any(n.text().strip() or n.attrs.get("value", "").strip() for n in sends),
     }
 
 
@@ -193,7 +196,6 @@ def read_page(html: str, url: str) -> dict:
     links = tag("link")
     canon, first = canonical(links, root, url)
     summaries = [n for n in tag("summary") if n.parent is not None and n.parent.tag == "details"]
-    labels = {n.attrs["for"] for n in tag("label") if n.attrs.get("for")}
     return {
         "title": tag("title")[0].text().strip() if tag("title") else "", "meta_description": meta("name", "description") or None, "og_title": meta("property", "og:title"), "author": meta("name", "author"),
         "generator": next((n.attrs.get("content", "") for n in metas if n.attrs.get("name", "").lower() == "generator"), ""), "n_geo_meta": sum(n.attrs.get("name", "").startswith("geo.") for n in metas),
@@ -205,7 +207,7 @@ def read_page(html: str, url: str) -> dict:
         "links": [{"rel": n.attrs.get("rel"), "href": n.attrs.get("href"), "type": n.attrs.get("type")} for n in links], "canonical": canon, "first_canonical": first,
         "blocks": [{k: b[k] for k in ("idx", "empty", "error", "types")} for b in blocks], **jsonld.facts(jsonld.Nodes(blocks, url)),
         "footer": squeeze("".join(n.text(UNSEEN) for n in footers)), "gate_text": any(p in low for p in ("paywall", "subscribe to read", "sign in to continue")), "n_gates": gates, "n_ads": ads,
-        "forms": [form_facts(n, labels) for n in tag("form")], "n_itemscope": sum("itemscope" in n.attrs for n in every), "scripts": [n.attrs["src"] for n in tag("script") if n.attrs.get("src")],
+        "forms": [form_facts(n) for n in tag("form")], "n_itemprop": sum("itemprop" in n.attrs for n in every), "n_itemtype": sum("itemtype" in n.attrs for n in every), "meta_names": [n.attrs["name"] for n in metas if n.attrs.get("name")], "scripts": [n.attrs["src"] for n in tag("script") if n.attrs.get("src")],
         "body_class": tag("body")[0].attrs.get("class", "") if tag("body") else "", "internal_links": list(internal), "error": None,
     }
 
