@@ -4,9 +4,9 @@ A document is the set of its 5-word shingles. Tokens (shingles) are ordered rare
 may lack n - ceil(threshold * n) =: t at most, so a prefix in which signatures survive any t losses must share one with
 any partner's prefix. Rare tokens are signatures by themselves. Frequent ones (FREQUENT sets or more) are indexed by
 pairs: they fall into groups by hash, c of them in a group give their pairs, and a pair survives until c - 1 are lost.
-So the prefix extends until t + 1 = rare tokens + sum of (c - 1) over groups. How many groups there are depends on the
+The prefix extends until t + 1 = rare tokens + sum of (c - 1) over groups. How many groups there are depends on the
 size band, so that a group holds a few tokens of a prefix; a set is indexed for its own band and for the band of the
-largest partner. All pairs that share a signature are compared exactly, unless already in one component.
+largest partner. All pairs that share a signature are compared exactly.
 
 Sets that are equal are one class throughout. A token that only one class has can't be shared, so only the others
 return to their classes: they are all that prefixes and exact overlaps need.
@@ -19,10 +19,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import mix64, parts_for, shingle_sets, stored, table
+from weftline.llm.common import local_roots, mix64, parts_for, shingle_sets, stored, table
 from weftline.llm.components import connected_components
 from weftline.llm.streams import consecutive
 
@@ -34,8 +34,9 @@ FREQUENT = 64
 BUCKET_BYTES = 12 << 20
 #: Texts taken from a batch at once.
 SLICE = 1024
-#: Partners of one pivot that are compared in one place.
-PARTNERS = 4096
+#: Classes compared as one tile, and tokens taken in one product of matrices.
+TILE = 2048
+COLUMNS = 2048
 #: Ids (8 bytes each) that are broadcast, at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -244,51 +245,23 @@ def signatures(n: int, tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray
     return np.concatenate(out)
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Common values of two sorted arrays without repeats."""
-    if len(a) > len(b):
-        a, b = b, a
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int((b[at] == a).sum()) if len(b) else 0
-
-
-def verified(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """pairs (a, b) of class keys -> those whose Jaccard reaches the threshold. The tokens of b travel to a; a's many partners are split into lots of PARTNERS or so."""
-    lots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("lots"))
-    sides = classes.select("key", "n", "tokens")
-    partners = pairs.join(lots, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lots")).cast("int").alias("lot"), "b").join(sides.withColumnRenamed("key", "b"), "b")
-    heads = lots.select("a", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot")).join(sides.withColumnRenamed("key", "a"), "a")
-    rows = heads.select("a", "lot", F.lit(0).alias("partner"), F.col("a").alias("b"), "n", "tokens").union(partners.select("a", "lot", F.lit(1), "b", "n", "tokens"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = None
-        for batch in batches:
-            links = []
-            for a, _, partner, b, n, tokens in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                tokens = np.frombuffer(tokens, np.uint64)
-                if not partner:
-                    head = a, n, tokens
-                    continue
-                common = overlap(head[2], tokens)
-                if 100 * common >= percent * (head[1] + n - common):
-                    links.append((a, b))
-            yield _rows(links, ["a", "b"], [pa.int64(), pa.int64()])
-
-    return rows.repartition("a", "lot").sortWithinPartitions("a", "lot", "partner").mapInArrow(run, "a long, b long")
-
-
-def _possible(n_a: str, m_a: str, n_b: str, m_b: str, percent: int) -> Column:
-    """Whether sets of n tokens, m of them shared by any other class, could reach the threshold: no more than the smaller m is common."""
-    most = F.least(m_a, m_b)
-    return 100 * most >= percent * (F.col(n_a) + F.col(n_b) - most)
-
-
-def _open(posted: DataFrame, component: DataFrame) -> DataFrame:
-    """The postings of lists that hold more than one component, with components."""
-    own = posted.join(component.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = own.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("sig")
-    return own.join(mixed, "sig")
+def linked(sizes: np.ndarray, tokens: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of sets whose Jaccard reaches the threshold, by products of incidence matrices, COLUMNS tokens at a time."""
+    _, column, many = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    kept = many[column] > 1
+    row, column = row[kept], (np.cumsum(many > 1) - 1)[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(tokens), len(tokens)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        low, high = np.searchsorted(column, (at, at + COLUMNS))
+        part = np.zeros((len(tokens), COLUMNS), np.float32)
+        part[row[low:high], column[low:high] - at] = 1
+        common += part @ part.T
+    common = common.astype(np.int64)
+    i, j = np.nonzero(100 * common >= percent * (sizes[:, None] + sizes[None] - common))
+    return i[i < j], j[i < j]
 
 
 def class_sets(documents: DataFrame) -> DataFrame:
@@ -298,52 +271,44 @@ def class_sets(documents: DataFrame) -> DataFrame:
 
 
 def posted_by(classes: DataFrame, signatures_of: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
-    """classes (key, n, tokens) -> (sig, key, n, m) for each of a class's signatures, m being the number of its shared tokens."""
+    """classes (key, n, tokens) -> (sig, key) for each of a class's signatures."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes, out, held = np.asarray(batch.column(0)), batch.column(1).to_pylist(), [], []
-            for n, tokens in zip(sizes, batch.column(2).to_pylist(), strict=True):
-                out.append(np.unique(signatures_of(n, np.frombuffer(tokens, np.uint64))))
-                held.append(len(tokens) // 8)
-            many = [len(x) for x in out]
-            columns = [np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64), np.repeat(keys, many), np.repeat(np.array(sizes, np.int32), many), np.repeat(np.array(held, np.int32), many)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["sig", "key", "n", "m"])
+            out = [np.unique(signatures_of(n, np.frombuffer(t, np.uint64))) for n, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            keys = np.repeat(np.asarray(batch.column(0)), [len(x) for x in out])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(keys)], ["sig", "key"])
 
-    return classes.where(F.length("tokens") > 0).select("key", "n", "tokens").mapInArrow(index, "sig long, key long, n int, m int")
+    return classes.where(F.length("tokens") > 0).select("key", "n", "tokens").mapInArrow(index, "sig long, key long")
 
 
 def linked_classes(posted: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Components (id, component) of classes under the links among all that share a posting list.
 
-    Pairs inside one component need no comparison, so lists are first compared with three pivots in turn, which takes as
-    many pairs as a list is long; pairs that are then still across components are all compared.
+    Lists with the same least member, their head, are one group, since near copies share many lists: each class goes there
+    once with its tokens, and a group is compared as a whole, so a pair counts once however many lists it shares. What
+    comes out is a spanning forest of the links found, no more rows than members. A group of more than TILE members is
+    cut in tiles by a hash, and each pair of tiles is a group of its own.
     """
-    lists = posted.groupBy("sig").agg(F.count(F.lit(1)).alias("many"), F.sum(F.xxhash64("key") % (1 << 40)).alias("x"), F.sum(F.hash("key").cast("long")).alias("y")).where("many > 1")
-    lists = lists.groupBy("many", "x", "y").agg(F.min("sig").alias("sig"))  # lists of the same classes are one list
-    posted = stored(posted.join(lists.select("sig"), "sig"), "postings")
-    component = known = None
-    for name in ("first", "second", "third"):
-        # Every class of a list is compared with one of them, the pivot: at first the least key, then that of the last component.
-        if component is None:
-            open_, pivot = posted.withColumn("component", F.col("key")), F.min_by(F.struct("key", "n", "m", "component"), "key")
-        else:
-            open_, pivot = _open(posted, component), F.max_by(F.struct("key", "n", "m", "component"), F.struct("component", "key"))
-        heads = open_.groupBy("sig").agg(pivot.alias("p"))
-        tried = open_.join(heads, "sig").where("component <> p.component").where(_possible("n", "m", "p.n", "p.m", percent))
-        tried = tried.select(F.least("p.key", "key").alias("a"), F.greatest("p.key", "key").alias("b")).distinct()
-        tried = stored(tried if known is None else tried.join(known, ["a", "b"], "left_anti"), f"{name}-pairs")
-        links = stored(verified(tried, classes, percent), f"{name}-links")
-        known = tried if known is None else known.union(tried)
-        component = stored(connected_components(links if component is None else component.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links)), f"{name}-components")
-    # All pairs across components that the pivots leave.
-    open_ = stored(_open(posted, component), "open-postings")
-    left, right = (open_.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "m", "component")]) for side in "ab")
-    across = left.join(right, "sig").where("key_a < key_b and component_a <> component_b").where(_possible("n_a", "m_a", "n_b", "m_b", percent))
-    across = across.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-    more = stored(verified(stored(across, "open-pairs"), classes, percent), "more-links")
-    every = component.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)
-    return stored(connected_components(every), "components")
+    posted = stored(posted, "postings")
+    heads = posted.groupBy("sig").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1").select("sig", "head")
+    members = stored(posted.join(heads, "sig").select("head", "key").distinct(), "heads")
+    tiles = members.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    own = members.join(tiles, "head").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    own = own.select("head", "key", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    rows = own.select("head", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "key").join(classes.select("key", "n", "tokens"), "key")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in consecutive(batches, 3):
+            keys = np.asarray(group.column(3))
+            left, right = linked(np.asarray(group.column(4), np.int64), [np.frombuffer(t, np.uint64) for t in group.column(5).to_pylist()], percent)
+            root = local_roots(len(keys), left, right)
+            moved = np.flatnonzero(root != np.arange(len(keys)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[moved]), pa.array(keys[root[moved]])], ["a", "b"])
+
+    dealt = rows.select("head", "i", "j", "key", "n", "tokens").repartition("head", "i", "j").sortWithinPartitions("head", "i", "j", "key")
+    links = dealt.mapInArrow(compare, "a long, b long")
+    return stored(connected_components(links), "components")
 
 
 def assigned(sets: DataFrame, component: DataFrame) -> DataFrame:
