@@ -105,11 +105,22 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return mix64(h)
 
 
+def anchors(words: np.ndarray) -> np.ndarray:
+    """For each shingle the least hash of its three-word runs: what neighbouring shingles often share. Of a shorter sequence its own hash."""
+    n = len(words)
+    if n < SHINGLE_WORDS:
+        return shingles(words)
+    with np.errstate(over="ignore"):
+        runs = mix64(words[:-2] * _MULTIPLIERS[0] + words[1:-1] * _MULTIPLIERS[1] + words[2:] * _MULTIPLIERS[2])
+    return np.minimum(np.minimum(runs[:-2], runs[1:-1]), runs[2:])
+
+
 def shingle_sets(texts: pa.Array):
-    """For each text its distinct shingle hashes, sorted."""
+    """For each text its distinct shingle hashes, sorted, and their anchors."""
     words, at = word_hashes(texts)
     for a, b in zip(at[:-1], at[1:], strict=True):
-        yield np.unique(shingles(words[a:b]))
+        own, first = np.unique(shingles(words[a:b]), return_index=True)
+        yield own, anchors(words[a:b])[first]
 
 
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:

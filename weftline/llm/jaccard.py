@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import local_roots, mix64, parts_for, shingle_sets, stored, table
+from weftline.llm.common import input_bytes, local_roots, mix64, shingle_sets, stored, table
 from weftline.llm.components import connected_components
 from weftline.llm.streams import consecutive
 
@@ -30,8 +30,9 @@ from weftline.llm.streams import consecutive
 PERCENT = 75
 #: A token in so many classes or more is frequent: indexed in pairs.
 FREQUENT = 64
-#: Input bytes for each bucket of tokens.
-BUCKET_BYTES = 12 << 20
+#: Input bytes for each bucket of tokens, and tokens of a bucket that are sorted at once.
+BUCKET_BYTES = 32 << 20
+SORTED = 1 << 21
 #: Texts taken from a batch at once.
 SLICE = 1024
 #: Classes compared as one tile, and tokens taken in one product of matrices.
@@ -71,14 +72,14 @@ TOKENS, DOCUMENTS, ALONE, CLASSES = range(4)
 
 
 def token_blobs(documents: DataFrame, buckets: int) -> DataFrame:
-    """documents (doc_id, text) -> blobs. A class that a task has met before adds no tokens again, so a group of copies sends its tokens once from each task."""
+    """documents (doc_id, text) -> blobs. A token goes to the bucket of its anchor, so that neighbours of a text travel together and a class's key is sent to fewer buckets. A class that a task has met before adds no tokens again, so a group of copies sends its tokens once from each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                sets = list(shingle_sets(batch.column(1)))
+                sets, anchors = zip(*shingle_sets(batch.column(1)), strict=True)
                 sizes = np.array([len(s) for s in sets], np.uint32)
                 keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 given = np.asarray(batch.column(0).is_valid())
@@ -99,7 +100,7 @@ def token_blobs(documents: DataFrame, buckets: int) -> DataFrame:
                 if new:
                     tokens = np.concatenate([sets[i] for i in new])
                     owner = np.repeat(np.arange(len(new)), sizes[new])
-                    bucket = ((tokens >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                    bucket = _dealt(np.concatenate([anchors[i] for i in new]), buckets)
                     order = np.argsort(bucket, kind="stable")
                     tokens, counts = tokens[order], np.bincount(bucket * len(new) + owner, minlength=buckets * len(new)).reshape(buckets, -1)
                     ends = np.cumsum(counts.sum(1))
@@ -112,6 +113,36 @@ def token_blobs(documents: DataFrame, buckets: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _BLOB_DDL)
 
 
+def _shared(keys: np.ndarray, tokens: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of (key, token) pairs, those whose token two keys or more have, tokens with their frequency's order in the top bits. Taken in shares of about SORTED tokens by the token's value."""
+    out = []
+    shares = -(-len(tokens) // SORTED)
+    share = (tokens % np.uint64(max(1, shares))).astype(np.uint16) if shares > 1 else None
+    for i in range(shares):
+        own = slice(None) if share is None else share == i
+        t, k = tokens[own], keys[own]
+        order = np.argsort(t, kind="stable")
+        t, k = t[order], k[order]
+        new = np.concatenate([[True], t[1:] != t[:-1]])
+        several = ~(new & np.concatenate([new[1:], [True]]))  # a run of one is out at once
+        t, k = t[several], k[several]
+        if not len(t):
+            continue
+        order = np.lexsort((k, t))  # the same class may come from several tasks
+        t, k = t[order], k[order]
+        once = np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
+        t, k = t[once], k[once]
+        _, run_of, many = np.unique(t, return_inverse=True, return_counts=True)
+        many = many[run_of]
+        several = many > 1
+        t, k, many = t[several], k[several], many[several]
+        level = np.where(many >= FREQUENT, 7, np.minimum(6, np.log2(np.maximum(many, 2)).astype(np.int64))).astype(np.uint64)
+        out.append((k, level << _CLASS | np.uint64(part & 0x1FFF) << np.uint64(48) | t))
+    if not out:
+        return keys[:0], tokens[:0]
+    return np.concatenate([k for k, _ in out]), np.concatenate([t for _, t in out])
+
+
 def shared_tokens(blobs: DataFrame, parts: int) -> DataFrame:
     """Of each bucket, the tokens that two classes or more have, sent to the parts of their classes. A token carries the order of its frequency in its top bits: the class is rare first."""
 
@@ -130,23 +161,7 @@ def shared_tokens(blobs: DataFrame, parts: int) -> DataFrame:
                 keys, counts, tokens = keys[order][first], counts[order][first], ids[order][first]
             else:
                 tokens = np.concatenate([_unpack(x) for x in bucket.column(4).to_pylist()])
-                keys = np.repeat(keys, counts)
-                order = np.argsort(tokens, kind="stable")
-                tokens, keys = tokens[order], keys[order]
-                new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-                shared = ~(new & np.concatenate([new[1:], [True]]))  # a run of one is out at once
-                tokens, keys = tokens[shared], keys[shared]
-                order = np.lexsort((keys, tokens))  # the same class may come from several tasks
-                tokens, keys = tokens[order], keys[order]
-                if len(tokens):
-                    once = np.concatenate([[True], (tokens[1:] != tokens[:-1]) | (keys[1:] != keys[:-1])])
-                    tokens, keys = tokens[once], keys[once]
-                    _, run_of, many = np.unique(tokens, return_inverse=True, return_counts=True)
-                    many = many[run_of]
-                    shared = many > 1
-                    tokens, keys, many = tokens[shared], keys[shared], many[shared]
-                    level = np.where(many >= FREQUENT, 7, np.minimum(6, np.log2(np.maximum(many, 2)).astype(np.int64))).astype(np.uint64)
-                    tokens = level << _CLASS | np.uint64(part & 0x1FFF) << np.uint64(48) | tokens
+                keys, tokens = _shared(np.repeat(keys, counts), tokens, part)
                 counts = np.zeros(0, np.uint32)
             to = _dealt(keys, parts)
             order = np.lexsort((tokens, keys, to))
@@ -266,7 +281,7 @@ def linked(sizes: np.ndarray, tokens: list[np.ndarray], percent: int = PERCENT)
 
 def class_sets(documents: DataFrame) -> DataFrame:
     """The stored rows of gathered()."""
-    parts = parts_for(documents, BUCKET_BYTES)
+    parts = max(2 * documents.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(documents) // BUCKET_BYTES))
     return stored(gathered(shared_tokens(token_blobs(documents, parts), parts)), "shingle-sets")
 
 
@@ -325,8 +340,8 @@ def jaccard_components(documents: DataFrame, percent: int = PERCENT) -> DataFram
     component_id is the smallest doc_id reachable by links, itself included. Null and blank texts have no shingles and
     link with nothing, fewer than five words are one shingle, equal sets always link. A null doc_id links with nothing and
     has a null component_id; rows that repeat a doc_id are rows of their own. An empty table gives no rows. Texts may be of
-    any length. Shingles are compared by 61 bits of hash and whole sets by 64: two different sets are taken for equal with
-    a probability of the number of pairs of sets / 2^64.
+    any length. Shingles are compared by 48 bits of hash and their bucket's number, whole sets by 64 bits: two different
+    sets are taken for equal with a probability of the number of pairs of sets / 2^64.
     """
     sets = class_sets(documents)
     classes = sets.where(F.col("kind") == CLASSES).select("key", "n", "tokens")
@@ -352,20 +367,3 @@ def one_of_each(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
-
-OP5_SQL = r"""
-with recursive w as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as words
-  from documents),
-s as (
-  select doc_id, list_distinct(case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
-    else list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' ')) end) as sh from w),
-n as (select doc_id, len(sh)::bigint as n_shingles from s),
-t as (select doc_id, md5(unnest(sh)) as tok from s),
-p as (
-  select a.doc_id as a, b.doc_id as b, count(*) as common from t a join t b on a.tok = b.tok and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
-e as (
-  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 75 * (x.n_shingles + y.n_shingles - common)),
-r as (select doc_id, doc_id as seen from n union select r.doc_id, e.b from r join e on e.a = r.seen)
-select n.doc_id, n_shingles, (select min(seen) from r where r.doc_id = n.doc_id) as component_id from n
-"""
