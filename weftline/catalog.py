@@ -5,6 +5,455 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from weftline.functions import text as X
+from weftline.functions import urls as U
+from weftline.functions.page import parsed
+from weftline.operators import compare, entities, graph, platforms, robots, rollup, scoring, templates
+from weftline.operators.factors import WEIGHTS, Env, factor_array
+from weftline.plans.audit import factor_results, page_audits
+from weftline.sources import site
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed(table(spark, sf_dir, "pages"))
+
+
+# --- SQL that reads the pages of the test tables by regular expressions -------------------------------------------------
+_CLEAN = r"regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<(script|style)[^>]*>.*?</(script|style)>', '', 'gs')"
+_DECODED = "replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+_TITLE = _DECODED.format("trim(regexp_extract(html, '<title>(.*?)</title>', 1, 's'))")
+_TEXT = "trim(regexp_replace(" + _DECODED.format("regexp_replace(regexp_extract(clean, '<body>(.*)', 1, 's'), '<[^>]*>', '', 'g')") + r", '\s+', ' ', 'g'))"
+PAGES_SQL = rf"""
+c as (select page_id, url, html, {_CLEAN} as clean from pages),
+p as (
+  select page_id, url, {_TITLE} as title, {_TEXT} as text, html,
+    len(regexp_extract_all(clean, '<h1[ >]'))::int as n_h1, len(regexp_extract_all(clean, '<p[ >]'))::int as n_p,
+    len(regexp_extract_all(clean, '<(ul|ol)[ >]'))::int as n_lists, regexp_extract_all(clean, '<a href="([^"]*)"', 1) as hrefs
+  from c),
+w as (select *, case when text = '' then 0 else len(string_split(text, ' ')) end::int as n_words from p)"""
+_ORIGIN = "regexp_extract(url, '^[a-z]+://[^/?#]*')"
+_LINKS_SQL = rf"""
+a as (select page_id, url, unnest(hrefs) as href, unnest(range(len(hrefs)))::int as ord from w),
+l as (select page_id, url, ord, {_ORIGIN} || replace(replace(href, ' ', '%20'), '|', '|') as raw from a)"""
+
+
+@query(rf"with {PAGES_SQL} select page_id, title, n_h1, n_p, n_lists, len(hrefs)::int as n_anchors, n_words, length(text)::int as text_chars from w")
+def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h1 = F.size(F.filter("page.headings", lambda h: h["level"] == 1))
+    return read_pages(spark, sf_dir).select("page_id", "page.title", h1.alias("n_h1"), F.size("page.paragraph_words").alias("n_p"), "page.n_lists", F.size("page.anchors").alias("n_anchors"), "page.n_words", "page.text_chars")
+
+
+def _factor(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    got = read_pages(spark, sf_dir)
+    one = F.get(factor_array(Env(), [name]), F.lit(0))
+    return got.select("page_id", one["score"].alias("score"), F.transform(one["findings"], lambda f: f["code"]).alias("codes"))
+
+
+_DEPTH = "case when n_words >= 1200 then 35 when n_words >= 500 then 22 else 8 end + case when n_h1 = 1 then 15 when n_h1 > 1 then 6 else 0 end + 4 + case when n_p >= 8 then 16 when n_p >= 4 then 10 else 0 end + case when n_lists > 0 then 12 else 0 end"
+
+
+@query(f"with {PAGES_SQL} select page_id, ({_DEPTH})::int as score from w")
+def content_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _factor(spark, sf_dir, "content-depth").drop("codes")
+
+
+@query(f"with {PAGES_SQL} select page_id, (case when n_h1 = 1 then 40 when n_h1 = 0 then 0 else 20 end + 30)::int as score from w")
+def technical_seo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _factor(spark, sf_dir, "technical-seo").drop("codes")
+
+
+@query("select page_id, 100::int as score from pages")
+def snippet_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _factor(spark, sf_dir, "snippet-eligibility").drop("codes")
+
+
+_HEAD = "(select lower(trim(regexp_replace(regexp_extract(clean, '<h1>(.*?)</h1>', 1, 's'), '<[^>]*>', '', 'g'))))"
+
+
+@query(f"with {PAGES_SQL} select c.page_id, (case when {_HEAD} ~ '^(what is|how to|why).*' then 18 else 0 end)::int as score from c")
+def definition_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _factor(spark, sf_dir, "definition-blocks").drop("codes")
+
+
+@query("select page_id, 0::int as score from pages")
+def faq_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _factor(spark, sf_dir, "faq-content").drop("codes")
+
+
+@query()
+def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: all core factors of every page and the weighted score."""
+    return page_audits(table(spark, sf_dir, "pages")).select("page_id", "url", "overall_score", "summary", F.transform("factors", lambda f: F.struct(f["factor_id"], f["score"])).alias("scores"), F.transform("defects", lambda d: d["id"]).alias("defects"), "status")
+
+
+@query()
+def page_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each page and factor, optional ones included, with findings and shares."""
+    rows = factor_results(page_audits(table(spark, sf_dir, "pages"), optional=("geographic-signals", "agent-skill-exposure")))
+    return rows.select("page_id", "factor_id", "weight", "score", "applies", "share_pct", F.transform("findings", lambda f: f["code"]).alias("codes"))
+
+
+_WEIGHTS = ", ".join(f"('{k}', {w})" for k, (_, w) in WEIGHTS.items())
+
+
+@query(rf"""
+with f(factor_id, weight) as (values {_WEIGHTS}),
+t as (select *, sum(weight) over () as total from f),
+b as (select *, (weight * 1000 // total)::int as base, weight * 1000 % total as rest from t),
+r as (select *, row_number() over (order by rest desc, weight desc, factor_id) as place, 1000 - sum(base) over () as more from b)
+select factor_id, weight::int as weight, ((base + case when place <= more then 1 else 0 end) / 10.0)::double as share_pct from r
+""")
+def factor_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, k, w, 80) for k, (_, w) in WEIGHTS.items()], "page_id int, factor_id string, weight int, score int")
+    out = scoring.shares(rows.withColumn("applicable", F.lit(True)))
+    return out.select("factor_id", "weight", F.col("share_pct").cast("double").alias("share_pct"))
+
+
+@query(rf"""with {PAGES_SQL}, d as (select page_id, url, {_ORIGIN} || replace(unnest(hrefs), '|', '|') as u from w)
+select distinct page_id, regexp_replace(u, '/$', '') as link from d""")
+def internal_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_pages(spark, sf_dir).select("page_id", F.explode("page.internal_links").alias("link")).withColumn("link", F.expr("url_decode(link)"))
+
+
+def _anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between pages, in readable form, for graph operators."""
+    rows = read_pages(spark, sf_dir).select("url", F.explode("page.anchors").alias("a")).where("a.key is not null")
+    return rows.select(F.col("url").alias("from"), F.expr("url_decode(replace(a.key, '+', '%2B'))").alias("to"), "a.ord", "a.text", "a.nofollow", "a.placement", "a.internal")
+
+
+_EDGES_SQL = rf"""with {PAGES_SQL}, e as (select url as "from", {_ORIGIN} || unnest(hrefs) as "to" from w)"""
+
+
+@query(f"""{_EDGES_SQL} select "from", "to", count(*)::bigint as total, count(*)::bigint as followable, 0::bigint as nofollow, count(*)::bigint as navigation from e group by all""")
+def link_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges(_anchors(spark, sf_dir)).select("from", "to", "total", "followable", "nofollow", "navigation")
+
+
+@query(f"""{_EDGES_SQL}, o as (select "from" as url, count(*) as n, count(distinct "to") as u from e group by 1), i as (select "to" as url, count(*) as n, count(distinct "from") as u from e group by 1)
+select coalesce(o.url, i.url) as url, coalesce(i.n, 0)::bigint as in_degree, coalesce(i.u, 0)::bigint as unique_in, coalesce(o.n, 0)::bigint as out_degree, coalesce(o.u, 0)::bigint as unique_out from o full join i on o.url = i.url""")
+def link_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(graph.edges(_anchors(spark, sf_dir)))
+
+
+@query(f"with {PAGES_SQL} select 'site.duplicate-title' as code, title as value, array_to_string(list_sort(list(distinct url)), ' ') as urls from w where title <> '' group by title having count(distinct url) >= 2")
+def duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_pages(spark, sf_dir).select("url", "page.title", F.col("page.meta_description").alias("description"))
+    return rollup.duplicates(pages).withColumn("urls", F.array_join("urls", " "))
+
+
+@query(rf"""{_EDGES_SQL},
+k as (select url, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', '') as key from pages), t as (select distinct regexp_replace(regexp_replace("to", '[?#].*$', ''), '/$', '') as key from e)
+select url from k where key not in (select key from t) and (select count(*) from pages) >= 5 and regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) not in ('', '/')""")
+def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.orphans(table(spark, sf_dir, "pages").select("url"), _anchors(spark, sf_dir).select("to"))
+
+
+_SEG = "list_filter(string_split(lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '/'), lambda x: x <> '')"
+_SHAPES = rf"""
+s as (select page_id, url, {_SEG} as seg from pages),
+x as (select page_id, len(seg) as d, unnest(range(len(seg))) as pos, unnest(seg) as v from s),
+f as (select d, pos from x group by d, pos having count(distinct v) > 8),
+y as (select x.page_id, string_agg(case when f.pos is null then v else '*' end, '/' order by x.pos) as path from x left join f on x.d = f.d and x.pos = f.pos group by x.page_id),
+t as (select s.page_id, s.url, '/' || coalesce(path, '') as template from s left join y on s.page_id = y.page_id)"""
+
+
+@query(f"with {_SHAPES} select page_id, template from t")
+def url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.shapes(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "template")
+
+
+@query(f"""with {_SHAPES}, r as (select min(template) as template, '/' || array_to_string({_SEG}, '/') as route from t group by route),
+a as (select url from pages where page_id < 20), n as (select count(distinct r.template) as n from a join r on '/' || array_to_string({_SEG}, '/') = r.route)
+select (select count(*) from a)::bigint as pages_audited, (select count(*) from pages)::bigint as pages_discovered, (select count(distinct template) from r)::bigint as templates_discovered, n::bigint as templates_represented from n""")
+def site_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an audit of the first twenty pages covers (the twenty are the operator's input, not a cap on it)."""
+    pages = table(spark, sf_dir, "pages")
+    return templates.coverage(pages.select("url"), pages.where("page_id < 20").select("url")).select("pages_audited", "pages_discovered", "templates_discovered", "templates_represented")
+
+
+@query(f"""with {_SHAPES}, h as (select page_id as ord, template, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host from t),
+v as (select *, row_number() over (partition by template, host order by ord) as rnd, count(*) over (partition by template, host) as n from h),
+g as (select *, row_number() over (partition by template order by rnd, n desc, host) as place, count(*) over (partition by template) as size from v)
+select ord, template from g order by place, size desc, template limit 25""")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty-five pages dealt over templates and hosts in turn."""
+    shaped = templates.shapes(table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), "url"))
+    items = shaped.select("ord", "template", U.host(F.col("url")).alias("host"))
+    return templates.sample(items, 25, spread="host").select("ord", "template")
+
+
+@query(r"""with q as (select page_id, regexp_replace(url, '#.*$', '') as u from pages),
+s as (select page_id, regexp_extract(u, '^[^?]*') as base, list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|gclid|fbclid)='))) as kept from q)
+select page_id, base || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as key from s""")
+def crawl_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", U.crawl_key_of(F.col("url")).alias("key"))
+
+
+ROBOTS = "User-agent: GPTBot\nDisallow: /de/\nAllow: /de/1\nContent-Signal: search=yes, ai-input=no\n\nUser-agent: *\nDisallow: /fr/\nAllow: /fr/2\nDisallow:\nSitemap: /sitemap.xml"
+_PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+
+
+@query(rf"""with r(agent, allow, rule) as (values ('GPTBot', false, '/de/'), ('GPTBot', true, '/de/1'), ('ClaudeBot', false, '/fr/'), ('ClaudeBot', true, '/fr/2')),
+p as (select page_id, {_PATH} as path, agent from pages, (select distinct agent from r)),
+m as (select page_id, p.agent, arg_max(allow, length(rule) * 2 + allow::int) as allowed from p join r on p.agent = r.agent and starts_with(path, rule) group by all)
+select p.page_id, p.agent, coalesce(m.allowed, true) as allowed from p left join m on p.page_id = m.page_id and p.agent = m.agent""")
+def robots_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.createDataFrame([("site", ROBOTS)], "site string, body string")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lit("site").alias("site"), U.path(F.col("url")).alias("path"))
+    rules = robots.audit_rules(files)
+    out = [robots.audit_access(pages, rules, a).select("page_id", F.lit(a).alias("agent"), "allowed") for a in ("GPTBot", "ClaudeBot")]
+    return out[0].unionByName(out[1])
+
+
+@query(rf"""select page_id, not (regexp_matches(regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1), '^/e.*/.*7\?') or starts_with({_PATH}, '/fr/') and not starts_with({_PATH}, '/fr/1')) as allowed from pages""")
+def robots_crawl_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = "User-agent: weft\nDisallow: /e*/*7?\nUser-agent: *\nDisallow: /\n\nUser-agent: WEFTLINE\nDisallow: /fr/\nAllow: /fr/1*\n"
+    files = spark.createDataFrame([("site", body)], "site string, body string")
+    pages = table(spark, sf_dir, "pages")
+    target = F.regexp_extract("url", "^[a-z]+://[^/?#]*([^#]*)", 1)
+    rows = pages.select(F.col("page_id").cast("string").alias("url"), F.lit("site").alias("site"), target.alias("target"))
+    got = robots.crawl_access(rows, robots.crawl_rules(files, "weftline-bot"))
+    return got.select(F.col("url").cast("long").alias("page_id"), "allowed")
+
+
+@query(rf"""with m(key, host, prefix) as (values ('root', '', '/'), ('de', '', '/de/'), ('en', '', '/en/')),
+p as (select page_id, lower({_PATH}) || '/' as path from pages)
+select page_id, arg_max(key, length(prefix)) as owner from p join m on starts_with(path, prefix) group by page_id""")
+def entity_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = pages.select(F.regexp_replace(U.host(F.col("url")), "^www\\.", "").alias("host")).distinct()
+    rules = spark.createDataFrame([("root", 0, "/"), ("de", 1, "/de/"), ("en", 2, "/en/")], "key string, ord int, prefix string")
+    return entities.owners(pages, hosts.join(F.broadcast(rules)).select("key", "ord", "host", "prefix"))
+
+
+@query("""with s as (select page_id, url, case page_id % 5 when 0 then 'html' when 1 then 'redirect' when 2 then 'robots-blocked' when 3 then 'html' else 'error' end as state, page_id % 7 = 0 as off, page_id % 3 = 0 as other from pages)
+select page_id, case when state = 'robots-blocked' then 'blocked' when state = 'redirect' then 'unknown' when off then 'noindex' when state = 'html' and other then 'unknown' when state = 'html' then 'indexable' else 'unknown' end as verdict from s""")
+def page_indexability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.element_at(F.array(*[F.lit(s) for s in ("html", "redirect", "robots-blocked", "html", "error")]), (F.col("page_id") % 5 + 1).cast("int"))
+    meta = F.when(F.col("page_id") % 7 == 0, F.lit("NoIndex, follow")).otherwise("index")
+    other = F.when(F.col("page_id") % 3 == 0, F.lit("https://other.example/")).otherwise(F.col("url"))
+    got = robots.indexability(state, robots.tokens_of(meta), robots.tokens_of(F.lit(None).cast("string")), F.col("url"), other)
+    return table(spark, sf_dir, "pages").select("page_id", got["state"].alias("verdict"))
+
+
+_TRADE = """t as (select distinct 's' || l_suppkey as a, 'p' || (l_partkey % 97) as b from lineitem where l_quantity >= 49), e as (select a as "from", b as "to" from t union select b, a from t)"""
+
+
+def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), (F.col("l_partkey") % 97).cast("string")).alias("b")).distinct()
+    return rows.select(F.col("a").alias("from"), F.col("b").alias("to")).union(rows.select("b", "a"))
+
+
+@query(f"""with recursive {_TRADE}, r(url, depth) as (select 's1', 0 union select e."to", depth + 1 from r join e on e."from" = r.url where depth < 12)
+select url, min(depth)::int as depth from r group by url""")
+def link_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depths on the graph of suppliers and part groups, which is connected."""
+    return graph.depths(_trade(spark, sf_dir), spark.createDataFrame([("s1",)], "url string"))
+
+
+@query(f"""with recursive {_TRADE}, n as (select "from" as url from e union select "to" from e), c as (select count(*) as n from n),
+o as (select "from", count(*) as outs from e group by 1),
+r(i, url, rank) as (select 0, url, 1.0::double / (select n from c) from n
+  union all select * from (
+    with now as (select * from r)
+    select any_value(now_i.i) + 1, n.url, 0.15 / any_value(c.n) + 0.85 * coalesce(sum(p.rank / o.outs), 0) from n cross join c cross join (select max(i) as i from now) now_i
+    left join e on e."to" = n.url left join o on o."from" = e."from" left join now p on p.url = e."from" where now_i.i < 50 group by n.url))
+select url, round(rank, 8) as rank from r where i = 50""")
+def link_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _trade(spark, sf_dir)
+    return graph.pagerank(edges.select(F.col("from").alias("url")), edges).select("url", F.round("rank", 8).alias("rank"))
+
+
+def _redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of up to ten hops and some loops, made from order keys."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k")).distinct()
+    to = F.when(F.col("k") % 10 != 9, F.col("k") + 1).when(F.col("k") % 100 == 99, F.col("k") - 9)
+    return rows.withColumn("to", to).where("to is not null").select(F.concat(F.lit("u"), "k").alias("url"), F.concat(F.lit("u"), F.col("to").cast("string")).alias("to"))
+
+
+_HOPS = "h as (select distinct 'u' || o_orderkey as url, 'u' || (case when o_orderkey % 10 <> 9 then o_orderkey + 1 when o_orderkey % 100 = 99 then o_orderkey - 9 end) as \"to\" from orders), g as (select * from h where \"to\" is not null)"
+_ENDS = f"""{_HOPS}, r(url, hop, d) as (select url, "to", 1 from g union all select r.url, g."to", d + 1 from r join g on g.url = r.hop where d < 25), m as (select url, arg_max(hop, d) as terminal, max(d) as d from r group by url), z as (select url, case when d < 25 then terminal end as terminal from m)"""
+
+
+@query(f"with recursive {_ENDS} select url, terminal from z")
+def redirect_terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.terminals(_redirects(spark, sf_dir))
+
+
+@query(f"""with recursive {_ENDS}, k as (select distinct o_orderkey as k from orders), e as (select 'root' as "from", 'u' || k as "to" from k where k % 3 = 0),
+v as (select "from", "to", case when z.url is not null and z.terminal is null then null else coalesce(z.terminal, e."to") end as terminal from e left join z on z.url = e."to"),
+s as (select v.*, (substr(terminal, 2)::bigint) % 11 as m from v),
+q as (select "from", "to", terminal, case when terminal is null then 'redirect-loop' when m = 0 then 'http-404' when m = 1 then 'rate-limited' when m = 2 then 'server-error' when m = 3 then 'not-visited' when m = 4 then 'timeout' end as reason from s)
+select "from", "to", terminal, case when reason in ('redirect-loop', 'http-404') then 'dead' else 'unverified' end as verdict, reason from q where reason is not null""")
+def dead_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hops = _redirects(spark, sf_dir)
+    keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k")).distinct()
+    edges = keys.where("k % 3 = 0").select(F.lit("root").alias("from"), F.concat(F.lit("u"), "k").alias("to"))
+    ends = keys.select("k").union(keys.select(F.col("k") + 1)).union(keys.select(F.col("k") - 9)).distinct()
+    m = F.col("k") % 11
+    status = F.when(m == 0, 404).when(m == 1, 429).when(m == 2, 503).when(m == 4, F.lit(None).cast("int")).otherwise(200)
+    pages = ends.where(m != 3).select(F.concat(F.lit("u"), "k").alias("url"), F.lit("html").alias("state"), status.alias("status"), F.when(m == 4, "TIMEOUT").alias("error_code"))
+    return graph.dead_links(edges, pages, hops)
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Page results of two runs: scores from ids, some pages gone, some failing, some new."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("u"), "page_id").alias("url"))
+    b = pages.where("page_id % 11 <> 0").select("url", (F.col("page_id") % 50 + 40).cast("int").alias("overall_score"), F.when(F.col("page_id") % 13 == 0, "error").otherwise("success").alias("status"), F.lit(None).cast("string").alias("error"))
+    c = pages.where("page_id % 7 <> 0").select("url", (F.col("page_id") % 50 + 40 + F.col("page_id") % 5 - 2).cast("int").alias("overall_score"), F.when(F.col("page_id") % 17 == 0, "error").otherwise("success").alias("status"), F.lit(None).cast("string").alias("error"))
+    return b, c
+
+
+@query("""with b as (select 'u' || page_id as url, (page_id % 50 + 40)::int as s, page_id % 13 <> 0 as ok from pages where page_id % 11 <> 0), c as (select 'u' || page_id as url, (page_id % 50 + 40 + page_id % 5 - 2)::int as s, page_id % 17 <> 0 as ok from pages where page_id % 7 <> 0)
+select coalesce(b.url, c.url) as url, b.s as baseline, c.s as current, case when b.ok and c.ok then c.s - b.s end::int as delta,
+case when b.ok and c.ok then case when c.s - b.s < 0 then 'regressed' when c.s > b.s then 'improved' else 'same' end when b.ok and c.url is not null then 'dropped' when b.ok then 'removed' when b.url is null and c.ok then 'added' else 'absent' end as change
+from b full join c on b.url = c.url""")
+def compare_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.pages(*_runs(spark, sf_dir)).drop("error")
+
+
+@query("""with b as (select 'u' || page_id as url, 'd' || (page_id % 3) as id from pages where page_id % 4 = 0 and page_id % 3 <> 2), c as (select 'u' || page_id as url, 'd' || (page_id % 3) as id from pages where page_id % 6 < 4),
+s as (select 'u' || page_id as url from pages where page_id % 11 <> 0 and page_id % 13 <> 0)
+select c.url, c.id, 'critical' as severity, case when c.id not in (select id from b) then 'new-type' when c.url in (select url from s) then 'page-regression' else 'new-page' end as kind
+from c where not exists (select 1 from b where b.url = c.url and b.id = c.id)""")
+def compare_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("u"), "page_id").alias("url"), F.concat(F.lit("d"), (F.col("page_id") % 3).cast("string")).alias("id"), F.lit("critical").alias("severity"))
+    before = _runs(spark, sf_dir)[0].where("status = 'success'")
+    return compare.defects(rows.where("page_id % 4 = 0 and page_id % 3 <> 2"), rows.where("page_id % 6 < 4"), before)
+
+
+@query(f"""with {PAGES_SQL}, f as (select url, ({_DEPTH})::int as score from w)
+select 'content-depth' as factor_id, floor(avg(score) + 0.5)::int as avg_score, count(*) filter (score < 70)::bigint as affected_pages, count(*)::bigint as total_pages, max(score)::int as best_score, min(url) filter (score = (select max(score) from f)) as best_page_url from f""")
+def cross_cutting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = factor_results(page_audits(table(spark, sf_dir, "pages"), only=["content-depth"]))
+    return rollup.cross_cutting(rows).select("factor_id", "avg_score", "affected_pages", "total_pages", "best_score", "best_page_url")
+
+
+@query()
+def prioritized_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every defect and cross-cutting issue of the site, ranked."""
+    pages = table(spark, sf_dir, "pages")
+    audits = page_audits(pages)
+    rows = factor_results(audits)
+    units = templates.shapes(pages.select("url").distinct()).select("url", "template")
+    return rollup.fixes(rollup.cross_cutting(rows), rollup.recommendations(rows), rollup.defect_groups(audits), units, pages.count())
+
+
+@query(f"with {PAGES_SQL} select 'missing-meta-description' as id, 'warning' as severity, count(*)::bigint as n_pages, 0::int as homepage from w")
+def defect_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.defect_groups(page_audits(table(spark, sf_dir, "pages"), only=["content-depth"])).select("id", "severity", "n_pages", "homepage")
+
+
+@query()
+def template_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of one URL template that score alike."""
+    audits = page_audits(table(spark, sf_dir, "pages"))
+    shaped = templates.shapes(audits.select("url", "overall_score", F.transform("factors", lambda f: F.struct(f["factor_id"].alias("factor_id"), f["score"].alias("score"))).alias("scores")))
+    return templates.groups(shaped)
+
+
+@query()
+def platform_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Platforms by fingerprints in markup (the test pages have no headers)."""
+    got = parsed(table(spark, sf_dir, "pages"), drop_html=False).withColumn("headers", F.lit(None).cast("map<string,string>"))
+    return platforms.detect(got)
+
+
+@query()
+def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles that name an entity which doesn't own the page; names are the two commonest first words of titles."""
+    got = read_pages(spark, sf_dir).select("page_id", "url", "page.title")
+    first = F.concat_ws(" ", F.slice(F.split("title", " "), 1, 2))
+    names = got.groupBy(first.alias("name")).count().orderBy(F.desc("count"), "name").limit(20).select(F.col("name").alias("key"), F.lit(0).alias("ord"), "name")
+    return entities.mentions(got.select("page_id", F.lit("home").alias("owner"), F.lit("title").alias("field"), F.col("title").alias("text")), names)
+
+
+@query(r"""select doc_id, len(regexp_extract_all(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}'))::int as n_emails, len(regexp_extract_all(text, '\+?\d[\d\s().-]{7,}\d'))::int as n_phones from documents""")
+def email_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.emails(F.col("text"))).alias("n_emails"), F.size(X.phones(F.col("text"))).alias("n_phones"))
+
+
+@query(r"""with w as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents)
+select doc_id, len(w)::int as n_words, case when len(w) >= 1200 then 'strong' when len(w) >= 500 then 'moderate' else 'low' end as band from w""")
+def word_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = X.count_words(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n_words")).withColumn("band", F.when(F.col("n_words") >= 1200, "strong").when(F.col("n_words") >= 500, "moderate").otherwise("low"))
+
+
+@query(r"""with w as (select doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as w from documents)
+select doc_id, round(case when len(w) = 0 then 0.0 else len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z][a-zA-Z0-9]+$')))::double / len(w) end, 9) as density from w""")
+def proper_noun_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(X.proper_noun_density(F.col("text")), 9).alias("density"))
+
+
+def _vote_sql() -> str:
+    names = list(X.CATEGORIES)
+    cols = ", ".join("least(3, " + " + ".join(f"(contains(lower(text), '{p}'))::int" for p in phrases) + f") * {worth} as s{i}" for i, (worth, phrases) in enumerate(X.CATEGORIES.values()))
+    rows = " union all ".join(f"select doc_id, s{i}::double as s, {i} as ord, '{n}' as name from v" for i, n in enumerate(names))
+    return f"with v as (select doc_id, {cols} from documents), r as ({rows}), k as (select *, row_number() over (partition by doc_id order by s desc, ord) as place from r), a as (select doc_id, max(case when place = 1 then name end) as name, max(case when place = 1 then s end) as top, max(case when place = 2 then s end) as next from k group by doc_id) select doc_id, case when top >= 2 and top - next >= 1 then name else 'unknown' end as category from a"
+
+
+@query(_vote_sql())
+def category_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.site_category(F.col("text"))["category"].alias("category"))
+
+
+@query(r"""select page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^(.*/)', 1) as directory, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', '') as page_key, 'https://other.example' || regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1) as moved from pages""")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", U.path(u).alias("path"), U.directory(u).alias("directory"), U.page_key(u).alias("page_key"), U.on_origin(u, F.lit("https://other.example/x")).alias("moved"))
+
+
+@query(r"""with c as (select url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, '/' || split_part(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/', ''), '/', 1) as section, list_sort(list_distinct(list_transform(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: split_part(x, '=', 1)))) as params, page_id % 2 = 0 as copy from pages where url like '%?%')
+select host, section, array_to_string(params, ',') as params, count(*) filter (copy)::bigint as copies, count(*) filter (not copy)::bigint as distinct_pages, min(url) as example from c group by all""")
+def url_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", r"\?.*$", "")).otherwise(F.col("url"))
+    return graph.url_versions(table(spark, sf_dir, "pages").select("url", clean.alias("canonical")))
+
+
+@query("select page_id::int as ord, url as loc, round((page_id % 10) / 10.0, 1)::double as priority from pages")
+def sitemap_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries read from a sitemap file that is made of the pages."""
+    pages = table(spark, sf_dir, "pages")
+    escaped = F.replace(F.col("url"), F.lit("&"), F.lit("&amp;"))
+    block = F.concat(F.lit("<url><loc>"), escaped, F.lit("</loc><priority>"), (F.col("page_id") % 10 / 10).cast("string"), F.lit("</priority></url>"))
+    docs = pages.select(F.concat(F.lit("s"), "page_id").alias("sitemap_url"), "page_id", F.concat(F.lit("<urlset>"), block, F.lit("</urlset>")).alias("body"))
+    got = site.sitemap_entries(docs.select("sitemap_url", "body"))
+    return got.select(F.substring("sitemap_url", 2, 20).cast("int").alias("ord"), "loc", F.round("priority", 1).alias("priority"))
+
+
+@query("""with s as (select event_id, case event_id % 6 when 0 then 404 when 1 then 200 when 2 then null when 3 then 500 else 200 end as status, case event_id % 4 when 0 then '<!doctype html><html>' when 1 then '# notes' when 2 then 'User-agent: *' else '' end as body, event_id % 5 = 0 as late from events)
+select event_id, case when status is null and late then 'timeout' when status is null then 'unreachable' when status in (404, 410) then 'missing' when status not between 200 and 299 then 'unreachable' when lower(body) like '<!doctype html%' or lower(body) like '<html%' then 'missing' else 'ok' end as state from s""")
+def aux_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    status = F.when(k % 6 == 0, 404).when(k % 6 == 2, F.lit(None).cast("int")).when(k % 6 == 3, 500).otherwise(200)
+    body = F.when(k % 4 == 0, "<!doctype html><html>").when(k % 4 == 1, "# notes").when(k % 4 == 2, "User-agent: *").otherwise("")
+    error = F.when(k % 5 == 0, "TIMEOUT").otherwise("ECONNREFUSED")
+    return table(spark, sf_dir, "events").select("event_id", site.aux_state(status, F.lit("text/plain"), body, error).alias("state"))
+
+
+@query("""select user_id, date_trunc('hour', ts) as hour, count(*)::bigint as n from events group by all""")
+def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extra of Spark's own, not an operator of the engine: tumbling windows."""
+    got = table(spark, sf_dir, "events").groupBy("user_id", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return got.select("user_id", F.col("w.start").alias("hour"), "n")

@@ -66,6 +66,16 @@ class Env:
     targets: Column = field(default_factory=lambda: F.lit(None).cast(TARGETS))
     psi: Column = field(default_factory=lambda: F.lit(None).cast("array<double>"))
     as_of: datetime = datetime(2024, 1, 1)  # noqa: RUF009
+    #: What robots.txt and robots directives say, where a column has it already.
+    access: Column | None = None
+    directives: Column | None = None
+
+    def robots_access(self) -> Column:
+        body = F.coalesce(F.try_element_at(self.aux, F.lit("robotsTxt"))["body"], F.lit(""))
+        return robots.audit_access_of(body, list(CRAWLERS), U.path(self.url))
+
+    def robots_directives(self) -> Column:
+        return robots.directives(self.page("robots"), self.header("x-robots-tag"))
 
     def header(self, name: str) -> Column:
         return F.try_element_at(F.transform_keys(self.headers, lambda k, _: F.lower(k)), F.lit(name))
@@ -317,9 +327,9 @@ def ai_crawler_access(e: Env) -> Factor:
     c, file = "ai-crawler-access", F.try_element_at(e.aux, F.lit("robotsTxt"))
     state, body = F.coalesce(file["state"], F.lit("none")), F.coalesce(file["body"], F.lit(""))
     read = state == "ok"
-    at = U.path(e.url)
-    bots = [ladder((~read, 0, "", ""), (robots.audit_allows(body, name, at), points, "found", f"{c}.{name.lower()}.allowed"), (True, 0, "missing", f"{c}.{name.lower()}.blocked")) for name, points in CRAWLERS.items()]
-    signals = robots.content_signals(body)
+    access = e.robots_access() if e.access is None else e.access
+    bots = [ladder((~read, 0, "", ""), (access["allowed"][i], points, "found", f"{c}.{name.lower()}.allowed"), (True, 0, "missing", f"{c}.{name.lower()}.blocked")) for i, (name, points) in enumerate(CRAWLERS.items())]
+    signals = access["signals"]
     use, search = F.try_element_at(signals, F.lit("ai-input")), F.try_element_at(signals, F.lit("search"))
     return Factor([
         ladder((read, 0, "", ""), (file["state"] == "missing", 80, "info", f"{c}.robots.missing"), (True, 30, "unreachable", f"{c}.robots.unreachable")), *bots,
@@ -359,7 +369,7 @@ def technical_seo(e: Env) -> Factor:
 
 def snippet_eligibility(e: Env) -> Factor:
     c = "snippet-eligibility"
-    d = robots.directives(e.page("robots"), e.header("x-robots-tag"))
+    d = e.robots_directives() if e.directives is None else e.directives
     none, cap = d["none"], d["max_snippet"]
     blocked = d["noindex"] | d["nosnippet"] | (cap == 0)
     tight = cap.between(1, 49)
@@ -416,11 +426,11 @@ def chosen(only: list[str] | None = None, optional: tuple[str, ...] = ()) -> dic
 
 
 def factor_array(env: Env, only: list[str] | None = None, optional: tuple[str, ...] = ()) -> Column:
-    """array<struct<factor_id, ord, name, weight, score, applicable, findings, recommendations>> of a page."""
+    """array<struct<factor_id, ord, name, weight, score, applicable, findings>> of a page."""
     rows = []
     for i, (key, (name, weight)) in enumerate(chosen(only, optional).items()):
         f = BUILDERS[key](env)
         found = f.findings()
         applies = f.applicable if f.applicable is not None else F.lit(None).cast("boolean")
-        rows.append(F.struct(F.lit(key).alias("factor_id"), F.lit(i).alias("ord"), F.lit(name).alias("name"), F.lit(weight).alias("weight"), f.points().alias("score"), applies.alias("applicable"), found.alias("findings"), advice(found).alias("recommendations")))
+        rows.append(F.struct(F.lit(key).alias("factor_id"), F.lit(i).alias("ord"), F.lit(name).alias("name"), F.lit(weight).alias("weight"), f.points().alias("score"), applies.alias("applicable"), found.alias("findings")))
     return F.array(*rows)

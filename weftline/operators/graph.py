@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ DAMPING = 0.85
 ITERATIONS = 50
 CHECKPOINT_EVERY = 10
 ANCHORS = 5
+#: Links and nodes that one task holds, at most.
+ONE_TASK = 2_000_000
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -58,10 +63,25 @@ def depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
         known = known.union(frontier)
 
 
+def _rank(parts: Iterator[pd.DataFrame], iterations: int, damping: float) -> Iterator[pd.DataFrame]:
+    """The whole graph in one place: rows (from, to), to being null for each node."""
+    rows = pd.concat(list(parts), ignore_index=True)
+    urls = np.sort(rows["from"][rows["to"].isna()].unique())
+    rows = rows[rows["to"].notna()]
+    n, a, b = len(urls), np.searchsorted(urls, rows["from"]), np.searchsorted(urls, rows["to"])
+    outs = np.bincount(a, minlength=n)
+    rank = np.full(n, 1 / max(1, n))
+    for _ in range(iterations):
+        given = np.bincount(b, rank[a] / outs[a], minlength=n)
+        rank = (1 - damping) / n + damping * (given + rank[outs == 0].sum() / n)
+    yield pd.DataFrame({"url": urls, "rank": rank.round(12), "score": (rank / rank.max() * 100).round(2) if n else rank})
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
     """nodes (url), edges (from, to) -> url, rank, score: a fixed number of iterations; a node without out-links spreads its rank over all; score is rank with the largest as 100, two decimals.
 
-    Links count once and only between nodes; loops stay. Each iteration joins the links with the ranks and sums by target,
+    Links count once and only between nodes; loops stay. A graph of up to ONE_TASK links and nodes, counted first, goes
+    through one task. Beyond that each iteration joins the links with the ranks and sums by target,
     on the same partitioning; every CHECKPOINT_EVERY iterations the ranks are written.
     """
     nodes = _cut(nodes.select("url").distinct())
@@ -70,6 +90,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
         return nodes.select("url", F.lit(0.0).alias("rank"), F.lit(0.0).alias("score"))
     links = edges.select("from", "to").distinct().join(nodes.withColumnRenamed("url", "from"), "from", "left_semi").join(nodes.withColumnRenamed("url", "to"), "to", "left_semi")
     outs = links.groupBy("from").agg(F.count(F.lit(1)).alias("outs"))
+    if n + edges.count() <= ONE_TASK:
+        rows = links.select("from", "to").union(nodes.select("url", F.lit(None).cast("string")))
+        return rows.coalesce(1).mapInPandas(lambda parts: _rank(parts, iterations, damping), "url string, rank double, score double")
     links = _cut(links.join(outs, "from").select(F.col("from").alias("url"), "to", "outs"))
     dangling = _cut(nodes.join(links.select("url").distinct(), "url", "left_anti"))
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))

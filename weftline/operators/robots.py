@@ -84,40 +84,44 @@ def _parsed(body: Column) -> Column:
     return F.filter(F.aggregate(told, start, step, lambda acc: acc["out"]), lambda p: p["g"] > 0)
 
 
-def audit_allows(body: Column, agent: str, at: Column) -> Column:
-    """Whether the audit's matcher lets the agent fetch path `at`."""
+def audit_access_of(body: Column, agents: list[str], at: Column) -> Column:
+    """struct<allowed: array<boolean> by agent, signals: map>: the audit's matcher for path `at` over a file held in a column, and the Content-Signal map in force: of the first group for * that declares any, else of the first group that does. The file is parsed once."""
+
     def decide(rows: Column) -> Column:
-        first = lambda name: F.array_min(F.transform(F.filter(rows, lambda p: (p["k"] == "user-agent") & (F.lower(p["v"]) == name)), lambda p: p["g"]))
-        group = F.coalesce(first(agent.lower()), first("*"))
-        hit = F.filter(rows, lambda p: (p["g"] == group) & ((p["k"] == "allow") | (p["k"] == "disallow") & (p["v"] != "")) & F.startswith(at, p["v"]))
-        best = F.array_max(F.transform(hit, lambda p: F.struct(F.length(p["v"]).alias("n"), (p["k"] == "allow").alias("allow"))))
-        return F.coalesce(best["allow"], F.lit(True))
+        names = F.filter(rows, lambda p: p["k"] == "user-agent")
+        rules = F.filter(rows, lambda p: (p["k"] == "allow") | (p["k"] == "disallow") & (p["v"] != ""))
+        hits = F.transform(F.filter(rules, lambda p: F.startswith(at, p["v"])), lambda p: F.struct(p["g"].alias("g"), F.length(p["v"]).alias("n"), (p["k"] == "allow").alias("allow")))
+        own = F.filter(rows, lambda p: (p["k"] == "content-signal") & (F.size(content_signal(p["v"])) > 0))
+        return F.struct(names.alias("names"), hits.alias("hits"), own.alias("signals"))
 
-    return F.transform(F.array(_parsed(body)), decide)[0]
+    def first(told: Column, name: Column) -> Column:
+        return F.array_min(F.transform(F.filter(told["names"], lambda p: F.lower(p["v"]) == name), lambda p: p["g"]))
 
+    def answer(told: Column) -> Column:
+        star = first(told, F.lit("*"))
 
-def content_signals(body: Column) -> Column:
-    """The Content-Signal map in force: of the first group for * that declares any, else of the first group that does."""
-    def decide(rows: Column) -> Column:
-        own = F.filter(rows, lambda p: (p["k"] == "content-signal") & (F.size(content_signal(p["v"])) > 0))
-        star = F.transform(F.filter(rows, lambda p: (p["k"] == "user-agent") & (p["v"] == "*")), lambda p: p["g"])
-        groups = F.transform(own, lambda p: p["g"])
-        group = F.coalesce(F.array_min(F.array_intersect(groups, star)), F.array_min(groups))
-        text = F.array_join(F.transform(F.filter(own, lambda p: p["g"] == group), lambda p: p["v"]), ",")
-        return content_signal(text)
+        def allowed(name: Column) -> Column:
+            best = F.array_max(F.transform(F.filter(told["hits"], lambda h: h["g"] == F.coalesce(first(told, name), star)), lambda h: F.struct(h["n"], h["allow"])))
+            return F.coalesce(best["allow"], F.lit(True))
+
+        groups = F.transform(told["signals"], lambda p: p["g"])
+        stars = F.transform(F.filter(told["names"], lambda p: p["v"] == "*"), lambda p: p["g"])
+        group = F.coalesce(F.array_min(F.array_intersect(groups, stars)), F.array_min(groups))
+        text = F.array_join(F.transform(F.filter(told["signals"], lambda p: p["g"] == group), lambda p: p["v"]), ",")
+        return F.struct(F.transform(F.array(*[F.lit(a.lower()) for a in agents]), allowed).alias("allowed"), content_signal(text).alias("signals"))
 
-    return F.transform(F.array(_parsed(body)), decide)[0]
+    return F.transform(F.transform(F.array(_parsed(body)), decide), answer)[0]
 
 
 def directives(metas: Column, header: Column) -> Column:
     """Merged robots directives of meta elements and the X-Robots-Tag header (its lines for Google's bots or for all)."""
-    lines = F.filter(F.transform(F.split(F.coalesce(header, F.lit("")), r"\r?\n"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(header, F.lit("")), r"\r?\n"), lambda t: F.trim(t)), lambda s: s != "")
     agent = r"^([a-zA-Z][a-zA-Z0-9-]*)\s*:\s*(.+)$"
     named = lambda s: F.lower(F.regexp_extract(s, agent, 1))
     ours = F.filter(lines, lambda s: (named(s) == "") | (named(s) == "googlebot") | F.startswith(named(s), F.lit("googlebot-")))
     values = F.transform(ours, lambda s: F.when(named(s) == "", s).otherwise(F.regexp_extract(s, agent, 2)))
     sources = F.concat(F.coalesce(metas, F.array().cast("array<string>")), values)
-    tokens = F.flatten(F.transform(sources, lambda s: F.transform(F.split(F.lower(s), ","), F.trim)))
+    tokens = F.flatten(F.transform(sources, lambda s: F.transform(F.split(F.lower(s), ","), lambda t: F.trim(t))))
     caps = F.transform(F.filter(tokens, lambda t: t.rlike(r"^max-snippet:\s*[+-]?\d")), lambda t: F.regexp_extract(t, r"^max-snippet:\s*([+-]?\d+)", 1).cast("int"))
     cap = F.coalesce(F.array_min(F.filter(caps, lambda x: x != -1)), F.array_min(caps))
     has = lambda *names: F.arrays_overlap(tokens, F.array(*[F.lit(n) for n in names]))
