@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_CHECKPOINTS = "/tmp/weftline-checkpoints"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,13 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df, from file sizes; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def parts_for(df: DataFrame, bytes_each: int) -> int:
-    """Partitions so that each holds about bytes_each of df's input, at least the session's number."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // bytes_each))
+    """Catalyst's size estimate of df, from file sizes, without a job; where it has none (rows that don't come from files), the bytes of df's strings, counted."""
+    told = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if told < 1 << 50:
+        return told
+    texts = [F.sum(F.octet_length(f.name)) for f in df.schema if f.dataType.simpleString() == "string"]
+    return int(df.agg(F.coalesce(sum(texts[1:], texts[0]), F.lit(0))).first()[0]) if texts else 0
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

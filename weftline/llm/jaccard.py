@@ -281,7 +281,7 @@ def linked(sizes: np.ndarray, tokens: list[np.ndarray], percent: int = PERCENT)
 
 def class_sets(documents: DataFrame) -> DataFrame:
     """The stored rows of gathered()."""
-    parts = max(2 * documents.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(documents) // BUCKET_BYTES))
+    parts = max(2 * documents.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(documents.select("text")) // BUCKET_BYTES))
     return stored(gathered(shared_tokens(token_blobs(documents, parts), parts)), "shingle-sets")
 
 

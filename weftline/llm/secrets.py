@@ -70,8 +70,10 @@ def fit(documents: DataFrame) -> tuple[np.ndarray, float]:
     """The table of ratios and a threshold: above all but one in ten thousand of the ordinary samples, and 12 at least."""
     ids = documents.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
     sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").where("text is not null")
-    sample = sample.select(F.slice(F.split(F.substring("text", 1, 4000), "[^A-Za-z]+"), 1, 200).alias("w"), F.xxhash64("doc_id").alias("h"))
-    words = [w for r in sample.orderBy("h", "w").limit(SAMPLE_DOCUMENTS).collect() for w in r.w if len(w) > 1][:SAMPLE_WORDS]
+    # Whole tokens of letters, so that pieces of random strings don't count as words.
+    plain = F.filter(F.split(F.substring("text", 1, 4000), r"\s+"), lambda w: w.rlike("^[A-Za-z]{2,19}[.,;:!?]*$"))
+    sample = sample.select(F.transform(F.slice(plain, 1, 200), lambda w: F.regexp_replace(w, "[^A-Za-z]+$", "")).alias("w"), F.xxhash64("doc_id").alias("h"))
+    words = [w for r in sample.orderBy("h", "w").limit(SAMPLE_DOCUMENTS).collect() for w in r.w][:SAMPLE_WORDS]
     positive, negative = labelled(words)
     model = train(positive, negative)
     return model, max(12.0, float(np.quantile([ratio(model, x) for x in negative if len(x) >= 20] or [0.0], 0.9999)))
