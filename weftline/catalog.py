@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as X
 from weftline.functions import urls as U
 from weftline.functions.page import parsed
+from weftline.functions.tables import cut
 from weftline.operators import compare, entities, graph, platforms, robots, rollup, scoring, templates
 from weftline.operators.factors import WEIGHTS, Env, factor_array
 from weftline.plans.audit import factor_results, page_audits
@@ -353,7 +354,7 @@ def cross_cutting(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prioritized_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every defect and cross-cutting issue of the site, ranked."""
     pages = table(spark, sf_dir, "pages")
-    audits = page_audits(pages)
+    audits = cut(page_audits(pages).select("page_id", "url", "overall_score", "factors", "defects", "status"))
     rows = factor_results(audits)
     units = templates.shapes(pages.select("url").distinct()).select("url", "template")
     return rollup.fixes(rollup.cross_cutting(rows), rollup.recommendations(rows), rollup.defect_groups(audits), units, pages.count())

@@ -66,9 +66,14 @@ class Env:
     targets: Column = field(default_factory=lambda: F.lit(None).cast(TARGETS))
     psi: Column = field(default_factory=lambda: F.lit(None).cast("array<double>"))
     as_of: datetime = datetime(2024, 1, 1)  # noqa: RUF009
-    #: What robots.txt and robots directives say, where a column has it already.
-    access: Column | None = None
-    directives: Column | None = None
+    #: Where a dict, costly values are put there by name and read from columns of that name, so that each is computed once a page.
+    kept: dict[str, Column] | None = None
+
+    def keep(self, name: str, value: Column) -> Column:
+        if self.kept is None:
+            return value
+        self.kept[f"_{name}"] = value
+        return F.col(f"_{name}")
 
     def robots_access(self) -> Column:
         body = F.coalesce(F.try_element_at(self.aux, F.lit("robotsTxt"))["body"], F.lit(""))
@@ -188,7 +193,7 @@ def ai_access_files(e: Env) -> Factor:
 
 def eeat_signals(e: Env) -> Factor:
     c, p = "eeat-signals", e.page
-    trust = F.size(F.filter(p("anchors"), lambda a: F.lower(a["href"]).rlike("/privacy|/terms|/about")))
+    trust = e.keep("trust", F.size(F.filter(p("anchors"), lambda a: F.lower(a["href"]).rlike("/privacy|/terms|/about"))))
     return Factor([
         ladder((F.exists(p("persons"), lambda x: x), 25, "found", f"{c}.person.credentialed"), (F.size(p("persons")) > 0, 12, "info", f"{c}.person.found"), (True, 0, "missing", f"{c}.person.missing")),
         ladder((p("author") != "", 15, "found", f"{c}.author-meta.found"), (True, 0, "missing", f"{c}.author-meta.missing")),
@@ -216,12 +221,12 @@ def citations(e: Env) -> Factor:
     c, p = "citations", e.page
     own = U.host(e.url)
     out = F.filter(p("anchors"), lambda a: a["host"].isNotNull() & (a["host"] != own))
-    n, same = F.size(out), p("same_as")
+    n, same = e.keep("outside", F.size(out)), p("same_as")
     gov = F.exists(out, lambda a: a["host"].endswith(".gov") | a["host"].endswith(".edu") | F.contains(a["host"], F.lit("wikipedia.org")))
     named = F.filter(out, lambda a: a["text"] != "")
     words = lambda a: F.size(F.split(a["text"], " "))
     worth = lambda a: F.when(words(a) >= 3, 1.0).when(words(a) == 2, 0.6).otherwise(0.2)
-    quality = F.coalesce(F.aggregate(named, F.lit(0.0), lambda acc, a: acc + worth(a)) / F.when(F.size(named) > 0, F.size(named)), F.lit(0.0))
+    quality = e.keep("quality", F.coalesce(F.aggregate(named, F.lit(0.0), lambda acc, a: acc + worth(a)) / F.when(F.size(named) > 0, F.size(named)), F.lit(0.0)))
     return Factor([
         ladder((n >= 8, 30, "found", f"{c}.external-links.strong"), (n >= 3, 18, "info", f"{c}.external-links.moderate"), (True, 6, "missing", f"{c}.external-links.low")),
         ladder((gov, 24, "found", f"{c}.authority.found"), (True, 8, "info", f"{c}.authority.missing")),
@@ -243,7 +248,7 @@ def schema_validity(e: Env, singletons: tuple[str, ...] = SINGLETONS) -> Factor:
     c, blocks = "schema-validity", e.page("blocks")
     empty, broken = F.size(F.filter(blocks, lambda b: b["empty"])), F.size(F.filter(blocks, lambda b: b["error"].isNotNull()))
     types = F.flatten(F.transform(blocks, lambda b: b["types"]))
-    twice = sum((F.when(F.size(F.array_compact(F.transform(types, _is(s)))) > 1, 1).otherwise(0) for s in singletons), F.lit(0))
+    twice = e.keep("twice", sum((F.when(F.size(F.array_compact(F.transform(types, _is(s)))) > 1, 1).otherwise(0) for s in singletons), F.lit(0)))
     raw = F.lit(100.0) - 5 * empty - 15 * broken - 25 * twice
     score = F.when((broken > 0) | (twice > 0), F.least(raw, F.lit(69.0))).otherwise(raw)
     return Factor([
@@ -260,7 +265,7 @@ def entity_consistency(e: Env) -> Factor:
     c, p = "entity-consistency", e.page
     first = lambda s: F.element_at(F.split(s, r"[|\-–—]"), 1)
     names = F.concat(F.slice(p("names"), 1, 2), F.array(first(X.normalize_text(p("title"))), first(X.normalize_text(p("og_title")))))
-    n = F.size(F.array_distinct(F.filter(F.transform(names, X.normalize_entity_name), lambda x: x != "")))
+    n = e.keep("names", F.size(F.array_distinct(F.filter(F.transform(names, X.normalize_entity_name), lambda x: x != ""))))
     title = F.length(p("title"))
     score, finding = canonical(e, c)
     low = lambda xs: F.transform(xs, lambda x: F.lower(x))
@@ -270,19 +275,19 @@ def entity_consistency(e: Env) -> Factor:
         ladder((n == 0, 0, "missing", f"{c}.name.missing"), (n == 1, 40, "found", f"{c}.name.consistent"), (n == 2, 24, "info", f"{c}.name.partial"), (True, 12, "info", f"{c}.name.inconsistent")),
         ladder((title == 0, 0, "", ""), (title < 15, 10, "info", f"{c}.title.short"), (title <= 70, 10, "found", f"{c}.title.ok"), (True, 0, "info", f"{c}.title.long")),
         (score, finding),
-        ladder((emails | phones, 40, "found", f"{c}.contact.match"), ((F.size(p("emails")) > 0) | (F.size(p("phones")) > 0), 16, "info", f"{c}.contact.partial"), (True, 0, "missing", f"{c}.contact.missing")),
+        ladder((e.keep("contact", emails | phones), 40, "found", f"{c}.contact.match"), ((F.size(p("emails")) > 0) | (F.size(p("phones")) > 0), 16, "info", f"{c}.contact.partial"), (True, 0, "missing", f"{c}.contact.missing")),
     ])
 
 
 def content_freshness(e: Env) -> Factor:
     c, p = "content-freshness", e.page
     now = F.lit(e.as_of).cast("timestamp")
-    newest = F.array_max(F.transform(p("modified"), X.parse_date))
-    header = X.parse_date(e.header("last-modified"))
+    newest = e.keep("newest", F.array_max(F.transform(p("modified"), X.parse_date)))
+    header = e.keep("modified", X.parse_date(e.header("last-modified")))
     sitemap = F.try_element_at(e.aux, F.lit("sitemapXml"))
-    state, listed = F.coalesce(sitemap["state"], F.lit("missing")), X.parse_date(X.sitemap_lastmod(F.coalesce(sitemap["body"], F.lit("")), e.url))
+    state, listed = F.coalesce(sitemap["state"], F.lit("missing")), e.keep("listed", X.parse_date(X.sitemap_lastmod(F.coalesce(sitemap["body"], F.lit("")), e.url)))
     m, mh, ml = (X.months_ago(x, now) for x in (newest, header, listed))
-    year = F.coalesce(X.copyright_year(p("footer")), X.copyright_year(p("text")))
+    year = e.keep("year", F.coalesce(X.copyright_year(p("footer")), X.copyright_year(p("text"))))
     return Factor([
         ladder((newest.isNull(), 0, "missing", f"{c}.date-modified.missing"), (m <= 3, 35, "found", f"{c}.date-modified.recent"), (m <= 12, 22, "info", f"{c}.date-modified.moderate"), (True, 10, "info", f"{c}.date-modified.old")),
         ladder((header.isNull(), 0, "info", f"{c}.last-modified.missing"), (mh <= 3, 20, "found", f"{c}.last-modified.recent"), (True, 12, "info", f"{c}.last-modified.old")),
@@ -327,7 +332,7 @@ def ai_crawler_access(e: Env) -> Factor:
     c, file = "ai-crawler-access", F.try_element_at(e.aux, F.lit("robotsTxt"))
     state, body = F.coalesce(file["state"], F.lit("none")), F.coalesce(file["body"], F.lit(""))
     read = state == "ok"
-    access = e.robots_access() if e.access is None else e.access
+    access = e.keep("access", e.robots_access())
     bots = [ladder((~read, 0, "", ""), (access["allowed"][i], points, "found", f"{c}.{name.lower()}.allowed"), (True, 0, "missing", f"{c}.{name.lower()}.blocked")) for i, (name, points) in enumerate(CRAWLERS.items())]
     signals = access["signals"]
     use, search = F.try_element_at(signals, F.lit("ai-input")), F.try_element_at(signals, F.lit("search"))
@@ -342,8 +347,8 @@ def ai_crawler_access(e: Env) -> Factor:
 def named_entities(e: Env) -> Factor:
     c, p = "named-entities", e.page
     name = F.coalesce(F.get(p("names"), F.lit(0)), F.trim(F.element_at(F.split(p("title"), r"[|\-–—]"), 1)))
-    n = F.when(name != "", X.occurrences(p("text"), name))
-    density = X.proper_noun_density(p("text"))
+    n = e.keep("brand", F.when(name != "", X.occurrences(p("text"), name)))
+    density = e.keep("density", X.proper_noun_density(p("text")))
     return Factor([
         ladder((n.isNull(), 0, "missing", f"{c}.brand.missing"), (n >= 3, 36, "found", f"{c}.brand.strong"), (n > 0, 20, "info", f"{c}.brand.low"), (True, 6, "missing", f"{c}.brand.absent")),
         ladder(((p("knows_about") > 0) | (p("founders") > 0), 34, "found", f"{c}.relations.found"), (True, 10, "info", f"{c}.relations.missing")),
@@ -369,7 +374,7 @@ def technical_seo(e: Env) -> Factor:
 
 def snippet_eligibility(e: Env) -> Factor:
     c = "snippet-eligibility"
-    d = e.robots_directives() if e.directives is None else e.directives
+    d = e.keep("directives", e.robots_directives())
     none, cap = d["none"], d["max_snippet"]
     blocked = d["noindex"] | d["nosnippet"] | (cap == 0)
     tight = cap.between(1, 49)

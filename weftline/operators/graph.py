@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.tables import cut
+
 DAMPING = 0.85
 ITERATIONS = 50
 CHECKPOINT_EVERY = 10
@@ -18,18 +19,6 @@ ANCHORS = 5
 ONE_TASK = 2_000_000
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df as a written table in the shared checkpoint folder: its lineage ends there."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "/tmp/weftline-checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def edges(anchors: DataFrame) -> DataFrame:
     """anchors (from, to, ord, text, nofollow, placement, internal) -> one row a pair with counts, placements and the first ANCHORS different texts, sorted."""
     spot = lambda p: F.count_if(F.col("placement") == p).alias(p)
@@ -51,13 +40,13 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """edges (from, to), roots (url) -> url, depth: fewest steps from a root; unreachable nodes are left out. One join and one table a level."""
-    known = _cut(roots.select("url").distinct().withColumn("depth", F.lit(0)))
-    frontier, links = known, _cut(edges.select(F.col("from").alias("url"), "to").distinct())
+    known = cut(roots.select("url").distinct().withColumn("depth", F.lit(0)))
+    frontier, links = known, cut(edges.select(F.col("from").alias("url"), "to").distinct())
     level = 0
     while True:
         level += 1
         new = links.join(frontier.select("url"), "url").select(F.col("to").alias("url")).distinct().join(known, "url", "left_anti").withColumn("depth", F.lit(level))
-        frontier = _cut(new)
+        frontier = cut(new)
         if not frontier.head(1):
             return known
         known = known.union(frontier)
@@ -84,7 +73,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
     through one task. Beyond that each iteration joins the links with the ranks and sums by target,
     on the same partitioning; every CHECKPOINT_EVERY iterations the ranks are written.
     """
-    nodes = _cut(nodes.select("url").distinct())
+    nodes = cut(nodes.select("url").distinct())
     n = nodes.count()
     if not n:
         return nodes.select("url", F.lit(0.0).alias("rank"), F.lit(0.0).alias("score"))
@@ -93,8 +82,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
     if n + edges.count() <= ONE_TASK:
         rows = links.select("from", "to").union(nodes.select("url", F.lit(None).cast("string")))
         return rows.coalesce(1).mapInPandas(lambda parts: _rank(parts, iterations, damping), "url string, rank double, score double")
-    links = _cut(links.join(outs, "from").select(F.col("from").alias("url"), "to", "outs"))
-    dangling = _cut(nodes.join(links.select("url").distinct(), "url", "left_anti"))
+    links = cut(links.join(outs, "from").select(F.col("from").alias("url"), "to", "outs"))
+    dangling = cut(nodes.join(links.select("url").distinct(), "url", "left_anti"))
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     for i in range(1, iterations + 1):
         lost = ranks.join(dangling, "url", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
@@ -102,19 +91,19 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
         base = (1 - damping) / n
         ranks = nodes.join(given, "url", "left").crossJoin(F.broadcast(lost)).select("url", (base + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))  # lost is one row
         if i % CHECKPOINT_EVERY == 0 or i == iterations:
-            ranks = _cut(ranks)
+            ranks = cut(ranks)
     most = ranks.agg(F.max("rank").alias("most"))
     return ranks.crossJoin(F.broadcast(most)).select("url", F.round("rank", 12).alias("rank"), F.round(F.col("rank") / F.col("most") * 100, 2).alias("score"))
 
 
 def terminals(redirects: DataFrame) -> DataFrame:
     """redirects (url, to) -> url, terminal: the end of each chain; a URL on or before a loop ends nowhere (null). Pointers double each round, so a chain of n takes log n joins."""
-    now = _cut(redirects.groupBy("url").agg(F.min("to").alias("terminal")))
+    now = cut(redirects.groupBy("url").agg(F.min("to").alias("terminal")))
     n, rounds = now.count(), 0
     while n and 2**rounds <= 2 * n:
         step = now.select(F.col("url").alias("terminal"), F.col("terminal").alias("next"))
         after = now.join(step, "terminal", "left").select("url", F.coalesce("next", "terminal").alias("terminal"), F.col("next").isNotNull().alias("moved"))
-        after = _cut(after)
+        after = cut(after)
         rounds += 1
         now = after.select("url", "terminal")
         if not after.where("moved").head(1):
