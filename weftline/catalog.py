@@ -11,7 +11,7 @@ from weftline.functions import text as X
 from weftline.functions import urls as U
 from weftline.functions.page import parsed
 from weftline.functions.tables import cut
-from weftline.operators import compare, entities, graph, platforms, robots, rollup, scoring, templates
+from weftline.operators import compare, entities, graph, identity, platforms, robots, rollup, scoring, templates
 from weftline.operators.factors import WEIGHTS, Env, factor_array
 from weftline.plans.audit import factor_results, page_audits
 from weftline.sources import site
@@ -380,6 +380,12 @@ def platform_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return platforms.detect(got)
 
 
+@query("select page_id, 'unknown' as status from pages")
+def page_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether structured data matches the page (the test pages have none)."""
+    return identity.identities(table(spark, sf_dir, "pages")).select("page_id", "status")
+
+
 @query()
 def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles that name an entity which doesn't own the page; names are the two commonest first words of titles."""
