@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.common import table
+from weftline.llm.common import table, tidy
 
 #: Distinct chunks whose ids a task remembers; beyond it the memory starts anew.
 MEMORY = 400_000
@@ -150,9 +150,10 @@ def encode_documents(documents: DataFrame, path: str, pattern: str, with_ids: bo
             if with_ids:
                 columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        codec.memory.clear()
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def byte_bpe(documents: DataFrame, with_ids: bool = False) -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +64,20 @@ def input_bytes(df: DataFrame) -> int:
     return int(df.agg(F.coalesce(sum(texts[1:], texts[0]), F.lit(0))).first()[0]) if texts else 0
 
 
+def tidy(batches: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives its free memory back at the end: Python workers live on and the next stage uses them."""
+
+    @wraps(batches)
+    def run(rows: Iterator) -> Iterator:
+        yield from batches(rows)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x.copy()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import input_bytes, local_roots, mix64, shingle_sets, stored, table
+from weftline.llm.common import input_bytes, local_roots, mix64, shingle_sets, stored, table, tidy
 from weftline.llm.components import connected_components
 from weftline.llm.streams import consecutive
 
@@ -31,10 +31,10 @@ PERCENT = 75
 #: A token in so many classes or more is frequent: indexed in pairs.
 FREQUENT = 64
 #: Input bytes for each bucket of tokens, and tokens of a bucket that are sorted at once.
-BUCKET_BYTES = 32 << 20
-SORTED = 1 << 21
+BUCKET_BYTES = 8 << 20
+SORTED = 1 << 20
 #: Texts taken from a batch at once.
-SLICE = 1024
+SLICE = 512
 #: Classes compared as one tile, and tokens taken in one product of matrices.
 TILE = 2048
 COLUMNS = 2048
@@ -110,7 +110,7 @@ def token_blobs(documents: DataFrame, buckets: int) -> DataFrame:
                         rows.append((int(b), TOKENS, new_keys[has].tobytes(), counts[b][has].astype(np.uint32).tobytes(), _pack(tokens[ends[b] - counts[b].sum() : ends[b]])))
                 yield _rows(rows, _BLOB, _BLOB_KINDS)
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _BLOB_DDL)
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), _BLOB_DDL)
 
 
 def _shared(keys: np.ndarray, tokens: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +160,8 @@ def shared_tokens(blobs: DataFrame, parts: int) -> DataFrame:
                 first = np.concatenate([[True], np.diff(keys[order]) != 0])
                 keys, counts, tokens = keys[order][first], counts[order][first], ids[order][first]
             else:
-                tokens = np.concatenate([_unpack(x) for x in bucket.column(4).to_pylist()])
+                tokens = _unpack(b"".join(x.as_py() for x in bucket.column(4)))
+                del bucket
                 keys, tokens = _shared(np.repeat(keys, counts), tokens, part)
                 counts = np.zeros(0, np.uint32)
             to = _dealt(keys, parts)
@@ -174,16 +175,17 @@ def shared_tokens(blobs: DataFrame, parts: int) -> DataFrame:
                     rows.append((int(to[a]), kind, keys[a:b].tobytes(), counts[a:b].tobytes() if kind == CLASSES else b"", tokens[a:b].tobytes()))
             yield _rows(rows, _BLOB, _BLOB_KINDS)
 
-    n = blobs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = blobs.repartition(int(n), "part").sortWithinPartitions("part", "kind")
-    return dealt.mapInArrow(run, _BLOB_DDL)
+    # More partitions than buckets, so that few hold several.
+    n = max(2 * parts, int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = blobs.repartition(n, "part").sortWithinPartitions("part", "kind")
+    return dealt.mapInArrow(tidy(run), _BLOB_DDL)
 
 
 _SETS = ["kind", "id", "key", "n", "tokens"]
 _SETS_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
 
-def gathered(blobs: DataFrame) -> DataFrame:
+def gathered(blobs: DataFrame, parts: int) -> DataFrame:
     """(kind, id, key, n, tokens): a row for each document, and for each class its smallest doc_id, size and shared tokens, in order."""
 
     def out(kind: int, ids: np.ndarray, keys: np.ndarray, n: np.ndarray, valid: np.ndarray | None = None, tokens: list | None = None) -> pa.RecordBatch:
@@ -219,8 +221,8 @@ def gathered(blobs: DataFrame) -> DataFrame:
                     e = s + SLICE
                     yield out(kind, ids[s:e], own[s:e], n[s:e], None, [tokens[a:b].tobytes() for a, b in zip(low[s:e], high[s:e], strict=True)])
 
-    n = int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blobs.repartition(n, "part").sortWithinPartitions("part", "kind").mapInArrow(run, "kind int, id long, key long, n int, tokens binary")
+    n = max(2 * parts, int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return blobs.repartition(n, "part").sortWithinPartitions("part", "kind").mapInArrow(tidy(run), "kind int, id long, key long, n int, tokens binary")
 
 
 def missing(n: int, percent: int = PERCENT) -> int:
@@ -282,7 +284,7 @@ def linked(sizes: np.ndarray, tokens: list[np.ndarray], percent: int = PERCENT)
 def class_sets(documents: DataFrame) -> DataFrame:
     """The stored rows of gathered()."""
     parts = max(2 * documents.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(documents.select("text")) // BUCKET_BYTES))
-    return stored(gathered(shared_tokens(token_blobs(documents, parts), parts)), "shingle-sets")
+    return stored(gathered(shared_tokens(token_blobs(documents, parts), parts), parts), "shingle-sets")
 
 
 def posted_by(classes: DataFrame, signatures_of: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
@@ -322,7 +324,7 @@ def linked_classes(posted: DataFrame, classes: DataFrame, percent: int = PERCENT
             yield pa.RecordBatch.from_arrays([pa.array(keys[moved]), pa.array(keys[root[moved]])], ["a", "b"])
 
     dealt = rows.select("head", "i", "j", "key", "n", "tokens").repartition("head", "i", "j").sortWithinPartitions("head", "i", "j", "key")
-    links = dealt.mapInArrow(compare, "a long, b long")
+    links = dealt.mapInArrow(tidy(compare), "a long, b long")
     return stored(connected_components(links), "components")
 
 
@@ -366,4 +368,3 @@ def one_of_each(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
-

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from weftline.llm.common import table
+from weftline.llm.common import table, tidy
 
 UNDETERMINED = "und"
 #: Labelled documents to learn from: so many at most of each language found in a pool of POOL, the first by a hash of doc_id; of each its first characters and words.
@@ -34,8 +34,8 @@ BATCH = 256
 RATE = 0.02
 SEED = 3
 #: Texts handled at once, and distinct words that a task remembers.
-SLICE = 1024
-MEMORY = 300_000
+SLICE = 512
+MEMORY = 200_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -200,7 +200,7 @@ def predict(documents: DataFrame, network: Network | None, text: str = "text", n
     sent = documents.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, memory = sent.value, {}
+        net, memory, scores = sent.value, {}, np.zeros((0, len(sent.value.languages) + 1 if sent.value else 1), np.float32)
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
@@ -211,10 +211,11 @@ def predict(documents: DataFrame, network: Network | None, text: str = "text", n
                     enc = pa.array([x for i in some for x in words[i]]).dictionary_encode()
                     distinct = enc.dictionary.to_pylist()
                     if len(memory) > MEMORY:
-                        memory.clear()
+                        memory, scores = {}, scores[:0]
                     if new := [w for w in distinct if w not in memory]:
-                        memory.update(zip(new, net.word_scores(new), strict=True))
-                    table = np.array([memory[w] for w in distinct])
+                        memory.update(zip(new, range(len(memory), len(memory) + len(new)), strict=True))
+                        scores = np.concatenate([scores, net.word_scores(new).astype(np.float32)])
+                    table = scores[[memory[w] for w in distinct]].astype(np.float64)
                     starts = np.concatenate([[0], np.cumsum([len(words[i]) for i in some])[:-1]])
                     sums = np.add.reduceat(table[np.asarray(enc.indices)], starts, axis=0)
                     p = sums[:, :-1] / sums[:, -1:]
@@ -225,7 +226,7 @@ def predict(documents: DataFrame, network: Network | None, text: str = "text", n
                 columns = batch.columns if echo else batch.columns[:place]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score)], [*batch.schema.names[: len(columns)], *names])
 
-    return documents.mapInArrow(run, StructType([*list(documents.schema)[: None if echo else place], StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
+    return documents.mapInArrow(tidy(run), StructType([*list(documents.schema)[: None if echo else place], StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def identify(documents: DataFrame) -> DataFrame:
