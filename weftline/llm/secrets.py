@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import table, tidy
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -35,6 +35,22 @@ SEED = 20
 _ALPHABETS = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", "0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits)
 
 
+# Ordinary words that identifiers are made of, besides those of the corpus.
+WORDS = """
+account action address amount array author average base batch block body buffer build bytes cache call change channel char
+check child class client close code column command config connect content context control copy count create current customer
+data date default delete detail device directory document domain double entry error event example export factory field file
+filter first folder format function group handle hash header height image import index input instance integer item iterator
+job key label language last layer length level library limit line link list load local lock log machine manager map master
+match max memory message method metric min mode model module month name network next node number object offset open option
+order output owner package page parent parse part path pattern payload point policy pool position prefix previous process
+product profile project property query queue random range read record region remote render report request response result
+root row rule run sample schema score search section segment select sequence server service session setting shape size
+source start state status stream string table target task template test text thread time total type update user value
+version view width window word worker write year
+""".split()
+
+
 def train(random_strings: list[str], ordinary: list[str]) -> np.ndarray:
     """A 128 x 128 table of log P(next | character) under the chain of random strings less that under the ordinary chain; one count is added everywhere, row 0 is the start."""
     tables = []
@@ -56,7 +72,7 @@ def labelled(words: list[str]) -> tuple[list[str], list[str]]:
     """Random strings over usual alphabets; and identifiers made of the words: alone, in upper case, joined by _ - or / or by capitals, some with a short number."""
     draw = random.Random(SEED)
     positive = ["".join(draw.choices(draw.choice(_ALPHABETS), k=draw.randrange(20, 65))) for _ in range(RANDOM_STRINGS)]
-    words = sorted({w for w in words if w.isascii() and w.isalpha()}) or ["name", "value", "index"]
+    words = sorted({w for w in [*words, *WORDS] if w.isascii() and w.isalpha()})
     negative = []
     for _ in range(4 * len(words) + 2000):
         some = [draw.choice(words) for _ in range(draw.randrange(1, 5))]
@@ -115,7 +131,7 @@ def scan(documents: DataFrame, model: tuple[np.ndarray, float] | None = None) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *kinds])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
+    return documents.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long")
 
 
 def redacted(documents: DataFrame, model: tuple[np.ndarray, float] | None = None) -> DataFrame:
@@ -133,7 +149,7 @@ def redacted(documents: DataFrame, model: tuple[np.ndarray, float] | None = None
                 texts.append(redact(text, spans) if spans else text)
             yield batch.set_column(place, "text", pa.array(texts, batch.column(place).type))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)
 
 
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
