@@ -266,3 +266,21 @@ def test_pipeline_on_a_small_corpus(spark, docs):
     mixed = stages["mixing"](spark, one, "")
     assert mixed.columns == df.columns and mixed.count() > 40
     assert stages["byte_bpe"](spark, mixed, "").count() == mixed.count()
+
+
+@pytest.mark.parametrize("name", ["op1_embedding_neardup", "op4_warc_from_arc", "op5_ngram_jaccard_join", "op8_curriculum_mix"])
+def test_sql_gives_the_same_rows(spark, name, tmp_path):
+    """The queries on tables of files, against the SQL that is given for them."""
+    from weftline.llm.registry import QUERIES, SQL
+
+    draw = random.Random(21)
+    texts = [" ".join(draw.choices("abcdefgh", k=draw.randrange(0, 12))) for _ in range(60)] + ["x y z a b c d"] * 3
+    spark.createDataFrame([(i, t if i % 9 else None, "en", draw.choice(["p", "q", None]), 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*vector_rows(60), *ODD_VECTORS], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, "u", "é" * 700 if i % 3 else f"<p>{i % 5}") for i in range(30)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(SQL[name])
+    got = QUERIES[name](spark, str(tmp_path)).select(want.columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))

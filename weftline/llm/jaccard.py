@@ -368,3 +368,23 @@ def one_of_each(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+
+OP5_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as words
+  from documents),
+s as (
+  select doc_id, list_distinct(case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+    else list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) end) as sh from w),
+n as (select doc_id, len(sh)::bigint as n_shingles, md5(array_to_string(list_sort(sh), chr(10))) as same from s),
+c as (select same, min(doc_id) as rep, any_value(n_shingles) as n from n where n_shingles > 0 group by same),
+t as (select doc_id, md5_number_lower(unnest(sh)) as tok from s where doc_id in (select rep from c)),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as common from t a join t b on a.tok = b.tok and a.doc_id <> b.doc_id group by all),
+e as (select a, b from p join c x on x.rep = a join c y on y.rep = b where 100 * common >= 75 * (x.n + y.n - common)),
+r as (select rep, rep as seen from c union select r.rep, e.b from r join e on e.a = r.seen),
+m as (select rep, min(seen) as component_id from r group by rep)
+select n.doc_id, n.n_shingles, coalesce(m.component_id, n.doc_id) as component_id
+from n left join c on n.same = c.same and n.n_shingles > 0 left join m on m.rep = c.rep
+"""

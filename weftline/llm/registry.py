@@ -17,6 +17,8 @@ QUERIES = {
     "op10_contextual_pii": pii.op10_contextual_pii,
 }
 SQL = {
+    "op1_embedding_neardup": vectors.OP1_SQL,
     "op4_warc_from_arc": warc.OP4_SQL,
+    "op5_ngram_jaccard_join": jaccard.OP5_SQL,
     "op8_curriculum_mix": curriculum.OP8_SQL,
 }

@@ -142,3 +142,19 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 def op1_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = """
+with recursive v as (
+  select vec_id, label, case when len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 then embedding::double[] end as e from embeddings),
+u as (
+  select vec_id, label, e, sqrt(list_dot_product(e, e)) as norm from v
+  where label is not null and e is not null and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (
+  select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where case when len(a.e) = len(b.e) then list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98 else false end),
+n as (select a, count(*) as n from l group by a),
+r as (select vec_id, vec_id as seen from v union select r.vec_id, l.b from r join l on l.a = r.seen),
+m as (select vec_id, min(seen) as c from r group by vec_id)
+select v.vec_id, coalesce(n.n, 0)::bigint as n_links, m.c as component_id, v.vec_id = m.c as kept from v join m on v.vec_id = m.vec_id left join n on n.a = v.vec_id
+"""
