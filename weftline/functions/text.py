@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as JavaScript has it; Java's \s is ASCII only.
-SPACE = r"[\t\n\x0B\f\r    -     　﻿]"
+SPACE = r"[\t\n\x0B\f\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 MONTH_MS = 30 * 24 * 3600 * 1000
 
 

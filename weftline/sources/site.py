@@ -42,7 +42,7 @@ def resolved_sitemap(docs: DataFrame, root: str) -> DataFrame:
 def aux_state(status: Column, content_type: Column, body: Column, error: Column) -> Column:
     """ok, missing, timeout, unreachable or not-html for a captured auxiliary file. A page of HTML in its place is missing (a soft 404)."""
     opening = F.lower(F.substring(body, 1, 4096))
-    soft = opening.rlike(r"^(﻿|\s|<!--.*?-->)*(<!doctype html|<html)")
+    soft = opening.rlike(r"^(\uFEFF|\s|<!--.*?-->)*(<!doctype html|<html)")
     textual = content_type.isNull() | F.lower(content_type).rlike("text/|xml|json|markdown|octet-stream") & ~body.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
     return (
         F.when(status.isNull() & (F.upper(error) == "TIMEOUT"), "timeout").when(status.isNull(), "unreachable").when(status.isin(404, 410), "missing")
