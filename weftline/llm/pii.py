@@ -32,7 +32,7 @@ LEAST = 6
 #: Values added up at once in running sums.
 STRIDE = 128
 
-_CARD_MARK, _OTHER, _DOT = "", "", ""
+_CARD_MARK, _OTHER, _DOT = "\uE000", "\uE001", "\uE002"
 _LOCAL = f"A-Za-z0-9._%+{_DOT}-"
 _EMAIL = rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++{_DOT}[A-Za-z0-9{_DOT}-]*+"
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
