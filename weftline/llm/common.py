@@ -64,16 +64,25 @@ def input_bytes(df: DataFrame) -> int:
     return int(df.agg(F.coalesce(sum(texts[1:], texts[0]), F.lit(0))).first()[0]) if texts else 0
 
 
+def _release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidy(batches: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A task's function that gives its free memory back at the end: Python workers live on and the next stage uses them."""
+    """A task's function that gives free memory back now and then and at its end: Python workers live on, and the next stage uses them."""
 
     @wraps(batches)
     def run(rows: Iterator) -> Iterator:
-        yield from batches(rows)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+        pa.set_memory_pool(pa.system_memory_pool())
+        for n, batch in enumerate(batches(rows), 1):
+            yield batch
+            del batch
+            if n % 16 == 0:
+                _release()
+        _release()
 
     return run
 
