@@ -110,7 +110,8 @@ def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each page and factor, optional ones included, with findings and shares."""
-    rows = factor_results(page_audits(table(spark, sf_dir, "pages"), optional=("geographic-signals", "agent-skill-exposure")))
+    audits = page_audits(table(spark, sf_dir, "pages"), optional=("geographic-signals", "agent-skill-exposure"))
+    rows = factor_results(cut(audits.select("page_id", "url", "overall_score", "factors", "status")))
     return rows.select("page_id", "factor_id", "weight", "score", "applies", "share_pct", F.transform("findings", lambda f: f["code"]).alias("codes"))
 
 
@@ -368,7 +369,7 @@ def defect_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def template_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of one URL template that score alike."""
-    audits = page_audits(table(spark, sf_dir, "pages"))
+    audits = cut(page_audits(table(spark, sf_dir, "pages")).select("url", "overall_score", "factors"))
     shaped = templates.shapes(audits.select("url", "overall_score", F.transform("factors", lambda f: F.struct(f["factor_id"].alias("factor_id"), f["score"].alias("score"))).alias("scores")))
     return templates.groups(shaped)
 
