@@ -120,6 +120,15 @@ def test_pii_contexts_find_unseen_identifiers(docs):
     assert pii.extract(docs([])).count() == 0
 
 
+def test_pii_follows_rare_contexts_in_a_large_corpus(docs):
+    """4,000 seeds of other contexts, 1,100 contexts with three seeds each: none is too rare or too many to follow."""
+    rows = [(i, f"please reach me at user{i}@mail.test today") for i in range(4000)]
+    rows += [(10_000 + 3 * k + i, f"word{chr(97 + k % 26)}{'x' * (k // 26)} holds u{k}n{i}@mail.test today") for k in range(1100) for i in range(3)]
+    rows += [(20_000 + k, f"word{chr(97 + k % 26)}{'x' * (k // 26)} holds handle99x today") for k in range(1100)]
+    got = {r.doc_id: r.n_context for r in pii.extract(docs(rows)).collect()}
+    assert all(got[20_000 + k] == 1 for k in range(1100))
+
+
 # --- language -----------------------------------------------------------------------------------------------------------
 
 

@@ -20,15 +20,15 @@ from pyspark.sql import functions as F
 from weftline.llm.common import stored, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: A pattern stands before so many different seeds at least, and before such a share of all; so many patterns are followed at most, the best supported.
+#: A pattern stands before so many different seeds at least.
 MIN_SEEDS = 3
-MIN_SHARE = 0.001
-MAX_PATTERNS = 1000
 ROUNDS = 3
 CONFIDENCE = 0.6
 #: Characters before a token in which its two words are looked for, and the least length of an identifier.
 REACH = 80
 LEAST = 6
+#: Patterns sent to all executors at most; more are joined.
+BROADCAST_ROWS = 100_000
 #: Values added up at once in running sums.
 STRIDE = 128
 
@@ -132,12 +132,16 @@ def tokens(text: Column) -> Column:
     return F.when(text.rlike("[0-9]"), found).otherwise(F.array().cast("array<struct<a:int,z:int,s:string,p:string>>"))
 
 
-def _occurrences(documents: DataFrame, patterns: list[str]) -> DataFrame:
-    """How often each pattern's two words stand side by side in all texts, in lower case."""
+def _sent(patterns: DataFrame) -> DataFrame:
+    return F.broadcast(patterns) if patterns.count() <= BROADCAST_ROWS else patterns
+
+
+def _occurrences(documents: DataFrame, patterns: DataFrame) -> DataFrame:
+    """How often the two words of each of patterns (p) stand side by side in all texts, in lower case: all pairs of words are added up before they meet the patterns."""
     words = F.split(F.lower(F.trim(F.regexp_replace("text", rf"[{_SPACE}]+", " "))), " ")
     both = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    found = documents.where("text is not null").select(F.explode(F.filter(both, lambda x: x.isin(patterns))).alias("p"))
-    return found.groupBy("p").agg(F.count(F.lit(1)).alias("occurrences"))
+    found = documents.where("text is not null").select(F.explode(both).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("occurrences"))
+    return found.join(_sent(patterns), "p", "left_semi")
 
 
 def score_patterns(edges: DataFrame, occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -158,25 +162,25 @@ def extract(documents: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float
     A null text counts as empty: no spans, the digest of nothing. Offsets are code points. Rows are independent but for the
     patterns learned from all of them; repeated rows give repeated rows, an empty table none. Occurrences on both sides are
     of distinct (pattern, token) pairs above and of all words below, so copies of a document never raise a score.
-    Of patterns with equal support the first by code point are followed.
+    Every pattern with min_seeds different seeds is followed, however large the corpus.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select("doc_id", base_spans(text).alias("base"), tokens(text).alias("tokens"))
     touches = lambda base, t: F.exists(base, lambda b: (b["a"] < t["z"]) & (t["a"] < b["z"]))
     seen = F.transform("tokens", lambda t: F.struct(t["a"].alias("a"), t["z"].alias("z"), t["s"].alias("s"), t["p"].alias("p"), touches(F.col("base"), t).alias("seed")))
-    rows = stored(rows.withColumn("tokens", seen), "pii-spans")
+    rows = stored(rows.withColumn("tokens", seen).withColumn("row", F.monotonically_increasing_id()), "pii-spans")
     edges = rows.select(F.explode("tokens").alias("t")).where("t.p <> ''").select("t.p", "t.s", "t.seed").groupBy("p", "s").agg(F.max("seed").alias("seed"))
     edges = stored(edges, "pii-graph")
-    seeds = edges.where("seed").select("s").distinct().count()
-    support = edges.where("seed").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(min_seeds, MIN_SHARE * seeds))
-    patterns = [r.p for r in support.orderBy(F.desc("n"), "p").limit(MAX_PATTERNS).collect()]
-    high: list[str] = []
-    if patterns:
-        counted = stored(_occurrences(documents, patterns), "pii-occurrences")
-        scored = score_patterns(edges.where(F.col("p").isin(patterns)), counted)
-        high = [r.p for r in scored.where(F.col("score") >= confidence).orderBy("p").collect()]
-    fresh = F.filter("tokens", lambda t: ~t["seed"] & t["p"].isin(high or [""]) & (t["p"] != "") & (F.length(t["s"]) >= LEAST))
-    more = F.transform(fresh, lambda t: F.struct(t["a"].alias("a"), F.lit(len(KINDS)).alias("k"), t["z"].alias("z")))
+    support = edges.where("seed").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_seeds)
+    patterns = stored(support.select("p"), "pii-patterns")
+    counted = stored(_occurrences(documents, patterns), "pii-occurrences")
+    followed = stored(edges.join(_sent(patterns), "p", "left_semi"), "pii-followed")
+    high = stored(score_patterns(followed, counted).where(F.col("score") >= confidence).select("p"), "pii-high")
+    fresh = F.filter("tokens", lambda t: ~t["seed"] & (t["p"] != "") & (F.length(t["s"]) >= LEAST))
+    hits = rows.select("row", F.explode(fresh).alias("t")).select("row", F.col("t.p").alias("p"), F.struct(F.col("t.a").alias("a"), F.lit(len(KINDS)).alias("k"), F.col("t.z").alias("z")).alias("hit"))
+    hits = hits.join(_sent(high), "p", "left_semi").groupBy("row").agg(F.collect_list("hit").alias("hits"))
+    rows = rows.join(hits, "row", "left")
+    more = F.coalesce("hits", F.array().cast("array<struct<a:int,k:int,z:int>>"))
     names = F.array(*[F.lit(k) for k in (*KINDS, "context")])
     named = lambda s: F.concat_ws(",", F.transform(s, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["a"].cast("string"), x["z"].cast("string"))))
     count = lambda i: F.size(F.filter("base", lambda x: x["k"] == i)).cast("long")
