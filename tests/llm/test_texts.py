@@ -129,6 +129,12 @@ def test_pii_follows_rare_contexts_in_a_large_corpus(docs):
     assert all(got[20_000 + k] == 1 for k in range(1100))
 
 
+def test_pii_copies_leave_scores_as_they_are(docs):
+    rows = [(i, f"the account number user{i}@mail.test is open") for i in range(8)] + [(100 + i, "the account number was lost") for i in range(300)] + [(900, "the account number handle99x is open")]
+    got = {r.doc_id: r.n_context for r in pii.extract(docs(rows)).collect()}
+    assert got[900] == 1
+
+
 # --- language -----------------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 Fixed patterns find the seed entities. The two words before a seed are a lexical pattern; patterns and the tokens that
 follow them, instances, form a bipartite graph. A pattern's score is the sum of its instances' scores over all its
-occurrences in the corpus; an instance's is one minus the product of (1 - score) over its patterns; seeds hold 1. After
+occurrences in different texts; an instance's is one minus the product of (1 - score) over its patterns; seeds hold 1. After
 some rounds, tokens with a digit that follow a high-scoring pattern are identifiers that no fixed pattern knows.
 
 Spark's regex functions return matches without their places; these follow from the lengths of what split() leaves
@@ -137,10 +137,10 @@ def _sent(patterns: DataFrame) -> DataFrame:
 
 
 def _occurrences(documents: DataFrame, patterns: DataFrame) -> DataFrame:
-    """How often the two words of each of patterns (p) stand side by side in all texts, in lower case: all pairs of words are added up before they meet the patterns."""
+    """How often the two words of each of patterns (p) stand side by side in all different texts, in lower case: all pairs of words are added up before they meet the patterns."""
     words = F.split(F.lower(F.trim(F.regexp_replace("text", rf"[{_SPACE}]+", " "))), " ")
     both = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    found = documents.where("text is not null").select(F.explode(both).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("occurrences"))
+    found = documents.where("text is not null").select("text").distinct().select(F.explode(both).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("occurrences"))
     return found.join(_sent(patterns), "p", "left_semi")
 
 
@@ -160,8 +160,9 @@ def extract(documents: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float
     """documents (doc_id, text, ...) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context.
 
     A null text counts as empty: no spans, the digest of nothing. Offsets are code points. Rows are independent but for the
-    patterns learned from all of them; repeated rows give repeated rows, an empty table none. Occurrences on both sides are
-    of distinct (pattern, token) pairs above and of all words below, so copies of a document never raise a score.
+    patterns learned from all of them; repeated rows give repeated rows, an empty table none. A score's
+    instances are distinct (pattern, token) pairs and its occurrences those in different texts, so copies of a document
+    change no score.
     Every pattern with min_seeds different seeds is followed, however large the corpus.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
