@@ -135,6 +135,16 @@ def test_pii_copies_leave_scores_as_they_are(docs):
     assert got[900] == 1
 
 
+def test_pii_seeds_are_whole_matches(docs):
+    """Spaced phones and cards, and e-mails without a digit, each teach their context."""
+    cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004"]
+    rows = [(i, f"please call me on +1 (017) 555-771{i} today") for i in range(4)] + [(10 + i, f"then charge my card {c} today") for i, c in enumerate(cards)]
+    rows += [(20 + i, f"or write to ({n}.doe@example.com) now") for i, n in enumerate(["jane", "john", "jim", "joan"])]
+    rows += [(30, "call me on handle99x"), (31, "charge my card handle99x"), (32, "or write to handle99x"), (33, "the of in handle99x")]
+    got = {r.doc_id: r for r in pii.extract(docs(rows)).collect()}
+    assert [got[i].n_context for i in (30, 31, 32, 33)] == [1, 1, 1, 0] and got[0].n_phone == got[10].n_card == got[20].n_email == 1
+
+
 # --- language -----------------------------------------------------------------------------------------------------------
 
 

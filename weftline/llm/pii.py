@@ -98,8 +98,14 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda acc, i: acc + value(i)) % 10 == 0
 
 
+def _before(gap: Column) -> Column:
+    """The last two words of a text that ends where an entity begins, in lower case; what touches the entity is no word, and "" stands for fewer words or one with a digit."""
+    words = F.slice(F.filter(F.split(F.regexp_replace(F.lower(F.right(gap, F.lit(REACH))), f"[^{_SPACE}]+$", ""), f"[{_SPACE}]+"), lambda w: w != ""), -2, 2)
+    return F.when(~F.exists(words, lambda w: w.rlike("[0-9]")), F.concat_ws(" ", words)).otherwise("")
+
+
 def base_spans(text: Column) -> Column:
-    """Sorted spans (a, kind by number, z) of the four fixed kinds; each is tried only on texts that could hold it."""
+    """Sorted spans (a, kind by number, z, s: the match, a card's digits alone, p: the two words before) of the four fixed kinds; each is tried only on texts that could hold it."""
     has = F.contains
     dotted = F.regexp_replace(F.regexp_replace(text, f"[{_CARD_MARK}{_DOT}]", _OTHER), r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _DOT)
     email = F.when(has(text, F.lit("@")), matches(dotted, _EMAIL)).otherwise(_none())
@@ -110,11 +116,12 @@ def base_spans(text: Column) -> Column:
     card = F.filter(matches(marked, _CARD), lambda x: many(_digits(x["s"]), 12, 19) & luhn(F.left(_digits(x["s"]), F.lit(19))))
     card = F.when(text.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]"), card).otherwise(_none())
     phone = F.when(has(text, F.lit("+")), F.filter(matches(text, _PHONE), lambda x: many(_digits(x["s"]), 9, 15))).otherwise(_none())
-    return F.array_sort(F.concat(*[_of_kind(s, k) for k, s in enumerate((email, ip, card, phone))]))
+    same = lambda k, s: _digits(s) if KINDS[k] == "card" else F.translate(s, _DOT, ".")
+    return F.array_sort(F.concat(*[_of_kind(s, k, same) for k, s in enumerate((email, ip, card, phone))]))
 
 
-def _of_kind(found: Column, k: int) -> Column:
-    return F.transform(found, lambda x: F.struct(x["a"].alias("a"), F.lit(k).alias("k"), x["z"].alias("z")))
+def _of_kind(found: Column, k: int, same: Callable[[int, Column], Column]) -> Column:
+    return F.transform(found, lambda x: F.struct(x["a"].alias("a"), F.lit(k).alias("k"), x["z"].alias("z"), same(k, x["s"]).alias("s"), _before(F.translate(x["gap"], _DOT, ".")).alias("p")))
 
 
 def tokens(text: Column) -> Column:
@@ -159,7 +166,8 @@ def score_patterns(edges: DataFrame, occurrences: DataFrame, rounds: int = ROUND
 def extract(documents: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
     """documents (doc_id, text, ...) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context.
 
-    A null text counts as empty: no spans, the digest of nothing. Offsets are code points. Rows are independent but for the
+    A null text counts as empty: no spans, the digest of nothing. Offsets are code points. Whole base matches
+    are the seeds of the graph, and tokens with a digit that touch none of them its other instances. Rows are independent but for the
     patterns learned from all of them; repeated rows give repeated rows, an empty table none. A score's
     instances are distinct (pattern, token) pairs and its occurrences those in different texts, so copies of a document
     change no score.
@@ -169,8 +177,13 @@ def extract(documents: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float
     rows = documents.select("doc_id", base_spans(text).alias("base"), tokens(text).alias("tokens"))
     touches = lambda base, t: F.exists(base, lambda b: (b["a"] < t["z"]) & (t["a"] < b["z"]))
     seen = F.transform("tokens", lambda t: F.struct(t["a"].alias("a"), t["z"].alias("z"), t["s"].alias("s"), t["p"].alias("p"), touches(F.col("base"), t).alias("seed")))
-    rows = stored(rows.withColumn("tokens", seen).withColumn("row", F.monotonically_increasing_id()), "pii-spans")
-    edges = rows.select(F.explode("tokens").alias("t")).where("t.p <> ''").select("t.p", "t.s", "t.seed").groupBy("p", "s").agg(F.max("seed").alias("seed"))
+    earlier = lambda x, y: (x["a"] < y["z"]) & (y["a"] < x["z"]) & ((x["a"] < y["a"]) | ((x["a"] == y["a"]) & (x["k"] < y["k"])))
+    first = F.filter("base", lambda x: ~F.exists("base", lambda y: earlier(y, x)))
+    seeds = F.transform(first, lambda x: F.struct(x["p"].alias("p"), x["s"].alias("s"), F.lit(True).alias("seed")))
+    spans = F.transform("base", lambda x: F.struct(x["a"].alias("a"), x["k"].alias("k"), x["z"].alias("z")))
+    rows = stored(rows.select("doc_id", spans.alias("base"), seen.alias("tokens"), seeds.alias("seeds"), F.monotonically_increasing_id().alias("row")), "pii-spans")
+    others = F.transform(F.filter("tokens", lambda t: ~t["seed"]), lambda t: F.struct(t["p"].alias("p"), t["s"].alias("s"), t["seed"].alias("seed")))
+    edges = rows.select(F.explode(F.concat("seeds", others)).alias("t")).where("t.p <> ''").select("t.p", "t.s", "t.seed").groupBy("p", "s").agg(F.max("seed").alias("seed"))
     edges = stored(edges, "pii-graph")
     support = edges.where("seed").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_seeds)
     patterns = stored(support.select("p"), "pii-patterns")
