@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftline.llm import curriculum, jaccard, paragraphs, permutations, vectors, warc
@@ -91,32 +92,84 @@ def test_signatures_of_any_two_links_meet():
 # --- paragraphs ---------------------------------------------------------------------------------------------------------
 
 
+def passages_by_brute_force(rows, least):
+    """(doc_id, first word, words) -> cluster's first (doc_id, first word), comparing all pairs of paragraphs by their shingles as text."""
+    units = []
+    for i, t in rows:
+        if t and i is not None:
+            p = paragraphs.Paragraphs(pa.array([t]))
+            w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+            for first, n in zip(p.first.tolist(), p.words.tolist(), strict=True):
+                held = {tuple(w[k : k + 5]) for k in range(first, min(first + n, len(w) - 4))} or {tuple(w)}
+                units.append((i, first, n, held))
+            assert sum(p.words) == len(w)
+    links = [(a, b) for a in range(len(units)) for b in range(a) if 100 * len(units[a][3] & units[b][3]) >= 75 * len(units[a][3] | units[b][3])]
+    root = roots(len(units), links) if links else np.arange(len(units))
+    groups = {}
+    for k, u in enumerate(units):
+        groups.setdefault(root[k], []).append(u)
+    found = {u[:3]: min(g)[:2] for g in ([x[:3] for x in g] for g in groups.values()) if len({u[0] for u in g}) > 1 for u in g}
+    out = {}
+    for i in {u[0] for u in found}:
+        end, run = -1, []
+        for u in [*sorted(x for x in found if x[0] == i), (i, 1 << 40, 0)]:
+            if u[1] > end:
+                if run and end - run[0][1] >= least:
+                    out |= {x: found[x] for x in run}
+                run = []
+            run.append(u)
+            end = max(end, u[1] + u[2])
+    return out
+
+
 def test_paragraphs_equal_brute_force(docs):
-    draw = random.Random(8)
-    vocab = [f"word{i}" for i in range(300)]
-    shared = [" ".join(draw.choices(vocab, k=60)) for _ in range(6)]
+    draw = random.Random(4)
+    vocab = [f"w{i}" for i in range(3000)]
+    said = lambda n: draw.choices(vocab, k=n)
+    passages = [said(n) for n in (51, 60, 80, 200, 30)]
     rows = []
     for i in range(60):
-        lines = [" ".join(draw.choices(vocab, k=draw.randrange(3, 60))) for _ in range(4)]
-        for line in draw.sample(shared, 2):
-            words = line.split()
-            for _ in range(draw.randrange(0, 4)):
-                words[draw.randrange(60)] = draw.choice(vocab)
-            lines.insert(draw.randrange(4), " ".join(words))
-        rows.append((i, "\n".join(lines)))
-    rows += [(100, None), (101, ""), (102, "short\n" * 50), (103, "\n".join(["only in this document " * 10] * 3)), (None, shared[0])]
-    lines = [(i, k, shingles(line)) for i, t in rows if t and i is not None for k, line in enumerate(t.split("\n")) if len(line) >= paragraphs.LEAST]
-    links = [(a, b) for a in range(len(lines)) for b in range(a) if 100 * len(lines[a][2] & lines[b][2]) >= 75 * len(lines[a][2] | lines[b][2])]
-    root = roots(len(lines), links)
-    spans = {}
-    for (i, _, _), r in zip(lines, root, strict=True):
-        spans.setdefault(r, set()).add(i)
-    want = {(i, k): lines[r][:2] for (i, k, _), r in zip(lines, root, strict=True) if len(spans[r]) > 1}
-    got = {(r.doc_id, r.paragraph): (r.first_doc, r.first_paragraph) for r in paragraphs.repeated_paragraphs(docs(rows)).collect()}
-    assert got == want and 103 not in {i for i, _ in got}
+        words = []
+        for _ in range(draw.randrange(1, 4)):
+            words += said(draw.randrange(0, 80)) + (draw.choice(passages) if draw.random() < 0.5 else [])
+        if draw.random() < 0.3 and words:
+            words[draw.randrange(len(words))] = "changed"
+        wrap = draw.choice([7, 12, 1000])
+        rows.append((i, "\n".join(" ".join(words[k : k + wrap]) for k in range(0, len(words), wrap))))
+    rows += [(i + 100, t) for i, t in draw.choices(rows, k=25)] + [(200, None), (201, ""), (None, rows[0][1]), (202, "same " * 500), (203, "Same  " * 400), (204, "a b"), (205, "a b"), (3, rows[3][1])]
+    want = passages_by_brute_force(rows[:-1], paragraphs.LEAST)
+    got = paragraphs.repeated_paragraphs(docs(rows)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.cluster, []).append((r.doc_id, r.first_word, r.n_words, r.removed))
+    assert {x[:3] for g in by.values() for x in g} == set(want) and len(want) > 100
+    assert all((x[:2] != want[x[:3]]) == x[3] for g in by.values() for x in g)
     cut = paragraphs.without_repeats(docs(rows))
-    assert cut.count() == len(rows) and cut.columns == docs(rows).columns
-    assert paragraphs.repeated_paragraphs(cut).count() == 0 and paragraphs.repeated_paragraphs(docs([])).count() == 0
+    assert cut.columns == docs(rows).columns and cut.count() == len(rows)
+    assert paragraphs.repeated_paragraphs(docs([])).count() == 0
+
+
+def test_every_passage_of_51_words_is_found_wherever_it_stands(docs):
+    draw = random.Random(9)
+    rows = []
+    for k in range(150):
+        vocab = [f"v{draw.randrange(10**6)}" for _ in range(400)]
+        passage = draw.sample(vocab, 51)
+        for side in range(2):
+            words = draw.sample(vocab, draw.randrange(0, 90)) + passage + draw.sample(vocab, draw.randrange(0, 90))
+            wrap = (1000, 11)[side]
+            rows.append((10 * k + side, "\n".join(" ".join(words[j : j + wrap]) for j in range(0, len(words), wrap))))
+        rows.append((10 * k + 5, " ".join(draw.choices(vocab, k=120)) + " All rights reserved under the terms of the license that comes with it."))
+    found = {r.doc_id for r in paragraphs.repeated_paragraphs(docs(rows)).collect()}
+    assert found == {i for i, _ in rows if i % 10 < 2}
+
+
+def test_bands_and_cuts():
+    assert paragraphs.bands_for(0.75, 1, 1e-3) == 5 and (1 - 0.75) ** paragraphs.bands_for(0.75) <= paragraphs.MISS
+    for text, n in (("", 0), ("a", 1), ("a b c d e", 1), (" ".join(map(str, range(17))), 1)):
+        assert len(paragraphs.Paragraphs(pa.array([text])).keys) == n
+    p = paragraphs.Paragraphs(pa.array([" ".join(map(str, range(5000)))]))
+    assert p.sizes.max() <= paragraphs.WINDOW and 6 < p.sizes.mean() < 11
 
 
 # --- vectors ------------------------------------------------------------------------------------------------------------

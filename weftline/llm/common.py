@@ -133,22 +133,51 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return mix64(h)
 
 
-def anchors(words: np.ndarray) -> np.ndarray:
-    """For each shingle the least hash of its three-word runs: what neighbouring shingles often share. Of a shorter sequence its own hash."""
-    n = len(words)
-    if n < SHINGLE_WORDS:
-        return shingles(words)
+def three_word_runs(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of three words."""
     with np.errstate(over="ignore"):
-        runs = mix64(words[:-2] * _MULTIPLIERS[0] + words[1:-1] * _MULTIPLIERS[1] + words[2:] * _MULTIPLIERS[2])
-    return np.minimum(np.minimum(runs[:-2], runs[1:-1]), runs[2:])
-
-
-def shingle_sets(texts: pa.Array):
-    """For each text its distinct shingle hashes, sorted, and their anchors."""
-    words, at = word_hashes(texts)
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        own, first = np.unique(shingles(words[a:b]), return_index=True)
-        yield own, anchors(words[a:b])[first]
+        return mix64(words[:-2] * _MULTIPLIERS[0] + words[1:-1] * _MULTIPLIERS[1] + words[2:] * _MULTIPLIERS[2])
+
+
+def shingled(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All shingles of texts, whose words lie one after the other: place of the first word, text, hash, and anchor: the
+    least hash of its three-word runs, which neighbouring shingles often share; of a text with fewer words its only hash."""
+    many = np.diff(at)
+    owner = np.repeat(np.arange(len(many)), many)
+    start = np.flatnonzero(at[1:][owner] - np.arange(len(words)) >= SHINGLE_WORDS)
+    if len(start):
+        h, runs = shingles(words)[start], three_word_runs(words)
+        anchor = np.minimum(np.minimum(runs[start], runs[start + 1]), runs[start + 2])
+    else:
+        h = anchor = words[:0]
+    few = np.flatnonzero((many > 0) & (many < SHINGLE_WORDS))
+    if len(few):
+        one = np.array([shingles(words[at[i] : at[i + 1]])[0] for i in few], np.uint64)
+        start, h, anchor = np.concatenate([start, at[few]]), np.concatenate([h, one]), np.concatenate([anchor, one])
+    own = owner[start] if len(start) else np.zeros(0, np.int64)
+    if len(few):
+        order = np.argsort(start, kind="stable")
+        start, own, h, anchor = start[order], own[order], h[order], anchor[order]
+    return start, own, h, anchor
+
+
+def distinct(own: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of the distinct (own, h), in order, the first place of each."""
+    order = np.lexsort((h, own))
+    own, h = own[order], h[order]
+    return order[np.concatenate([[True], (own[1:] != own[:-1]) | (h[1:] != h[:-1])])] if len(order) else order
+
+
+def set_keys(own: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of n sets of distinct hashes (own, h; sorted by own) the sizes, and keys: the mixed sum of mixed hashes, alike for equal sets."""
+    sizes = np.bincount(own, minlength=n).astype(np.int64)
+    sums = np.zeros(n, np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        with np.errstate(over="ignore"):
+            sums[some] = np.add.reduceat(mix64(h ^ np.uint64(0xA0761D6478BD642F)), (np.cumsum(sizes) - sizes)[some])
+            return sizes, mix64(sums + sizes.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)).view(np.int64)
+    return sizes, sums.view(np.int64)
 
 
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:

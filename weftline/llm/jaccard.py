@@ -18,11 +18,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import input_bytes, local_roots, mix64, shingle_sets, stored, table, tidy
+from weftline.llm.common import distinct, input_bytes, local_roots, mix64, set_keys, shingled, stored, table, tidy, word_hashes
 from weftline.llm.components import connected_components
 from weftline.llm.streams import consecutive
 
@@ -36,7 +35,7 @@ SORTED = 1 << 20
 #: Texts taken from a batch at once.
 SLICE = 512
 #: Classes compared as one tile, and tokens taken in one product of matrices.
-TILE = 2048
+TILE = 1024
 COLUMNS = 2048
 #: Ids (8 bytes each) that are broadcast, at most.
 BROADCAST_ROWS = 1_000_000
@@ -74,40 +73,44 @@ TOKENS, DOCUMENTS, ALONE, CLASSES = range(4)
 def token_blobs(documents: DataFrame, buckets: int) -> DataFrame:
     """documents (doc_id, text) -> blobs. A token goes to the bucket of its anchor, so that neighbours of a text travel together and a class's key is sent to fewer buckets. A class that a task has met before adds no tokens again, so a group of copies sends its tokens once from each task."""
 
+    def dealt(kind: int, by: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+        """A row for each bucket that has some of the columns' values."""
+        to = _dealt(by, buckets)
+        order = np.argsort(to, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(to[order])) + 1, [len(to)]]) if len(to) else [0]
+        return [(int(to[order[a]]), kind, *[c[order[a:b]].tobytes() for c in columns]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                sets, anchors = zip(*shingle_sets(batch.column(1)), strict=True)
-                sizes = np.array([len(s) for s in sets], np.uint32)
-                keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+                _, own, tokens, anchor = shingled(*word_hashes(batch.column(1)))
+                first = distinct(own, tokens)
+                own, tokens, anchor = own[first], tokens[first], anchor[first]
+                sizes, keys = set_keys(own, tokens, batch.num_rows)
+                sizes = sizes.astype(np.uint32)
                 given = np.asarray(batch.column(0).is_valid())
                 ids = np.asarray(batch.column(0).fill_null(0), np.int64)
-                rows = []
                 linked = given & (sizes > 0)
-                if not linked.all():
-                    out = np.flatnonzero(~linked)
-                    rows.append((int(out[0]) % buckets, ALONE, ids[out].tobytes(), sizes[out].tobytes(), given[out].tobytes()))
-                own = np.flatnonzero(linked)
-                if len(own):
-                    spread = _dealt(ids[own], buckets)
-                    for b in np.unique(spread):
-                        some = own[spread == b]
-                        rows.append((int(b), DOCUMENTS, keys[some].tobytes(), sizes[some].tobytes(), ids[some].tobytes()))
-                    rows.append((int(own[0]) % buckets, CLASSES, keys[own].tobytes(), sizes[own].tobytes(), ids[own].tobytes()))
-                new = [i for i in own if not ((k := int(keys[i])) in met or met.add(k))]
-                if new:
-                    tokens = np.concatenate([sets[i] for i in new])
-                    owner = np.repeat(np.arange(len(new)), sizes[new])
-                    bucket = _dealt(np.concatenate([anchors[i] for i in new]), buckets)
-                    order = np.argsort(bucket, kind="stable")
-                    tokens, counts = tokens[order], np.bincount(bucket * len(new) + owner, minlength=buckets * len(new)).reshape(buckets, -1)
-                    ends = np.cumsum(counts.sum(1))
-                    new_keys = keys[new]
-                    for b in np.flatnonzero(counts.sum(1)):
-                        has = counts[b] > 0
-                        rows.append((int(b), TOKENS, new_keys[has].tobytes(), counts[b][has].astype(np.uint32).tobytes(), _pack(tokens[ends[b] - counts[b].sum() : ends[b]])))
+                rows = dealt(ALONE, ids[~linked], ids[~linked], sizes[~linked], given[~linked])
+                rows += dealt(DOCUMENTS, ids[linked], keys[linked], sizes[linked], ids[linked])
+                rows += dealt(CLASSES, keys[linked], keys[linked], sizes[linked], ids[linked])
+                new = np.zeros(batch.num_rows, bool)
+                new[[i for i in np.flatnonzero(linked) if not ((k := int(keys[i])) in met or met.add(k))]] = True
+                some = new[own]
+                if some.any():
+                    own, tokens = own[some], tokens[some]
+                    bucket = _dealt(anchor[some], buckets)
+                    order = np.argsort(bucket, kind="stable")  # and by class within it
+                    own, tokens, bucket = own[order], tokens[order], bucket[order]
+                    cut = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (own[1:] != own[:-1])])
+                    heads = np.flatnonzero(cut)
+                    counts = np.diff(np.concatenate([heads, [len(own)]])).astype(np.uint32)
+                    groups = np.concatenate([[0], np.flatnonzero(np.diff(bucket[heads])) + 1, [len(heads)]])
+                    ends = np.concatenate([heads, [len(own)]])
+                    for a, b in zip(groups[:-1], groups[1:], strict=True):
+                        rows.append((int(bucket[heads[a]]), TOKENS, keys[own[heads[a:b]]].tobytes(), counts[a:b].tobytes(), _pack(tokens[ends[a] : ends[b]])))
                 yield _rows(rows, _BLOB, _BLOB_KINDS)
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), _BLOB_DDL)
@@ -175,10 +178,7 @@ def shared_tokens(blobs: DataFrame, parts: int) -> DataFrame:
                     rows.append((int(to[a]), kind, keys[a:b].tobytes(), counts[a:b].tobytes() if kind == CLASSES else b"", tokens[a:b].tobytes()))
             yield _rows(rows, _BLOB, _BLOB_KINDS)
 
-    # More partitions than buckets, so that few hold several.
-    n = max(2 * parts, int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = blobs.repartition(n, "part").sortWithinPartitions("part", "kind")
-    return dealt.mapInArrow(tidy(run), _BLOB_DDL)
+    return blobs.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(tidy(run), _BLOB_DDL)
 
 
 _SETS = ["kind", "id", "key", "n", "tokens"]
@@ -221,8 +221,7 @@ def gathered(blobs: DataFrame, parts: int) -> DataFrame:
                     e = s + SLICE
                     yield out(kind, ids[s:e], own[s:e], n[s:e], None, [tokens[a:b].tobytes() for a, b in zip(low[s:e], high[s:e], strict=True)])
 
-    n = max(2 * parts, int(blobs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return blobs.repartition(n, "part").sortWithinPartitions("part", "kind").mapInArrow(tidy(run), "kind int, id long, key long, n int, tokens binary")
+    return blobs.repartitionById(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(tidy(run), "kind int, id long, key long, n int, tokens binary")
 
 
 def missing(n: int, percent: int = PERCENT) -> int:
@@ -283,7 +282,7 @@ def linked(sizes: np.ndarray, tokens: list[np.ndarray], percent: int = PERCENT)
 
 def class_sets(documents: DataFrame) -> DataFrame:
     """The stored rows of gathered()."""
-    parts = max(2 * documents.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(documents.select("text")) // BUCKET_BYTES))
+    parts = max(2 * documents.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(documents) // BUCKET_BYTES))
     return stored(gathered(shared_tokens(token_blobs(documents, parts), parts), parts), "shingle-sets")
 
 
