@@ -1,9 +1,10 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions alone.
 
-Fixed patterns find the seed entities. The two words before a seed are a lexical pattern; patterns and the tokens that
-follow them, instances, form a bipartite graph. A pattern's score is the sum of its instances' scores over all its
-occurrences in different texts; an instance's is one minus the product of (1 - score) over its patterns; seeds hold 1. After
-some rounds, tokens with a digit that follow a high-scoring pattern are identifiers that no fixed pattern knows.
+Fixed patterns find the seed entities. What stands around an entity induces lexical patterns: the two words before it; the
+word before it and its shape; its shape and the word after it; the words on both sides. Patterns and the instances they
+hold, seeds and other tokens with a digit, form a bipartite graph. A pattern's score is the sum of its instances' scores
+over their number plus SMOOTHING; an instance's is that of its best pattern, where that is high, and nothing otherwise;
+seeds hold 1. After some rounds, tokens that a high-scoring pattern holds are identifiers that no fixed pattern knows.
 
 Spark's regex functions return matches without their places; these follow from the lengths of what split() leaves
 between them. Loops over groups, for which Java's matcher recurses, are avoided by marking separators first, one
@@ -23,9 +24,11 @@ KINDS = ("email", "ip", "card", "phone")
 #: A pattern stands before so many different seeds at least.
 MIN_SEEDS = 3
 ROUNDS = 3
-CONFIDENCE = 0.6
-#: Characters before a token in which its two words are looked for, and the least length of an identifier.
+CONFIDENCE = 0.65
+SMOOTHING = 0.5
+#: A context is what stands in so many characters before and after an entity.
 REACH = 80
+#: The least length of an identifier.
 LEAST = 6
 #: Patterns sent to all executors at most; more are joined.
 BROADCAST_ROWS = 100_000
@@ -43,7 +46,7 @@ _SPACE = r"\x20\x09-\x0D"
 #: A run without white space that holds a digit.
 _TOKEN = rf"(?<![^{_SPACE}])[^{_SPACE}0-9]*+[0-9][^{_SPACE}]*+"
 
-_MATCHES = "array<struct<a:int,z:int,s:string,gap:string>>"
+_MATCHES = "array<struct<a:int,z:int,s:string,tail:string,head:string>>"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -67,16 +70,19 @@ def _running(lengths: Column) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Each match: start and end (exclusive) in code points, the match and the text between it and the one before."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.split(text, pattern, -1), found, lambda g, s: F.struct(g.alias("gap"), s.alias("s")))
-    pairs = F.filter(pairs, lambda x: x["s"].isNotNull())
+    """Each match: start and end (exclusive) in code points, the match, and what stands in REACH characters before (back to the match before) and after it."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
-    def body(p: Column) -> Column:
-        ends = _running(F.transform(p, lambda x: F.length(x["gap"]) + F.length(x["s"])))
-        return F.zip_with(p, ends, lambda x, z: F.struct((z - F.length(x["s"])).alias("a"), z.alias("z"), x["s"].alias("s"), x["gap"].alias("gap")))
+    def body(gaps: Column) -> Column:
+        pairs = F.filter(F.zip_with(gaps, found, lambda g, s: F.struct(F.length(g).alias("n"), F.right(g, F.lit(REACH)).alias("tail"), s.alias("s"))), lambda x: x["s"].isNotNull())
+        heads = F.transform(F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda g: F.left(g, F.lit(REACH)))
+        return _let(F.zip_with(pairs, heads, lambda x, h: x.withField("head", h)), placed)
 
-    return _let(pairs, body)
+    def placed(p: Column) -> Column:
+        ends = _running(F.transform(p, lambda x: x["n"] + F.length(x["s"])))
+        return F.zip_with(p, ends, lambda x, z: F.struct((z - F.length(x["s"])).alias("a"), z.alias("z"), x["s"].alias("s"), x["tail"].alias("tail"), x["head"].alias("head")))
+
+    return _let(gaps, body)
 
 
 def _none() -> Column:
@@ -98,14 +104,24 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda acc, i: acc + value(i)) % 10 == 0
 
 
-def _before(gap: Column) -> Column:
-    """The last two words of a text that ends where an entity begins, in lower case; what touches the entity is no word, and "" stands for fewer words or one with a digit."""
-    words = F.slice(F.filter(F.split(F.regexp_replace(F.lower(F.right(gap, F.lit(REACH))), f"[^{_SPACE}]+$", ""), f"[{_SPACE}]+"), lambda w: w != ""), -2, 2)
-    return F.when(~F.exists(words, lambda w: w.rlike("[0-9]")), F.concat_ws(" ", words)).otherwise("")
+def shape(s: Column) -> Column:
+    """Digits as 0, runs of small and large letters as a and A."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[0-9]", "0"), r"\p{Lu}+", "A"), r"(?:(?!A)\p{L})+", "a")
+
+
+def contexts(tail: Column, s: Column, head: Column) -> Column:
+    """The lexical patterns of an entity between two texts. What touches it is no word, nor is a word with a digit; a pattern that lacks a word doesn't exist."""
+    def words(text: Column) -> Column:
+        return F.transform(F.filter(F.split(F.lower(text), f"[{_SPACE}]+"), lambda w: w != ""), lambda w: F.when(~w.rlike("[0-9]"), w))
+
+    before, after = words(F.regexp_replace(tail, f"[^{_SPACE}]+$", "")), words(F.regexp_replace(head, f"^[^{_SPACE}]+", ""))
+    last, other, first, form = F.try_element_at(before, F.lit(-1)), F.try_element_at(before, F.lit(-2)), F.get(after, F.lit(0)), shape(s)
+    join = lambda kind, *parts: F.concat(F.lit(kind), *[x for p in parts for x in (F.lit(" "), p)])
+    return F.array_compact(F.array(join("ll", other, last), join("ls", last, form), join("sr", form, first), join("lr", last, first)))
 
 
 def base_spans(text: Column) -> Column:
-    """Sorted spans (a, kind by number, z, s: the match, a card's digits alone, p: the two words before) of the four fixed kinds; each is tried only on texts that could hold it."""
+    """Sorted spans (a, kind by number, z, s: the match, a card's digits alone, p: its patterns) of the four fixed kinds; each is tried only on texts that could hold it."""
     has = F.contains
     dotted = F.regexp_replace(F.regexp_replace(text, f"[{_CARD_MARK}{_DOT}]", _OTHER), r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _DOT)
     email = F.when(has(text, F.lit("@")), matches(dotted, _EMAIL)).otherwise(_none())
@@ -121,45 +137,35 @@ def base_spans(text: Column) -> Column:
 
 
 def _of_kind(found: Column, k: int, same: Callable[[int, Column], Column]) -> Column:
-    return F.transform(found, lambda x: F.struct(x["a"].alias("a"), F.lit(k).alias("k"), x["z"].alias("z"), same(k, x["s"]).alias("s"), _before(F.translate(x["gap"], _DOT, ".")).alias("p")))
+    return F.transform(found, lambda x: F.struct(x["a"].alias("a"), F.lit(k).alias("k"), x["z"].alias("z"), same(k, x["s"]).alias("s"), contexts(F.translate(x["tail"], _DOT + _CARD_MARK, ". "), F.translate(x["s"], _DOT + _CARD_MARK, ". "), F.translate(x["head"], _DOT + _CARD_MARK, ". ")).alias("p")))
 
 
 def tokens(text: Column) -> Column:
-    """Tokens with a digit: place, text without the punctuation around it, and the two words before, in lower case ("" if no two stand between it and the last such token)."""
+    """Tokens with a digit: place, text without the punctuation around it, and its patterns."""
 
     def one(x: Column) -> Column:
         core = F.regexp_replace(x["s"], r"^[^\p{L}\p{N}@+#]+", "")
         a = x["z"] - F.length(core)
         core = F.regexp_replace(core, r"[^\p{L}\p{N}]+$", "")
-        words = F.filter(F.split(F.lower(F.right(x["gap"], F.lit(REACH))), f"[{_SPACE}]+"), lambda w: w != "")
-        pattern = F.when(F.size(words) >= 2, F.concat_ws(" ", F.slice(words, -2, 2))).otherwise("")
-        return F.struct(a.alias("a"), (a + F.length(core)).alias("z"), core.alias("s"), pattern.alias("p"))
+        return F.struct(a.alias("a"), (a + F.length(core)).alias("z"), core.alias("s"), contexts(x["tail"], core, x["head"]).alias("p"))
 
     found = F.filter(F.transform(matches(text, _TOKEN), one), lambda x: F.length(x["s"]) > 0)
-    return F.when(text.rlike("[0-9]"), found).otherwise(F.array().cast("array<struct<a:int,z:int,s:string,p:string>>"))
+    return F.when(text.rlike("[0-9]"), found).otherwise(F.array().cast("array<struct<a:int,z:int,s:string,p:array<string>>>"))
 
 
 def _sent(patterns: DataFrame) -> DataFrame:
     return F.broadcast(patterns) if patterns.count() <= BROADCAST_ROWS else patterns
 
 
-def _occurrences(documents: DataFrame, patterns: DataFrame) -> DataFrame:
-    """How often the two words of each of patterns (p) stand side by side in all different texts, in lower case: all pairs of words are added up before they meet the patterns."""
-    words = F.split(F.lower(F.trim(F.regexp_replace("text", rf"[{_SPACE}]+", " "))), " ")
-    both = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    found = documents.where("text is not null").select("text").distinct().select(F.explode(both).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("occurrences"))
-    return found.join(_sent(patterns), "p", "left_semi")
-
-
-def score_patterns(edges: DataFrame, occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """edges (p, s, seed), once each; occurrences (p, occurrences) -> (p, score)."""
+def score_patterns(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> DataFrame:
+    """edges (p, s, seed), once each -> (p, score)."""
     known = edges.groupBy("s").agg(F.max(F.col("seed").cast("double")).alias("score"))
     scores = None
-    for _ in range(rounds):
-        scores = edges.join(known, "s").groupBy("p").agg(F.sum("score").alias("total"), F.count(F.lit(1)).alias("n"))
-        scores = scores.join(occurrences, "p").select("p", F.least(F.lit(1.0), F.col("total") / F.greatest("occurrences", "n")).alias("score"))
-        open_ = F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("score"))))
-        known = edges.join(scores, "p").groupBy("s").agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(open_)).alias("score"))
+    for i in range(rounds):
+        if i:
+            best = edges.join(scores, "p").groupBy("s").agg(F.max("seed").alias("seed"), F.max("score").alias("best"))
+            known = best.select("s", F.when(F.col("seed"), 1.0).when(F.col("best") >= confidence, F.col("best")).otherwise(0.0).alias("score"))
+        scores = edges.join(known, "s").groupBy("p").agg((F.sum("score") / (F.count(F.lit(1)) + SMOOTHING)).alias("score"))
     return scores
 
 
@@ -167,32 +173,30 @@ def extract(documents: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float
     """documents (doc_id, text, ...) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context.
 
     A null text counts as empty: no spans, the digest of nothing. Offsets are code points. Whole base matches
-    are the seeds of the graph, and tokens with a digit that touch none of them its other instances. Rows are independent but for the
-    patterns learned from all of them; repeated rows give repeated rows, an empty table none. A score's
-    instances are distinct (pattern, token) pairs and its occurrences those in different texts, so copies of a document
-    change no score.
-    Every pattern with min_seeds different seeds is followed, however large the corpus.
+    are the seeds of the graph, and tokens with a digit that touch none of them its other instances; both count once for
+    a pattern however often they stand there, so copies of a document change no score. Rows are independent but for the
+    patterns learned from all of them; repeated rows give repeated rows, an empty table none. Every pattern with
+    min_seeds different seeds is followed, however large the corpus, and none is cut. Texts may be of any length; one
+    with m base matches and n tokens costs m times n comparisons.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select("doc_id", base_spans(text).alias("base"), tokens(text).alias("tokens"))
     touches = lambda base, t: F.exists(base, lambda b: (b["a"] < t["z"]) & (t["a"] < b["z"]))
-    seen = F.transform("tokens", lambda t: F.struct(t["a"].alias("a"), t["z"].alias("z"), t["s"].alias("s"), t["p"].alias("p"), touches(F.col("base"), t).alias("seed")))
+    free = F.filter("tokens", lambda t: ~touches(F.col("base"), t) & (F.size(t["p"]) > 0))
     earlier = lambda x, y: (x["a"] < y["z"]) & (y["a"] < x["z"]) & ((x["a"] < y["a"]) | ((x["a"] == y["a"]) & (x["k"] < y["k"])))
     first = F.filter("base", lambda x: ~F.exists("base", lambda y: earlier(y, x)))
-    seeds = F.transform(first, lambda x: F.struct(x["p"].alias("p"), x["s"].alias("s"), F.lit(True).alias("seed")))
+    seeds = F.transform(first, lambda x: F.struct(x["p"].alias("p"), x["s"].alias("s")))
     spans = F.transform("base", lambda x: F.struct(x["a"].alias("a"), x["k"].alias("k"), x["z"].alias("z")))
-    rows = stored(rows.select("doc_id", spans.alias("base"), seen.alias("tokens"), seeds.alias("seeds"), F.monotonically_increasing_id().alias("row")), "pii-spans")
-    others = F.transform(F.filter("tokens", lambda t: ~t["seed"]), lambda t: F.struct(t["p"].alias("p"), t["s"].alias("s"), t["seed"].alias("seed")))
-    edges = rows.select(F.explode(F.concat("seeds", others)).alias("t")).where("t.p <> ''").select("t.p", "t.s", "t.seed").groupBy("p", "s").agg(F.max("seed").alias("seed"))
+    rows = stored(rows.select("doc_id", spans.alias("base"), free.alias("tokens"), seeds.alias("seeds"), F.monotonically_increasing_id().alias("row")), "pii-spans")
+    held = lambda column, seed: F.flatten(F.transform(column, lambda t: F.transform(t["p"], lambda p: F.struct(p.alias("p"), t["s"].alias("s"), F.lit(seed).alias("seed")))))
+    edges = rows.select(F.explode(F.concat(held("seeds", True), held("tokens", False))).alias("t")).select("t.*").groupBy("p", "s").agg(F.max("seed").alias("seed"))
     edges = stored(edges, "pii-graph")
-    support = edges.where("seed").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_seeds)
-    patterns = stored(support.select("p"), "pii-patterns")
-    counted = stored(_occurrences(documents, patterns), "pii-occurrences")
+    patterns = stored(edges.where("seed").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_seeds).select("p"), "pii-patterns")
     followed = stored(edges.join(_sent(patterns), "p", "left_semi"), "pii-followed")
-    high = stored(score_patterns(followed, counted).where(F.col("score") >= confidence).select("p"), "pii-high")
-    fresh = F.filter("tokens", lambda t: ~t["seed"] & (t["p"] != "") & (F.length(t["s"]) >= LEAST))
-    hits = rows.select("row", F.explode(fresh).alias("t")).select("row", F.col("t.p").alias("p"), F.struct(F.col("t.a").alias("a"), F.lit(len(KINDS)).alias("k"), F.col("t.z").alias("z")).alias("hit"))
-    hits = hits.join(_sent(high), "p", "left_semi").groupBy("row").agg(F.collect_list("hit").alias("hits"))
+    high = stored(score_patterns(followed, confidence=confidence).where(F.col("score") >= confidence).select("p"), "pii-high")
+    fresh = F.filter("tokens", lambda t: F.length(t["s"]) >= LEAST)
+    hits = rows.select("row", F.explode(fresh).alias("t")).select("row", F.explode("t.p").alias("p"), F.struct(F.col("t.a").alias("a"), F.lit(len(KINDS)).alias("k"), F.col("t.z").alias("z")).alias("hit"))
+    hits = hits.join(_sent(high), "p", "left_semi").groupBy("row").agg(F.collect_set("hit").alias("hits"))  # a row's own tokens
     rows = rows.join(hits, "row", "left")
     more = F.coalesce("hits", F.array().cast("array<struct<a:int,k:int,z:int>>"))
     names = F.array(*[F.lit(k) for k in (*KINDS, "context")])
