@@ -23,20 +23,23 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import distinct, input_bytes, local_roots, mix64, set_keys, shingled, stored, table, tidy, word_hashes
 from weftline.llm.components import connected_components
-from weftline.llm.streams import consecutive
+from weftline.llm.streams import consecutive, several
 
 #: The threshold in hundredths: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: A token in so many classes or more is frequent: indexed in pairs.
 FREQUENT = 64
 #: Input bytes for each bucket of tokens, and tokens of a bucket that are sorted at once.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 24 << 20
 SORTED = 1 << 20
 #: Texts taken from a batch at once.
 SLICE = 512
 #: Classes compared as one tile, and tokens taken in one product of matrices.
 TILE = 1024
 COLUMNS = 2048
+#: Rows of groups compared at once, and members of a group up to which pairs are counted token by token.
+COMPARED = 4096
+PAIRS = 64
 #: Ids (8 bytes each) that are broadcast, at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -280,9 +283,62 @@ def linked(sizes: np.ndarray, tokens: list[np.ndarray], percent: int = PERCENT)
     return i[i < j], j[i < j]
 
 
+def near_pairs(group: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of members of one group whose Jaccard reaches the threshold, over many groups at once.
+
+    sizes: of the members' whole sets; tokens: (member, token) rows in the order of members, no pair twice. Only tokens that
+    another member of the group has can be common, and a member with too few of them has no partner: such members go, and
+    with them what only they shared, until none goes. Of what is left, tokens of few members give all their pairs, to be
+    counted; larger groups are compared by products of matrices.
+    """
+    owner, token = tokens
+    owner = owner.astype(np.int64)
+    need = -(-percent * sizes.astype(np.int64) // 100)
+    order = np.lexsort((token, group[owner]))
+    owner, token = owner[order], token[order]
+    while True:
+        g = group[owner]
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (g[1:] != g[:-1])])[: len(owner)]
+        several = ~(new & np.concatenate([new[1:], [True]])[: len(owner)])
+        held = several & (np.bincount(owner[several], minlength=len(sizes)) >= need)[owner]
+        if held.all():
+            break
+        owner, token = owner[held], token[held]
+    if not len(owner):
+        return owner, owner
+    members = np.unique(owner)
+    many = np.bincount(group[members])
+    wide = many[group[owner]] > PAIRS
+    left, right = [], []
+    for number in np.unique(group[owner[wide]]):
+        own = wide & (group[owner] == number) if len(np.flatnonzero(many > PAIRS)) > 1 else wide
+        of, by = owner[own], np.argsort(owner[own], kind="stable")
+        some, counts = np.unique(of, return_counts=True)
+        i, j = linked(sizes[some].astype(np.int64), np.split(token[own][by], np.cumsum(counts)[:-1]), percent)
+        left.append(some[i])
+        right.append(some[j])
+    owner, token = owner[~wide], token[~wide]
+    if len(owner):
+        g = group[owner]
+        run = np.cumsum(np.concatenate([[False], (token[1:] != token[:-1]) | (g[1:] != g[:-1])]))
+        pairs = []
+        for k in range(1, len(owner)):
+            same = run[k:] == run[:-k]
+            if not same.any():
+                break
+            a, b = owner[:-k][same], owner[k:][same]
+            pairs.append(np.minimum(a, b) * len(sizes) + np.maximum(a, b))
+        pair, common = np.unique(np.concatenate(pairs), return_counts=True)
+        a, b = pair // len(sizes), pair % len(sizes)
+        near = 100 * common >= percent * (sizes[a].astype(np.int64) + sizes[b] - common)
+        left.append(a[near])
+        right.append(b[near])
+    return np.concatenate([*left, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*right, np.zeros(0, np.int64)]).astype(np.int64)
+
+
 def class_sets(documents: DataFrame) -> DataFrame:
     """The stored rows of gathered()."""
-    parts = max(2 * documents.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(documents) // BUCKET_BYTES))
+    parts = max(documents.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(documents) // BUCKET_BYTES))
     return stored(gathered(shared_tokens(token_blobs(documents, parts), parts), parts), "shingle-sets")
 
 
@@ -315,9 +371,12 @@ def linked_classes(posted: DataFrame, classes: DataFrame, percent: int = PERCENT
     rows = own.select("head", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "key").join(classes.select("key", "n", "tokens"), "key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in consecutive(batches, 3):
-            keys = np.asarray(group.column(3))
-            left, right = linked(np.asarray(group.column(4), np.int64), [np.frombuffer(t, np.uint64) for t in group.column(5).to_pylist()], percent)
+        for groups, number in several(batches, 3, COMPARED):
+            keys, blobs = np.asarray(groups.column(3)), groups.column(5).to_pylist()
+            tokens = np.frombuffer(b"".join(blobs), np.uint64)
+            owner = np.repeat(np.arange(len(keys)), [len(b) // 8 for b in blobs])
+            del blobs
+            left, right = near_pairs(number, np.asarray(groups.column(4), np.int64), (owner, tokens), percent)
             root = local_roots(len(keys), left, right)
             moved = np.flatnonzero(root != np.arange(len(keys)))
             yield pa.RecordBatch.from_arrays([pa.array(keys[moved]), pa.array(keys[root[moved]])], ["a", "b"])
