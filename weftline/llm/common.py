@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not told:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("a cluster needs spark.checkpoint.dir: a folder that all executors share")
         told = LOCAL_CHECKPOINTS
         spark.sparkContext.setCheckpointDir(told)
     return told.rstrip("/")
@@ -34,6 +37,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def shared_uri(spark: SparkSession, name: str) -> str:
+    """shared_path with the scheme of its store, for files that workers open themselves."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_path(spark, name))
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", whole)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)

@@ -20,6 +20,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from typing import Any
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import shared_path, stored, table
+from weftline.llm.common import shared_uri, stored, table
 
 #: Bytes of payload from which an equal one becomes a revisit.
 REVISIT_BYTES = 1000
@@ -39,13 +40,15 @@ FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 PAGE_HEADER = "X-Page-Id"
-STAMP = "20240101000000"
+#: The time of the version blocks, and the seconds after it over which the records' times are spread.
+STAMP = "19961020000000"
+SPREAD_S = 10 * 365 * 86400
 LEVEL = 1
 
 
 def _open(path: str, write: bool = False):
-    """A file of any store that pyarrow knows by its URI; plain paths are local ones."""
-    fs, inner = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    """A file of any store that pyarrow knows, by its URI."""
+    fs, inner = pafs.FileSystem.from_uri(path)
     if write:
         fs.create_dir(inner.rpartition("/")[0], recursive=True)
         return fs.open_output_stream(inner, compression=None)
@@ -69,90 +72,143 @@ def arc_version_block(version: int, name: str) -> bytes:
     return line.encode() + f"{len(body)}\n".encode() + body + b"\n"
 
 
+def stamp(url: str | None, page_id: str) -> str:
+    """The 14 digits of a record's time, made from what it is about."""
+    seconds = int.from_bytes(hashlib.sha1(f"{page_id} {url}".encode()).digest()[:6]) % SPREAD_S
+    return (datetime.strptime(STAMP, "%Y%m%d%H%M%S") + timedelta(seconds=seconds)).strftime("%Y%m%d%H%M%S")
+
+
 def arc_record(version: int, url: str | None, page_id: str, payload: bytes, name: str, offset: int) -> bytes:
     """A record whose body is an HTTP response; the page's id is one of its headers."""
     body = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{PAGE_HEADER}: {page_id}\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-    line = f"{_clean(url)} 0.0.0.0 {STAMP} text/html "
+    line = f"{_clean(url)} 0.0.0.0 {stamp(url, page_id)} text/html "
     if version == 2:
         line += f"200 {hashlib.md5(payload).hexdigest()} - {offset} {name} "
     return line.encode() + f"{len(body)}\n".encode() + body + b"\n"
 
 
-def read_arc(stream: Any) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields, body) of each record of an ARC file, its version block first told apart by filedesc://.
+class Faulty(ValueError):
+    """What can't be read as a record; the next ones may."""
+
+
+def _version_block(line: bytes, body: bytes) -> list[str]:
+    """The fields that a version block declares, of a version that has them."""
+    lines = body.split(b"\n")
+    version, fields = lines[0].split()[:1], lines[1].decode("utf-8", "replace").split() if len(lines) > 1 else []
+    if not version or not version[0].isdigit() or " ".join(fields) != FIELDS.get(int(version[0])):
+        raise Faulty(f"version block declares {version} with the fields {fields}")
+    return fields
+
+
+def _header(line: bytes, fields: list[str]) -> dict[str, str]:
+    parts = line.decode("utf-8", "replace").rstrip("\r\n").rsplit(" ", len(fields) - 1)
+    if len(parts) != len(fields) or not (parts[-1].isascii() and parts[-1].isdigit()):
+        raise Faulty(f"no ARC header line: {line[:100]!r}")
+    return dict(zip(fields, parts, strict=True))
+
+
+def read_arc(stream: Any) -> Iterator[tuple[dict[str, str], bytes] | Faulty]:
+    """(fields, body) of each record of an ARC file, or what is wrong with it; the version block, told apart by filedesc://, is none.
 
     The version block's second line names the fields, its first the version; a header line is split from the right, as
-    only the URL could hold blanks. Bodies are taken by their declared length, whatever they contain.
+    only the URL could hold blanks. Bodies are taken by their declared length, whatever they contain. After a line that
+    is no header, which costs one Faulty however many follow it, reading goes on at the next line that is one.
     """
-    fields = FIELDS[1].split()
+    fields, lost = FIELDS[1].split(), False
     while line := stream.readline():
         if not line.strip():
             continue
-        parts = line.decode("utf-8", "replace").rstrip("\r\n").rsplit(" ", len(fields) - 1)
-        if line.startswith(b"filedesc://"):
-            body = stream.read(int(line.split()[-1]))
-            version, *_ = body.split(b"\n", 1)[0].split()
-            fields = body.split(b"\n")[1].decode().split()
-            if " ".join(fields) != FIELDS.get(int(version)):
-                raise ValueError(f"ARC version {version!r} doesn't declare the fields {fields}")
-            continue
-        if len(parts) != len(fields) or not parts[-1].isdigit():
-            raise ValueError(f"not an ARC header line: {line[:200]!r}")
-        body = stream.read(n := int(parts[-1]))
-        if len(body) != n:
-            raise ValueError(f"{parts[0]}: {len(body)} of {n} declared bytes")
-        yield dict(zip(fields, parts, strict=True)), body
+        try:
+            first = line.startswith(b"filedesc://")
+            header = {"Archive-length": line.split()[-1].decode("ascii", "replace")} if first else _header(line, fields)
+            if not header["Archive-length"].isdigit():
+                raise Faulty(f"no ARC header line: {line[:100]!r}")
+            body = stream.read(n := int(header["Archive-length"]))
+            if len(body) != n:
+                raise Faulty(f"{line[:100]!r}: {len(body)} of {n} declared bytes")
+            lost = False
+            if first:
+                fields = _version_block(line, body)
+            else:
+                yield header, body
+        except Faulty as e:
+            if not lost:
+                yield e
+            lost = True
 
 
 def _identifier(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(0).join(parts))}>"
 
 
-def record_id(page_id: str) -> str:
-    return _identifier("record", page_id)
+def record_id(file: str, place: int) -> str:
+    """The identifier of the record at a place, counted from 0, of an ARC file: alike whenever that file is converted, and no other record's."""
+    return _identifier("record", file.rpartition("/")[2], str(place))
+
 
+def warc_date(digits: str) -> str:
+    """An ARC date of 14 digits, or of fewer from the year on, as WARC writes it; what isn't a date is the time of STAMP."""
+    try:
+        if not 4 <= len(digits) <= 14 or not (digits.isascii() and digits.isdigit()):
+            raise ValueError(digits)
+        return datetime.strptime(digits + "00000101000000"[len(digits) :], "%Y%m%d%H%M%S").strftime("%Y-%m-%dT%H:%M:%SZ")
+    except ValueError:
+        return warc_date(STAMP)
 
-def warc_record(fields: dict[str, str], body: bytes, refers_to: str | None) -> bytes:
-    """The WARC record of an ARC record; refers_to: the page whose response has the same payload, for a revisit (whose block keeps the HTTP header alone)."""
+
+def warc_record(fields: dict[str, str], body: bytes, own_id: str, refers_to: tuple[str, str] | None) -> bytes:
+    """The WARC record of an ARC record; refers_to: page and record id of the response with the same payload, for a revisit (whose block keeps the HTTP header alone)."""
     head, _, payload = body.partition(b"\r\n\r\n")
-    page_id = re.search(rf"\r\n{PAGE_HEADER}: ([^\r]*)".encode(), head)[1].decode()
     digest = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
     block = body if refers_to is None else head + b"\r\n\r\n"
-    t = fields["Archive-date"]
     lines = [
-        "WARC/1.0", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}",
-        f"WARC-Date: {t[:4]}-{t[4:6]}-{t[6:8]}T{t[8:10]}:{t[10:12]}:{t[12:14]}Z", f"WARC-Target-URI: {fields['URL']}", f"WARC-IP-Address: {fields['IP-address']}",
+        "WARC/1.0", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {own_id}",
+        f"WARC-Date: {warc_date(fields['Archive-date'])}", f"WARC-Target-URI: {fields['URL']}", f"WARC-IP-Address: {fields['IP-address']}",
         f"WARC-Payload-Digest: {digest(payload)}", f"WARC-Block-Digest: {digest(block)}", "Content-Type: application/http; msgtype=response",
     ]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to[1]}", f"X-Refers-To-Page: {refers_to[0]}"]
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
-def read_warc(stream: Any) -> Iterator[tuple[dict[str, str], bytes]]:
+def read_warc(stream: Any) -> Iterator[tuple[dict[str, str], bytes] | Faulty]:
+    """(fields, block) of each record, or what is wrong with it; after a fault reading goes on at the next line that begins a record."""
+    lost = False
     while line := stream.readline():
-        if not line.strip():
+        if not line.strip() or lost and not line.startswith(b"WARC/"):
             continue
         if not line.startswith(b"WARC/"):
-            raise ValueError(f"not a WARC record: {line[:200]!r}")
-        fields = {}
+            yield Faulty(f"no WARC record: {line[:100]!r}")
+            lost = True
+            continue
+        fields, lost = {}, False
         while (line := stream.readline()).strip():
-            name, _, value = line.decode().partition(":")
+            name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name] = value.strip()
-        block = stream.read(n := int(fields["Content-Length"]))
-        if len(block) != n:
-            raise ValueError(f"{fields['WARC-Record-ID']}: {len(block)} of {n} declared bytes")
+        length = fields.get("Content-Length", "")
+        block = stream.read(int(length)) if length.isdigit() else b""
+        if not length.isdigit() or len(block) != int(length):
+            yield Faulty(f"{fields.get('WARC-Record-ID')}: {len(block)} of {length or 'no'} declared bytes")
+            lost = True
+            continue
         yield fields, block
 
 
+def _page_of(head: bytes) -> Any:
+    """The page id among a record's HTTP headers."""
+    if not (m := re.search(rf"\r\n{PAGE_HEADER}: ([^\r]*)".encode(), head)):
+        raise Faulty("a record names no page")
+    return json.loads(m[1])
+
+
 def write_arcs(pages: DataFrame, folder: str) -> DataFrame:
-    """pages (page_id, url, html) -> an index row for each record: file, page_id (as text, null as JSON null), digest, payload_bytes. A file is named by its task's attempt, so a task that runs again never writes over one that the index names."""
+    """pages (page_id, url, html) -> an index row for each record: file, place in it, page_id, digest, payload_bytes. A file is named by its task's attempt, so a task that runs again never writes over one that the index names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        part, attempt, n, size, out = task.partitionId(), task.taskAttemptId(), 0, 0, None
+        part, attempt, n, size, place, out = task.partitionId(), task.taskAttemptId(), 0, 0, 0, None
         for batch in batches:
             rows = []
             for page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -162,65 +218,76 @@ def write_arcs(pages: DataFrame, folder: str) -> DataFrame:
                     path = f"{folder}/{name}"
                     out = _open(path, write=True)
                     out.write(_member(arc_version_block(version, name)))
-                    size = 0
+                    size = place = 0
                 out.write(_member(arc_record(version, url, json.dumps(page_id), payload, name, out.tell())))
-                rows.append((path, json.dumps(page_id), page_id, hashlib.sha1(payload).hexdigest(), len(payload)))
+                rows.append((path, place, page_id, hashlib.sha1(payload).hexdigest(), len(payload)))
+                place += 1
                 if (size := size + len(payload)) > ARCHIVE_BYTES:
                     out.close()
                     out, n = None, n + 1
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) if i != 2 else pa.array(c, batch.column(0).type) for i, c in enumerate(zip(*rows, strict=True))], ["file", "page", "page_id", "digest", "payload_bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) if i != 2 else pa.array(c, batch.column(0).type) for i, c in enumerate(zip(*rows, strict=True))], ["file", "place", "page_id", "digest", "payload_bytes"])
         if out is not None:
             out.close()
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"file string, page string, page_id {kind}, digest string, payload_bytes long")
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"file string, place long, page_id {kind}, digest string, payload_bytes long")
 
 
 def elect(index: DataFrame) -> DataFrame:
-    """Adds refers_to: of records with equal payloads of REVISIT_BYTES or more, the page with the largest id, for all but one of them. Rows of that same id, should it repeat, are all responses; null ids come last."""
-    best = index.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("best"))
+    """(file, place, refers_to, refers_file, refers_place) of each record: of those with equal payloads of REVISIT_BYTES or more, the one with the largest page id is referred to by all others. Rows of that same id, should it repeat, are all responses; null ids come last."""
+    told = F.struct("page_id", "file", "place")
+    best = index.where((F.col("payload_bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max(told).alias("best"))
+    best = best.select("digest", "best.page_id", "best.file", "best.place").toDF("digest", "best", "best_file", "best_place")
     joined = index.join(best, "digest", "left")
-    other = F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
-    return joined.select("file", "page", F.when(other, F.col("best")).alias("refers_to"))
+    other = (F.col("payload_bytes") >= REVISIT_BYTES) & F.col("best").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("best"))
+    mark = lambda c: F.when(other, F.col(c))
+    return joined.select("file", "place", mark("best").alias("refers_to"), mark("best_file").alias("refers_file"), mark("best_place").alias("refers_place"))
 
 
 def convert(index: DataFrame, folder: str) -> DataFrame:
-    """index (file, page, refers_to): writes a WARC file for each ARC file, and returns their paths. A task holds the index rows of one archive, which ARCHIVE_BYTES and the least record bound; records pass one by one."""
+    """index (file, place, refers_to, refers_file, refers_place): writes a WARC file for each ARC file; returns (file, records, faults). A task holds the index rows of one archive, which ARCHIVE_BYTES and the least record bound; records pass one by one. What can't be read as a record is counted in faults, the first hundred with their reason, and left out."""
 
     def run(key: Any, group: Any) -> Any:
         import pandas as pd
 
         from pyspark import TaskContext
 
-        path = key[0]
-        refers = {p: None if pd.isna(r) else json.dumps(int(r) if not isinstance(r, str) else r) for p, r in zip(group["page"], group["refers_to"], strict=True) if not pd.isna(r)}
+        path, refers = key[0], {}
+        for place, page, file, at in zip(group["place"], group["refers_to"], group["refers_file"], group["refers_place"], strict=True):
+            if not pd.isna(at):
+                refers[int(place)] = json.dumps(page if isinstance(page, str) else int(page)), record_id(file, int(at))
         name = path.rpartition("/")[2].replace(".arc.gz", f"-{TaskContext.get().taskAttemptId()}.warc.gz")
+        n, faults = 0, []
         with _open(path) as raw, _open(out := f"{folder}/{name}", write=True) as to:
             info = f"software: weftline\r\nformat: WARC File Format 1.0\r\nconverted-from: {path.rpartition('/')[2]}\r\n".encode()
-            head = f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {_identifier('info', name)}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
+            head = f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {_identifier('info', name)}\r\nWARC-Date: {warc_date(STAMP)}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
             to.write(_member(head.encode() + info + b"\r\n\r\n"))
-            for fields, body in read_arc(io.BufferedReader(gzip.GzipFile(fileobj=raw))):
-                page = re.search(rf"\r\n{PAGE_HEADER}: ([^\r]*)".encode(), body)[1].decode()
-                to.write(_member(warc_record(fields, body, refers.get(page))))
-        return pd.DataFrame({"file": [out]})
+            for record in read_arc(io.BufferedReader(gzip.GzipFile(fileobj=raw))):
+                if isinstance(record, Faulty):
+                    faults.append(str(record))
+                    continue
+                to.write(_member(warc_record(*record, record_id(path, n), refers.get(n))))
+                n += 1
+        return pd.DataFrame({"file": [out], "records": [n], "faults": [faults[:100]]})
 
-    return index.groupBy("file").applyInPandas(run, "file string")
+    return index.groupBy("file").applyInPandas(run, "file string, records long, faults array<string>")
 
 
 def read_back(files: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """The records of WARC files (file): page_id, payload_bytes, payload_digest, record_type, refers_to. A revisit's payload is its response's: length and digest come from its HTTP header and WARC-Payload-Digest; a response's are computed anew and held against the header."""
+    """The records of WARC files (file): page_id, payload_bytes, payload_digest, record_type, refers_to. A revisit's payload is its response's: length and digest come from its HTTP header and WARC-Payload-Digest; a response's are computed anew, and one that differs from its header is an error. What can't be read as a record is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows: list[tuple] = []
                 with _open(path) as raw:
-                    for fields, block in read_warc(io.BufferedReader(gzip.GzipFile(fileobj=raw))):
-                        if fields["WARC-Type"] == "warcinfo":
+                    for record in read_warc(io.BufferedReader(gzip.GzipFile(fileobj=raw))):
+                        if isinstance(record, Faulty) or record[0]["WARC-Type"] == "warcinfo":
                             continue
+                        fields, block = record
                         head, _, payload = block.partition(b"\r\n\r\n")
-                        page = json.loads(re.search(rf"\r\n{PAGE_HEADER}: ([^\r]*)".encode(), head)[1])
+                        page = _page_of(head)
                         digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:"))
                         size = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
                         if fields["WARC-Type"] == "response" and (hashlib.sha1(payload).digest() != digest or len(payload) != size):
@@ -248,10 +315,10 @@ def archive(pages: DataFrame) -> DataFrame:
     No size is special: payloads are read by declared length. An empty table gives no rows. The archives stay in the
     shared folder.
     """
-    folder = shared_path(pages.sparkSession, "archives")
+    folder = shared_uri(pages.sparkSession, "archives")
     index = stored(write_arcs(pages, f"{folder}/arc"), "arc-index")
     files = stored(convert(elect(index), f"{folder}/warc"), "warc-files")
-    spread = files.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism), "file")
+    spread = files.select("file").repartition(max(1, files.sparkSession.sparkContext.defaultParallelism), "file")
     return read_back(spread, pages.schema["page_id"].dataType.simpleString())
 
 
