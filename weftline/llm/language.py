@@ -1,9 +1,8 @@
 """Language ID by a bidirectional gated recurrent network over bytes, trained in numpy by backpropagation through time.
 
-Text is lower-cased and cut into words of letters; the network reads the bytes of one word from both ends, its state
-starting anew at each, and labels every position with log-probabilities of the languages. A document's probabilities
-are pooled over all its positions. Since a word's labels depend on its bytes alone, each distinct word is read once for
-a batch of documents and counted as often as it occurs.
+A text is lower-cased, and its UTF-8 bytes are cut into windows. The network reads a window from both ends and labels
+every position, of letters or not, with probabilities of the languages. A document's probabilities are their means over
+all positions of all its windows.
 """
 
 from __future__ import annotations
@@ -14,49 +13,49 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from weftline.llm.common import table, tidy
 
 UNDETERMINED = "und"
-#: Labelled documents to learn from: so many at most of each language found in a pool of POOL, the first by a hash of doc_id; of each its first characters and words.
-DOCUMENTS = 400
-POOL = 4000
-CHARACTERS = 1500
-WORDS = 40
-HIDDEN = 16
-#: Bytes of a word that the network reads at once; longer words are read in pieces.
-PIECE = 24
-STEPS = 700
+#: Labelled documents to learn from: so many at most of each language, the first by a hash of doc_id; and of each so many stretches, at places chosen by a hash in the whole text.
+DOCUMENTS = 300
+STRETCHES = 16
+HIDDEN = 8
+#: Bytes of a window, and windows read at once.
+WINDOW = 64
+WINDOWS = 4096
+STEPS = 500
 BATCH = 256
 RATE = 0.02
 SEED = 3
-#: Texts handled at once, and distinct words that a task remembers.
+#: Texts handled at once.
 SLICE = 512
-MEMORY = 200_000
+PAD = 256
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
-def pieces(word: str) -> list[bytes]:
-    raw = word.encode("utf-8", "replace")
-    return [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the windows of all texts, PAD after a text's end, as (window, place); and how many windows each text has."""
+    many = np.array([-(-len(t) // WINDOW) for t in texts], np.int64)
+    flat = np.full(int(many.sum()) * WINDOW, PAD, np.int16)
+    lengths = np.array([len(t) for t in texts], np.int64)
+    starts = (np.cumsum(many) - many) * WINDOW
+    at = np.arange(int(lengths.sum())) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    flat[at] = np.frombuffer(b"".join(texts), np.uint8)
+    return flat.reshape(-1, WINDOW), many
 
 
-def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes plus one, 0 as padding, as (time, word); and lengths."""
-    lengths = np.array([len(w) for w in words], np.int64)
-    out = np.zeros((len(words), int(lengths.max(initial=1))), np.uint8)
-    mask = np.arange(out.shape[1])[None] < lengths[:, None]
-    out[mask] = np.frombuffer(b"".join(words), np.uint8)
-    return np.where(mask, out.astype(np.int16) + 1, 0).T, lengths
+def as_bytes(text: str) -> bytes:
+    return text.lower().encode("utf-8", "replace")
 
 
 @dataclass
 class Network:
-    """Weights of the two directions, x: a row for each byte and gate, h: recurrent, b: biases; and of the labels."""
+    """Weights of the two directions, x: a row for each byte (PAD: nought) and gate, h: recurrent, b: biases; and of the labels."""
 
     weights: dict[str, np.ndarray]
     languages: list[str]
@@ -65,7 +64,8 @@ class Network:
     def fresh(cls, languages: list[str], rng: np.random.Generator) -> Network:
         h, w = HIDDEN, {}
         for d in "fb":
-            w[f"x{d}"] = rng.normal(0, 0.3, (257, 3 * h)).astype(np.float32)
+            w[f"x{d}"] = rng.normal(0, 0.3, (PAD + 1, 3 * h)).astype(np.float32)
+            w[f"x{d}"][PAD] = 0
             w[f"h{d}"] = rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)).astype(np.float32)
             w[f"b{d}"] = np.zeros(3 * h, np.float32)
         w["o"] = rng.normal(0, 0.3, (2 * h, len(languages))).astype(np.float32)
@@ -73,87 +73,94 @@ class Network:
         return cls(w, languages)
 
     def direction(self, x: np.ndarray, d: str, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States after each step over x (time, word), backwards for "b"; padding leaves the state as it is."""
-        wx, wh, b, h = self.weights[f"x{d}"], self.weights[f"h{d}"], self.weights[f"b{d}"], HIDDEN
-        state, out, tape = np.zeros((x.shape[1], h), np.float32), np.empty((*x.shape, h), np.float32), []
+        """States (time, hidden, window) after each step over x (time, window), backwards for "b". Columns are windows, so that each gate is one block of memory."""
+        wx, wh, b, h = self.weights[f"x{d}"].T, self.weights[f"h{d}"].T, self.weights[f"b{d}"][:, None], HIDDEN
+        wx, wh, b = (np.concatenate([0.5 * w[: 2 * h], w[2 * h :]]) for w in (wx, wh, b))  # a logistic gate is half a tanh of half
+        wx = np.ascontiguousarray(wx + np.where(np.arange(PAD + 1) < PAD, b, 0))
+        state, out, tape = np.zeros((h, x.shape[1]), wx.dtype), np.empty((len(x), h, x.shape[1]), wx.dtype), []
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
-            own = wx[x[t]] + b
-            both = own[:, : 2 * h] + state @ wh[:, : 2 * h]
-            gates = 0.5 * np.tanh(0.5 * both) + 0.5
-            z, r = gates[:, :h], gates[:, h:]
-            back = state @ wh[:, 2 * h :]
-            n = np.tanh(own[:, 2 * h :] + r * back)
-            new = np.where((x[t] > 0)[:, None], n + z * (state - n), state)
+            gates, back = wx[:, x[t]], wh @ state
+            both = gates[: 2 * h]
+            both += back[: 2 * h]
+            np.tanh(both, out=both)
+            both *= 0.5
+            both += 0.5
+            z, r, n = both[:h], both[h:], back[2 * h :].copy() if keep else back[2 * h :]
+            n *= r
+            n += gates[2 * h :]
+            np.tanh(n, out=n)
             if keep:
-                tape.append((t, state, z, r, back, n))
-            out[t] = state = new
+                tape.append((t, state, z, r, back[2 * h :], n))
+            state = (state - n) * z
+            state += n
+            out[t] = state
         return out, tape
 
     def labels(self, x: np.ndarray) -> np.ndarray:
-        """Log-probabilities (time, word, language) of every position."""
-        both = np.concatenate([self.direction(x, "f")[0], self.direction(x, "b")[0]], 2)
-        y = both @ self.weights["o"] + self.weights["c"]
-        y -= y.max(2, keepdims=True)
-        return y - np.log(np.exp(y).sum(2, keepdims=True))
+        """Probabilities (time, language, window) of every position of x (time, window)."""
+        o, h = self.weights["o"], HIDDEN
+        y = np.matmul(o[:h].T, self.direction(x, "f")[0]) + np.matmul(o[h:].T, self.direction(x, "b")[0]) + self.weights["c"][:, None]
+        y -= y.max(1, keepdims=True)
+        np.exp(y, out=y)
+        y /= y.sum(1, keepdims=True)
+        return y
 
     def gradients(self, x: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over positions, and its gradients by backpropagation through time."""
+        """Mean loss over positions of x (time, window), and its gradients by backpropagation through time."""
         h, w = HIDDEN, self.weights
         states = {d: self.direction(x, d, keep=True) for d in "fb"}
-        both = np.concatenate([states["f"][0], states["b"][0]], 2)
-        y = both @ w["o"] + w["c"]
-        p = np.exp(y - y.max(2, keepdims=True))
-        p /= p.sum(2, keepdims=True)
-        real = (x > 0)[..., None]
-        n = max(1, int(real.sum()))
-        loss = -float((np.log(np.take_along_axis(p, np.broadcast_to(target[None, :, None], (*x.shape, 1)), 2) + 1e-9) * real).sum()) / n
+        both = np.concatenate([states["f"][0], states["b"][0]], 1)
+        y = np.matmul(w["o"].T, both) + w["c"][:, None]
+        p = np.exp(y - y.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        real = (x < PAD)[:, None]
+        n, own = max(1, int(real.sum())), np.arange(len(target))
+        loss = -float((np.log(p[:, target, own] + 1e-30) * real[:, 0]).sum()) / n
         dy = p.copy()
-        dy[:, np.arange(len(target)), target] -= 1
-        dy = dy * real / n
-        grads = {"o": np.einsum("tbh,tbl->hl", both, dy), "c": dy.sum((0, 1))}
-        dboth = dy @ w["o"].T
+        dy[:, target, own] -= 1
+        dy *= real / n
+        grads = {"o": np.einsum("thb,tlb->hl", both, dy), "c": dy.sum((0, 2))}
+        dboth = np.matmul(w["o"], dy)
         for k, d in enumerate("fb"):
-            gx, gh, gb = (np.zeros_like(w[f"{s}{d}"]) for s in "xhb")
-            wh, carry = w[f"h{d}"], np.zeros((x.shape[1], h), np.float32)
+            wh = w[f"h{d}"]
+            given, gh = np.zeros((PAD + 1, 3 * h)), np.zeros_like(wh)
+            carry, inputs = np.zeros((h, x.shape[1]), wh.dtype), np.empty((len(x), 3 * h, x.shape[1]), wh.dtype)
             for t, state, z, r, back, cand in reversed(states[d][1]):
-                live = (x[t] > 0)[:, None]
-                whole = carry + dboth[t, :, k * h : (k + 1) * h]
-                g = whole * live
+                g = carry + dboth[t, k * h : (k + 1) * h]
                 dn = g * (1 - z) * (1 - cand**2)
                 dz = g * (state - cand) * z * (1 - z)
                 dr = dn * back * r * (1 - r)
-                gates = np.concatenate([dz, dr], 1)
-                np.add.at(gx, x[t], np.concatenate([gates, dn], 1))
-                gb += np.concatenate([gates, dn], 1).sum(0)
-                gh[:, : 2 * h] += state.T @ gates
-                gh[:, 2 * h :] += state.T @ (dn * r)
-                carry = g * z + gates @ wh[:, : 2 * h].T + (dn * r) @ wh[:, 2 * h :].T + whole * ~live
-            gx[0] = 0
-            grads |= {f"x{d}": gx, f"h{d}": gh, f"b{d}": gb}
+                gates = np.concatenate([dz, dr])
+                inputs[t] = np.concatenate([gates, dn])
+                gh[:, : 2 * h] += state @ gates.T
+                gh[:, 2 * h :] += state @ (dn * r).T
+                carry = g * z + wh[:, : 2 * h] @ gates + wh[:, 2 * h :] @ (dn * r)
+            flat = inputs.transpose(0, 2, 1).reshape(-1, 3 * h)
+            for j in range(3 * h):
+                given[:, j] = np.bincount(x.ravel(), flat[:, j], minlength=PAD + 1)
+            grads |= {f"x{d}": given.astype(wh.dtype) * (np.arange(PAD + 1) < PAD)[:, None], f"h{d}": gh, f"b{d}": given[:PAD].sum(0).astype(wh.dtype)}
         return loss, grads
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """For each word the sums over its positions of the languages' probabilities, and the number of positions."""
-        cut = [pieces(w) for w in words]
-        flat, owner = [p for c in cut for p in c], np.repeat(np.arange(len(cut)), [len(c) for c in cut])
-        out, order = np.zeros((len(words), len(self.languages) + 1)), np.argsort([len(p) for p in flat], kind="stable")
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
-            x, lengths = padded([flat[i] for i in some])
-            got = (np.exp(self.labels(x)) * (x > 0)[..., None]).sum(0)
-            np.add.at(out, owner[some], np.concatenate([got, lengths[:, None]], 1))
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        """For each window (window, place) the sums over its positions of the languages' probabilities, and the number of positions."""
+        out = np.empty((len(x), len(self.languages) + 1))
+        for at in range(0, len(x), WINDOWS):
+            own = np.ascontiguousarray(x[at : at + WINDOWS].T)
+            real = own < PAD
+            out[at : at + WINDOWS, :-1] = np.einsum("tlw,tw->wl", self.labels(own), real)
+            out[at : at + WINDOWS, -1] = real.sum(0)
         return out
 
 
-def train(words: list[bytes], target: np.ndarray, languages: list[str], steps: int = STEPS) -> Network:
-    """Adam over batches of like words; the same data give the same network."""
+def train(x: np.ndarray, target: np.ndarray, languages: list[str], steps: int = STEPS) -> Network:
+    """Adam over batches of windows (window, place); the same data give the same network."""
     rng = np.random.default_rng(SEED)
     net = Network.fresh(languages, rng)
     m = {k: np.zeros_like(v) for k, v in net.weights.items()}
     v = {k: np.zeros_like(x) for k, x in net.weights.items()}
     for step in range(1, steps + 1):
-        some = rng.integers(0, len(words), BATCH)
-        _, grads = net.gradients(padded([words[i] for i in some])[0], target[some])
+        some = rng.integers(0, len(x), BATCH)
+        _, grads = net.gradients(np.ascontiguousarray(x[some].T), target[some])
         rate = RATE * min(1, step / 20) * (1 - step / (steps + 1)) ** 0.5
         for k, g in grads.items():
             m[k] += 0.1 * (g - m[k])
@@ -167,31 +174,24 @@ def held_out() -> F.Column:
 
 
 def fit(documents: DataFrame) -> Network | None:
-    """Learns from a bounded sample of labelled documents that aren't held out; None if there is none with a letter."""
-    known = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    pool = known.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    first = pool.orderBy("h", "doc_id", "lang").limit(POOL)
-    ids = F.broadcast(first.select("doc_id").distinct())
-    rows = known.join(ids, "doc_id", "left_semi").select("doc_id", "lang", F.substring("text", 1, CHARACTERS).alias("t")).limit(2 * POOL).collect()
-    rows.sort(key=lambda r: (str(r.doc_id), r.lang, r.t))
-    rng = np.random.default_rng(SEED)
+    """Learns from a bounded sample of labelled documents that aren't held out, as many of each language; None if there is none with a letter. A language's first documents are found before any shuffle, and texts leave the executors only as stretches."""
+    known = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    key = F.xxhash64(F.col("doc_id").cast("string"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text_hash"))
+    first = known.select("doc_id", "lang", key.alias("h"), F.xxhash64("text").alias("text_hash")).withColumn("place", place).where(F.col("place") <= DOCUMENTS)
+    ids = F.broadcast(first.select("doc_id", "lang", "text_hash").distinct())  # DOCUMENTS a language
+    rows = known.withColumn("text_hash", F.xxhash64("text")).join(ids, ["doc_id", "lang", "text_hash"], "left_semi").dropDuplicates(["doc_id", "lang", "text_hash"])
+    some = F.transform(F.sequence(F.lit(1), F.lit(STRETCHES)), lambda i: F.substring("text", F.pmod(F.xxhash64(F.col("text_hash"), i), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1, F.lit(WINDOW)))
+    got = sorted((r.lang, t) for r in rows.select("lang", some.alias("some")).collect() for t in r.some)
     by: dict[str, list[bytes]] = {}
-    taken: dict[str, int] = {}
-    for i in rng.permutation(len(rows)):
-        r = rows[i]
-        words = _LETTERS.findall(r.t.lower())
-        if words and taken.get(r.lang, 0) < DOCUMENTS:
-            taken[r.lang] = taken.get(r.lang, 0) + 1
-            by.setdefault(r.lang, []).extend(p for j in rng.permutation(len(words))[:WORDS] for p in pieces(words[j]))
+    for lang, t in got:
+        by.setdefault(lang, []).append(as_bytes(t)[:WINDOW])
     if not by:
         return None
     languages = sorted(by)
     most = max(map(len, by.values()))
-    words, target = [], []
-    for k, lang in enumerate(languages):  # as many words of each
-        words += [by[lang][i % len(by[lang])] for i in range(most)]
-        target += [k] * most
-    return train(words, np.array(target), languages)
+    flat = [by[lang][i % len(by[lang])] for lang in languages for i in range(most)]  # as many of each
+    return train(windows(flat)[0], np.repeat(np.arange(len(languages)), most), languages)
 
 
 def predict(documents: DataFrame, network: Network | None, text: str = "text", names: tuple[str, str] = ("lang_pred", "score"), echo: bool = True) -> DataFrame:
@@ -200,24 +200,16 @@ def predict(documents: DataFrame, network: Network | None, text: str = "text", n
     sent = documents.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, memory, scores = sent.value, {}, np.zeros((0, len(sent.value.languages) + 1 if sent.value else 1), np.float32)
+        net = sent.value
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                words = [_LETTERS.findall((t or "").lower()) for t in batch.column(place).to_pylist()]
-                pred, score = [UNDETERMINED] * len(words), np.zeros(len(words))
-                some = np.flatnonzero([bool(w) for w in words])
+                texts = [t or "" for t in batch.column(place).to_pylist()]
+                pred, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+                some = np.flatnonzero([bool(_LETTER.search(t)) for t in texts])
                 if net is not None and len(some):
-                    enc = pa.array([x for i in some for x in words[i]]).dictionary_encode()
-                    distinct = enc.dictionary.to_pylist()
-                    if len(memory) > MEMORY:
-                        memory, scores = {}, scores[:0]
-                    if new := [w for w in distinct if w not in memory]:
-                        memory.update(zip(new, range(len(memory), len(memory) + len(new)), strict=True))
-                        scores = np.concatenate([scores, net.word_scores(new).astype(np.float32)])
-                    table = scores[[memory[w] for w in distinct]].astype(np.float64)
-                    starts = np.concatenate([[0], np.cumsum([len(words[i]) for i in some])[:-1]])
-                    sums = np.add.reduceat(table[np.asarray(enc.indices)], starts, axis=0)
+                    x, many = windows([as_bytes(texts[i]) for i in some])
+                    sums = np.add.reduceat(net.scores(x), np.cumsum(many) - many, axis=0)
                     p = sums[:, :-1] / sums[:, -1:]
                     best = p.argmax(1)
                     score[some] = np.clip(p[np.arange(len(some)), best], 0, 1)
