@@ -1,9 +1,10 @@
 """Mixing sources to target weights by a time-varying curriculum.
 
 Each source has a weight schedule over training time 0..1, linear from `start` to 2 - start, whose integral is the
-source's target. The words a source has to give by time t are its cumulative demand; a copy of a document, which
-begins after so many words of its source, is used when the demand reaches that number: the inverse of the integral.
-Documents are then range-sorted by that position.
+source's target. The words a source has to give by time t are its cumulative demand. Its documents stand one after the
+other, over and over; a copy that begins after so many words is used when the demand reaches that number, at the inverse
+of the integral, and not at all if training ends before. What a copy gives is the demand from its position on, its own
+size at most; what a document gives, `taken`, is the sum over its copies. Documents are range-sorted by position.
 
 Running sums inside a source are taken over buckets of a hash of doc_id, so a source that holds a third of all rows
 is spread over many tasks. All DataFrame functions, no Python on the executors.
@@ -60,10 +61,10 @@ def mix(documents: DataFrame, repeats: int = MAX_REPEATS, whole: bool = False) -
 
     size counts words `[^\\x20\\x09-\\x0D]+` (null or blank text: 0, never taken). Inside a source, documents are
     ordered by the md5 of doc_id (a null one as ''), then doc_id and size; rows alike in all are alike in the result's
-    multiset. The target, rounded to words, is filled by whole rounds over the source and then by the first documents
-    in that order, the last one in part: a source's taken words differ from its target by half a word. positions holds
-    the time of each copy, the earliest first; documents not taken come last. An empty table gives no rows; a null
-    source is a source like any other. whole: a column `document` holds the input row.
+    multiset. A source's whole demand is its target, rounded to words, so its taken words differ from that by half a
+    word; the last copy used may be used in part. positions holds the time of each copy, the earliest first; documents
+    not taken come last. An empty table gives no rows; a null source is a source like any other. whole: a column
+    `document` holds the input row.
     """
     sizes = _sized(documents)
     sizes = stored(sizes, "sizes")
@@ -84,23 +85,24 @@ def mix(documents: DataFrame, repeats: int = MAX_REPEATS, whole: bool = False) -
     inside = Window.partitionBy("named", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     out = sizes.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["named", "bucket"])
     out = out.withColumn("ahead", F.col("ahead") + F.col("earlier"))
-    out = out.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("quota") - F.col("rounds") * F.col("source_size") - F.col("ahead"))))
-    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("rounds") + F.when(F.col("part") > 0, 1).otherwise(0)).otherwise(0).cast("int"))
+    begins = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rounds")), lambda k: k * F.col("source_size") + F.col("ahead"))
+    out = out.withColumn("begins", F.when(F.col("size") > 0, F.filter(begins, lambda b: b < F.col("quota"))).otherwise(F.array().cast("array<long>")))
     start = F.element_at(F.create_map(*[F.lit(x) for kv in STARTS.items() for x in kv]), F.col("weight"))
-    copy = lambda k: _position((k * F.col("source_size") + F.col("ahead")) / F.col("quota"), start)
-    out = out.withColumn("positions", F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), copy)).otherwise(F.array().cast("array<double>")))
-    out = out.select("doc_id", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("part")).alias("taken"), "copies", "positions", *["document"] * whole)
+    out = out.withColumn("positions", F.transform("begins", lambda b: _position(b / F.col("quota"), start)))
+    taken = F.aggregate("begins", F.lit(0).cast("long"), lambda acc, b: acc + F.least(F.col("size"), F.col("quota") - b))
+    out = out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.size("begins").alias("copies"), "positions", *["document"] * whole)
     return out if whole else out.orderBy(F.try_element_at("positions", F.lit(1)).asc_nulls_last(), "doc_id")
 
 
 def schedule(documents: DataFrame, repeats: int = MAX_REPEATS) -> DataFrame:
-    """The rows of documents in training order, each as often as mix() uses it (the last of a source, used in part, whole); all columns stay."""
+    """The rows of documents in training order, each as often as mix() uses it (the last of a source, used in part, whole); all columns stay. Texts without words, null ones among them, are never used; an empty table gives no rows; ties go by doc_id."""
     used = mix(documents, repeats, whole=True).where("copies > 0").select(F.explode("positions").alias("at"), "document")
     return used.orderBy("at", "document.doc_id").select("document.*")
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """With the number of copies and the position of the first, to nine decimals."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", F.round(F.try_element_at("positions", F.lit(1)), 9).alias("first_position"))
 
 
 OP8_SQL = r"""
@@ -116,14 +118,19 @@ l as (
     sum(weight) over (order by cap::double / weight, place rows between current row and unbounded following) as rest
   from w),
 t as (
-  select source, source_size, least(cap::double, weight * max(((select sum(source_size) from s) - caps)::double / rest) over ()) as target
+  select source, source_size, weight, least(cap::double, weight * max(((select sum(source_size) from s) - caps)::double / rest) over ()) as target
   from l),
 q as (
-  select d.*, t.source_size, t.target, floor(t.target + 0.5)::bigint as quota,
+  select d.*, t.source_size, t.target, case t.weight when 1 then 1.5 when 2 then 1.0 else 0.5 end::double as start, floor(t.target + 0.5)::bigint as quota,
     case when t.source_size > 0 then floor(t.target + 0.5)::bigint // t.source_size else 0 end as rounds,
     coalesce(sum(size) over (partition by d.source order by draw, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as ahead
-  from d join t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target,
-  (rounds * size + greatest(0, least(size, quota - rounds * source_size - ahead)))::bigint as taken
-from q
+  from d join t on d.source is not distinct from t.source),
+u as (
+  select *, greatest(0, least(size, quota - rounds * source_size - ahead)) as part,
+    case when size > 0 then ahead::double / quota end as u
+  from q)
+select doc_id, size, source_size, target, (rounds * size + part)::bigint as taken,
+  case when size > 0 then rounds + (part > 0)::int else 0 end::int as copies,
+  case when size > 0 and rounds + (part > 0)::int > 0 then round(case when start = 1 then u else (sqrt(start * start + 4 * (1 - start) * u) - start) / (2 * (1 - start)) end, 9) + 0.0 end as first_position
+from u
 """
