@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import stored, table
@@ -125,8 +125,8 @@ def search(embeddings: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY,
 
     pairs = asked.join(files, ["dim", "block"]).select("dim", "ids", "x", "start", "vectors", "places", "query_ids", "queries")
     found = pairs.mapInArrow(find, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))  # only the first k of a task's rows are sent
+    return found.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3_permutation_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Embedding near-dedup by sorted projection passes.
 
-In each pass a vector's key is a concatenation of random hyperplane bits. Vectors are range-sorted by label and key,
-each is compared with a bounded window of neighbours, and pairs found similar are united; several passes are united in
-turn. Inside each component, the links of every vector are then counted exactly, tile against tile.
+In each pass a vector's key is a concatenation of random hyperplane bits. Vectors of a label are sorted by key, each is
+compared with a bounded window of neighbours and, however many those are, with all that share its key's first bits; pairs
+found similar are united, and several passes are united in turn. How many bits count follows from the size of the label,
+and the number of passes from how often a pair at the threshold agrees in them, so that recall doesn't depend on how a
+label's vectors are spread: a dense label only costs more. Inside each component, the links of every vector are then
+counted exactly, tile against tile.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ WINDOW = 64
 KEY_BITS = 48
 #: A pair at the threshold is missed by all passes with this probability at most.
 MISS = 1e-4
+#: Bits fewer by which keys are dealt out, so that neighbours by key mostly stay together; and rows of a bucket that are compared in one place.
+BLOCKS = 5
+BUCKET = 8192
 CHUNK = 512
 TILE = 1024
 SEED = 7
@@ -42,15 +48,25 @@ def rows_of(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(n, -1)
 
 
+def prefix_bits(rows: int) -> int:
+    """First bits of a key that vectors have to share to be compared: of so many evenly spread ones, fewer than WINDOW do."""
+    return min(KEY_BITS, max(0, math.ceil(math.log2(max(1, rows) / WINDOW)) + 1))
+
+
 def passes_for(rows: int, cosine: float) -> int:
-    """Passes needed so that MISS holds: a pair meets in a window if it agrees on enough bits that WINDOW / 2 others do."""
+    """Passes needed so that MISS holds: a pair is compared in a pass in which it agrees on the first bits."""
     agree = 1 - math.acos(cosine) / math.pi
-    bits = max(0.0, math.log2(max(1, rows) / WINDOW)) + 1
-    return max(3, math.ceil(math.log(MISS) / math.log(1 - 0.97 * agree**bits)))
+    return max(3, math.ceil(math.log(MISS) / math.log(1 - agree ** prefix_bits(rows)))) if prefix_bits(rows) else 1
 
 
-def projection_links(vectors: DataFrame, passes: int, cosine: float = COSINE) -> DataFrame:
-    """vectors (id, grp, dim, vector) -> links (a, b) that connect all that windows find similar inside a group: of each chunk of the sorted stream a spanning forest, so no more rows than the chunk has, however many pairs."""
+def projection_links(vectors: DataFrame, rows: int, cosine: float = COSINE) -> DataFrame:
+    """vectors (id, grp, dim, vector), rows of the largest group -> links (a, b) that connect all that windows find similar inside a group: of each chunk of the sorted stream a spanning forest, so no more rows than the chunk has, however many pairs.
+
+    Keys are dealt out by their first bits, less BLOCKS of them, so no pair that shares those that count is parted; a
+    bucket of more than BUCKET rows is cut in tiles by a hash, and each pair of tiles is sorted and compared by itself.
+    """
+    passes, bits = passes_for(rows, cosine), prefix_bits(rows)
+    coarse = KEY_BITS - max(0, bits - BLOCKS)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -59,30 +75,37 @@ def projection_links(vectors: DataFrame, passes: int, cosine: float = COSINE) ->
                 x = rows_of(part.column(3))
                 planes = np.random.default_rng(SEED).standard_normal((passes, dim, KEY_BITS))
                 for p in range(passes):
-                    key = ((x @ planes[p] > 0) @ (np.int64(1) << np.arange(KEY_BITS, dtype=np.int64))).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), part.column(1), part.column(2), pa.array(key), part.column(0), part.column(3)], ["pass", "grp", "dim", "key", "id", "vector"])
+                    key = ((x @ planes[p] > 0) @ (np.int64(1) << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64))).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), p, np.int32)), part.column(1), part.column(2), pa.array(key >> coarse), pa.array(key), part.column(0), part.column(3)], ["pass", "grp", "dim", "bucket", "key", "id", "vector"])
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in consecutive(batches, 3):
-            ids = np.asarray(run.column(4))
-            x = rows_of(run.column(5))
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in consecutive(batches, 6):
+            ids, key = np.asarray(run.column(7)), np.asarray(run.column(6))
+            x = rows_of(run.column(8))
             x = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
+            block = key >> (KEY_BITS - bits)
+            begins = np.searchsorted(block, block)
             for at in range(0, len(ids), CHUNK):
-                low = max(0, at - WINDOW)
+                low = int(max(0, min(at - WINDOW, begins[at])))
                 some, own = x[low : at + CHUNK], x[at : at + CHUNK]
                 i, j = np.nonzero(own @ some.T >= cosine)
                 i += at - low
-                near = (j < i) & (i - j <= WINDOW)
+                near = (j < i) & ((i - j <= WINDOW) | (begins[low + i] <= low + j))
                 root = local_roots(len(some), i[near], j[near])
                 moved = np.flatnonzero(root != np.arange(len(some)))
                 if len(moved):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[low + moved]), pa.array(ids[low + root[moved]])], ["a", "b"])
 
     kind = vectors.schema["vector"].dataType.simpleString()
-    keyed = vectors.select("id", "grp", "dim", "vector").mapInArrow(keys, f"pass int, grp long, dim int, key long, id long, vector {kind}")
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keyed.repartitionByRange(n, "pass", "grp", "dim", "key", "id").sortWithinPartitions("pass", "grp", "dim", "key", "id")
-    return ranged.mapInArrow(windows, "a long, b long")
+    at = ["pass", "grp", "dim", "bucket"]
+    keyed = vectors.select("id", "grp", "dim", "vector").mapInArrow(keys, f"pass int, grp long, dim int, bucket long, key long, id long, vector {kind}")
+    wide = stored(keyed.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("tiles")).where("tiles > 1"), "wide-buckets")
+    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    rows_ = keyed.join(wide, at, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))) if wide.head(1) else keyed.withColumn("tiles", F.lit(1))
+    rows_ = rows_.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows_ = rows_.select(*at, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "key", "id", "vector")
+    dealt = rows_.repartition(*at, "i", "j").sortWithinPartitions(*at, "i", "j", "key", "id")
+    return dealt.mapInArrow(compared, "a long, b long")
 
 
 def count_links(members: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -112,6 +135,12 @@ def count_links(members: DataFrame, cosine: float = COSINE) -> DataFrame:
     return dealt.mapInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def _group(embeddings: DataFrame) -> Column:
+    """The label as a number: itself where it is whole, else a 64-bit hash of its text."""
+    whole = embeddings.schema["label"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint", "boolean")
+    return F.col("label").cast("long") if whole else F.when(F.col("label").isNotNull(), F.xxhash64(F.col("label").cast("string")))
+
+
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """embeddings (vec_id, embedding, label, ...) -> vec_id, n_links, component_id, kept.
 
@@ -120,19 +149,20 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     and are compared with the rest once. Repeated rows are rows of their own with their vec_id; an empty table gives no rows.
     Links are exact inside a component; a component may fall apart only where all passes miss, see MISS.
     """
-    rows = embeddings.select("vec_id", F.col("embedding").alias("vector"), F.col("label").cast("long").alias("grp"), F.size("embedding").alias("dim"))
+    group = _group(embeddings)
+    rows = embeddings.select("vec_id", F.col("embedding").alias("vector"), group.alias("grp"), F.size("embedding").alias("dim"))
     fit = rows.where(usable("vector") & F.col("grp").isNotNull() & F.col("vec_id").isNotNull())
     classes = fit.groupBy("grp", "dim", "vector").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     classes = stored(classes, "vector-classes")
     largest = classes.groupBy("grp", "dim").count().agg(F.max("count")).first()[0] or 0
-    links = projection_links(classes, passes_for(largest, cosine), cosine)
+    links = projection_links(classes, largest, cosine)
     parts = stored(connected_components(links), "vector-components")
     members = classes.join(parts, "id").select("component", "id", "copies", "vector")
     counted = count_links(members, cosine).join(parts, "id")
     known = classes.join(counted, "id", "left").select(
         F.col("grp").alias("g"), F.col("vector").alias("v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")
     )
-    whole = embeddings.select("vec_id", F.col("embedding").alias("v"), F.col("label").cast("long").alias("g"))
+    whole = embeddings.select("vec_id", F.col("embedding").alias("v"), group.alias("g"))
     able = usable("v") & F.col("g").isNotNull() & F.col("vec_id").isNotNull()
     linked = whole.where(able).join(known, ["g", "v"]).select("vec_id", "n_links", "component_id")
     alone = whole.where(~F.coalesce(able, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
