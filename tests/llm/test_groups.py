@@ -58,6 +58,7 @@ def near_rows(seed):
 def test_join_equals_brute_force(docs, monkeypatch, seed, frequent, tile):
     monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "PAIRS", tile // 2)
     rows = near_rows(seed)
     odd = [(1, None), (2, " \t"), (3, "z" * 9000), (4, "q r s t u " * 4000), (None, "one"), (10, rows[0][1])]
     sets = [shingles(t) for _, t in rows]
@@ -164,6 +165,22 @@ def test_every_passage_of_51_words_is_found_wherever_it_stands(docs):
     assert found == {i for i, _ in rows if i % 10 < 2}
 
 
+@pytest.mark.parametrize("pairs", [2, 64])
+def test_near_pairs_equal_brute_force(monkeypatch, pairs):
+    monkeypatch.setattr(jaccard, "PAIRS", pairs)
+    draw = random.Random(pairs)
+    bases = [draw.sample(range(40), draw.randrange(1, 12)) for _ in range(60)]
+    sets = [{t for t in draw.choice(bases) if draw.random() < 0.9} | {draw.randrange(40) for _ in range(draw.randrange(2))} for _ in range(400)]
+    group = np.sort(np.array([draw.randrange(12) for _ in sets]))
+    extra = np.array([draw.choice([0, 0, 1]) for _ in sets])  # tokens that no other set has
+    sizes = np.array([len(s) for s in sets]) + extra
+    rows = [(i, t) for i, s in enumerate(sets) for t in sorted(s)]
+    left, right = jaccard.near_pairs(group, sizes, (np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.uint64)))
+    got = {(min(a, b), max(a, b)) for a, b in zip(left.tolist(), right.tolist(), strict=True)}
+    want = {(a, b) for b in range(400) for a in range(b) if group[a] == group[b] and (c := len(sets[a] & sets[b])) and 100 * c >= 75 * (sizes[a] + sizes[b] - c)}
+    assert got == want and len(want) > 20
+
+
 def test_bands_and_cuts():
     assert paragraphs.bands_for(0.75, 1, 1e-3) == 5 and (1 - 0.75) ** paragraphs.bands_for(0.75) <= paragraphs.MISS
     for text, n in (("", 0), ("a", 1), ("a b c d e", 1), (" ".join(map(str, range(17))), 1)):
@@ -208,6 +225,26 @@ def test_vectors_equal_brute_force(spark, monkeypatch, tile):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [8192, 300])
+def test_dense_labels_lose_no_links(spark, monkeypatch, bucket):
+    """One label whose vectors are all alike, but below the threshold; lone pairs just above it among them; labels are texts."""
+    monkeypatch.setattr(vectors, "BUCKET", bucket)
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    center = unit(rng.standard_normal(64))
+    x = unit(center + 0.23 * unit(rng.standard_normal((2500, 64))))
+    near = unit(x[:120] + 0.15 * unit(rng.standard_normal((120, 64))))
+    x = np.concatenate([x, near])
+    cosines = x @ x.T
+    assert 0.9 < np.median(cosines) < 0.97 and 100 <= (np.triu(cosines, 1) >= 0.98).sum()
+    df = spark.createDataFrame([(i, v.tolist(), "dense") for i, v in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: r for r in vectors.near_duplicates(df).collect()}
+    near = cosines >= 0.98
+    np.fill_diagonal(near, False)
+    want = roots(len(x), list(zip(*np.nonzero(near), strict=True)))
+    assert [got[i].n_links for i in range(len(x))] == near.sum(1).tolist() and [got[i].component_id for i in range(len(x))] == want.tolist()
+
+
 def test_search_recall_and_odd_rows(spark):
     rng = np.random.default_rng(11)
     rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(32)]) for i in range(3000)]
@@ -240,12 +277,30 @@ def test_arc_versions_round_trip():
         data = warc.arc_version_block(version, "a.arc.gz") + b"".join(warc.arc_record(version, f"http://a.test/{i} b", str(i), p, "a.arc.gz", 7) for i, p in enumerate(payloads))
         records = list(warc.read_arc(io.BytesIO(data)))
         assert [b.partition(b"\r\n\r\n")[2] for _, b in records] == payloads and [" ".join(f) for f, _ in records] == [warc.FIELDS[version]] * 4
-        out = b"".join(warc.warc_record(f, b, None if i else "3") for i, (f, b) in enumerate(records))
+        ids = [warc.record_id("x/a.arc.gz", i) for i in range(4)]
+        out = b"".join(warc.warc_record(f, b, ids[i], None if i else ("3", ids[3])) for i, (f, b) in enumerate(records))
         back = list(warc.read_warc(io.BytesIO(out)))
-        assert [f["WARC-Type"] for f, _ in back] == ["revisit", "response", "response", "response"] and back[0][0]["WARC-Refers-To"] == warc.record_id("3")
-        assert back[1][0]["WARC-Date"] == "2024-01-01T00:00:00Z" and back[1][1] == records[1][1] and len({f["WARC-Record-ID"] for f, _ in back}) == 4
-    with pytest.raises(ValueError):
-        list(warc.read_arc(io.BytesIO(warc.arc_version_block(1, "a") + b"http://a 0.0.0.0 20240101000000 text/html 99\nshort")))
+        assert [f["WARC-Type"] for f, _ in back] == ["revisit", "response", "response", "response"] and back[0][0]["WARC-Refers-To"] == ids[3]
+        assert [f["WARC-Record-ID"] for f, _ in back] == ids and len(set(ids)) == 4 and back[1][1] == records[1][1]
+        assert all(re.sub(r"\D", "", f["WARC-Date"]) == g["Archive-date"] for (f, _), (g, _) in zip(back, records, strict=True)) and len({f["WARC-Date"] for f, _ in back}) == 4
+
+
+def test_archive_dates():
+    assert [warc.warc_date(d) for d in ("20050214093011", "200502140930", "200502", "2005", "20051399", "x", "")] == [
+        "2005-02-14T09:30:11Z", "2005-02-14T09:30:00Z", "2005-02-01T00:00:00Z", "2005-01-01T00:00:00Z", *["1996-10-20T00:00:00Z"] * 3
+    ]
+
+
+def test_faulty_records_are_passed_over():
+    good = [warc.arc_record(1, f"http://a.test/{i}", str(i), b"p", "a", 0) for i in range(3)]
+    data = warc.arc_version_block(1, "a") + good[0] + b"no header\nnor this one\n\n" + good[1] + b"http://a 0.0.0.0 1999 text/html x\n" + good[2] + b"http://a 0.0.0.0 20240101000000 text/html 99\nshort"
+    got = list(warc.read_arc(io.BytesIO(data)))
+    assert [isinstance(r, warc.Faulty) for r in got] == [False, True, False, True, False, True] and [f["URL"] for f, _ in (r for r in got if not isinstance(r, warc.Faulty))] == [f"http://a.test/{i}" for i in range(3)]
+    odd = warc.arc_version_block(1, "a").replace(b"IP-address", b"Something")
+    assert [isinstance(r, warc.Faulty) for r in warc.read_arc(io.BytesIO(odd + good[0]))] == [True, False]
+    whole = [warc.warc_record(f, b, f"<id{i}>", None) for i, (f, b) in enumerate(r for r in got if not isinstance(r, warc.Faulty))]
+    back = list(warc.read_warc(io.BytesIO(whole[0] + b"junk\nmore junk\n" + whole[1] + b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: no\r\n\r\n" + whole[2][:-20])))
+    assert [isinstance(r, warc.Faulty) for r in back] == [False, True, False, True, True]
 
 
 def test_pages_through_archives(spark):
@@ -274,7 +329,9 @@ def test_mix_equals_sql_and_keeps_its_bounds(spark, docs, monkeypatch):
     con = duckdb.connect()
     con.register("documents", documents)
     want = con.sql(curriculum.OP8_SQL).fetchall()
-    assert sorted((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in got) == sorted(want)
+    assert sorted((r.doc_id, r.size, r.source_size, r.target, r.taken, r.copies) for r in got) == sorted(w[:6] for w in want)
+    first = {w[0]: w[6] for w in want}
+    assert all((r.positions and abs(r.positions[0] - first[r.doc_id]) < 1e-8) or (not r.positions and first[r.doc_id] is None) for r in got)
     assert all(r.taken <= 3 * r.size and len(r.positions) == r.copies for r in got)
     total = sum(r.size for r in got)
     assert abs(sum({r.source_size: r.target for r in got}.values()) - total) < 1e-6 and abs(sum(r.taken for r in got) - total) <= 5

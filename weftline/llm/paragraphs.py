@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import SHINGLE_WORDS, WORD, distinct, input_bytes, mix64, set_keys, shingled, stored, table, three_word_runs, tidy, word_hashes
-from weftline.llm.jaccard import BROADCAST_ROWS, PERCENT, SLICE, linked_classes
+from weftline.llm.jaccard import PERCENT, SLICE, linked_classes
 from weftline.llm.streams import consecutive
 
 #: Runs of three words among which the least one is a cut.
@@ -102,6 +102,8 @@ _BLOB_DDL = "part int, kind int, hashes binary, keys binary, ids binary, places
 BANDS, PLACES, KNOWN = range(3)
 #: Keys that a task remembers; beyond it the memory starts anew, and copies that are sent again meet as equal keys.
 MEMORY = 500_000
+#: Bits of the filter that every task gets, at most: 16 MB.
+FILTER_BITS = 1 << 27
 
 
 def _blobs(rows: list[tuple]) -> pa.RecordBatch:
@@ -111,17 +113,20 @@ def _blobs(rows: list[tuple]) -> pa.RecordBatch:
 def paragraph_blobs(documents: DataFrame, buckets: int) -> DataFrame:
     """documents (doc_id, text) -> blobs dealt by key (places), by band hash (bands; a key that a task has met before adds none again) and by document (places of keys that many documents hold). A blob names a document by a number of 16 bits in its own list of ids."""
 
-    def dealt(kind: int, by: np.ndarray, keys: np.ndarray, ids: np.ndarray, doc: np.ndarray, *places: np.ndarray) -> list[tuple]:
+    def dealt(kind: int, by: np.ndarray, keys: np.ndarray, ids: np.ndarray | None = None, *places: np.ndarray) -> list[tuple]:
+        """Blobs of keys, and of places: text, first word and words of each."""
         to = (by % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
-        to, keys, doc, places = to[order], keys[order], doc[order], [x[order] for x in places]
+        to, keys, places = to[order], keys[order], [x[order] for x in places]
         hashes = by[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:] if kind == BANDS else np.zeros((len(to), 0), np.uint8)
         groups = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]]) if len(to) else [0]
         rows = []
         for a, b in zip(groups[:-1], groups[1:], strict=True):
-            held, number = np.unique(doc[a:b], return_inverse=True)
-            numbers = [number.astype(np.uint16), *[x[a:b].astype(np.uint32) for x in places]]
-            rows.append((int(to[a]), kind, hashes[a:b].tobytes(), keys[a:b].tobytes(), ids[held].tobytes(), b"".join(x.tobytes() for x in numbers)))
+            held, numbers = b"", []
+            if kind != BANDS:
+                texts, number = np.unique(places[0][a:b], return_inverse=True)
+                held, numbers = ids[texts].tobytes(), [number.astype(np.uint16), *[x[a:b].astype(np.uint32) for x in places[1:]]]
+            rows.append((int(to[a]), kind, hashes[a:b].tobytes(), keys[a:b].tobytes(), held, b"".join(x.tobytes() for x in numbers)))
         return rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +146,7 @@ def paragraph_blobs(documents: DataFrame, buckets: int) -> DataFrame:
                 rows += dealt(PLACES, mix64(p.keys[~known].view(np.uint64)), p.keys[~known], ids, p.text[~known], p.first[~known], p.words[~known])
                 if new.any():
                     h = band_hashes(p, new)
-                    rows += dealt(BANDS, h.ravel(), np.tile(p.keys[new], len(h)), ids, np.tile(p.text[new], len(h)))
+                    rows += dealt(BANDS, h.ravel(), np.tile(p.keys[new], len(h)))
                 order, heads = np.argsort(number, kind="stable"), np.cumsum(many) - many
                 doc = ids[p.text[order]]
                 wide.update(each[np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)].tolist())
@@ -159,20 +164,19 @@ def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 
 
 def met_blobs(blobs: DataFrame, buckets: int) -> DataFrame:
-    """Of each bucket: for bands (kind, head, key, doc_id): keys that share a band hash with another key, with the least of them and a document that holds the key; else (PLACES, null, key, doc_id, first, words) of keys that two documents or more hold."""
+    """Of each bucket: for bands (BANDS, head, key): keys that share a band hash with another key, with the least of them; else (PLACES, null, key, doc_id, first, words) of keys that two documents or more hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket in consecutive(batches, 2):
             kind = bucket.column(1)[0].as_py()
             keys = _joined(bucket.column(3), np.int64)
-            ids, number, first, words = [], [], [], []
-            for own, places, n in zip(bucket.column(4).to_pylist(), bucket.column(5).to_pylist(), (len(k.as_py()) // 8 for k in bucket.column(3)), strict=True):
-                ids.append(np.frombuffer(own, np.int64)[np.frombuffer(places[: 2 * n], np.uint16)])
-                if kind != BANDS:
+            if kind != BANDS:
+                ids, first, words = [], [], []
+                for own, places, n in zip(bucket.column(4).to_pylist(), bucket.column(5).to_pylist(), (len(k.as_py()) // 8 for k in bucket.column(3)), strict=True):
+                    ids.append(np.frombuffer(own, np.int64)[np.frombuffer(places[: 2 * n], np.uint16)])
                     first.append(np.frombuffer(places[2 * n : 6 * n], np.uint32))
                     words.append(np.frombuffer(places[6 * n :], np.uint32))
-            ids = np.concatenate(ids)
-            if kind != BANDS:
+                ids = np.concatenate(ids)
                 some = np.arange(len(keys))
                 if kind == PLACES:
                     order = np.argsort(keys, kind="stable")
@@ -190,15 +194,15 @@ def met_blobs(blobs: DataFrame, buckets: int) -> DataFrame:
             hs = h[order]
             new = np.concatenate([[True], hs[1:] != hs[:-1]])
             order = order[~(new & np.concatenate([new[1:], [True]]))]  # a hash that occurs once is out at once
-            order = order[np.lexsort((ids[order], keys[order], h[order]))]
-            h, k, i = h[order], keys[order], ids[order]
+            order = order[np.lexsort((keys[order], h[order]))]
+            h, k = h[order], keys[order]
             once = np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])])[: len(h)]
-            h, k, i = h[once], k[once], i[once]
+            h, k = h[once], k[once]
             heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))[: len(h)]
             many = np.diff(np.concatenate([heads, [len(h)]]))
             head, several = np.repeat(k[heads], many), np.repeat(many > 1, many)
-            pair = np.unique(np.stack([head[several], k[several], i[several]], 1), axis=0) if several.any() else np.zeros((0, 3), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pair), BANDS, np.int32)), *[pa.array(pair[:, c]) for c in range(3)], pa.nulls(len(pair), pa.int64()), pa.nulls(len(pair), pa.int64())], _MET)
+            head, k = head[several], k[several]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), BANDS, np.int32)), pa.array(head), pa.array(k), *[pa.nulls(len(k), pa.int64())] * 3], _MET)
 
     dealt = blobs.repartitionById(buckets, "part").sortWithinPartitions("part", "kind")
     return dealt.mapInArrow(tidy(run), "kind int, head long, key long, doc_id long, first long, words long")
@@ -207,33 +211,53 @@ def met_blobs(blobs: DataFrame, buckets: int) -> DataFrame:
 _MET = ["kind", "head", "key", "doc_id", "first", "words"]
 
 
+def _bits(keys: np.ndarray, size: int) -> np.ndarray:
+    """The two places of each key in a filter of size bits (a power of two), one after the other."""
+    keys = keys.view(np.uint64)
+    return np.concatenate([mix64(keys ^ np.uint64(SEED)), mix64(keys + np.uint64(SEED))]) & np.uint64(size - 1)
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column key: words of 64 bits, FILTER_BITS at most however many keys there are."""
+    size = 1 << max(10, min(FILTER_BITS.bit_length() - 1, (16 * keys.count()).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bits(np.asarray(batch.column(0)), size)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["word", "bits"])
+
+    words = keys.select("key").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size >> 6, np.uint64)
+    out[np.asarray(words.column("word"), np.int64)] = np.asarray(words.column("bits"), np.int64).view(np.uint64)
+    return out
+
+
 def read_again(documents: DataFrame, members: DataFrame) -> DataFrame:
-    """members (key, doc_id) -> (key, n, tokens, doc_id, first, words): those paragraphs, with their shingles, from the documents told. What is asked of each document is broadcast up to BROADCAST_ROWS keys, else joined."""
-    asked = members.groupBy("doc_id").agg(F.collect_set("key").alias("_asked"))
-    if members.count() <= BROADCAST_ROWS:
-        asked = F.broadcast(asked)
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id").select("doc_id", "text", "_asked")
+    """members (key) -> (key, n, tokens, doc_id, first, words): where those paragraphs stand, with their shingles in the first row of each task. The documents don't pass a shuffle: a filter of bounded size, sent to all tasks, lets nearly only members through, and more if it is full; the others go by an exact join."""
+    sent = documents.sparkSession.sparkContext.broadcast(key_filter(members))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, met = sent.value, set()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
                 p = Paragraphs(batch.column(1))
-                asked = batch.column(2)
-                keys, lists = np.asarray(asked.flatten(), np.int64), np.asarray(asked.value_lengths())
-                owner = np.repeat(np.arange(len(lists)), lists)
-                want = np.isin(p.keys, keys)  # a key asked of another document of the slice is dropped below
-                if want.any():
-                    pairs = set(zip(owner.tolist(), keys.tolist(), strict=True))
-                    places = [i for i in np.flatnonzero(want) if (int(p.text[i]), int(p.keys[i])) in pairs]
+                bits = _bits(p.keys, len(words) << 6)
+                held = (words[bits >> np.uint64(6)] >> (bits & np.uint64(63)) & np.uint64(1)).astype(bool)
+                some = np.flatnonzero(held[: len(p.keys)] & held[len(p.keys) :])
+                if len(some):
+                    if len(met) > MEMORY:
+                        met.clear()
                     ends = np.cumsum(p.sizes)
-                    tokens = [p.tokens[ends[i] - p.sizes[i] : ends[i]].tobytes() for i in places]
+                    new = [not (k in met or met.add(k)) for k in p.keys[some].tolist()]
+                    tokens = [p.tokens[ends[i] - p.sizes[i] : ends[i]].tobytes() if n else None for i, n in zip(some, new, strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(p.keys[places]), pa.array(p.sizes[places].astype(np.int32)), pa.array(tokens, pa.binary()), batch.column(0).take(pa.array(p.text[places])), pa.array(p.first[places]), pa.array(p.words[places])],
+                        [pa.array(p.keys[some]), pa.array(p.sizes[some].astype(np.int32)), pa.array(tokens, pa.binary()), batch.column(0).take(pa.array(p.text[some])), pa.array(p.first[some]), pa.array(p.words[some])],
                         ["key", "n", "tokens", "doc_id", "first", "words"],
                     )
 
-    return rows.mapInArrow(tidy(run), "key long, n int, tokens binary, doc_id long, first long, words long")
+    rows = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "key long, n int, tokens binary, doc_id long, first long, words long")
+    return rows.join(members.select("key"), "key", "left_semi")
 
 
 def repeated_paragraphs(documents: DataFrame, percent: int = PERCENT, least: int = LEAST) -> DataFrame:
@@ -248,16 +272,16 @@ def repeated_paragraphs(documents: DataFrame, percent: int = PERCENT, least: int
     docs = documents.where("doc_id is not null and text is not null")
     buckets = max(2 * documents.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(documents) // BUCKET_BYTES))
     met = stored(met_blobs(paragraph_blobs(docs, buckets), buckets), "paragraphs-met")
-    posted = met.where(F.col("kind") == BANDS).select("head", "key", "doc_id")
-    members = stored(posted.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "paragraph-members")
-    again = stored(read_again(docs, members), "paragraph-sets")
-    sets = again.groupBy("key").agg(F.min("n").alias("n"), F.min("tokens").alias("tokens"))
-    component = linked_classes(posted.select(F.col("head").alias("sig"), "key"), sets, percent)
+    posted = met.where(F.col("kind") == BANDS).select(F.col("head").alias("sig"), "key")
+    again = stored(read_again(docs, stored(posted.select("key").distinct(), "paragraph-members")), "paragraph-sets")
+    sets = again.where("tokens is not null").groupBy("key").agg(F.min("n").alias("n"), F.min("tokens").alias("tokens"))
+    component = linked_classes(posted, sets, percent)
     held = met.where(F.col("kind") == PLACES).select("key", "doc_id", "first", "words")
     near = again.select("key", "doc_id", "first", "words").join(component.select(F.col("id").alias("key")), "key", "left_semi")
     found = held.union(near).distinct().join(component.withColumnRenamed("id", "key"), "key", "left").withColumn("cluster", F.coalesce("component", "key"))
     found = stored(found.select("doc_id", "first", "words", "cluster"), "paragraphs-found")
     first = found.groupBy("cluster").agg(F.min(F.struct("doc_id", "first")).alias("head"), F.max("doc_id").alias("last")).where("head.doc_id <> last").select("cluster", "head")
+    first = stored(first, "paragraph-clusters")  # a table of its own, so that the join may split a hot cluster
     found = found.join(first, "cluster")
     order = Window.partitionBy("doc_id").orderBy("first", "words")
     gap = F.coalesce(F.col("first") > F.max(F.col("first") + F.col("words")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
