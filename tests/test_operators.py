@@ -71,8 +71,9 @@ def test_directives(spark, metas, header, score):
 
 def test_shares_sum_to_a_hundred(spark):
     draw = random.Random(1)
-    rows = [(p, k, w, draw.randrange(101), draw.choice([None, True, False])) for p in range(40) for k, (_, w) in WEIGHTS.items() if draw.random() < 0.7]
-    out = scoring.shares(spark.createDataFrame(rows, "page_id int, factor_id string, weight int, score int, applicable boolean")).collect()
+    rows = [(p, [(k, w, draw.randrange(101), draw.choice([None, True, False])) for k, (_, w) in WEIGHTS.items() if draw.random() < 0.7]) for p in range(40)]
+    df = spark.createDataFrame(rows, "page_id int, factors array<struct<factor_id:string,weight:int,score:int,applicable:boolean>>")
+    out = df.select("page_id", F.explode(scoring.with_shares(F.col("factors"))).alias("f")).select("page_id", "f.*").collect()
     totals = {}
     for r in out:
         totals[r.page_id] = totals.get(r.page_id, 0) + r.share_pct
@@ -116,8 +117,10 @@ def test_sample_equals_round_robin(spark):
 
 def test_template_groups_compare_with_the_head(spark):
     rows = [(f"https://a.test/p/{i}", "/p/*", 50, [("a", 10 + i // 2), ("b", 5)]) for i in range(12)] + [("https://a.test/q", "/q", 50, [("a", 1)])]
-    got = templates.groups(spark.createDataFrame(rows, "url string, template string, overall_score int, scores array<struct<factor_id:string,score:int>>")).collect()
+    found, members = templates.groups(spark.createDataFrame(rows, "url string, template string, overall_score int, scores array<struct<factor_id:string,score:int>>"))
+    got = found.collect()
     assert sorted(r.page_count for r in got) == [6, 6] and all(r.template == "/p/*" for r in got)
+    assert sorted(r["count"] for r in members.groupBy("cluster").count().collect()) == [6, 6]
 
 
 def test_url_shapes(spark):
@@ -138,8 +141,35 @@ def test_graph(spark):
         graph.ONE_TASK = limit
     five = {r.url: r.rank for r in graph.pagerank(nodes, edges, iterations=5).collect()}
     assert abs(sum(small.values()) - 1) < 1e-9 and all(abs(large[u] - five[u]) < 1e-9 for u in five)
-    hops = spark.createDataFrame([("r1", "r2"), ("r2", "r3"), ("l1", "l2"), ("l2", "l1"), ("l0", "l1")], "url string, `to` string")
-    assert {r.url: r.terminal for r in graph.terminals(hops).collect()} == {"r1": "r3", "r2": "r3", "l1": None, "l2": None, "l0": None}
+
+
+def chase(hops, url):
+    """The page at which a chain ends, or the URL where it closes into a loop."""
+    seen = [url]
+    while (to := hops.get(seen[-1])) is not None and to != seen[-1]:
+        if to in seen:
+            return to
+        seen.append(to)
+    return seen[-1]
+
+
+def test_redirects_end_or_close(spark):
+    draw = random.Random(5)
+    for n in (6, 200):
+        hops = {"r1": "r2", "r2": "r3", "l1": "l2", "l2": "l1", "l0": "l1", "s": "s", "t": "s"} | {f"u{i}": f"u{draw.randrange(n + n // 4)}" for i in range(n)} | {f"c{i}": f"c{i + 1}" for i in range(40)}
+        got = {r.url: r.terminal for r in graph.terminals(spark.createDataFrame(list(hops.items()), "url string, `to` string")).collect()}
+        assert got == {u: chase(hops, u) for u in hops}
+    assert graph.terminals(spark.createDataFrame([], "url string, `to` string")).count() == 0
+
+
+def test_dead_links_judge_by_status_alone(spark):
+    pages = [("ok", "html", 200, None), ("gone", "error", 404, None), ("bad", "error", 503, None), ("slow", "error", 429, None), ("time", "error", None, "TIMEOUT"), ("many", "error", None, "REDIRECT_LIMIT"), ("odd", "error", None, None), ("blocked", "robots-blocked", None, None), ("l1", "redirect", 301, None), ("l2", "redirect", 301, None), ("r", "redirect", 302, None)]
+    edges = [("p", u, "anchor", True) for u, *_ in pages] + [("p", "never", "anchor", True), ("p", "gone", "anchor", False), ("p", "gone", "redirect", True)]
+    hops = spark.createDataFrame([("l1", "l2"), ("l2", "l1"), ("r", "gone")], "url string, `to` string")
+    got = graph.dead_links(spark.createDataFrame(edges, "`from` string, `to` string, type string, internal boolean"), spark.createDataFrame(pages, "url string, state string, status int, error_code string"), hops)
+    assert {r.to: (r.verdict, r.reason) for r in got.collect()} == {
+        "gone": ("dead", "http-error"), "bad": ("dead", "http-error"), "r": ("dead", "http-error"), "slow": ("unverified", "throttled"), "time": ("unverified", "unreachable"), "many": ("unverified", "redirect-limit"), "odd": ("unverified", "unknown"),
+    }
 
 
 def test_edges_keep_the_first_five_texts(spark):
@@ -154,10 +184,11 @@ def test_rollup(spark):
     got = rollup.cross_cutting(df).orderBy("rank").collect()
     assert [(r.factor_id, r.status, r.avg_score, r.affected_pages, r.applicable_avg_score) for r in got] == [("citations", "sitewide", 70, 1, 70), ("faq-content", "limited", 17, 2, 34)]
     pages = spark.createDataFrame([(f"https://a.test/{i}", " T " if i < 2 else f"t{i}", None) for i in range(5)] + [("https://a.test/", None, None)], "url string, title string, description string")
-    assert [r.urls for r in rollup.duplicates(pages).collect()] == [["https://a.test/0", "https://a.test/1"]]
+    assert sorted((r.value, r.url, r.n_urls) for r in rollup.duplicates(pages).collect()) == [("T", "https://a.test/0", 2), ("T", "https://a.test/1", 2)]
     links = spark.createDataFrame([("https://a.test/0?x",), ("https://a.test/1/",)], "to string")
-    assert {r.url for r in rollup.orphans(pages, links).collect()} == {f"https://a.test/{i}" for i in (2, 3, 4)}
-    assert rollup.orphans(pages.limit(3), links).count() == 0
+    assert {r.url for r in rollup.orphans(pages, links, "https://a.test/x").collect()} == {f"https://a.test/{i}" for i in (2, 3, 4)}
+    assert "https://a.test/" in {r.url for r in rollup.orphans(pages, links, "https://b.test/").collect()}
+    assert rollup.orphans(pages.limit(3), links, "https://a.test/").count() == 0
 
 
 def test_compare(spark):
@@ -195,6 +226,11 @@ def test_platforms(spark):
 def test_sources(spark, tmp_path):
     docs = spark.createDataFrame([("i", "<sitemapindex><sitemap><loc>a</loc></sitemap></sitemapindex>"), ("a", "<urlset><url><loc> https://x.test/?a=1&amp;b=2 </loc><priority>0.8</priority></url><url><loc><![CDATA[https://x.test/c]]></loc></url></urlset>")], "sitemap_url string, body string")
     assert {(r.loc, r.priority) for r in site.resolved_sitemap(docs, "i").collect()} == {("https://x.test/?a=1&b=2", 0.8), ("https://x.test/c", None)}
+    odd = spark.createDataFrame([("i", "<sitemapindex><sitemap><loc><![CDATA[https://x.test/s&#46;xml]]></loc></sitemap></sitemapindex>")], "sitemap_url string, body string")
+    assert [r.loc for r in site.child_sitemaps(odd).collect()] == ["https://x.test/s.xml"]
+    cases = {"a&#47;b&#x2F;c": "a/b/c", "&amp;lt;&lt;": "&lt;<", "&#0128512;&#x1F600;": "😀😀", "&#1114112;&#xD800;&#;": "&#1114112;&#xD800;&#;", "&#38;#47;": "&#47;", "plain": "plain", "&#65;": "A"}
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    assert {r.s: r.x for r in df.select("s", X.xml_unescaped(F.col("s")).alias("x")).collect()} == cases
     (tmp_path / "blog").mkdir()
     (tmp_path / "index.html").write_text("<h1>a</h1>")
     (tmp_path / "blog" / "post one.html").write_text("<h1>b</h1>")
@@ -216,3 +252,83 @@ def test_freshness_uses_the_given_day(spark):
 def test_shares_of_results(spark):
     pages = spark.createDataFrame([(1, "https://a.test/", STRONG)], "page_id long, url string, html string")
     assert abs(sum(float(r.share_pct) for r in factor_results(page_audits(pages)).collect()) - 100) < 1e-9
+
+
+def test_keys_order_equal_names_by_value():
+    from weftline.functions.urls import crawl_key
+
+    assert crawl_key("https://a.test/?b=2&a=2&a=1&B=0&utm_source=x") == "https://a.test/?a=1&a=2&b=2&B=0"
+    assert crawl_key("https://a.test/?a-b=1&a_b=2&ab=3&é=4&e=5&f=6") == "https://a.test/?a_b=2&a-b=1&ab=3&e=5&%C3%A9=4&f=6"
+
+
+def test_references_may_name_their_type():
+    from weftline.functions import jsonld
+
+    blocks = jsonld.load_blocks(['[{"@type":"FAQPage","mainEntity":[{"@type":"Question","@id":"#q"}]},{"@id":"#q","@type":"Question","name":"x"}]'])
+    nodes = jsonld.Nodes(blocks, "https://a.test/")
+    assert nodes.resolve({"@type": "Question", "@id": "#q"})["name"] == "x"
+    assert not jsonld.is_reference({"@id": "#q", "name": "x"}) and not jsonld.is_reference({"@type": "Question"})
+
+
+#: How many finding codes the registry has for factors whose codes all stand in their source.
+REGISTERED = {"content-depth": 14, "eeat-signals": 13, "faq-content": 11, "citations": 11, "schema-validity": 5, "content-freshness": 16, "content-extractability": 14, "definition-blocks": 9, "ai-crawler-access": 11, "named-entities": 9}
+
+
+def test_codes_are_as_many_as_registered(spark):
+    import inspect
+    import re
+
+    from weftline.operators import factors
+
+    assert {k: len(set(re.findall(r'f"\{c\}\.([a-z0-9.-]+)"', inspect.getsource(factors.BUILDERS[k])))) for k in REGISTERED} == REGISTERED
+    odd = "<html><head><link rel=canonical href='/a'><link rel=canonical href='/b' media=x></head><body><link rel=canonical href='/c'><h1>a</h1></body></html>"
+    rows = [(1, "https://a.test/", STRONG, [0.5, None]), (2, "https://a.test/2", odd, None), (3, "https://a.test/3", "", [None])]
+    env = Env(psi=F.col("psi"), identity=F.when(F.col("page_id") == 1, "mismatch").otherwise("match"), negotiates=F.lit(True))
+    audits = page_audits(spark.createDataFrame(rows, "page_id long, url string, html string, psi array<double>"), env, optional=("geographic-signals", "agent-skill-exposure", "lighthouse"))
+    got = {r.code for r in audits.select(F.explode("factors").alias("f")).select(F.explode("f.findings.code").alias("code")).collect()}
+    assert {
+        "lighthouse.category.score", "lighthouse.category.missing", "lighthouse.category.none", "lighthouse.psi.unreachable", "entity-consistency.schema-identity.mismatch", "technical-seo.canonical.ignored-location", "technical-seo.canonical.ignored-attributes",
+        "ai-access-files.content-negotiation.found", "citations.sameas.missing", "eeat-signals.author.missing", "schema-completeness.schema.none", "structured-data.site-category.detected", "geographic-signals.visible-location.missing", "agent-skill-exposure.mcp-discovery.missing",
+    } <= got
+
+
+@pytest.mark.parametrize(("directives", "codes"), [("noindex, nosnippet, noarchive", ["noindex.present", "nosnippet.present", "noarchive.present"]), ("max-snippet:20, noimageindex", ["max-snippet.low", "noimageindex.present"]), ("max-snippet:0", ["max-snippet.zero"]), ("index", ["directives.not-restrictive"]), ("", ["directives.none"])])
+def test_every_directive_gives_a_finding(spark, directives, codes):
+    _, f = audit(spark, f'<html><head><meta name="robots" content="{directives}"></head></html>')
+    assert [x.code for x in f["snippet-eligibility"].findings] == [f"snippet-eligibility.{c}" for c in codes]
+
+
+def test_canonical_targets_lower_the_score(spark):
+    from weftline.functions.page import parsed
+    from weftline.plans.audit import with_targets
+
+    page = lambda i: (i, f"https://a.test/{i}", f'<html><head><title>x</title><link rel="canonical" href="https://a.test/t{i}"></head><body></body></html>')
+    got = parsed(spark.createDataFrame([page(i) for i in range(5)], "page_id long, url string, html string"))
+    targets = spark.createDataFrame([("https://a.test/t1", "ok", 200, 0), ("https://a.test/t2", "ok", 200, 1), ("https://a.test/t3", "timeout", None, 0), ("https://a.test/t4", "unreachable", 404, 0)], "url string, state string, status int, hops int")
+    rows, env = with_targets(got, targets)
+    out = page_audits(rows, env, only=["technical-seo"], already_parsed=True).select("page_id", F.col("factors")[0].alias("f")).collect()
+    assert {r.page_id: r.f.score for r in out} == {0: 40, 1: 40, 2: 35, 3: 35, 4: 30}
+    codes = {r.page_id: [f.code.split(".", 2)[-1] for f in r.f.findings if ".canonical." in f.code] for r in out}
+    assert codes == {0: ["present"], 1: ["present", "reachable"], 2: ["present", "redirected", "reachable"], 3: ["present", "timeout"], 4: ["present", "unreachable"]}
+
+
+def test_evidence_is_capped_but_counted(spark):
+    rows = [(1, "a", "title", i, None, "b", "B C", 0, 3, "x") for i in range(40)] + [(1, "a", "title", 0, None, "b", "B C", 9, 12, "x")]
+    got = entities.evidence(spark.createDataFrame(rows, "page_id int, owner string, field string, ord int, question string, entity string, name string, start int, end int, snippet string"), ("page_id", "ord")).collect()
+    assert len(got) == 40
+    rows = [(1, "a", "title", i, None, f"e{i}", "B C", 0, 3, "x") for i in range(40)]
+    got = entities.evidence(spark.createDataFrame(rows, "page_id int, owner string, field string, ord int, question string, entity string, name string, start int, end int, snippet string")).collect()
+    assert len(got) == 40 and sum(r.listed for r in got) == entities.MAX_EVIDENCE
+
+
+def test_static_files_and_paths(spark, tmp_path):
+    (tmp_path / "llms.txt").write_text("word " * 5)
+    got = {r.kind: (r.state, r.host) for r in site.disk_files(spark, str(tmp_path), "https://s.test/").collect()}
+    assert got == {"llmsTxt": ("ok", "s.test"), "llmsFullTxt": ("missing", "s.test"), "robotsTxt": ("missing", "s.test"), "sitemapXml": ("missing", "s.test")}
+    robots_files = spark.createDataFrame([("https://s.test", "Sitemap: /a.xml\nSITEMAP: https://o.test/b.xml\nsitemap: https://s.test/c.xml # x")], "site string, body string")
+    assert {r.sitemap_url for r in site.directive_sitemaps(robots_files).collect()} == {"https://s.test/a.xml", "https://s.test/c.xml"}
+    assert [site.static_target(x) for x in ("https://a.test", "./x", "/x", "~/x", "a.test", "dir")] == [False, True, True, True, False, False] and site.static_target("dir", exists=True)
+    from weftline.functions.urls import route_path
+
+    df = spark.createDataFrame([(x,) for x in ("https://a.test/x/?q", "x", "/x//", "", "/", "https://a.test")], "p string")
+    assert [r.r for r in df.select(route_path(F.col("p")).alias("r")).collect()] == ["/x", "/x", "/x", "/", "/", "/"]

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline import samples
 from weftline.functions import text as X
 from weftline.functions import urls as U
 from weftline.functions.page import parsed
 from weftline.functions.tables import cut
 from weftline.operators import compare, entities, graph, identity, platforms, robots, rollup, scoring, templates
-from weftline.operators.factors import WEIGHTS, Env, factor_array
+from weftline.operators.factors import OPTIONAL, WEIGHTS, Env, factor_array
 from weftline.plans.audit import factor_results, page_audits
 from weftline.sources import site
 
@@ -83,9 +84,18 @@ def technical_seo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _factor(spark, sf_dir, "technical-seo").drop("codes")
 
 
-@query("select page_id, 100::int as score from pages")
+def _sampled(f: str) -> str:
+    return f"{samples.scores_sql()} select page_id, score from s where factor_id = '{f}'"
+
+
+@query(_sampled("snippet-eligibility"))
 def snippet_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _factor(spark, sf_dir, "snippet-eligibility").drop("codes")
+    return _sample_factor(spark, sf_dir, "snippet-eligibility")
+
+
+def _sample_factor(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    one = F.get(F.filter("factors", lambda f: f["factor_id"] == name), F.lit(0))
+    return samples.audits(spark, sf_dir).select("page_id", one["score"].alias("score"))
 
 
 _HEAD = "(select lower(trim(regexp_replace(regexp_extract(clean, '<h1>(.*?)</h1>', 1, 's'), '<[^>]*>', '', 'g'))))"
@@ -96,23 +106,86 @@ def definition_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _factor(spark, sf_dir, "definition-blocks").drop("codes")
 
 
-@query("select page_id, 0::int as score from pages")
+@query(_sampled("faq-content"))
 def faq_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _factor(spark, sf_dir, "faq-content").drop("codes")
-
-
-@query()
+    return _sample_factor(spark, sf_dir, "faq-content")
+
+
+@query(f"{samples.scores_sql(('geographic-signals',))} select page_id, factor_id, score, applies from s")
+def sample_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All core factors, and one of the others, of pages made to give each several scores; with headers and files."""
+    rows = samples.audits(spark, sf_dir, optional=("geographic-signals",)).select("page_id", F.explode("factors").alias("f")).select("page_id", "f.*")
+    return rows.select("page_id", "factor_id", "score", scoring.applies(F.col("factor_id"), F.col("score"), F.col("applicable")).alias("applies"))
+
+
+_DEFECTS = [("missing-h1", "critical", "k % 3 = 0"), ("multiple-h1", "critical", "k % 3 = 2"), ("missing-title", "critical", "k % 4 = 0"), ("missing-meta-description", "warning", "k % 5 in (0, 4)")]
+
+
+@query(f"""{samples.scores_sql()},
+o as (select page_id, floor(sum(weight * score) filter (applies) / sum(weight) filter (applies) + 0.5)::int as overall_score from s group by page_id),
+d as (select page_id as k, {' || '.join(f"case when {cond.replace('k', 'page_id')} then '{name} ' else '' end" for name, _, cond in _DEFECTS)} as defects from pages)
+select page_id, overall_score, trim(defects) as defects from o join d on k = page_id""")
+def sample_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weighted score over the factors that apply, and the defects, of made pages."""
+    return samples.audits(spark, sf_dir).select("page_id", "overall_score", F.array_join(F.transform("defects", lambda d: d["id"]), " ").alias("defects"))
+
+
+@query(f"""{samples.scores_sql()},
+w as (select *, sum(weight) filter (applies) over (partition by page_id) as total from s),
+e as (select *, case when applies then weight * 1000 // total else 0 end as base, case when applies then weight * 1000 % total else -1 end as rest from w),
+r as (select *, row_number() over (partition by page_id order by rest desc, weight desc, factor_id) as place, 1000 - sum(base) over (partition by page_id) as more from e)
+select page_id, factor_id, ((base + case when applies and place <= more then 1 else 0 end) / 10.0)::double as share_pct from r""")
+def sample_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of a page's score each factor makes, by largest remainder among those that apply."""
+    rows = samples.audits(spark, sf_dir).select("page_id", F.explode(scoring.with_shares(F.col("factors"))).alias("f"))
+    return rows.select("page_id", "f.factor_id", F.col("f.share_pct").cast("double").alias("share_pct"))
+
+
+_FIRST = r"trim(string_split_regex(title, '[|\-–—]')[1])"
+_NORMAL = rf"trim(regexp_replace(regexp_replace(regexp_replace(lower({_FIRST}), '[^a-z0-9\s]', ' ', 'g'), '\b(llc|inc|corp|co|ltd|agency|company)\b', '', 'g'), '\s+', ' ', 'g'))"
+_WORDS_OF = "len(list_filter(string_split(trim(regexp_replace(split_part(split_part(x, '</p>', 1), '</article>', 1), '<[^>]*>', '', 'g')), ' '), lambda y: y <> ''))"
+#: What the factors score on the test pages, which have no structured data, headers, files, canonical links, forms or external links.
+PAGE_FACTORS_SQL = rf"""{PAGES_SQL},
+v as (
+  select w.*, {_FIRST} as brand, {_NORMAL} as entity, len(list_filter(list_transform(string_split(clean, '<p>')[2:], lambda x: {_WORDS_OF}), lambda n: n between 40 and 200)) as citable,
+    len(list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^[A-Z][a-zA-Z0-9]+$'))) / greatest(n_words, 1) as proper,
+    case when regexp_extract(lower(clean), '<h1>(.*?)</h1>', 1, 's') ~ '^(what is|how to|why).*' then 18 else 0 end as defs
+  from w join c using (page_id)),
+u as (
+  select *, case when brand = '' then 0 else (length(lower(text)) - length(replace(lower(text), lower(brand), ''))) // length(lower(brand)) end as told from v),
+fs as (
+  select page_id, url, map {{
+    'structured-data': 0, 'content-depth': {_DEPTH}, 'ai-access-files': 0, 'eeat-signals': 0, 'faq-content': 0, 'citations': 24, 'schema-completeness': 0, 'schema-validity': 100,
+    'entity-consistency': case when entity = '' then 0 else 40 end + case when length(title) between 1 and 70 then 10 else 0 end, 'content-freshness': 6,
+    'content-extractability': 25 + case when citable >= 5 then 25 when citable >= 2 then 15 else 5 end + 20, 'definition-blocks': defs, 'ai-crawler-access': 30,
+    'named-entities': case when brand = '' then 0 when told >= 3 then 36 when told > 0 then 20 else 6 end + 10 + case when proper >= 0.08 then 30 when proper >= 0.04 then 18 else 8 end,
+    'technical-seo': case when n_h1 = 1 then 40 when n_h1 = 0 then 0 else 20 end + 30, 'snippet-eligibility': 100, 'geographic-signals': case when regexp_matches(text, '(?i)\b\d{{1,5}}\s+[A-Za-z0-9.''\-\s]+,?\s+[A-Za-z.''\-\s]+,?\s+[A-Z]{{2}}\b') then 12 else 0 end, 'agent-skill-exposure': 0}} as scores, defs, title, n_h1
+  from u)"""
+
+
+def _page_factors_sql(extra: tuple[str, ...] = ()) -> str:
+    known = WEIGHTS | OPTIONAL
+    weights = ", ".join(f"('{k}', {known[k][1]})" for k in (*WEIGHTS, *extra))
+    return f"with {PAGE_FACTORS_SQL}, ws(factor_id, weight) as (values {weights}), r as (select page_id, url, factor_id, weight, scores[factor_id]::int as score, factor_id <> 'faq-content' and (factor_id <> 'definition-blocks' or defs > 0) as applies, title, n_h1 from fs cross join ws)"
+
+
+@query(f"""{_page_factors_sql()} select page_id, url, floor(sum(weight * score) filter (applies) / sum(weight) filter (applies) + 0.5)::int as overall_score,
+  trim(case when any_value(n_h1) = 0 then 'missing-h1 ' when any_value(n_h1) > 1 then 'multiple-h1 ' else '' end || case when any_value(title) = '' then 'missing-title ' else '' end || 'missing-meta-description') as defects, 'success' as status from r group by page_id, url""")
 def page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: all core factors of every page and the weighted score."""
-    return page_audits(table(spark, sf_dir, "pages")).select("page_id", "url", "overall_score", "summary", F.transform("factors", lambda f: F.struct(f["factor_id"], f["score"])).alias("scores"), F.transform("defects", lambda d: d["id"]).alias("defects"), "status")
+    """The flagship: all core factors of every page, the weighted score and the defects."""
+    return page_audits(table(spark, sf_dir, "pages")).select("page_id", "url", "overall_score", F.array_join(F.transform("defects", lambda d: d["id"]), " ").alias("defects"), "status")
 
 
-@query()
+@query(f"""{_page_factors_sql(("geographic-signals", "agent-skill-exposure"))},
+tw as (select *, sum(weight) filter (applies) over (partition by page_id) as total from r),
+e as (select *, case when applies then weight * 1000 // total else 0 end as base, case when applies then weight * 1000 % total else -1 end as rest from tw),
+q as (select *, row_number() over (partition by page_id order by rest desc, weight desc, factor_id) as place, 1000 - sum(base) over (partition by page_id) as more from e)
+select page_id, factor_id, weight::int as weight, score, applies, ((base + case when applies and place <= more then 1 else 0 end) / 10.0)::double as share_pct from q""")
 def page_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each page and factor, optional ones included, with findings and shares."""
+    """A row for each page and factor, two optional ones included, with its share of the page's score."""
     audits = page_audits(table(spark, sf_dir, "pages"), optional=("geographic-signals", "agent-skill-exposure"))
-    rows = factor_results(cut(audits.select("page_id", "url", "overall_score", "factors", "status")))
-    return rows.select("page_id", "factor_id", "weight", "score", "applies", "share_pct", F.transform("findings", lambda f: f["code"]).alias("codes"))
+    rows = factor_results(audits.select("page_id", "url", "overall_score", "factors", "status"))
+    return rows.select("page_id", "factor_id", "weight", "score", "applies", F.col("share_pct").cast("double").alias("share_pct"))
 
 
 _WEIGHTS = ", ".join(f"('{k}', {w})" for k, (_, w) in WEIGHTS.items())
@@ -126,9 +199,9 @@ r as (select *, row_number() over (order by rest desc, weight desc, factor_id) a
 select factor_id, weight::int as weight, ((base + case when place <= more then 1 else 0 end) / 10.0)::double as share_pct from r
 """)
 def factor_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, k, w, 80) for k, (_, w) in WEIGHTS.items()], "page_id int, factor_id string, weight int, score int")
-    out = scoring.shares(rows.withColumn("applicable", F.lit(True)))
-    return out.select("factor_id", "weight", F.col("share_pct").cast("double").alias("share_pct"))
+    one = [F.struct(F.lit(k).alias("factor_id"), F.lit(w).alias("weight"), F.lit(80).alias("score"), F.lit(True).alias("applicable")) for k, (_, w) in WEIGHTS.items()]
+    rows = spark.range(1).select(F.explode(scoring.with_shares(F.array(*one))).alias("f")).select("f.*")
+    return rows.select("factor_id", "weight", F.col("share_pct").cast("double").alias("share_pct"))
 
 
 @query(rf"""with {PAGES_SQL}, d as (select page_id, url, {_ORIGIN} || replace(unnest(hrefs), '|', '|') as u from w)
@@ -157,17 +230,18 @@ def link_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(graph.edges(_anchors(spark, sf_dir)))
 
 
-@query(f"with {PAGES_SQL} select 'site.duplicate-title' as code, title as value, array_to_string(list_sort(list(distinct url)), ' ') as urls from w where title <> '' group by title having count(distinct url) >= 2")
+@query(f"with {PAGES_SQL}, t as (select title, count(distinct url) as n from w where title <> '' group by title) select distinct 'site.duplicate-title' as code, title as value, url, n as n_urls from w join t using (title) where n >= 2")
 def duplicate_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_pages(spark, sf_dir).select("url", "page.title", F.col("page.meta_description").alias("description"))
-    return rollup.duplicates(pages).withColumn("urls", F.array_join("urls", " "))
+    return rollup.duplicates(pages)
 
 
 @query(rf"""{_EDGES_SQL},
 k as (select url, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', '') as key from pages), t as (select distinct regexp_replace(regexp_replace("to", '[?#].*$', ''), '/$', '') as key from e)
-select url from k where key not in (select key from t) and (select count(*) from pages) >= 5 and regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) not in ('', '/')""")
+select url from k where key not in (select key from t) and (select count(*) from pages) >= 5 and key <> (select regexp_extract(url, '^[a-z]+://[^/?#]*') from pages order by page_id limit 1)""")
 def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.orphans(table(spark, sf_dir, "pages").select("url"), _anchors(spark, sf_dir).select("to"))
+    pages = table(spark, sf_dir, "pages")
+    return rollup.orphans(pages.select("url"), _anchors(spark, sf_dir).select("to"), pages.orderBy("page_id").first().url)
 
 
 _SEG = "list_filter(string_split(lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '/'), lambda x: x <> '')"
@@ -204,11 +278,17 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.sample(items, 25, spread="host").select("ord", "template")
 
 
-@query(r"""with q as (select page_id, regexp_replace(url, '#.*$', '') as u from pages),
-s as (select page_id, regexp_extract(u, '^[^?]*') as base, list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|gclid|fbclid)='))) as kept from q)
-select page_id, base || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end as key from s""")
+@query(r"""with q as (select page_id, regexp_replace(url, '[?#].*$', '') as base, regexp_extract(url, '\?([^#]*)', 1) as own, page_id as k from pages),
+p as (select page_id, base, list_filter(string_split(own || '&b=' || k % 7 || '&a=' || k % 5 || '&a=' || k % 3 || '&utm_medium=x&B=1&gclid=' || k || '&c_d=' || k % 2 || '&c-d=2', '&'), lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|gclid|fbclid)=')) as kept from q),
+e as (select page_id, base, unnest(kept) as pair from p),
+o as (select page_id, base, pair, split_part(pair, '=', 1) as name, split_part(pair, '=', 2) as value from e)
+select page_id, base || '?' || string_agg(pair, '&' order by translate(lower(name), '_-', '!"'), case when name = lower(name) then 0 else 1 end, value) as key from o group by page_id, base""")
 def crawl_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", U.crawl_key_of(F.col("url")).alias("key"))
+    """Keys of the pages' URLs with more parameters: equal names go by value, names as people order words, tracking ones out."""
+    k = lambda n: (F.col("page_id") % n).cast("string")
+    base, own = F.regexp_replace("url", r"[?#].*$", ""), F.regexp_extract("url", r"\?([^#]*)", 1)
+    more = F.concat(F.lit("?"), own, F.lit("&b="), k(7), F.lit("&a="), k(5), F.lit("&a="), k(3), F.lit("&utm_medium=x&B=1&gclid="), F.col("page_id").cast("string"), F.lit("&c_d="), k(2), F.lit("&c-d=2#top"))
+    return table(spark, sf_dir, "pages").select("page_id", U.crawl_key_of(F.concat(base, more)).alias("key"))
 
 
 ROBOTS = "User-agent: GPTBot\nDisallow: /de/\nAllow: /de/1\nContent-Signal: search=yes, ai-input=no\n\nUser-agent: *\nDisallow: /fr/\nAllow: /fr/2\nDisallow:\nSitemap: /sitemap.xml"
@@ -258,18 +338,18 @@ def page_indexability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", got["state"].alias("verdict"))
 
 
-_TRADE = """t as (select distinct 's' || l_suppkey as a, 'p' || (l_partkey % 97) as b from lineitem where l_quantity >= 49), e as (select a as "from", b as "to" from t union select b, a from t)"""
+_TRADE = """t as (select distinct 's' || l_suppkey as a, 'p' || l_partkey as b from lineitem), e as (select a as "from", b as "to" from t union select b, a from t)"""
 
 
 def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), (F.col("l_partkey") % 97).cast("string")).alias("b")).distinct()
+    rows = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b")).distinct()
     return rows.select(F.col("a").alias("from"), F.col("b").alias("to")).union(rows.select("b", "a"))
 
 
-@query(f"""with recursive {_TRADE}, r(url, depth) as (select 's1', 0 union select e."to", depth + 1 from r join e on e."from" = r.url where depth < 12)
+@query(f"""with recursive {_TRADE}, r(url, depth) as (select 's1', 0 union select e."to", depth + 1 from r join e on e."from" = r.url where depth < 9)
 select url, min(depth)::int as depth from r group by url""")
 def link_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depths on the graph of suppliers and part groups, which is connected."""
+    """Depths on the graph of suppliers and their parts, from the first supplier."""
     return graph.depths(_trade(spark, sf_dir), spark.createDataFrame([("s1",)], "url string"))
 
 
@@ -287,14 +367,17 @@ def link_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of up to ten hops and some loops, made from order keys."""
+    """Chains of up to ten hops, loops of five with ways into them, and redirects to themselves, made from order keys."""
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k")).distinct()
-    to = F.when(F.col("k") % 10 != 9, F.col("k") + 1).when(F.col("k") % 100 == 99, F.col("k") - 9)
+    to = F.when(F.col("k") % 1000 == 500, F.col("k")).when(F.col("k") % 10 != 9, F.col("k") + 1).when(F.col("k") % 100 == 99, F.col("k") - 4)
     return rows.withColumn("to", to).where("to is not null").select(F.concat(F.lit("u"), "k").alias("url"), F.concat(F.lit("u"), F.col("to").cast("string")).alias("to"))
 
 
-_HOPS = "h as (select distinct 'u' || o_orderkey as url, 'u' || (case when o_orderkey % 10 <> 9 then o_orderkey + 1 when o_orderkey % 100 = 99 then o_orderkey - 9 end) as \"to\" from orders), g as (select * from h where \"to\" is not null)"
-_ENDS = f"""{_HOPS}, r(url, hop, d) as (select url, "to", 1 from g union all select r.url, g."to", d + 1 from r join g on g.url = r.hop where d < 25), m as (select url, arg_max(hop, d) as terminal, max(d) as d from r group by url), z as (select url, case when d < 25 then terminal end as terminal from m)"""
+_HOPS = "h as (select distinct 'u' || o_orderkey as url, 'u' || (case when o_orderkey % 1000 = 500 then o_orderkey when o_orderkey % 10 <> 9 then o_orderkey + 1 when o_orderkey % 100 = 99 then o_orderkey - 4 end) as \"to\" from orders), g as (select * from h where \"to\" is not null)"
+_ENDS = f"""{_HOPS}, r(url, cur, seen, closed) as (
+  select url, "to", [url, "to"], "to" = url from g
+  union all select r.url, g."to", list_append(seen, g."to"), list_contains(seen, g."to") from r join g on g.url = r.cur where not closed),
+z as (select url, arg_max(cur, len(seen)) as terminal from r group by url)"""
 
 
 @query(f"with recursive {_ENDS} select url, terminal from z")
@@ -302,19 +385,25 @@ def redirect_terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.terminals(_redirects(spark, sf_dir))
 
 
-@query(f"""with recursive {_ENDS}, k as (select distinct o_orderkey as k from orders), e as (select 'root' as "from", 'u' || k as "to" from k where k % 3 = 0),
-v as (select "from", "to", case when z.url is not null and z.terminal is null then null else coalesce(z.terminal, e."to") end as terminal from e left join z on z.url = e."to"),
-s as (select v.*, (substr(terminal, 2)::bigint) % 11 as m from v),
-q as (select "from", "to", terminal, case when terminal is null then 'redirect-loop' when m = 0 then 'http-404' when m = 1 then 'rate-limited' when m = 2 then 'server-error' when m = 3 then 'not-visited' when m = 4 then 'timeout' end as reason from s)
-select "from", "to", terminal, case when reason in ('redirect-loop', 'http-404') then 'dead' else 'unverified' end as verdict, reason from q where reason is not null""")
+@query(f"""with recursive {_ENDS}, k as (select distinct o_orderkey as k from orders), e as (select 'root' as "from", 'u' || k as "to" from k where k % 13 <> 5),
+v as (select "from", "to", coalesce(z.terminal, e."to") as terminal from e left join z on z.url = e."to"),
+a as (select distinct k as n from (select k from k union all select k + 1 from k union all select k - 4 from k)),
+p as (select 'u' || n as url, 'u' || n in (select url from g) as redirect, case n % 11 when 0 then 404 when 1 then 429 when 2 then 503 else 200 end as status, n % 11 as m from a where n % 11 <> 3),
+s as (select v.*, redirect, m, case when redirect then 301 when m in (4, 5, 6, 7) then null else status end as status from v join p on p.url = v.terminal),
+q as (select *, case when redirect then null when m = 1 then 'throttled' when m = 4 then 'unreachable' when m = 5 then 'body-too-large' when m = 6 then 'redirect-limit' when m = 7 then 'unknown' when status >= 400 then 'http-error' end as reason from s)
+select "from", "to", terminal, case when reason = 'http-error' then 'dead' else 'unverified' end as verdict, reason, status::int as status from q where reason is not null""")
 def dead_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hops = _redirects(spark, sf_dir)
+    """Links to order keys: some external, some to pages never visited, answers of every kind at the ends of redirects and loops."""
+    hops = cut(_redirects(spark, sf_dir))
     keys = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k")).distinct()
-    edges = keys.where("k % 3 = 0").select(F.lit("root").alias("from"), F.concat(F.lit("u"), "k").alias("to"))
-    ends = keys.select("k").union(keys.select(F.col("k") + 1)).union(keys.select(F.col("k") - 9)).distinct()
-    m = F.col("k") % 11
-    status = F.when(m == 0, 404).when(m == 1, 429).when(m == 2, 503).when(m == 4, F.lit(None).cast("int")).otherwise(200)
-    pages = ends.where(m != 3).select(F.concat(F.lit("u"), "k").alias("url"), F.lit("html").alias("state"), status.alias("status"), F.when(m == 4, "TIMEOUT").alias("error_code"))
+    edges = keys.select(F.lit("root").alias("from"), F.concat(F.lit("u"), "k").alias("to"), F.lit("anchor").alias("type"), (F.col("k") % 13 != 5).alias("internal"))
+    ends = keys.select("k").union(keys.select(F.col("k") + 1)).union(keys.select(F.col("k") - 4)).distinct().withColumn("url", F.concat(F.lit("u"), "k"))
+    m, moved = F.col("k") % 11, F.col("moved").isNotNull()
+    ends = ends.join(hops.select("url", F.lit(True).alias("moved")), "url", "left")
+    status = F.when(moved, 301).when(m == 0, 404).when(m == 1, 429).when(m == 2, 503).when(m.isin(4, 5, 6, 7), F.lit(None).cast("int")).otherwise(200)
+    state = F.when(moved, "redirect").when((m <= 2) | m.isin(4, 5, 6, 7), "error").otherwise("html")
+    error = F.when(m == 4, "TIMEOUT").when(m == 5, "BODY_TOO_LARGE").when(m == 6, "REDIRECT_LIMIT")
+    pages = ends.where(m != 3).select("url", state.alias("state"), status.alias("status"), error.alias("error_code"))
     return graph.dead_links(edges, pages, hops)
 
 
@@ -351,49 +440,98 @@ def cross_cutting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.cross_cutting(rows).select("factor_id", "avg_score", "affected_pages", "total_pages", "best_score", "best_page_url")
 
 
-@query()
+_FIXED = ["content-depth", "technical-seo"]
+
+
+@query(f"""with {PAGES_SQL}, {_SHAPES.lstrip().replace('s as (', 'sh as (', 1).replace('from s)', 'from sh)').replace('from s left join y on s.page_id', 'from sh as s left join y on s.page_id')},
+n as (select count(distinct template) as n from t), av as (select avg({_DEPTH}) as depth, avg(case when n_h1 = 1 then 70 when n_h1 = 0 then 30 else 50 end) as seo, count(*) as pages, count(*) filter (n_h1 <> 1) as bad,
+  count(*) filter (({_DEPTH}) < 70) as low, count(*) filter (n_h1 <> 1) as seo_low, count(distinct url) as urls from w),
+i as (
+  select 'content-depth' as id, 'Content Depth' as title, floor(depth + 0.5) as mean, low as affected from av
+  union all select 'technical-seo', 'Technical SEO', floor(seo + 0.5), seo_low from av)
+select row_number() over (order by i.affected desc, mean, title)::int as priority, 'cross-cutting' as kind, id, title, av.urls::bigint as affected_pages, floor(av.urls / av.pages * 100 + 0.5)::int as prevalence_pct, n.n::bigint as template_count, false as affects_homepage from i, av, n""")
 def prioritized_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every defect and cross-cutting issue of the site, ranked."""
+    """What two factors ask for on all pages, ranked, with how many templates it touches."""
     pages = table(spark, sf_dir, "pages")
-    audits = cut(page_audits(pages).select("page_id", "url", "overall_score", "factors", "defects", "status"))
+    audits = cut(page_audits(pages, only=_FIXED).select("page_id", "url", "overall_score", "factors", "defects", "status"))
     rows = factor_results(audits)
     units = templates.shapes(pages.select("url").distinct()).select("url", "template")
-    return rollup.fixes(rollup.cross_cutting(rows), rollup.recommendations(rows), rollup.defect_groups(audits), units, pages.count())
+    bad = rollup.defect_pages(audits)
+    return rollup.fixes(rollup.cross_cutting(rows), rollup.recommendations(rows), rollup.defect_groups(bad), bad, units, pages.count())
 
 
-@query(f"with {PAGES_SQL} select 'missing-meta-description' as id, 'warning' as severity, count(*)::bigint as n_pages, 0::int as homepage from w")
+@query(f"""with {samples.COUNTS.lstrip()}, d as ({' union all '.join(f"select '{name}' as id, '{severity}' as severity, k from c where {cond}" for name, severity, cond in _DEFECTS)})
+select id, severity, count(*)::bigint as n_pages, 0::int as homepage from d group by id, severity""")
 def defect_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.defect_groups(page_audits(table(spark, sf_dir, "pages"), only=["content-depth"])).select("id", "severity", "n_pages", "homepage")
-
-
-@query()
+    """How many of the made pages have each defect."""
+    return rollup.defect_groups(rollup.defect_pages(samples.audits(spark, sf_dir))).select("id", "severity", "n_pages", "homepage")
+
+
+@query(f"""with recursive {PAGES_SQL}, {_SHAPES.lstrip().replace('s as (', 'sh as (', 1).replace('from s)', 'from sh)').replace('from s left join y on s.page_id', 'from sh as s left join y on s.page_id')},
+fs as (select w.page_id, w.url, t.template, ({_DEPTH})::int as depth, (case when n_h1 = 1 then 70 when n_h1 = 0 then 30 else 50 end)::int as seo from w join t on t.page_id = w.page_id),
+g as (select template, depth, seo, count(*) as n, row_number() over (partition by template order by depth, seo) as place from fs group by template, depth, seo),
+r(template, place, depth, seo, n, head_depth, head_seo, cluster) as (
+  select template, place, depth, seo, n, depth, seo, 0 from g where place = 1
+  union all select g.template, g.place, g.depth, g.seo, g.n, case when far then g.depth else r.head_depth end, case when far then g.seo else r.head_seo end, cluster + far::int
+  from (select r.*, g.place as next from r join g on g.template = r.template and g.place = r.place + 1) r join g on g.template = r.template and g.place = r.next,
+  lateral (select greatest(abs(g.depth - r.head_depth), abs(g.seo - r.head_seo)) > 2 as far)),
+m as (select fs.*, r.cluster, floor((10 * fs.depth + 5 * fs.seo) / 15.0 + 0.5)::int as overall from fs join r on r.template = fs.template and r.depth = fs.depth and r.seo = fs.seo)
+select template, count(*)::bigint as page_count, floor(avg(overall) + 0.5)::int as avg_score, (max(overall) - min(overall))::int as score_range, arg_min(url, (-overall, url)) as representative_url from m group by template, cluster having count(*) >= 3""")
 def template_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of one URL template that score alike."""
-    audits = cut(page_audits(table(spark, sf_dir, "pages")).select("url", "overall_score", "factors"))
+    """Pages of one URL template that score alike on two factors."""
+    audits = cut(page_audits(table(spark, sf_dir, "pages"), only=_FIXED).select("url", "overall_score", "factors"))
     shaped = templates.shapes(audits.select("url", "overall_score", F.transform("factors", lambda f: F.struct(f["factor_id"].alias("factor_id"), f["score"].alias("score"))).alias("scores")))
-    return templates.groups(shaped)
+    found, _ = templates.groups(shaped)
+    return found.select("template", "page_count", "avg_score", "score_range", "representative_url")
 
 
-@query()
+@query("""with p as (select page_id, page_id % 6 as k, page_id % 4 as h from pages)
+select page_id, trim(case k when 1 then 'wordpress:90:6.4.' || (page_id % 10) when 2 then 'drupal:90:' || (7 + page_id % 4) when 3 then 'webflow:90:' when 4 then 'nextjs:100:' else '' end
+    || case when h = 1 then ' cloudflare:72:' when h = 2 then ' netlify:90:' else '' end) as found, k not in (1, 2, 3) as is_custom from p""")
 def platform_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Platforms by fingerprints in markup (the test pages have no headers)."""
-    got = parsed(table(spark, sf_dir, "pages"), drop_html=False).withColumn("headers", F.lit(None).cast("map<string,string>"))
-    return platforms.detect(got)
+    """Platforms by fingerprints in markup and headers that are added to the pages; the page's own markup has none."""
+    k, own = F.col("page_id") % 6, F.col("page_id")
+    mark = F.when(k == 1, F.concat(F.lit('<meta name="generator" content="WordPress 6.4.'), (own % 10).cast("string"), F.lit('">'))).when(k == 2, F.concat(F.lit('<meta name="generator" content="Drupal '), (7 + own % 4).cast("string"), F.lit('">')))
+    mark = F.concat(F.coalesce(mark, F.lit("")), F.when(k == 4, '<script src="/_next/static/a.js"></script><script id="__NEXT_DATA__">{}</script>').otherwise(""))
+    html = F.replace(F.replace(F.col("html"), F.lit("</head>"), F.concat(mark, F.lit("</head>"))), F.lit("<html"), F.when(k == 3, '<html data-wf-page="a"').otherwise("<html"))
+    headers = F.when(own % 4 == 1, F.create_map(F.lit("Server"), F.lit("cloudflare"))).when(own % 4 == 2, F.create_map(F.lit("X-NF-Request-ID"), F.lit("1")))
+    got = parsed(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"), headers.alias("headers")), drop_html=False)
+    named = F.transform("platforms", lambda p: F.concat_ws(":", p["platform"], p["score"].cast("string"), F.coalesce(p["version"], F.lit(""))))
+    return platforms.detect(got).select("page_id", F.array_join(named, " ").alias("found"), "is_custom")
+
+
+@query("select page_id, case when page_id % 5 <> 1 or page_id % 4 = 0 and page_id % 3 = 0 then 'unknown' when page_id % 10 = 6 then 'mismatch' else 'match' end as status from pages")
+def page_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether structured data matches the page: a fifth of the made pages declare a business, half of those one that the page never names; some have no heading to judge by."""
+    other = F.when(F.col("page_id") % 10 == 6, F.replace(F.col("html"), F.lit('"name":"Acme Bakery"'), F.lit('"name":"Zenith Hotel"'))).otherwise(F.col("html"))
+    return identity.identities(samples.pages(spark, sf_dir).withColumn("html", other)).select("page_id", "status")
 
 
-@query("select page_id, 'unknown' as status from pages")
-def page_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether structured data matches the page (the test pages have none)."""
-    return identity.identities(table(spark, sf_dir, "pages")).select("page_id", "status")
+_REGISTRY = [
+    {"key": "north", "names": ["North Harbour Hotel", "North Harbour"], "urlMatchers": [{"host": "www.h0.example", "pathPrefix": "/pages"}]},
+    {"key": "south", "names": ["South Harbour Hotel"], "urlMatchers": [{"host": "h1.example", "pathPrefix": "/"}]},
+    {"key": "west", "names": ["Hotel West"], "urlMatchers": [{"host": "h2.example", "pathPrefix": "/guides/1"}]},
+]
 
 
-@query()
+@query("""with p as (select page_id as k, case page_id % 4 when 0 then 'north' when 1 then 'south' end as owner from pages),
+t as (
+  select k, owner, 'title' as field, 'north' as entity, 'North Harbour Hotel' as name from p where k % 3 = 0 union all select k, owner, 'title', 'south', 'South Harbour Hotel' from p where k % 3 = 1
+  union all select k, owner, 'h1', 'west', 'Hotel West' from p where k % 5 = 2 union all select k, owner, 'faq-question', 'south', 'South Harbour Hotel' from p where k % 3 = 0 union all select k, owner, 'faq-answer', 'north', 'North Harbour' from p where k % 3 = 1)
+select k as page_id, owner, field, entity, name from t where owner is not null and owner <> entity""")
 def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles that name an entity which doesn't own the page; names are the two commonest first words of titles."""
-    got = read_pages(spark, sf_dir).select("page_id", "url", "page.title")
-    first = F.concat_ws(" ", F.slice(F.split("title", " "), 1, 2))
-    names = got.groupBy(first.alias("name")).count().orderBy(F.desc("count"), "name").limit(20).select(F.col("name").alias("key"), F.lit(0).alias("ord"), "name")
-    return entities.mentions(got.select("page_id", F.lit("home").alias("owner"), F.lit("title").alias("field"), F.col("title").alias("text")), names)
+    """Titles, first headings, questions and answers of made pages that name an entity which doesn't own the page."""
+    k = F.col("page_id")
+    title = F.when(k % 3 == 0, "Visit the North Harbour Hotel").when(k % 3 == 1, "South Harbour Hotel’s bar").otherwise("Bars")
+    h1 = F.when(k % 5 == 2, "Rooms of<br>Hotel West").otherwise("Rooms")
+    ask = lambda q, a: f'{{"@type":"FAQPage","mainEntity":{{"@type":"Question","name":"{q}","acceptedAnswer":{{"@type":"Answer","text":"{a}"}}}}}}'
+    faq = F.when(k % 3 == 0, ask("Is it near the <b>South</b> Harbour Hotel?", "Yes")).when(k % 3 == 1, ask("Where?", "By <p>North</p><p>Harbour</p>")).otherwise("{}")
+    html = F.concat(F.lit("<html><head><title>"), title, F.lit('</title><script type="application/ld+json">'), faq, F.lit("</script></head><body><h1>"), h1, F.lit("</h1></body></html>"))
+    pages = parsed(samples.pages(spark, sf_dir).select("page_id", "url", html.alias("html")))
+    names, matchers = entities.registry(spark, _REGISTRY)
+    owned = entities.owners(pages.select("page_id", "url"), matchers)
+    found = entities.evidence(entities.mentions(entities.scanned(pages).join(owned, "page_id"), names))
+    return found.where("listed").select("page_id", "owner", "field", "entity", "name")
 
 
 @query(r"""select doc_id, len(regexp_extract_all(text, '(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}'))::int as n_emails, len(regexp_extract_all(text, '\+?\d[\d\s().-]{7,}\d'))::int as n_phones from documents""")
@@ -432,11 +570,12 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.path(u).alias("path"), U.directory(u).alias("directory"), U.page_key(u).alias("page_key"), U.on_origin(u, F.lit("https://other.example/x")).alias("moved"))
 
 
-@query(r"""with c as (select url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, '/' || split_part(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/', ''), '/', 1) as section, list_sort(list_distinct(list_transform(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: split_part(x, '=', 1)))) as params, page_id % 2 = 0 as copy from pages where url like '%?%')
-select host, section, array_to_string(params, ',') as params, count(*) filter (copy)::bigint as copies, count(*) filter (not copy)::bigint as distinct_pages, min(url) as example from c group by all""")
+@query(r"""with c as (select url, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, '/' || split_part(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '^/', ''), '/', 1) as section, list_sort(list_distinct(list_transform(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: split_part(x, '=', 1)))) as params, page_id % 4 in (0, 1) as copy from pages where url like '%?%')
+select host, section, array_to_string(params, ',') as params, count(*) filter (copy)::bigint as copies, count(*) filter (not copy)::bigint as distinct_pages, min(url) filter (copy) as example from c group by all""")
 def url_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = F.when(F.col("page_id") % 2 == 0, F.regexp_replace("url", r"\?.*$", "")).otherwise(F.col("url"))
-    return graph.url_versions(table(spark, sf_dir, "pages").select("url", clean.alias("canonical")))
+    bare, k = F.regexp_replace("url", r"\?.*$", ""), F.col("page_id") % 4
+    named = F.when(k == 0, bare).when(k == 1, F.concat(bare, F.lit("?page=other"))).when(k == 2, F.concat(bare, F.lit("/x"))).otherwise(F.regexp_replace("url", "#.*$", ""))
+    return graph.url_versions(table(spark, sf_dir, "pages").select("url", named.alias("canonical")))
 
 
 @query("select page_id::int as ord, url as loc, round((page_id % 10) / 10.0, 1)::double as priority from pages")

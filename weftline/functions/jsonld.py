@@ -104,7 +104,8 @@ def nested(value: Any) -> Iterator[dict]:
 
 
 def is_reference(node: Any) -> bool:
-    return isinstance(node, dict) and isinstance(node.get("@id"), str) and len(node) == 1
+    """Whether a node only names another: nothing but its @id, and perhaps its @type."""
+    return isinstance(node, dict) and isinstance(node.get("@id"), str) and node.keys() <= {"@id", "@type"}
 
 
 class Nodes:
@@ -153,35 +154,43 @@ def share(node: dict, properties: tuple[str, ...]) -> float:
     return sum(node.get(p) not in (None, "") for p in properties) / len(properties)
 
 
-def completeness(nodes: Nodes) -> float | None:
-    """Points of the schema-completeness factor; None without JSON-LD. FAQ and how-to nodes add points each but count as one check."""
+def completeness(nodes: Nodes) -> tuple[float | None, list[str]]:
+    """Points of the schema-completeness factor, None without JSON-LD, and its findings as "type code". FAQ and how-to nodes add points each but count as one check."""
     if not nodes.flat:
-        return None
+        return None, ["missing schema.none"]
+    found: list[str] = []
+
+    def grade(about: str, *steps: tuple[bool, float, str]) -> float:
+        worth, kind = next((worth, kind) for held, worth, kind in steps if held)
+        found.append(f"{kind.split(' ')[0]} {about}.{kind.split(' ')[1]}")
+        return worth
+
     checks, points = 0, 0.0
     seen: dict[int, dict] = {}
     for n in [*nodes.of_type("LocalBusiness"), *nodes.of_type("ProfessionalService"), *[x for n, _ in nodes.businesses() if not is_reference(x := nodes.resolve(n))]]:
         seen.setdefault(id(n), n)
     if seen:
         checks, best = checks + 1, max(share(n, BUSINESS_PROPERTIES) for n in seen.values())
-        points += 100 if best >= 0.75 else 60 if best >= 0.5 else 25
+        points += grade("local-business", (best >= 0.75, 100, "found strong"), (best >= 0.5, 60, "info partial"), (True, 25, "missing low"))
     if faqs := nodes.of_type("FAQPage"):
         checks += 1
         for faq in faqs:
             asked = [q for x in as_list(faq.get("mainEntity")) if "Question" in types_of(q := nodes.resolve(x))]
             answers = [nodes.resolve(q.get("acceptedAnswer")) for q in asked]
             long = sum(isinstance(a, dict) and isinstance(a.get("text"), str) and len(re.split(r"\s+", a["text"])) >= 15 for a in answers)
-            points += (100 if long >= 3 else 65) if len(asked) >= 3 else 35
+            points += grade("faqpage", (long >= 3, 100, "found strong"), (len(asked) >= 3, 65, "info partial"), (True, 35, "info low"))
     if guides := nodes.of_type("HowTo"):
         checks += 1
         for guide in guides:
             steps = [s for x in as_list(guide.get("step")) if isinstance(s := nodes.resolve(x), dict) and (s.get("name") or s.get("text"))]
-            points += 100 if len(steps) >= 3 else 40
+            points += grade("howto", (len(steps) >= 3, 100, "found strong"), (True, 40, "info partial"))
     if orgs := nodes.of_type("Organization"):
         checks, best = checks + 1, max(share(n, ORGANISATION_PROPERTIES) for n in orgs)
-        points += 100 if best >= 0.7 else 55 if best >= 0.4 else 20
+        points += grade("organization", (best >= 0.7, 100, "found strong"), (best >= 0.4, 55, "info partial"), (True, 20, "missing low"))
     if checks:
-        return points / checks
-    return 70.0 if sum(map(len, nodes.flat)) / len(nodes.flat) >= 8 else 30.0
+        return points / checks, found
+    deep = sum(map(len, nodes.flat)) / len(nodes.flat) >= 8
+    return grade("schema-depth", (deep, 70.0, "info moderate"), (True, 30.0, "info low")), found
 
 
 def facts(nodes: Nodes) -> dict:
@@ -193,6 +202,7 @@ def facts(nodes: Nodes) -> dict:
     orgs = {id(n): n for k in ("Organization", "LocalBusiness", "ProfessionalService") for n in nodes.top_of_type(k)} | {id(n): n for n, _ in nodes.businesses()}
     points = [c for n in flat for c in [n, *[p for p in as_list(n.get("contactPoint")) if isinstance(p, dict)]]]
     size = lambda x: len(x) if isinstance(x, list) else 0
+    complete, graded = completeness(nodes)
     return {
         "n_nodes": len(flat), "n_props": sum(map(len, flat)), "types": nodes.types(), "business_types": [k for _, k in nodes.businesses()],
         "names": [n["name"] for n in flat if isinstance(n.get("name"), str)],
@@ -206,5 +216,5 @@ def facts(nodes: Nodes) -> dict:
         "has_geo": any(isinstance(n.get("geo"), (dict, list)) and bool(n["geo"] or n["geo"] == []) for n in flat),
         "has_address": any(isinstance(n.get("address"), (dict, list)) for n in flat), "has_area": any(bool(n.get("areaServed")) for n in flat),
         "actions": sum(any(t.endswith("Action") for t in types_of(n)) for n in nodes.every),
-        "actions_ready": sum(any(t.endswith("Action") for t in types_of(n)) and "target" in n and any(k in n for k in ("query-input", "object", "result")) for n in nodes.every), "completeness": completeness(nodes),
+        "actions_ready": sum(any(t.endswith("Action") for t in types_of(n)) and "target" in n and any(k in n for k in ("query-input", "object", "result")) for n in nodes.every), "completeness": complete, "completeness_found": graded,
     }

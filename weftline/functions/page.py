@@ -58,7 +58,7 @@ SCHEMA = """
     blocks array<struct<idx:int,empty:boolean,error:string,types:array<string>>>,
     n_nodes int, n_props int, types array<string>, business_types array<string>, names array<string>, same_as int,
     knows_about int, founders int, persons array<boolean>, orgs array<boolean>, emails array<string>, phones array<string>,
-    modified array<string>, has_geo boolean, has_address boolean, has_area boolean, actions int, actions_ready int, completeness double,
+    modified array<string>, has_geo boolean, has_address boolean, has_area boolean, actions int, actions_ready int, completeness double, completeness_found array<string>, scan array<struct<field:string,question:string,text:string>>,
     footer string, gate_text boolean, n_gates int, n_ads int, forms array<struct<fields:int,labelled:int,typed:int,autocomplete:int,named:int,has_name:boolean,has_submit:boolean>>,
     n_itemprop int, n_itemtype int, meta_names array<string>, scripts array<string>, body_class string, internal_links array<string>, error string
 """
@@ -161,6 +161,47 @@ def form_facts(form: Node) -> dict:
     }
 
 
+# Elements before and after which words end.
+BREAKS = frozenset("address article aside blockquote br dd div dl dt figcaption figure footer h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
+
+
+def blocked_text(node: Node) -> str:
+    """Text with a space at blocks and line breaks alone, without scripts and styles."""
+
+    def parts(n: Node) -> Iterator[str]:
+        gap = " " if n.tag in BREAKS else ""
+        yield gap
+        for child in n.children:
+            if isinstance(child, str):
+                yield child
+            elif child.tag not in ("script", "style"):
+                yield from parts(child)
+        yield gap
+
+    return squeeze("".join(parts(node)))
+
+
+def plain(value: object) -> str:
+    """A string that may hold markup, as text."""
+    if not isinstance(value, str):
+        return ""
+    return blocked_text(parse(value)) if "<" in value or "&" in value else squeeze(value)
+
+
+def scan_texts(nodes: jsonld.Nodes, title: str, h1s: list[Node]) -> list[dict]:
+    """The texts by which a page says what it is about: questions and answers of its FAQs, its title and its first headings."""
+    out = []
+    row = lambda field, text, question=None: [{"field": field, "question": question, "text": text}] if text else []
+    asked = [q for faq in nodes.of_type("FAQPage") for x in jsonld.as_list(faq.get("mainEntity")) if isinstance(q := nodes.resolve(x), dict)]
+    for q in asked:
+        question = plain(q.get("name"))
+        out += row("faq-question", question, question)
+        for a in jsonld.as_list(q.get("acceptedAnswer")):
+            a = nodes.resolve(a)
+            out += row("faq-answer", plain(a.get("text")), question or None) if isinstance(a, dict) else []
+    return [*out, *row("title", squeeze(title)), *[x for n in h1s for x in row("h1", blocked_text(n))]]
+
+
 def read_page(html: str, url: str) -> dict:
     """The features of SCHEMA."""
     root = parse(html)
@@ -173,6 +214,7 @@ def read_page(html: str, url: str) -> dict:
     meta = lambda k, v: next((n.attrs.get("content", "").strip() for n in metas if n.attrs.get(k) == v), "")
     text = squeeze(tag("body")[0].text(UNSEEN) if tag("body") else "")
     blocks = jsonld.load_blocks([n.text() for n in tag("script") if n.attrs.get("type") == "application/ld+json"])
+    nodes = jsonld.Nodes(blocks, url)
     spots, anchors, internal = Placements(), [], {}
     for i, n in enumerate(x for x in tag("a") if "href" in x.attrs):
         href = n.attrs["href"]
@@ -205,7 +247,7 @@ def read_page(html: str, url: str) -> dict:
         "n_lists": len(tag("ul", "ol")), "ol_items": [sum(x.tag == "li" for x in n.walk()) for n in tag("ol")], "n_dl": len(tag("dl")), "n_details": len(tag("details")), "n_summary": len(summaries), "direct_answers": answers,
         "images": [{"src": n.attrs.get("src"), "alt": n.attrs.get("alt")} for n in tag("img")], "anchors": anchors,
         "links": [{"rel": n.attrs.get("rel"), "href": n.attrs.get("href"), "type": n.attrs.get("type")} for n in links], "canonical": canon, "first_canonical": first,
-        "blocks": [{k: b[k] for k in ("idx", "empty", "error", "types")} for b in blocks], **jsonld.facts(jsonld.Nodes(blocks, url)),
+        "blocks": [{k: b[k] for k in ("idx", "empty", "error", "types")} for b in blocks], **jsonld.facts(nodes), "scan": scan_texts(nodes, tag("title")[0].text().strip() if tag("title") else "", tag("h1")),
         "footer": squeeze("".join(n.text(UNSEEN) for n in footers)), "gate_text": any(p in low for p in ("paywall", "subscribe to read", "sign in to continue")), "n_gates": gates, "n_ads": ads,
         "forms": [form_facts(n) for n in tag("form")], "n_itemprop": sum("itemprop" in n.attrs for n in every), "n_itemtype": sum("itemtype" in n.attrs for n in every), "meta_names": [n.attrs["name"] for n in metas if n.attrs.get("name")], "scripts": [n.attrs["src"] for n in tag("script") if n.attrs.get("src")],
         "body_class": tag("body")[0].attrs.get("class", "") if tag("body") else "", "internal_links": list(internal), "error": None,

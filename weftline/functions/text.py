@@ -141,7 +141,21 @@ def neutralised(s: Column) -> Column:
 
 
 def xml_unescaped(s: Column) -> Column:
-    """The named and numeric entities of XML; &amp; last, so nothing is decoded twice."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#38;", "&")):
+    """The named and numeric entities of XML; &amp; last, so nothing is decoded twice. A number that is no code point stays."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
         s = F.replace(s, F.lit(entity), F.lit(char))
+    for pattern, base in ((r"&#([0-9]+);", 10), (r"&#x([0-9a-fA-F]+);", 16)):
+        s = F.when(s.rlike(pattern), _references(s, pattern, base)).otherwise(s)
     return F.replace(s, F.lit("&amp;"), F.lit("&"))
+
+
+def _references(s: Column, pattern: str, base: int) -> Column:
+    """s with each numeric reference replaced by its character: what lies between them and the characters, in turn."""
+    between = F.split(s, pattern, -1)
+    found = F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
+    digits = F.regexp_extract_all(s, F.lit(pattern), F.lit(1))
+    code = lambda d: F.conv(F.ltrim(d, F.lit("0")), base, 10).cast("decimal(20)")
+    known = lambda d: F.length(F.ltrim(d, F.lit("0"))).between(1, 7) & (code(d) <= 0x10FFFF) & ~code(d).between(0xD800, 0xDFFF)
+    char = lambda d: F.decode(F.unhex(F.lpad(F.conv(F.ltrim(d, F.lit("0")), base, 16), 8, "0")), "UTF-32")
+    chars = F.zip_with(found, digits, lambda whole, d: F.when(known(d), char(d)).otherwise(whole))
+    return F.array_join(F.zip_with(between, chars, lambda text, c: F.concat(text, F.coalesce(c, F.lit("")))), "")

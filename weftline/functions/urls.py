@@ -5,9 +5,12 @@ from __future__ import annotations
 import ipaddress
 import re
 import unicodedata
+from collections.abc import Callable
 from typing import NamedTuple
 from urllib.parse import quote, unquote_plus
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -102,13 +105,24 @@ def _form(s: str) -> str:
     return quote(s, safe="*-._ ").replace(" ", "+")
 
 
+# ASCII in the order of the root collation, before the letters.
+_COLLATION = {c: i for i, c in enumerate("_-,;:!?.'\"()[]{}@*/\\&#%`^+<=>|~$0123456789")}
+
+
+def collated(s: str) -> tuple:
+    """A sort key as people order words: letters regardless of marks and case first, then marks, then lower before upper case."""
+    plain = unicodedata.normalize("NFD", s)
+    base = [c for c in plain if not unicodedata.combining(c)]
+    return [(0, _COLLATION[c]) if c in _COLLATION else (1, c.lower()) for c in base], [c for c in plain if unicodedata.combining(c)], [c != c.lower() for c in base], s
+
+
 def crawl_key(text: str) -> str | None:
-    """A URL for the crawl's frontier: no fragment, no tracking parameters, the others sorted by name; case and final slash stay."""
+    """A URL for the crawl's frontier: no fragment, no tracking parameters, the others sorted by name and value; case and final slash stay."""
     url = parse_url(text)
     if url is None or url.scheme not in ("http", "https"):
         return None
     pairs = [(unquote_plus(k), unquote_plus(v)) for p in url.query.split("&") if p for k, _, v in [p.partition("=")]]
-    kept = sorted((p for p in pairs if not TRACKING.match(p[0])), key=lambda p: p[0])
+    kept = sorted((p for p in pairs if not TRACKING.match(p[0])), key=lambda p: (collated(p[0]), collated(p[1])))
     return url._replace(query="&".join(f"{_form(k)}={_form(v)}" for k, v in kept), fragment="").text()
 
 
@@ -131,13 +145,31 @@ def fold(text: str | None) -> str | None:
     return re.sub(r"[^\w]+|_+", " ", plain).strip()
 
 
+def _by_value(f: Callable[[str], str | None]) -> Callable[[pd.Series], pd.Series]:
+    """f over a batch, once for each distinct value."""
+
+    def run(s: pd.Series) -> pd.Series:
+        codes, values = pd.factorize(s)
+        got = np.array([*[f(v) if v else None for v in values], None], object)
+        return pd.Series(got[codes], index=s.index, dtype=object)
+
+    return run
+
+
 def crawl_key_of(url: Column) -> Column:
     """crawl_key as a column, by Arrow batches."""
-    return F.pandas_udf(lambda s: s.map(lambda x: crawl_key(x) if x else None), StringType())(url)
+    return F.pandas_udf(_by_value(crawl_key), StringType())(url)
+
+
+def blocked_target(url: Column, allowed: tuple[str, ...] = ()) -> Column:
+    """Whether a URL's host must not be asked: see blocked_host; hosts named in allowed may be."""
+    name = host(url)
+    asked = F.pandas_udf(_by_value(lambda h: "y" if blocked_host(h) else "n"), StringType())(F.coalesce(F.nullif(name, F.lit("")), F.lit("localhost")))
+    return (asked == "y") & ~name.isin(*allowed) if allowed else asked == "y"
 
 
 def folded(text: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(fold), StringType())(text)
+    return F.pandas_udf(_by_value(fold), StringType())(text)
 
 
 def scheme_host(url: Column) -> Column:
@@ -185,5 +217,12 @@ def skipped(url: Column) -> Column:
     return F.lower(path(url)).rlike(r"\.(pdf|txt|xml|jpg|jpeg|png|gif|svg|webp|mp4|mp3|zip|gz|css|js)$")
 
 
+def route_path(value: Column) -> Column:
+    """A URL's path, or what is given as a path, with a leading slash and without final ones; "/" for none."""
+    own = F.when(value.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), path(value)).otherwise(value)
+    bare = F.regexp_replace(F.trim(own), "/+$", "")
+    return F.when(bare == "", "/").when(F.startswith(bare, F.lit("/")), bare).otherwise(F.concat(F.lit("/"), bare))
+
+
 def homepage(url: Column) -> Column:
     return (path(url) == "/") & (query(url) == "")

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.urls import host, parse_url, path
@@ -16,6 +16,7 @@ from weftline.functions.urls import host, parse_url, path
 SNIPPET = 160
 MAX_EVIDENCE = 25
 _WORD = re.compile(r"[^\W_]+(?:['‘’&.-][^\W_]+)*")
+# Words that join others in names.
 JOINING = frozenset("a an and at by de del for in of on the to with".split())
 
 
@@ -104,8 +105,21 @@ def snippet(text: str, start: int, end: int) -> str:
     return ("…" if low else "") + text[low:high].strip() + ("…" if high < len(text) else "")
 
 
+def scanned(pages: DataFrame) -> DataFrame:
+    """Parsed pages (page_id, page) -> page_id, ord, field, question, text: what mentions are looked for in."""
+    return pages.select("page_id", F.posexplode("page.scan").alias("ord", "s")).select("page_id", "ord", "s.*")
+
+
+def evidence(found: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """mentions() [with ord and question] -> the first mention of an entity in each text, numbered on each page; a report lists MAX_EVIDENCE (listed) and counts all."""
+    first = Window.partitionBy(*keys, "field", "question", "entity").orderBy("ord", "start")
+    rows = found.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("ord", "start", "entity")))
+    return rows.withColumn("listed", F.col("place") <= MAX_EVIDENCE)
+
+
 def mentions(texts: DataFrame, entities: DataFrame) -> DataFrame:
-    """texts (page_id, owner, field, text), entities (key, name) -> page_id, owner, field, entity, name, start, end, snippet.
+    """texts (page_id, owner, field, text[, ord, question]), entities (key, name) -> page_id, owner, field, ord, question, entity, name, start, end, snippet.
 
     A registry is small by nature; its names travel to the tasks as a trie. A name that its owner has too, or that is part
     of one of the owner's names or holds one, isn't another's.
@@ -119,13 +133,15 @@ def mentions(texts: DataFrame, entities: DataFrame) -> DataFrame:
             own.setdefault(key, []).append([w for w, _, _ in words_of(name)])
         for batch in batches:
             out = []
-            for page, owner, where, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for page, owner, where, text, ord_, question in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 for node, start, end, words in trie.find(text or "") if owner else ():
                     if owner not in node.keys and not any(_within(n, words) or _within(words, n) for n in own.get(owner, [])):
-                        out.append((page, owner, where, min(node.keys), node.name, start, end, snippet(text, start, end)))
-            names = ["page_id", "owner", "field", "entity", "name", "start", "end", "snippet"]
-            kinds = [batch.column(0).type, pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names)
+                        out.append((page, owner, where, ord_, question, min(node.keys), node.name, start, end, snippet(text, start, end)))
+            names = ["page_id", "owner", "field", "ord", "question", "entity", "name", "start", "end", "snippet"]
+            kinds = [batch.column(0).type, pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 10, kinds, strict=True)], names)
 
     kind = texts.schema["page_id"].dataType.simpleString()
-    return texts.select("page_id", "owner", "field", "text").mapInArrow(run, f"page_id {kind}, owner string, field string, entity string, name string, start int, end int, snippet string")
+    extra = [F.col(c) if c in texts.columns else F.lit(None).alias(c) for c in ("ord", "question")]
+    told = texts.select("page_id", "owner", "field", "text", extra[0].cast("int").alias("ord"), extra[1].cast("string").alias("question"))
+    return told.mapInArrow(run, f"page_id {kind}, owner string, field string, ord int, question string, entity string, name string, start int, end int, snippet string")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,7 +65,14 @@ class Env:
     aux: Column = field(default_factory=lambda: F.lit(None).cast(AUX))
     targets: Column = field(default_factory=lambda: F.lit(None).cast(TARGETS))
     psi: Column = field(default_factory=lambda: F.lit(None).cast("array<double>"))
-    as_of: datetime = datetime(2024, 1, 1)  # noqa: RUF009
+    #: Whether the page names an entity that doesn't own it.
+    names_another: Column = field(default_factory=lambda: F.lit(None).cast("boolean"))
+    #: match, mismatch or unknown: identity.with_identity's status.
+    identity: Column = field(default_factory=lambda: F.lit(None).cast("string"))
+    #: Whether the site's files were offered in other formats on request.
+    negotiates: Column = field(default_factory=lambda: F.lit(None).cast("boolean"))
+    #: The day of the audit; the run's own where it is None.
+    as_of: datetime | None = None
     #: Where a dict, costly values are put there by name and read from columns of that name, so that each is computed once a page.
     kept: dict[str, Column] | None = None
 
@@ -106,9 +113,15 @@ def ladder(*rungs: Rung) -> tuple[Column, Column]:
     return points, finding
 
 
-def several(findings: Column) -> tuple[Column, Column]:
-    """A part that only adds findings: an array of them."""
-    return F.lit(0.0), findings
+def several(findings: Column, points: Column | None = None) -> tuple[Column, Column, bool]:
+    """A part with an array of findings."""
+    return F.lit(0.0) if points is None else points, findings, True
+
+
+def _finding(kind: Column, code: Column) -> Column:
+    """A finding whose message is said by its code."""
+    about, how = F.replace(F.replace(F.regexp_extract(code, r"^(.*)\.[^.]*$", 1), F.lit("."), F.lit(": ")), F.lit("-"), F.lit(" ")), F.replace(F.substring_index(code, ".", -1), F.lit("-"), F.lit(" "))
+    return F.struct(kind.alias("type"), code.alias("code"), F.concat(about, F.lit(" is "), how).alias("message"))
 
 
 def advice(findings: Column) -> Column:
@@ -119,30 +132,43 @@ def advice(findings: Column) -> Column:
 
 @dataclass
 class Factor:
-    parts: list[tuple[Column, Column]]
+    parts: list[tuple[Column, ...]]
     applicable: Column | None = None
     score: Column | None = None
 
+    @property
+    def many(self) -> list[bool]:
+        return [len(p) > 2 for p in self.parts]
+
     def points(self) -> Column:
-        total = self.score if self.score is not None else sum((p for p, _ in self.parts), F.lit(0.0))
+        total = self.score if self.score is not None else sum((p[0] for p in self.parts), F.lit(0.0))
         return X.clamp_score(total)
 
     def findings(self) -> Column:
-        return F.array_compact(F.array(*[f for _, f in self.parts]))
+        """All parts' findings in order; a part has one, none (null) or an array of them."""
+        lists = [f if many else F.array(f) for f, many in zip((p[1] for p in self.parts), self.many, strict=True)]
+        return F.array_compact(F.concat(*lists) if len(lists) > 1 else lists[0])
+
+
+#: Canonical targets whose state is looked at.
+MAX_TARGETS = 5
+# Types of the canonical findings that aren't "missing".
+CANONICAL_TYPES = {"present": "found", "duplicate": "info", "target-limit": "info", "redirected": "info", "timeout": "timeout", "unreachable": "unreachable", "reachable": "found", "ignored-location": "info", "ignored-attributes": "info"}
 
 
-def canonical(e: Env, prefix: str) -> tuple[Column, Column]:
-    """The canonical sub-score 0..20, lowered by what is known of the targets (the first five); and its finding codes."""
+def canonical(e: Env, prefix: str = "entity-consistency") -> tuple[Column, Column]:
+    """The canonical sub-score 0..20, lowered by what is known of the first targets, and its findings: those of the links, then of each target."""
     c = e.page("canonical")
-    known = F.filter(F.transform(F.slice(c["urls"], 1, 5), lambda u: F.try_element_at(e.targets, u)), lambda t: t.isNotNull())
+    known = F.filter(F.transform(F.slice(c["urls"], 1, MAX_TARGETS), lambda u: F.try_element_at(e.targets, u)), lambda t: t.isNotNull())
     known = F.coalesce(known, F.array().cast("array<struct<state:string,status:int,hops:int>>"))
     score = F.when(F.exists(known, lambda t: t["state"] == "unreachable"), 0).when(F.exists(known, lambda t: (t["hops"] > 0) | (t["state"] == "timeout")), F.least(c["score"], F.lit(10))).otherwise(c["score"])
-    first = F.concat(F.lit(f"{prefix}."), F.coalesce(F.element_at(c["codes"], -1), F.lit("canonical.missing")))
-    return score.cast("double"), F.struct(F.lit("info").alias("type"), first.alias("code"), F.lit("canonical link").alias("message"))
-
-
-def age(months: Column, *bands: tuple[float, float, str]) -> list[Rung]:
-    return [(months <= limit, points, kind, "") for limit, points, kind in bands]
+    state = lambda t: F.when(t["state"].isin("timeout", "unreachable"), t["state"]).otherwise("reachable")
+    targets = F.flatten(F.transform(known, lambda t: F.concat(F.when(t["hops"] > 0, F.array(F.lit("redirected"))).otherwise(F.array().cast("array<string>")), F.array(state(t)))))
+    limit = F.when(F.size(c["urls"]) > MAX_TARGETS, F.array(F.lit("target-limit"))).otherwise(F.array().cast("array<string>"))
+    links = F.transform(F.coalesce(c["codes"], F.array().cast("array<string>")), lambda x: F.substring_index(x, ".", -1))
+    kinds = F.create_map(*[F.lit(x) for kv in CANONICAL_TYPES.items() for x in kv])
+    found = F.transform(F.concat(links, limit, targets), lambda x: _finding(F.coalesce(F.try_element_at(kinds, x), F.lit("missing")), F.concat(F.lit(f"{prefix}.canonical."), x)))
+    return score.cast("double"), found
 
 
 def structured_data(e: Env) -> Factor:
@@ -152,6 +178,7 @@ def structured_data(e: Env) -> Factor:
     c = "structured-data"
     kinds = [ladder((has(types, k) | (F.size(p("business_types")) > 0 if k == "LocalBusiness" else F.lit(False)), 12, "found", f"{c}.schema.found"), (True, 0, "missing", f"{c}.schema.missing")) for k in ("LocalBusiness", "FAQPage", "Service", "HowTo")]
     return Factor([
+        ladder((True, 0, "info", f"{c}.site-category.detected")),
         ladder((n > 0, 30, "found", f"{c}.json-ld.found"), (True, 0, "missing", f"{c}.json-ld.missing")), *kinds,
         ladder((mean >= 8, 22, "found", f"{c}.schema-depth.strong"), (mean >= 4, 12, "info", f"{c}.schema-depth.moderate"), (n > 0, 0, "info", f"{c}.schema-depth.low")),
     ])
@@ -184,6 +211,7 @@ def ai_access_files(e: Env) -> Factor:
     for kind, code in (("robotsTxt", "robots-txt"), ("sitemapXml", "sitemap")):
         s = state(kind)
         parts.append(ladder((s == "ok", 16, "found", f"{c}.{code}.found"), (s.isin("timeout", "unreachable"), 6, "unreachable", f"{c}.{code}.unreachable"), (True, 0, "missing", f"{c}.{code}.missing")))
+    parts.append(ladder((e.negotiates, 0, "found", f"{c}.content-negotiation.found")))
     links = e.page("links")
     parts.append(ladder((F.exists(links, lambda x: F.contains(x["href"], F.lit("llms.txt"))), 10, "found", f"{c}.llms-txt-link.found"), (True, 0, "info", f"{c}.llms-txt-link.missing")))
     markdown = F.exists(links, lambda x: F.contains(x["type"], F.lit("markdown"))) | F.coalesce(e.header("link").rlike(r'(?i)type="?text/markdown"?'), F.lit(False))
@@ -195,11 +223,11 @@ def eeat_signals(e: Env) -> Factor:
     c, p = "eeat-signals", e.page
     trust = e.keep("trust", F.size(F.filter(p("anchors"), lambda a: F.lower(a["href"]).rlike("/privacy|/terms|/about"))))
     return Factor([
-        ladder((F.exists(p("persons"), lambda x: x), 25, "found", f"{c}.person.credentialed"), (F.size(p("persons")) > 0, 12, "info", f"{c}.person.found"), (True, 0, "missing", f"{c}.person.missing")),
+        ladder((F.exists(p("persons"), lambda x: x), 25, "found", f"{c}.author.credentialed"), (F.size(p("persons")) > 0, 12, "info", f"{c}.author.no-credentials"), (True, 0, "missing", f"{c}.author.missing")),
         ladder((p("author") != "", 15, "found", f"{c}.author-meta.found"), (True, 0, "missing", f"{c}.author-meta.missing")),
         ladder((has(p("types"), "Review", "AggregateRating"), 20, "found", f"{c}.review.found"), (True, 0, "info", f"{c}.review.missing")),
-        ladder((trust >= 2, 15, "found", f"{c}.trust-links.multiple"), (trust == 1, 8, "info", f"{c}.trust-links.single"), (True, 0, "missing", f"{c}.trust-links.missing")),
-        ladder((F.exists(p("orgs"), lambda x: x), 25, "found", f"{c}.organization.with-people"), (F.size(p("orgs")) > 0, 10, "info", f"{c}.organization.found"), (True, 0, "missing", f"{c}.organization.missing")),
+        ladder((trust >= 2, 15, "found", f"{c}.trust-links.strong"), (trust == 1, 8, "info", f"{c}.trust-links.partial"), (True, 0, "missing", f"{c}.trust-links.missing")),
+        ladder((F.exists(p("orgs"), lambda x: x), 25, "found", f"{c}.organization.with-people"), (F.size(p("orgs")) > 0, 10, "info", f"{c}.organization.no-people"), (True, 0, "missing", f"{c}.organization.missing")),
     ])
 
 
@@ -229,18 +257,20 @@ def citations(e: Env) -> Factor:
     quality = e.keep("quality", F.coalesce(F.aggregate(named, F.lit(0.0), lambda acc, a: acc + worth(a)) / F.when(F.size(named) > 0, F.size(named)), F.lit(0.0)))
     return Factor([
         ladder((n >= 8, 30, "found", f"{c}.external-links.strong"), (n >= 3, 18, "info", f"{c}.external-links.moderate"), (True, 6, "missing", f"{c}.external-links.low")),
-        ladder((gov, 24, "found", f"{c}.authority.found"), (True, 8, "info", f"{c}.authority.missing")),
-        ladder((same >= 3, 24, "found", f"{c}.same-as.strong"), (same > 0, 14, "info", f"{c}.same-as.moderate"), (True, 4, "missing", f"{c}.same-as.missing")),
-        ladder((quality >= 0.75, 22, "found", f"{c}.anchor-quality.strong"), (quality >= 0.45, 12, "info", f"{c}.anchor-quality.moderate"), (True, 6, "info", f"{c}.anchor-quality.low")),
+        ladder((gov, 24, "found", f"{c}.authoritative-domains.found"), (True, 8, "info", f"{c}.authoritative-domains.none")),
+        ladder((same >= 3, 24, "found", f"{c}.sameas.strong"), (same > 0, 14, "info", f"{c}.sameas.moderate"), (True, 4, "missing", f"{c}.sameas.missing")),
+        ladder((quality >= 0.75, 22, "found", f"{c}.anchor-text.strong"), (quality >= 0.45, 12, "info", f"{c}.anchor-text.moderate"), (True, 6, "info", f"{c}.anchor-text.low")),
     ])
 
 
 def schema_completeness(e: Env) -> Factor:
-    c, s = "schema-completeness", e.page("completeness")
-    return Factor([ladder((s.isNull(), 0, "missing", f"{c}.json-ld.missing"), (s >= 70, 0, "found", f"{c}.schema.complete"), (True, 0, "info", f"{c}.schema.partial"))], score=F.coalesce(s, F.lit(0.0)))
+    p = e.page
+    told = lambda x, i: F.element_at(F.split(x, " "), i)
+    found = F.transform(F.coalesce(p("completeness_found"), F.array().cast("array<string>")), lambda x: _finding(told(x, 1), F.concat(F.lit("schema-completeness."), told(x, 2))))
+    return Factor([several(found)], score=F.coalesce(p("completeness"), F.lit(0.0)))
 
 
-#: Types that a page should declare once.
+# Types that a page should declare once.
 SINGLETONS = ("FAQPage", "HowTo", "Article", "BlogPosting", "NewsArticle", "BreadcrumbList", "Product", "Recipe")
 
 
@@ -267,21 +297,23 @@ def entity_consistency(e: Env) -> Factor:
     names = F.concat(F.slice(p("names"), 1, 2), F.array(first(X.normalize_text(p("title"))), first(X.normalize_text(p("og_title")))))
     n = e.keep("names", F.size(F.array_distinct(F.filter(F.transform(names, X.normalize_entity_name), lambda x: x != ""))))
     title = F.length(p("title"))
-    score, finding = canonical(e, c)
+    score, found = canonical(e)
     low = lambda xs: F.transform(xs, lambda x: F.lower(x))
     emails = F.arrays_overlap(low(p("emails")), low(X.emails(p("text"))))
     phones = F.arrays_overlap(F.transform(p("phones"), X.normalize_text), F.transform(X.phones(p("text")), X.normalize_text))
     return Factor([
-        ladder((n == 0, 0, "missing", f"{c}.name.missing"), (n == 1, 40, "found", f"{c}.name.consistent"), (n == 2, 24, "info", f"{c}.name.partial"), (True, 12, "info", f"{c}.name.inconsistent")),
+        ladder((n == 0, 0, "missing", f"{c}.name.missing"), (n == 1, 40, "found", f"{c}.name.single"), (n == 2, 24, "info", f"{c}.name.moderate"), (True, 12, "missing", f"{c}.name.multiple")),
+        ladder((e.identity == "mismatch", 0, "missing", f"{c}.schema-identity.mismatch"), (e.identity == "match", 0, "found", f"{c}.schema-identity.ok")),
         ladder((title == 0, 0, "", ""), (title < 15, 10, "info", f"{c}.title.short"), (title <= 70, 10, "found", f"{c}.title.ok"), (True, 0, "info", f"{c}.title.long")),
-        (score, finding),
-        ladder((e.keep("contact", emails | phones), 40, "found", f"{c}.contact.match"), ((F.size(p("emails")) > 0) | (F.size(p("phones")) > 0), 16, "info", f"{c}.contact.partial"), (True, 0, "missing", f"{c}.contact.missing")),
+        several(found, score),
+        ladder((e.keep("contact", emails | phones), 40, "found", f"{c}.contact.ok"), ((F.size(p("emails")) > 0) | (F.size(p("phones")) > 0), 16, "info", f"{c}.contact.partial"), (True, 0, "missing", f"{c}.contact.missing")),
     ])
 
 
 def content_freshness(e: Env) -> Factor:
     c, p = "content-freshness", e.page
-    now = F.lit(e.as_of).cast("timestamp")
+    as_of = e.as_of or datetime.now(UTC).replace(tzinfo=None)
+    now = F.lit(as_of).cast("timestamp")
     newest = e.keep("newest", F.array_max(F.transform(p("modified"), X.parse_date)))
     header = e.keep("modified", X.parse_date(e.header("last-modified")))
     sitemap = F.try_element_at(e.aux, F.lit("sitemapXml"))
@@ -289,10 +321,10 @@ def content_freshness(e: Env) -> Factor:
     m, mh, ml = (X.months_ago(x, now) for x in (newest, header, listed))
     year = e.keep("year", F.coalesce(X.copyright_year(p("footer")), X.copyright_year(p("text"))))
     return Factor([
-        ladder((newest.isNull(), 0, "missing", f"{c}.date-modified.missing"), (m <= 3, 35, "found", f"{c}.date-modified.recent"), (m <= 12, 22, "info", f"{c}.date-modified.moderate"), (True, 10, "info", f"{c}.date-modified.old")),
-        ladder((header.isNull(), 0, "info", f"{c}.last-modified.missing"), (mh <= 3, 20, "found", f"{c}.last-modified.recent"), (True, 12, "info", f"{c}.last-modified.old")),
-        ladder((state.isin("timeout", "unreachable"), 8, "unreachable", f"{c}.sitemap.unreachable"), (state != "ok", 0, "missing", f"{c}.sitemap.missing"), (listed.isNull(), 4, "info", f"{c}.sitemap-lastmod.missing"), (ml <= 3, 22, "found", f"{c}.sitemap-lastmod.recent"), (True, 12, "info", f"{c}.sitemap-lastmod.old")),
-        ladder((year.isNull(), 6, "info", f"{c}.copyright.missing"), (year >= e.as_of.year - 1, 23, "found", f"{c}.copyright.current"), (True, 12, "info", f"{c}.copyright.old")),
+        ladder((newest.isNull(), 0, "missing", f"{c}.date-modified.missing"), (m <= 3, 35, "found", f"{c}.date-modified.recent"), (m <= 12, 22, "info", f"{c}.date-modified.moderate"), (True, 10, "info", f"{c}.date-modified.stale")),
+        ladder((header.isNull(), 0, "info", f"{c}.last-modified.missing"), (mh <= 3, 20, "found", f"{c}.last-modified.recent"), (True, 12, "info", f"{c}.last-modified.older")),
+        ladder((state == "timeout", 8, "timeout", f"{c}.sitemap.timeout"), (state == "unreachable", 8, "unreachable", f"{c}.sitemap.unreachable"), (state != "ok", 0, "missing", f"{c}.sitemap.missing"), (listed.isNull(), 4, "info", f"{c}.sitemap.no-match"), (ml <= 3, 22, "found", f"{c}.sitemap.recent"), (True, 12, "info", f"{c}.sitemap.stale")),
+        ladder((year.isNull(), 6, "info", f"{c}.copyright.missing"), (year >= as_of.year - 1, 23, "found", f"{c}.copyright.recent"), (True, 12, "info", f"{c}.copyright.older")),
     ])
 
 
@@ -302,11 +334,11 @@ def content_extractability(e: Env) -> Factor:
     citable = F.size(F.filter(p("paragraph_words"), lambda w: w.between(40, 200)))
     ads, direct = p("n_ads"), p("direct_answers")
     return Factor([
-        ladder((p("html_chars") == 0, 0, "", ""), (ratio > 0.3, 25, "found", f"{c}.ratio.strong"), (ratio > 0.15, 15, "info", f"{c}.ratio.moderate"), (True, 5, "missing", f"{c}.ratio.low")),
-        ladder((citable >= 5, 25, "found", f"{c}.citable-blocks.strong"), (citable >= 2, 15, "info", f"{c}.citable-blocks.moderate"), (True, 5, "missing", f"{c}.citable-blocks.low")),
-        ladder((p("gate_text") | (p("n_gates") > 0), -20, "missing", f"{c}.paywall.present"), (True, 10, "found", f"{c}.paywall.absent")),
-        ladder((ads >= 5, -15, "missing", f"{c}.ads.high"), (ads > 0, 5, "info", f"{c}.ads.some"), (True, 10, "found", f"{c}.ads.absent")),
-        ladder((direct >= 3, 15, "found", f"{c}.direct-answers.strong"), (direct >= 1, 8, "info", f"{c}.direct-answers.low"), (True, 0, "info", f"{c}.direct-answers.none")),
+        ladder((p("html_chars") == 0, 0, "", ""), (ratio > 0.3, 25, "found", f"{c}.content-ratio.strong"), (ratio > 0.15, 15, "info", f"{c}.content-ratio.moderate"), (True, 5, "missing", f"{c}.content-ratio.low")),
+        ladder((citable >= 5, 25, "found", f"{c}.citable-blocks.strong"), (citable >= 2, 15, "info", f"{c}.citable-blocks.moderate"), (True, 5, "missing", f"{c}.citable-blocks.missing")),
+        ladder((p("gate_text") | (p("n_gates") > 0), -20, "missing", f"{c}.paywall.found"), (True, 10, "found", f"{c}.paywall.none")),
+        ladder((ads >= 5, -15, "missing", f"{c}.ad-density.high"), (ads > 0, 5, "info", f"{c}.ad-density.low"), (True, 10, "found", f"{c}.ad-density.none")),
+        ladder((direct >= 3, 15, "found", f"{c}.direct-answer.strong"), (direct >= 1, 8, "info", f"{c}.direct-answer.moderate"), (True, 0, "info", f"{c}.direct-answer.none")),
     ])
 
 
@@ -333,14 +365,16 @@ def ai_crawler_access(e: Env) -> Factor:
     state, body = F.coalesce(file["state"], F.lit("none")), F.coalesce(file["body"], F.lit(""))
     read = state == "ok"
     access = e.keep("access", e.robots_access())
-    bots = [ladder((~read, 0, "", ""), (access["allowed"][i], points, "found", f"{c}.{name.lower()}.allowed"), (True, 0, "missing", f"{c}.{name.lower()}.blocked")) for i, (name, points) in enumerate(CRAWLERS.items())]
-    signals = access["signals"]
-    use, search = F.try_element_at(signals, F.lit("ai-input")), F.try_element_at(signals, F.lit("search"))
+    bots = [ladder((~read, 0, "", ""), (access["allowed"][i], points, "found", f"{c}.crawler.allowed"), (True, 0, "missing", f"{c}.crawler.blocked")) for i, points in enumerate(CRAWLERS.values())]
+    declared = read & body.rlike(r"(?im)^\s*content-signal\s*:")
+    signal = lambda name, value: declared & F.coalesce(F.try_element_at(access["signals"], F.lit(name)) == value, F.lit(False))
     return Factor([
-        ladder((read, 0, "", ""), (file["state"] == "missing", 80, "info", f"{c}.robots.missing"), (True, 30, "unreachable", f"{c}.robots.unreachable")), *bots,
-        ladder((read & F.contains(F.lower(body), F.lit("sitemap:")), 18, "found", f"{c}.sitemap.found"), (read, 0, "info", f"{c}.sitemap.missing")),
-        ladder((~read, 0, "", ""), (use == "yes", 6, "found", f"{c}.ai-input.yes"), (use == "no", -12, "missing", f"{c}.ai-input.no")),
-        ladder((~read, 0, "", ""), (search == "yes", 2, "found", f"{c}.search.yes"), (search == "no", -6, "missing", f"{c}.search.no")),
+        ladder((read, 0, "", ""), (state == "missing", 80, "info", f"{c}.robots-txt.missing"), (state == "timeout", 30, "timeout", f"{c}.robots-txt.unreachable"), (True, 30, "unreachable", f"{c}.robots-txt.unreachable")), *bots,
+        ladder((read & F.contains(F.lower(body), F.lit("sitemap:")), 18, "found", f"{c}.sitemap.found")),
+        ladder((declared, 0, "found", f"{c}.content-signal.found")),
+        ladder((signal("ai-input", "yes"), 6, "found", f"{c}.content-signal.ai-input-allowed"), (signal("ai-input", "no"), -12, "missing", f"{c}.content-signal.ai-input-blocked")),
+        ladder((signal("search", "yes"), 2, "found", f"{c}.content-signal.search-allowed"), (signal("search", "no"), -6, "missing", f"{c}.content-signal.search-blocked")),
+        ladder((signal("ai-train", "no"), 0, "info", f"{c}.content-signal.ai-train-blocked")),
     ])
 
 
@@ -350,9 +384,9 @@ def named_entities(e: Env) -> Factor:
     n = e.keep("brand", F.when(name != "", X.occurrences(p("text"), name)))
     density = e.keep("density", X.proper_noun_density(p("text")))
     return Factor([
-        ladder((n.isNull(), 0, "missing", f"{c}.brand.missing"), (n >= 3, 36, "found", f"{c}.brand.strong"), (n > 0, 20, "info", f"{c}.brand.low"), (True, 6, "missing", f"{c}.brand.absent")),
-        ladder(((p("knows_about") > 0) | (p("founders") > 0), 34, "found", f"{c}.relations.found"), (True, 10, "info", f"{c}.relations.missing")),
-        ladder((density >= 0.08, 30, "found", f"{c}.density.strong"), (density >= 0.04, 18, "info", f"{c}.density.moderate"), (True, 8, "info", f"{c}.density.low")),
+        ladder((n.isNull(), 0, "missing", f"{c}.entity-name.missing"), (n >= 3, 36, "found", f"{c}.brand-name.strong"), (n > 0, 20, "info", f"{c}.brand-name.low"), (True, 6, "missing", f"{c}.brand-name.missing")),
+        ladder(((p("knows_about") > 0) | (p("founders") > 0), 34, "found", f"{c}.knows-about.present"), (True, 10, "info", f"{c}.knows-about.missing")),
+        ladder((density >= 0.08, 30, "found", f"{c}.proper-noun-density.strong"), (density >= 0.04, 18, "info", f"{c}.proper-noun-density.moderate"), (True, 8, "info", f"{c}.proper-noun-density.low")),
     ])
 
 
@@ -363,30 +397,32 @@ def technical_seo(e: Env) -> Factor:
     covered = F.floor((F.size(images) - F.size(bad)) / F.when(F.size(images) > 0, F.size(images)) * 30 + 0.5)
     alt, alt_found = ladder((F.size(images) == 0, 30, "info", f"{c}.alt-text.none"), (F.size(bad) == 0, 30, "found", f"{c}.alt-text.ok"), (F.exists(images, lambda i: i["alt"].isNull()), 0, "missing", f"{c}.alt-text.missing"), (True, 0, "info", f"{c}.alt-text.empty"))
     size = F.length(F.coalesce(p("meta_description"), F.lit("")))
-    score, finding = canonical(e, c)
+    score, found = canonical(e, c)
     return Factor([
         ladder((h1 == 1, 40, "found", f"{c}.h1.single"), (h1 == 0, 0, "missing", f"{c}.h1.missing"), (True, 20, "info", f"{c}.h1.multiple")),
         (F.when(F.size(bad) > 0, covered.cast("double")).otherwise(alt), alt_found),
         ladder((size == 0, 0, "missing", f"{c}.meta-description.missing"), (size < 120, 8, "info", f"{c}.meta-description.short"), (size > 160, 12, "info", f"{c}.meta-description.long"), (True, 20, "found", f"{c}.meta-description.present")),
-        (score / 2, finding),
+        several(found, score / 2),
     ])
 
 
 def snippet_eligibility(e: Env) -> Factor:
     c = "snippet-eligibility"
     d = e.keep("directives", e.robots_directives())
-    none, cap = d["none"], d["max_snippet"]
+    some, cap = ~d["none"], d["max_snippet"]
     blocked = d["noindex"] | d["nosnippet"] | (cap == 0)
     tight = cap.between(1, 49)
-    return Factor([
-        ladder((none, 0, "found", f"{c}.directives.none"), (d["noindex"], 0, "missing", f"{c}.noindex.present"), (d["nosnippet"], 0, "missing", f"{c}.nosnippet.present"), (cap == 0, 0, "missing", f"{c}.max-snippet.zero"), (tight, 0, "info", f"{c}.max-snippet.low"), (d["noarchive"], 0, "info", f"{c}.noarchive.present"), (d["noimageindex"], 0, "info", f"{c}.noimageindex.present"), (True, 0, "found", f"{c}.directives.not-restrictive")),
-    ], score=F.when(F.coalesce(blocked, F.lit(False)), 0.0).when(F.coalesce(tight, F.lit(False)), 60.0).otherwise(100.0))
+    asked = [(d["noindex"], "missing", "noindex.present"), (d["nosnippet"], "missing", "nosnippet.present"), (cap == 0, "missing", "max-snippet.zero"), (tight, "info", "max-snippet.low"), (d["noarchive"], "info", "noarchive.present"), (d["noimageindex"], "info", "noimageindex.present")]
+    parts = [ladder((some & cond, 0, kind, f"{c}.{code}")) for cond, kind, code in asked]
+    free = ~sum((F.coalesce(cond, F.lit(False)).cast("int") for cond, _, _ in asked), F.lit(0)).cast("boolean")
+    parts.append(ladder((d["none"], 0, "found", f"{c}.directives.none"), (free, 0, "found", f"{c}.directives.not-restrictive")))
+    return Factor(parts, score=F.when(F.coalesce(blocked, F.lit(False)), 0.0).when(F.coalesce(tight, F.lit(False)), 60.0).otherwise(100.0))
 
 
 def geographic_signals(e: Env) -> Factor:
     c, p = "geographic-signals", e.page
     address = p("text").rlike(r"(?i)\b\d{1,5}\s+[A-Za-z0-9.'\-\s]+,?\s+[A-Za-z.'\-\s]+,?\s+[A-Z]{2}\b")
-    asks = [(has(p("types"), "LocalBusiness") | (F.size(p("business_types")) > 0), 32, "business"), (p("has_geo"), 22, "geo"), (p("has_address"), 18, "address"), (p("has_area"), 14, "area-served"), (p("n_geo_meta") > 0, 8, "geo-meta"), (address, 12, "visible-address")]
+    asks = [(has(p("types"), "LocalBusiness") | (F.size(p("business_types")) > 0), 32, "localbusiness-schema"), (p("has_geo"), 22, "geo-coordinates"), (p("has_address"), 18, "postal-address"), (p("has_area"), 14, "area-served"), (p("n_geo_meta") > 0, 8, "geo-meta"), (address, 12, "visible-location")]
     return Factor([ladder((cond, points, "found", f"{c}.{name}.found"), (True, 0, "missing", f"{c}.{name}.missing")) for cond, points, name in asks])
 
 
@@ -404,19 +440,27 @@ def agent_skill_exposure(e: Env) -> Factor:
     mean = F.aggregate(forms, F.lit(0.0), lambda acc, f: acc + one(f)) / F.when(F.size(forms) > 0, F.size(forms))
     _, finding = ladder((mean >= 80, 0, "found", f"{c}.forms.strong"), (mean >= 40, 0, "info", f"{c}.forms.partial"), (mean >= 0, 0, "missing", f"{c}.forms.weak"), (True, 0, "info", f"{c}.forms.none"))
     return Factor([
-        ladder((p("actions_ready") > 0, 35, "found", f"{c}.actions.found"), (p("actions") > 0, 18, "info", f"{c}.actions.partial"), (True, 0, "missing", f"{c}.actions.missing")),
-        ladder((rel("mcp", "webmcp", "ai-plugin") | meta("mcp-server", "mcp-server-url", "ai-plugin") | told("mcp|webmcp|ai-plugin"), 20, "found", f"{c}.discovery.found"), (True, 0, "info", f"{c}.discovery.missing")),
-        ladder((rel("agent-card", "a2a") | href("/.well-known/agent.json") | href("agent-card.json") | meta("agent-card", "a2a-agent-card") | told("agent-card|a2a"), 12, "found", f"{c}.agent-card.found"), (True, 0, "info", f"{c}.agent-card.missing")),
-        ladder((described, 10, "found", f"{c}.service-description.found"), (True, 0, "info", f"{c}.service-description.missing")),
+        ladder((p("actions_ready") > 0, 35, "found", f"{c}.schema-action.well-formed"), (p("actions") > 0, 18, "info", f"{c}.schema-action.partial"), (True, 0, "missing", f"{c}.schema-action.missing")),
+        ladder((rel("mcp", "webmcp", "ai-plugin") | meta("mcp-server", "mcp-server-url", "ai-plugin") | told("mcp|webmcp|ai-plugin"), 20, "found", f"{c}.mcp-discovery.found"), (True, 0, "info", f"{c}.mcp-discovery.missing")),
+        ladder((rel("agent-card", "a2a") | href("/.well-known/agent.json") | href("agent-card.json") | meta("agent-card", "a2a-agent-card") | told("agent-card|a2a"), 12, "found", f"{c}.a2a-agent-card.found"), (True, 0, "info", f"{c}.a2a-agent-card.missing")),
+        ladder((described, 10, "found", f"{c}.openapi.found"), (True, 0, "info", f"{c}.openapi.missing")),
         ladder(((p("n_itemprop") >= 3) | (p("n_itemtype") >= 1), 10, "found", f"{c}.microdata.found"), (True, 0, "info", f"{c}.microdata.missing")),
         (F.coalesce(F.floor(mean / 100 * 25 + 0.5), F.lit(0)).cast("double"), finding),
     ])
 
 
 def lighthouse(e: Env) -> Factor:
-    """The mean of captured category scores (0 to 1)."""
-    mean = F.aggregate(e.psi, F.lit(0.0), lambda acc, x: acc + F.floor(100 * x + 0.5)) / F.size(e.psi)
-    return Factor([ladder((e.psi.isNull(), 0, "unreachable", "lighthouse.result.missing"), (mean >= 90, 0, "found", "lighthouse.result.good"), (True, 0, "info", "lighthouse.result.fair"))], score=F.coalesce(mean, F.lit(0.0)))
+    """The mean of captured category scores (0 to 1, null where a category has none); psi null: nothing was captured."""
+    c = "lighthouse"
+    scored = F.filter(e.psi, lambda x: x.isNotNull())
+    percent = lambda x: F.floor(100 * x + 0.5)
+    mean = F.aggregate(scored, F.lit(0.0), lambda acc, x: acc + percent(x)) / F.when(F.size(scored) > 0, F.size(scored))
+    kind = lambda x: F.when(x >= 90, "found").when(x >= 50, "info").otherwise("missing")
+    each = F.transform(e.psi, lambda x: F.when(x.isNull(), _finding(F.lit("info"), F.lit(f"{c}.category.missing"))).otherwise(_finding(kind(percent(x)), F.lit(f"{c}.category.score"))))
+    return Factor([
+        ladder((e.psi.isNull(), 0, "unreachable", f"{c}.psi.unreachable"), (F.size(scored) == 0, 0, "unreachable", f"{c}.category.none")),
+        several(F.coalesce(each, F.array().cast(f"array<{FINDING}>"))),
+    ], score=F.coalesce(mean, F.lit(0.0)))
 
 
 BUILDERS: dict[str, Callable[[Env], Factor]] = {k: globals()[k.replace("-", "_")] for k in (*WEIGHTS, *OPTIONAL)}

@@ -6,14 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.tables import cut
+from weftline.functions.urls import host, path, query
 
 DAMPING = 0.85
 ITERATIONS = 50
 CHECKPOINT_EVERY = 10
+COMPACT_EVERY = 8
 ANCHORS = 5
 #: Links and nodes that one task holds, at most.
 ONE_TASK = 2_000_000
@@ -39,7 +41,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """edges (from, to), roots (url) -> url, depth: fewest steps from a root; unreachable nodes are left out. One join and one table a level."""
+    """edges (from, to), roots (url) -> url, depth: fewest steps from a root; unreachable nodes are left out. One join and one table a level; every COMPACT_EVERY levels those tables become one."""
     known = cut(roots.select("url").distinct().withColumn("depth", F.lit(0)))
     frontier, links = known, cut(edges.select(F.col("from").alias("url"), "to").distinct())
     level = 0
@@ -50,6 +52,8 @@ def depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
         if not frontier.head(1):
             return known
         known = known.union(frontier)
+        if level % COMPACT_EVERY == 0:
+            known = cut(known)
 
 
 def _rank(parts: Iterator[pd.DataFrame], iterations: int, damping: float) -> Iterator[pd.DataFrame]:
@@ -97,44 +101,86 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, d
 
 
 def terminals(redirects: DataFrame) -> DataFrame:
-    """redirects (url, to) -> url, terminal: the end of each chain; a URL on or before a loop ends nowhere (null). Pointers double each round, so a chain of n takes log n joins."""
-    now = cut(redirects.groupBy("url").agg(F.min("to").alias("terminal")))
-    n, rounds = now.count(), 0
-    while n and 2**rounds <= 2 * n:
-        step = now.select(F.col("url").alias("terminal"), F.col("terminal").alias("next"))
-        after = now.join(step, "terminal", "left").select("url", F.coalesce("next", "terminal").alias("terminal"), F.col("next").isNotNull().alias("moved"))
-        after = cut(after)
+    """redirects (url, to) -> url, terminal: the end of each chain; of a chain into a loop, the URL where the loop closes.
+
+    Pointers double each round, so a chain of n takes log n joins. Only rows that haven't ended are carried on. A round in
+    which none ends leaves nothing but ways into loops: where a chain has a distance to its end, a URL with each smaller
+    distance stands on it. Those rows double on until they surely stand inside a loop; what they name are the loops' URLs,
+    and the ways that lead there are chains that end at them. A URL that redirects to itself is its own end.
+    """
+    hops = cut(redirects.groupBy("url").agg(F.min("to").alias("terminal")))
+    return _chased(hops)
+
+
+def _chased(hops: DataFrame) -> DataFrame:
+    ended = [hops.where("url = terminal")]
+    now = cut(hops.where("url <> terminal"))
+    left, rounds = now.count(), 0
+    moving = True
+    while left and moving:
+        known = now.select("url", "terminal", F.lit(False).alias("over"))
+        for df in ended:
+            known = known.unionByName(df.select("url", "terminal", F.lit(True).alias("over")))
+        known = known.select(F.col("url").alias("terminal"), F.col("terminal").alias("next"), "over")
+        step = cut(now.join(known, "terminal", "left").select("url", F.coalesce("next", "terminal").alias("terminal"), F.coalesce("over", F.lit(True)).alias("over")))
+        ended.append(step.where("over").select("url", "terminal"))
+        now, before, rounds = step.where("not over").select("url", "terminal"), left, rounds + 1
+        left = now.count()
+        moving = left < before
+    out = ended[0]
+    for df in ended[1:]:
+        out = out.unionByName(df)
+    if not left:
+        return out
+    while 2**rounds < left:
+        now = cut(now.join(now.select(F.col("url").alias("terminal"), F.col("terminal").alias("next")), "terminal").select("url", F.col("next").alias("terminal")))
         rounds += 1
-        now = after.select("url", "terminal")
-        if not after.where("moved").head(1):
-            return now
-    inside = now.select(F.col("url").alias("terminal")).distinct()
-    return now.join(inside, "terminal", "left_anti").select("url", "terminal").unionByName(now.join(inside, "terminal", "left_semi").select("url", F.lit(None).cast("string").alias("terminal")))
+    loops = cut(now.select(F.col("terminal").alias("url")).distinct())
+    ways = hops.join(now.select("url"), "url", "left_semi").join(loops, "url", "left_anti")
+    return out.unionByName(loops.select("url", F.col("url").alias("terminal"))).unionByName(_chased(ways))
+
+
+#: Answers that came from no server, by error code; others are unknown.
+UNVERIFIED = {"REDIRECT_LIMIT": "redirect-limit", "BODY_TOO_LARGE": "body-too-large", "TIMEOUT": "unreachable", "UNREACHABLE": "unreachable"}
 
 
 def dead_links(edges: DataFrame, pages: DataFrame, redirects: DataFrame) -> DataFrame:
-    """edges (from, to), pages (url, state, status, error_code), redirects (url, to) -> from, to, terminal, verdict, reason for links whose target isn't a working page.
+    """edges (from, to[, type, internal]), pages (url, state, status, error_code), redirects (url, to) -> from, to, terminal, verdict, reason, status for links whose target isn't a working page.
 
-    A 429 says nothing about the link, nor do time-outs, server errors, blocked or unvisited targets: those are unverified.
-    Other 4xx answers are dead.
+    Only internal anchors count, where edges tell. A link is judged by the page at the end of its redirects; one that was
+    never visited says nothing and gives no row. 429 says nothing about the link either, nor does a failure without a
+    status: those are unverified. Any other status of 400 or more is dead. The end of a loop is a redirect like any other.
     """
-    chased = edges.join(terminals(redirects).withColumnRenamed("url", "to"), "to", "left")
-    end = chased.withColumn("loop", F.col("to").isNotNull() & F.col("terminal").isNull()).join(redirects.select(F.col("url").alias("to")).distinct().withColumn("redirected", F.lit(True)), "to", "left")
-    end = end.withColumn("loop", F.coalesce("redirected", F.lit(False)) & F.col("terminal").isNull()).withColumn("terminal", F.when(~F.col("loop"), F.coalesce("terminal", "to")))
-    got = end.join(pages.select(F.col("url").alias("terminal"), "state", "status", "error_code"), "terminal", "left")
-    reason = (
-        F.when(F.col("loop"), "redirect-loop").when(F.col("state").isNull(), "not-visited").when(F.col("state") == "robots-blocked", "robots-blocked").when(F.col("status") == 429, "rate-limited")
-        .when(F.col("status").between(400, 499), F.concat(F.lit("http-"), F.col("status").cast("string"))).when(F.col("status") >= 500, "server-error").when(F.col("error_code").isNotNull(), F.lower("error_code"))
-    )
-    verdict = F.when(reason.isNull(), "ok").when(reason.rlike("^http-4|redirect-loop"), "dead").otherwise("unverified")
-    return got.select("from", "to", "terminal", verdict.alias("verdict"), reason.alias("reason")).where("verdict <> 'ok'")
+    if "type" in edges.columns:
+        edges = edges.where("type = 'anchor'")
+    if "internal" in edges.columns:
+        edges = edges.where("internal")
+    end = edges.select("from", "to").join(terminals(redirects).withColumnRenamed("url", "to"), "to", "left").withColumn("terminal", F.coalesce("terminal", "to"))
+    got = end.join(pages.select(F.col("url").alias("terminal"), "state", "status", "error_code"), "terminal")
+    named = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in UNVERIFIED.items() for x in kv]), F.upper("error_code")), F.lit("unknown"))
+    reason = F.when(F.col("status") == 429, "throttled").when(F.col("state").isin("error", "fetch-error") & F.col("status").isNull(), named).when(F.col("status") >= 400, "http-error")
+    verdict = F.when(reason == "http-error", "dead").otherwise("unverified")
+    return got.withColumn("reason", reason).where("reason is not null").select("from", "to", "terminal", verdict.alias("verdict"), "reason", "status")
 
 
-def url_versions(urls: DataFrame) -> DataFrame:
-    """urls (url, canonical) -> host, section, params, copies, distinct_pages, example: query patterns whose pages name a clean URL as canonical."""
-    from weftline.functions.urls import host, path, query
+def _site(url: Column) -> Column:
+    return F.regexp_replace(host(url), r"^www\.", "")
+
 
-    params = F.array_join(F.array_sort(F.array_distinct(F.transform(F.split(query(F.col("url")), "&"), lambda p: F.substring_index(p, "=", 1)))), ",")
-    section = F.concat(F.lit("/"), F.substring_index(F.regexp_replace(path(F.col("url")), "^/", ""), "/", 1))
-    rows = urls.where(query(F.col("url")) != "").select("url", host(F.col("url")).alias("host"), section.alias("section"), params.alias("params"), (F.col("canonical") == F.regexp_replace("url", r"\?.*$", "")).alias("copy"))
-    return rows.groupBy("host", "section", "params").agg(F.count_if("copy").alias("copies"), F.count_if(~F.coalesce("copy", F.lit(False))).alias("distinct_pages"), F.min("url").alias("example"))
+def version_copy(url: Column, canonical: Column) -> Column:
+    """Whether a query URL's canonical (a crawl key) says it is a copy: the same host (without www.) and path with another query, or none. Null without a canonical."""
+    return (query(url) != "") & (_site(url) == _site(canonical)) & (path(url) == path(canonical)) & (query(url) != query(canonical))
+
+
+def version_pattern(url: Column) -> Column:
+    """struct<host, section, params> of a query URL, null of others: the first segment of its path and the sorted names of its parameters, their values left out."""
+    params = F.array_join(F.array_sort(F.array_distinct(F.transform(F.split(query(url), "&"), lambda p: F.substring_index(p, "=", 1)))), ",")
+    section = F.concat(F.lit("/"), F.substring_index(F.regexp_replace(path(url), "^/", ""), "/", 1))
+    return F.when(query(url) != "", F.struct(host(url).alias("host"), section.alias("section"), params.alias("params")))
+
+
+def url_versions(urls: DataFrame) -> DataFrame:
+    """urls (url, canonical) -> host, section, params, copies, distinct_pages, example: patterns of query URLs, how many of their pages are copies (see version_copy), and the least copy's URL."""
+    copy = F.coalesce(version_copy(F.col("url"), F.col("canonical")), F.lit(False))
+    rows = urls.select("url", version_pattern(F.col("url")).alias("p"), copy.alias("copy")).where("p is not null").select("url", "p.*", "copy")
+    return rows.groupBy("host", "section", "params").agg(F.count_if("copy").alias("copies"), F.count_if(~F.col("copy")).alias("distinct_pages"), F.min(F.when(F.col("copy"), F.col("url"))).alias("example"))

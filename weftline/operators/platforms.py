@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from re import _constants, _parser
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +59,21 @@ PLATFORMS = [
 ]
 
 
+def literal(pattern: str) -> str:
+    """The longest run of plain characters that every match of a regular expression holds; "" for none."""
+    best, run = "", ""
+    for op, value in _parser.parse(pattern):
+        run = run + chr(value) if op is _constants.LITERAL else ""
+        best = max(best, run, key=len)
+    return best
+
+
 def _hit(kind: str, pattern: str, html: Column, page: Column, headers: Column) -> Column:
     if kind == "generator":
         return page["generator"].rlike(pattern)
-    if kind == "html":
-        return html.rlike(pattern)
+    if kind == "html":  # most pages lack the plain part, and looking for that is cheap
+        part = literal(pattern)
+        return F.contains(F.col("_low"), F.lit(part.lower())) & html.rlike(pattern) if part else html.rlike(pattern)
     if kind == "script":
         return F.exists(page["scripts"], lambda s: F.contains(s, F.lit(pattern)))
     if kind == "link":
@@ -83,11 +95,11 @@ def detect(pages: DataFrame, least: int = LOW) -> DataFrame:
         hits = [F.coalesce(_hit(k, p, F.col("html"), F.col("page"), F.col("_headers")), F.lit(False)) for k, p, _ in signals]
         weight = sum((F.when(h, w).otherwise(0) for h, (_, _, w) in zip(hits, signals, strict=True)), F.lit(0))
         told = F.array_compact(F.array(*[F.when(h, f"{k} {p}") for h, (k, p, _) in zip(hits, signals, strict=True)]))
-        versions = [F.nullif(F.regexp_extract(F.col("page.generator") if k == "generator" else F.col("html"), p, 1), F.lit("")) for k, p, _ in signals if k in ("generator", "html") and "(" in p.replace("(?", "")]
+        versions = [F.when(hits[j], F.nullif(F.regexp_extract(F.col("page.generator") if k == "generator" else F.col("html"), p, 1), F.lit(""))) for j, (k, p, _) in enumerate(signals) if k in ("generator", "html") and "(" in p.replace("(?", "")]
         version = F.coalesce(*versions) if versions else F.lit(None).cast("string")
         score = F.least(F.lit(100), UNIT * weight)
         level = F.when(score >= HIGH, "high").when(score >= MEDIUM, "medium").otherwise("low")
         rows.append(F.struct(score.alias("score"), F.lit(-i).alias("ord"), F.lit(name).alias("platform"), F.lit(category).alias("category"), level.alias("confidence"), version.alias("version"), told.alias("signals")))
     found = F.sort_array(F.filter(F.array(*rows), lambda r: r["score"] >= least), asc=False)
-    out = pages.withColumn("_headers", low).select("page_id", found.alias("platforms"))
+    out = pages.withColumns({"_headers": low, "_low": F.lower("html")}).select("page_id", found.alias("platforms"))
     return out.withColumn("is_custom", ~F.exists("platforms", lambda r: r["category"].isin("cms", "site-builder", "ecommerce")))

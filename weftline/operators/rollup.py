@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import half_up
-from weftline.functions.urls import homepage, page_key
+from weftline.functions.urls import homepage, on_origin, page_key
 from weftline.operators.factors import PAGE_SPECIFIC
 
 AFFECTED = 70
 LEAST_FOR_ORPHANS = 5
-# defects' titles by severity rank.
+# Titles and severities of defects.
 DEFECTS = {"missing-h1": ("Missing H1", "critical"), "multiple-h1": ("Multiple H1 tags", "critical"), "missing-title": ("Missing title", "critical"), "names-another-entity": ("Names another entity", "critical"), "missing-meta-description": ("Missing meta description", "warning")}
 
 
@@ -20,9 +20,13 @@ def _pct(n: Column, of: Column) -> Column:
 
 
 def recommendations(factors: DataFrame) -> DataFrame:
-    """factors (url, factor_id, recommendations) -> factor_id, recommendation, n_urls, urls."""
-    rows = factors.select("factor_id", "url", F.explode("recommendations").alias("recommendation"))
-    return rows.groupBy("factor_id", "recommendation").agg(F.count(F.lit(1)).alias("n_urls"), F.array_sort(F.collect_set("url")).alias("urls"))
+    """factors (url, factor_id, recommendations) -> a row for each factor_id, recommendation and url, in long form: a site's pages never meet in one row."""
+    return factors.select("factor_id", F.explode("recommendations").alias("recommendation"), "url").distinct()
+
+
+def recommendation_counts(advice: DataFrame) -> DataFrame:
+    """recommendations() -> factor_id, recommendation, n_urls."""
+    return advice.groupBy("factor_id", "recommendation").agg(F.count(F.lit(1)).alias("n_urls"))
 
 
 def cross_cutting(factors: DataFrame) -> DataFrame:
@@ -50,25 +54,31 @@ def cross_cutting(factors: DataFrame) -> DataFrame:
     return out.withColumn("rank", F.row_number().over(general))
 
 
-def defect_groups(audits: DataFrame, priorities: DataFrame | None = None) -> DataFrame:
-    """audits (url, defects) [and priorities (url, priority)] -> a ranked row for each defect with its pages: homepage, then sitemap priority (0.5 if none), then URL."""
+def defect_pages(audits: DataFrame, priorities: DataFrame | None = None) -> DataFrame:
+    """audits (url, defects) [and priorities (url, priority)] -> id, severity, url, home, priority (0.5 if none): a row for each defect of a page. A report shows them by home, then priority, both descending, then URL."""
     rows = audits.where("status = 'success'").select("url", F.explode("defects").alias("d")).select("url", "d.id", "d.severity")
     rows = rows.join(priorities, "url", "left") if priorities is not None else rows.withColumn("priority", F.lit(None).cast("double"))
-    rows = rows.withColumn("priority", F.coalesce("priority", F.lit(0.5))).withColumn("home", homepage(F.col("url")).cast("int"))
+    return rows.withColumn("priority", F.coalesce("priority", F.lit(0.5))).withColumn("home", homepage(F.col("url")).cast("int"))
+
+
+def defect_groups(rows: DataFrame) -> DataFrame:
+    """defect_pages() -> a ranked row for each defect, with the first of its pages."""
     page = F.struct((-F.col("home")).alias("h"), (-F.col("priority")).alias("p"), "url")
-    out = rows.groupBy("id", "severity").agg(F.count(F.lit(1)).alias("n_pages"), F.max("home").alias("homepage"), F.max("priority").alias("max_priority"), F.transform(F.array_sort(F.collect_list(page)), lambda x: x["url"]).alias("urls"))
+    out = rows.groupBy("id", "severity").agg(F.count(F.lit(1)).alias("n_pages"), F.max("home").alias("homepage"), F.max("priority").alias("max_priority"), F.min(page)["url"].alias("first_url"))
     titles = F.create_map(*[F.lit(x) for k, (t, _) in DEFECTS.items() for x in (k, t)])
     order = Window.orderBy((F.col("severity") != "critical").cast("int"), F.desc("homepage"), F.desc("max_priority"), F.desc("n_pages"), "title")
     return out.withColumn("title", F.element_at(titles, F.col("id"))).withColumn("rank", F.row_number().over(order))
 
 
-def fixes(issues: DataFrame, advice: DataFrame, defects: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+def fixes(issues: DataFrame, advice: DataFrame, defects: DataFrame, pages: DataFrame, groups: DataFrame, total: int) -> DataFrame:
     """The ranked list of what to repair: critical defects first, then every cross-cutting issue, none cut off.
 
-    advice: recommendations(); groups (template, url): pages of templates. A page outside them is a unit of its own.
+    advice: recommendations(); defects: defect_groups() of pages: defect_pages(); groups (template, url): pages of
+    templates. A page outside them is a unit of its own.
     """
-    critical = defects.where("severity = 'critical'").select(F.lit(0).alias("part"), "rank", F.lit("critical-defect").alias("kind"), F.col("id"), "title", F.explode("urls").alias("url"))
-    wide = issues.where("status = 'sitewide'").join(advice.select("factor_id", F.explode("urls").alias("url")).distinct(), "factor_id", "left")
+    ranked = defects.where("severity = 'critical'").select("id", "severity", "rank", "title")
+    critical = pages.select("id", "severity", "url").join(F.broadcast(ranked), ["id", "severity"]).select(F.lit(0).alias("part"), "rank", F.lit("critical-defect").alias("kind"), "id", "title", "url")  # a row for each kind of defect
+    wide = issues.where("status = 'sitewide'").join(advice.select("factor_id", "url").distinct(), "factor_id", "left")
     wide = wide.select(F.lit(1).alias("part"), "rank", F.lit("cross-cutting").alias("kind"), F.col("factor_id").alias("id"), F.col("name").alias("title"), "url")
     rest = issues.where("status <> 'sitewide'").select(F.lit(1).alias("part"), "rank", F.lit("cross-cutting").alias("kind"), F.col("factor_id").alias("id"), F.col("name").alias("title"), F.lit(None).cast("string").alias("url"))
     rows = critical.unionByName(wide).unionByName(rest).join(groups, "url", "left").withColumn("unit", F.coalesce("template", "url"))
@@ -78,15 +88,17 @@ def fixes(issues: DataFrame, advice: DataFrame, defects: DataFrame, groups: Data
 
 
 def duplicates(pages: DataFrame) -> DataFrame:
-    """pages (url, title, description) -> code, value, urls: trimmed texts that two different URLs or more share word for word."""
+    """pages (url, title, description) -> code, value, url, n_urls: each page with a trimmed text that two different URLs or more share word for word."""
     both = F.explode(F.array(F.struct(F.lit("site.duplicate-title").alias("code"), F.trim("title").alias("value")), F.struct(F.lit("site.duplicate-meta-description").alias("code"), F.trim("description").alias("value"))))
     rows = pages.select("url", both.alias("x")).select("url", "x.*").where("value <> ''")
-    return rows.groupBy("code", "value").agg(F.array_sort(F.collect_set("url")).alias("urls")).where(F.size("urls") >= 2)
+    rows = rows.distinct()
+    several = rows.groupBy("code", "value").agg(F.count(F.lit(1)).alias("n_urls")).where("n_urls >= 2")
+    return rows.join(several, ["code", "value"]).select("code", "value", "url", "n_urls")
 
 
-def orphans(pages: DataFrame, links: DataFrame, root: str | None = None) -> DataFrame:
-    """pages (url), links (to) -> pages that nothing links to, but for the homepage; none unless there are LEAST_FOR_ORPHANS pages. Only for complete runs."""
+def orphans(pages: DataFrame, links: DataFrame, root: str) -> DataFrame:
+    """pages (url), links (to) -> pages that nothing links to, but for the homepage of root, the run's first page, whatever query it has; none unless there are LEAST_FOR_ORPHANS pages. Only for complete runs."""
     keyed = pages.select("url", page_key(F.col("url")).alias("key"))
     inbound = links.select(page_key(F.col("to")).alias("key")).distinct()
-    out = keyed.join(inbound, "key", "left_anti").where(~homepage(F.col("url")) if root is None else page_key(F.lit(root)) != F.col("key"))
+    out = keyed.join(inbound, "key", "left_anti").where(F.col("key") != on_origin(F.lit(""), F.lit(root)))
     return out.where(F.lit(pages.limit(LEAST_FOR_ORPHANS).count() >= LEAST_FOR_ORPHANS)).select("url")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.tables import cut
 from weftline.functions.text import half_up
 from weftline.functions.urls import homepage, route_key, segments
 
@@ -53,8 +54,9 @@ def sample(items: DataFrame, limit: int, key: str = "template", spread: str | No
 
 
 def coverage(discovered: DataFrame, audited: DataFrame) -> DataFrame:
-    """One row: pages and templates discovered and represented by the audited URLs, and how far the result speaks for the site."""
-    known = shapes(discovered.select("url").distinct()).groupBy(route_key(F.col("url")).alias("route")).agg(F.min("template").alias("template"))
+    """discovered (url[, ord]), audited (url) -> one row: pages and templates discovered and represented by the audited URLs, and how far the result speaks for the site. Of the URLs of one route the first by ord, or else by URL, names its template."""
+    order = F.col("ord") if "ord" in discovered.columns else F.col("url")
+    known = shapes(discovered).groupBy(route_key(F.col("url")).alias("route")).agg(F.min_by("template", F.struct(order, F.col("url"))).alias("template"))
     seen = audited.select(route_key(F.col("url")).alias("route")).join(known, "route").agg(F.count_distinct("template").alias("templates_represented"))
     counts = discovered.agg(F.count(F.lit(1)).alias("pages_discovered")).crossJoin(audited.agg(F.count(F.lit(1)).alias("pages_audited")))
     one = counts.crossJoin(known.agg(F.count_distinct("template").alias("templates_discovered"))).crossJoin(seen)  # single rows
@@ -66,31 +68,39 @@ def coverage(discovered: DataFrame, audited: DataFrame) -> DataFrame:
     )
 
 
-def groups(pages: DataFrame) -> DataFrame:
-    """pages (url, template, overall_score, scores: array of (factor_id, score)) -> template, representative_url, urls, page_count, avg_score, score_range.
+def vectors(pages: DataFrame) -> DataFrame:
+    """pages (url, template, overall_score, scores: array of (factor_id, score)) with signature, the factors that were scored, and vector, their scores."""
+    return pages.withColumn("signature", F.array_join(F.transform(F.array_sort("scores"), lambda s: s["factor_id"]), ",")).withColumn("vector", F.transform(F.array_sort("scores"), lambda s: s["score"])).where("size(vector) > 0")
+
+
+def groups(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pages (url, template, overall_score, scores) -> groups (template, cluster, representative_url, page_count, avg_score, score_range) and their members (template, cluster, url).
 
     Inside a template and set of factors, pages sorted by scores are walked: one that differs from the first of the running
-    cluster by more than TOLERANCE anywhere begins the next. Clusters of LEAST_PAGES or more are groups.
+    cluster by more than TOLERANCE anywhere begins the next. Clusters of LEAST_PAGES or more are groups. Pages of equal
+    scores are one row of the walk, so a template that holds most of a site sends its different scores to a task, not its pages.
     """
-    vector = F.transform(F.array_sort("scores"), lambda s: s["score"])
-    signature = F.array_join(F.transform(F.array_sort("scores"), lambda s: s["factor_id"]), ",")
-    rows = pages.select("template", signature.alias("signature"), vector.alias("vector"), "url", "overall_score", homepage(F.col("url")).alias("home"))
-    distinct = Window.partitionBy("template", "signature")
-    rows = rows.where("size(vector) > 0").withColumn("n", F.count(F.lit(1)).over(distinct)).where(F.col("n") >= LEAST_PAGES).drop("n")
+    rows = vectors(pages)
+    key = ["template", "signature", "vector"]
+    first = F.min(F.struct((~homepage(F.col("url"))).alias("h"), (-F.col("overall_score")).alias("s"), "url"))
+    like = rows.groupBy(*key).agg(first.alias("first"), F.count(F.lit(1)).alias("n"), F.sum("overall_score").alias("total"), F.min("overall_score").alias("low"), F.max("overall_score").alias("high"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, head, number = None, None, 0
         for batch in batches:
             out = []
-            for key, v in zip(zip(batch["template"], batch["signature"], strict=True), batch["vector"], strict=True):
-                if key != at or max((abs(a - b) for a, b in zip(v, head, strict=True)), default=0) > TOLERANCE:
-                    number = 0 if key != at else number + 1
-                    at, head = key, v
+            for group, v in zip(zip(batch["template"], batch["signature"], strict=True), batch["vector"], strict=True):
+                if group != at or max((abs(a - b) for a, b in zip(v, head, strict=True)), default=0) > TOLERANCE:
+                    number = 0 if group != at else number + 1
+                    at, head = group, v
                 out.append(number)
-            yield batch.assign(cluster=out)[["template", "signature", "url", "overall_score", "home", "cluster"]]
-
-    dealt = rows.repartition("template", "signature").sortWithinPartitions("template", "signature", "vector", "url")
-    walked = dealt.mapInPandas(walk, "template string, signature string, url string, overall_score int, home boolean, cluster int")
-    first = F.min_by("url", F.struct((~F.col("home")).alias("h"), (-F.col("overall_score")).alias("s"), "url"))
-    out = walked.groupBy("template", "signature", "cluster").agg(first.alias("representative_url"), F.array_sort(F.collect_list("url")).alias("urls"), F.count(F.lit(1)).alias("page_count"), half_up(F.avg("overall_score")).cast("int").alias("avg_score"), (F.max("overall_score") - F.min("overall_score")).alias("score_range"))
-    return out.where(F.col("page_count") >= LEAST_PAGES).drop("signature", "cluster")
+            yield batch.assign(cluster=out)
+
+    dealt = like.select(*key).repartition("template", "signature").sortWithinPartitions(*key)
+    walked = cut(dealt.mapInPandas(walk, "template string, signature string, vector array<int>, cluster int"))
+    out = like.join(walked, key).groupBy("template", "signature", "cluster").agg(
+        F.min("first")["url"].alias("representative_url"), F.sum("n").alias("page_count"), half_up(F.sum("total") / F.sum("n")).cast("int").alias("avg_score"), (F.max("high") - F.min("low")).alias("score_range")
+    ).where(F.col("page_count") >= LEAST_PAGES)
+    named = F.concat_ws("#", "signature", F.col("cluster").cast("string")).alias("cluster")
+    members = rows.join(walked, key).join(out.select("template", "signature", "cluster"), ["template", "signature", "cluster"], "left_semi")
+    return out.select("template", named, "representative_url", "page_count", "avg_score", "score_range"), members.select("template", named, "url")

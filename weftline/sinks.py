@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from typing import Any
 
@@ -72,3 +73,23 @@ def exit_code(score: int | None = None, verdict: str | None = None, error: bool
     if error:
         return 2
     return int(verdict == "fail") if verdict is not None else int(not passes(score))
+
+
+# Codes of failures.
+ERRORS = ("BAD_INPUT", "INVALID_URL", "UNSUPPORTED_PROTOCOL", "UNREACHABLE", "BLOCKED_HOST", "BLOCKED_IP", "TIMEOUT", "REDIRECT_LIMIT", "BODY_TOO_LARGE", "NOT_HTML", "COMPARE_MISCONFIG", "BUDGET_EXCEEDED")
+
+
+def failed(code: str, message: str) -> int:
+    """Says a failure with its code, and returns its exit code: 2."""
+    if code not in ERRORS:
+        raise ValueError(f"unknown code {code}")
+    print(f"{code}: {safe(message)[:300]}", file=sys.stderr)
+    return exit_code(error=True)
+
+
+def ci_outputs(path: str, values: dict) -> None:
+    """Adds key=value lines to the file in which a build reads a step's outputs; lists and maps are left out."""
+    with open(path, "a", encoding="utf-8") as f:
+        for k, v in values.items():
+            if not isinstance(v, (list, dict)):
+                f.write(f"{k.replace('_', '-')}={safe(str(v).lower() if isinstance(v, bool) else v)}\n")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.text import xml_unescaped
+from weftline.functions.urls import host, scheme_host
 
 PRIORITY = 0.5
 #: Kinds of auxiliary files and their paths.
@@ -18,16 +20,19 @@ def sitemap_entries(docs: DataFrame) -> DataFrame:
     """docs (sitemap_url, body) -> sitemap_url, ord, loc, priority (null if none): page entries, entities decoded. Malformed XML around them doesn't matter."""
     blocks = F.regexp_extract_all("body", F.lit(r"(?is)<url(?:\s[^>]*)?>(.*?)</url>"), F.lit(1))
     rows = docs.select("sitemap_url", F.posexplode(blocks).alias("ord", "b"))
-    loc = F.trim(F.regexp_replace(F.regexp_extract("b", r"(?is)<loc[^>]*>\s*(.*?)\s*</loc>", 1), r"(?s)^<!\[CDATA\[(.*?)\]\]>$", "$1"))
     priority = F.expr(r"try_cast(nullif(regexp_extract(b, '(?is)<priority[^>]*>\\s*([0-9.]+)\\s*</priority>', 1), '') as double)")
-    return rows.select("sitemap_url", "ord", xml_unescaped(loc).alias("loc"), priority.alias("priority")).where("loc <> ''")
+    return rows.select("sitemap_url", "ord", xml_unescaped(_loc("b")).alias("loc"), priority.alias("priority")).where("loc <> ''")
 
 
 def child_sitemaps(docs: DataFrame) -> DataFrame:
     """docs (sitemap_url, body) -> sitemap_url, ord, loc of a sitemap index's members."""
     blocks = F.regexp_extract_all("body", F.lit(r"(?is)<sitemap(?:\s[^>]*)?>(.*?)</sitemap>"), F.lit(1))
     rows = docs.select("sitemap_url", F.posexplode(blocks).alias("ord", "b"))
-    return rows.select("sitemap_url", "ord", xml_unescaped(F.trim(F.regexp_extract("b", r"(?is)<loc[^>]*>\s*(.*?)\s*</loc>", 1))).alias("loc")).where("loc <> ''")
+    return rows.select("sitemap_url", "ord", xml_unescaped(_loc("b")).alias("loc")).where("loc <> ''")
+
+
+def _loc(block: str) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_extract(block, r"(?is)<loc[^>]*>\s*(.*?)\s*</loc>", 1), r"(?s)^<!\[CDATA\[(.*?)\]\]>$", "$1"))
 
 
 def resolved_sitemap(docs: DataFrame, root: str) -> DataFrame:
@@ -62,7 +67,7 @@ def looks_like_sitemap(body: Column) -> Column:
 
 
 def static_pages(spark: SparkSession, folder: str, base_url: str) -> DataFrame:
-    """HTML files under a folder as pages: path order gives page_id's order; index.html stands for its folder, others lose their ending. Hidden folders and node_modules are left out."""
+    """HTML files under a folder as pages: page_id is a hash of the path; index.html stands for its folder, others lose their ending. Hidden folders and node_modules are left out."""
     files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{html,htm}").load(folder)
     here = folder.rstrip("/").split("://")[-1]
     path = F.expr(f"substring(url_decode(regexp_replace(_metadata.file_path, '^[a-z]+:/*', '/')), {len(here) + 1})")
@@ -71,6 +76,31 @@ def static_pages(spark: SparkSession, folder: str, base_url: str) -> DataFrame:
     return rows.select(F.xxhash64("path").alias("page_id"), "path", F.concat(F.lit(base_url.rstrip("/")), route).alias("url"), "html")
 
 
+def disk_files(spark: SparkSession, folder: str, base_url: str) -> DataFrame:
+    """The auxiliary files at the top of a folder: host, kind, state (ok or missing), url, body; a row for each kind."""
+    here = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = [(kind, path) for kind, path in AUX_FILES.items() if store.exists(spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + path))]
+    kinds = spark.createDataFrame([(k, base_url.rstrip("/") + p) for k, p in AUX_FILES.items()], "kind string, url string")
+    found = spark.createDataFrame([], "kind string, body string")
+    for kind, path in there:
+        found = found.unionByName(spark.read.text(folder.rstrip("/") + path, wholetext=True).select(F.lit(kind).alias("kind"), F.col("value").alias("body")))
+    state = F.when(F.col("body").isNull(), "missing").otherwise("ok")
+    return kinds.join(found, "kind", "left").select(host(F.lit(base_url)).alias("host"), "kind", state.alias("state"), "url", F.coalesce("body", F.lit("")).alias("body"))
+
+
+def directive_sitemaps(files: DataFrame) -> DataFrame:
+    """robots files (site, body) -> site, sitemap_url: the sitemaps they name on their own origin; relative ones are the site's."""
+    rows = files.select("site", F.explode(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"(?im)^\s*sitemap\s*:\s*([^#\s]+)"), F.lit(1))).alias("named"))
+    whole = F.when(F.startswith("named", F.lit("/")), F.concat("site", "named")).otherwise(F.col("named"))
+    return rows.select("site", whole.alias("sitemap_url")).where(scheme_host(F.col("sitemap_url")) == F.lower("site")).distinct()
+
+
+def static_target(argument: str, exists: bool = False) -> bool:
+    """Whether an argument is a path rather than a URL: never with a web scheme; a leading . / or ~, or a path that exists."""
+    return not re.match("https?://", argument, re.IGNORECASE) and (argument[:1] in (".", "/", "~") or exists)
+
+
 def url_list(spark: SparkSession, path: str) -> DataFrame:
     """URLs of a text file, one or several (by commas) on a line, without comments."""
     rows = spark.read.text(path).select(F.explode(F.split(F.regexp_replace("value", "#.*$", ""), ",")).alias("url"))
