@@ -140,11 +140,39 @@ def test_pii_seeds_are_whole_matches(docs):
     cards = ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "6011 0000 0000 0004"]
     rows = [(i, f"please call me on +1 (017) 555-771{i} today") for i in range(4)] + [(10 + i, f"then charge my card {c} today") for i, c in enumerate(cards)]
     rows += [(20 + i, f"or write to ({n}.doe@example.com) now") for i, n in enumerate(["jane", "john", "jim", "joan"])]
-    rows += [(30, "call me on handle99x"), (31, "charge my card handle99x"), (32, "or write to handle99x"), (33, "the of in handle99x")]
+    rows += [(30, "call me on handle30x"), (31, "charge my card handle31x"), (32, "or write to handle32x"), (33, "the of in handle33x")]
     got = {r.doc_id: r for r in pii.extract(docs(rows)).collect()}
     assert [got[i].n_context for i in (30, 31, 32, 33)] == [1, 1, 1, 0] and got[0].n_phone == got[10].n_card == got[20].n_email == 1
 
 
+def test_pii_contexts_are_precise_among_ordinary_numbers(docs):
+    """Unseen identifiers outnumber the seeds of their contexts; ordinary numbers and card-like decoys stand among prose, as cards do."""
+    draw = random.Random(7)
+    made = ["".join(draw.choices("aeiou" "bdfklmnrst", k=draw.randrange(2, 8))) for _ in range(400)]
+    prose = lambda n: draw.choices(made, k=n)
+    phrases = [("please contact", "today please"), ("write soon to", "or later"), ("my number is", "right now"), ("account holder is", "for details")]
+    seed = lambda k, i: (f"user{k}x{i}@mail.test", f"+1 (555) {100 + k}-{1000 + i}", f"10.{k}.{i}.7")[i % 3]
+    unseen = lambda k, i: (f"X{k}R-{88000 + 13 * i}", f"agent_{k}{5500 + i}", f"0{170 + k}/555{i:04}")[i % 3]
+    rows, planted = [], {}
+    for k, (before, after) in enumerate(phrases):
+        for i in range(12):
+            rows.append((1000 * k + i, " ".join([*prose(12), before, seed(k, i), after, *prose(9)])))
+        for i in range(20):
+            rows.append((1000 * k + 100 + i, " ".join([*prose(12), before, unseen(k, i), after, *prose(9)])))
+            planted[1000 * k + 100 + i] = unseen(k, i)
+    card = lambda ok: next(c for c in iter(lambda: "".join(draw.choices("0123456789", k=16)), "") if luhn(c) == ok)
+    rows += [(9000 + i, " ".join([*prose(8), card(i % 2 == 0), *prose(8)])) for i in range(200)]
+    rows += [(9500 + i, " ".join([*prose(8), draw.choice(["in the year", "it costs", "some"]), str(1900 + i), *prose(8)])) for i in range(100)]
+    texts, hits, wrong = dict(rows), set(), 0
+    for r in pii.extract(docs(rows)).where("n_context > 0").collect():
+        for kind, a, b in (x.split(":") for x in r.spans.split(",")):
+            if kind == "context":
+                right = texts[r.doc_id][int(a) : int(b)] == planted.get(r.doc_id)
+                hits |= {r.doc_id} if right else set()
+                wrong += not right
+    assert len(hits) >= 0.95 * len(planted) and wrong <= 0.05 * len(planted)
+
+
 # --- language -----------------------------------------------------------------------------------------------------------
 
 

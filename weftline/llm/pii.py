@@ -3,8 +3,10 @@
 Fixed patterns find the seed entities. What stands around an entity induces lexical patterns: the two words before it; the
 word before it and its shape; its shape and the word after it; the words on both sides. Patterns and the instances they
 hold, seeds and other tokens with a digit, form a bipartite graph. A pattern's score is the sum of its instances' scores
-over their number plus SMOOTHING; an instance's is that of its best pattern, where that is high, and nothing otherwise;
-seeds hold 1. After some rounds, tokens that a high-scoring pattern holds are identifiers that no fixed pattern knows.
+over their number plus SMOOTHING. Seeds hold 1; another instance's score is the sum of its patterns' scores over half the
+number of its patterns, 1 at most: two of the four patterns of a place have to speak for it, and a token that stands in
+many places needs as many that do. Scores pass to and fro for some rounds; then instances with a high score are
+identifiers that no fixed pattern knows, where a high-scoring pattern holds them.
 
 Spark's regex functions return matches without their places; these follow from the lengths of what split() leaves
 between them. Loops over groups, for which Java's matcher recurses, are avoided by marking separators first, one
@@ -18,12 +20,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import stored, table
+from weftline.llm.common import dropped, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern stands before so many different seeds at least.
 MIN_SEEDS = 3
-ROUNDS = 3
+ROUNDS = 8
 CONFIDENCE = 0.65
 SMOOTHING = 0.5
 #: A context is what stands in so many characters before and after an entity.
@@ -110,9 +112,9 @@ def shape(s: Column) -> Column:
 
 
 def contexts(tail: Column, s: Column, head: Column) -> Column:
-    """The lexical patterns of an entity between two texts. What touches it is no word, nor is a word with a digit; a pattern that lacks a word doesn't exist."""
+    """The lexical patterns of an entity between two texts. What touches it is no word, nor is one with a digit or without a letter; a pattern that lacks a word doesn't exist."""
     def words(text: Column) -> Column:
-        return F.transform(F.filter(F.split(F.lower(text), f"[{_SPACE}]+"), lambda w: w != ""), lambda w: F.when(~w.rlike("[0-9]"), w))
+        return F.transform(F.filter(F.split(F.lower(text), f"[{_SPACE}]+"), lambda w: w != ""), lambda w: F.when(w.rlike(r"\p{L}") & ~w.rlike("[0-9]"), w))
 
     before, after = words(F.regexp_replace(tail, f"[^{_SPACE}]+$", "")), words(F.regexp_replace(head, f"^[^{_SPACE}]+", ""))
     last, other, first, form = F.try_element_at(before, F.lit(-1)), F.try_element_at(before, F.lit(-2)), F.get(after, F.lit(0)), shape(s)
@@ -157,16 +159,21 @@ def _sent(patterns: DataFrame) -> DataFrame:
     return F.broadcast(patterns) if patterns.count() <= BROADCAST_ROWS else patterns
 
 
-def score_patterns(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> DataFrame:
-    """edges (p, s, seed), once each -> (p, score)."""
-    known = edges.groupBy("s").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    scores = None
+def score(edges: DataFrame, patterns: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """edges (p, s, seed), once each, and the patterns (p) to follow -> their scores (p, score), and those of instances (s, score) that aren't seeds. Each round is a written table, so the plan stays short."""
+    known = edges.groupBy("s").agg(F.max("seed").alias("seed"), F.greatest(F.lit(1.0), F.count(F.lit(1)) / 2).alias("places"))
+    followed = stored(edges.select("p", "s").join(_sent(patterns), "p", "left_semi").join(known, "s"), "pii-followed")
+    scores = stored(followed.groupBy("p").agg((F.sum(F.col("seed").cast("double")) / (F.count(F.lit(1)) + SMOOTHING)).alias("score")), "pii-scores")
     for i in range(rounds):
-        if i:
-            best = edges.join(scores, "p").groupBy("s").agg(F.max("seed").alias("seed"), F.max("score").alias("best"))
-            known = best.select("s", F.when(F.col("seed"), 1.0).when(F.col("best") >= confidence, F.col("best")).otherwise(0.0).alias("score"))
-        scores = edges.join(known, "s").groupBy("p").agg((F.sum("score") / (F.count(F.lit(1)) + SMOOTHING)).alias("score"))
-    return scores
+        told = followed.where("not seed").join(scores, "p").groupBy("s").agg(F.least(F.lit(1.0), F.sum("score") / F.first("places")).alias("score"))
+        told = stored(told, "pii-instances")
+        if i + 1 < rounds:
+            again = followed.join(told, "s", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
+            again = stored(again.groupBy("p").agg((F.sum("score") / (F.count(F.lit(1)) + SMOOTHING)).alias("score")), "pii-scores")
+            dropped(scores)
+            dropped(told)
+            scores = again
+    return scores, told
 
 
 def extract(documents: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float = CONFIDENCE) -> DataFrame:
@@ -192,11 +199,12 @@ def extract(documents: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float
     edges = rows.select(F.explode(F.concat(held("seeds", True), held("tokens", False))).alias("t")).select("t.*").groupBy("p", "s").agg(F.max("seed").alias("seed"))
     edges = stored(edges, "pii-graph")
     patterns = stored(edges.where("seed").groupBy("p").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_seeds).select("p"), "pii-patterns")
-    followed = stored(edges.join(_sent(patterns), "p", "left_semi"), "pii-followed")
-    high = stored(score_patterns(followed, confidence=confidence).where(F.col("score") >= confidence).select("p"), "pii-high")
+    scores, told = score(edges, patterns)
+    high = scores.where(F.col("score") >= confidence).select("p")
+    found = told.where(F.col("score") >= confidence).select("s")
     fresh = F.filter("tokens", lambda t: F.length(t["s"]) >= LEAST)
-    hits = rows.select("row", F.explode(fresh).alias("t")).select("row", F.explode("t.p").alias("p"), F.struct(F.col("t.a").alias("a"), F.lit(len(KINDS)).alias("k"), F.col("t.z").alias("z")).alias("hit"))
-    hits = hits.join(_sent(high), "p", "left_semi").groupBy("row").agg(F.collect_set("hit").alias("hits"))  # a row's own tokens
+    hits = rows.select("row", F.explode(fresh).alias("t")).select("row", "t.s", F.explode("t.p").alias("p"), F.struct(F.col("t.a").alias("a"), F.lit(len(KINDS)).alias("k"), F.col("t.z").alias("z")).alias("hit"))
+    hits = hits.join(_sent(found), "s", "left_semi").join(_sent(high), "p", "left_semi").groupBy("row").agg(F.collect_set("hit").alias("hits"))  # a row's own tokens
     rows = rows.join(hits, "row", "left")
     more = F.coalesce("hits", F.array().cast("array<struct<a:int,k:int,z:int>>"))
     names = F.array(*[F.lit(k) for k in (*KINDS, "context")])
