@@ -102,20 +102,31 @@ def has(types: Column, *names: str) -> Column:
     return F.arrays_overlap(F.coalesce(types, F.array().cast("array<string>")), F.array(*[F.lit(n) for n in names]))
 
 
-def ladder(*rungs: Rung) -> tuple[Column, Column]:
-    """(points, finding) of the first rung that holds; a rung without a code adds no finding."""
-    points, finding = F.lit(0.0), F.lit(None).cast(FINDING)
-    for cond, p, kind, code in reversed(rungs):
-        cond = F.lit(cond) if isinstance(cond, bool) else F.coalesce(cond, F.lit(False))
-        points = F.when(cond, F.lit(float(p))).otherwise(points)
-        own = F.struct(F.lit(kind).alias("type"), F.lit(code).alias("code"), F.lit(code.rpartition(".")[0].replace(".", ": ").replace("-", " ") + f" is {code.rpartition('.')[2].replace('-', ' ')}").alias("message")) if code else F.lit(None).cast(FINDING)
-        finding = F.when(cond, own).otherwise(finding)
-    return points, finding
+PART = f"struct<p:double,f:array<{FINDING}>>"
 
 
-def several(findings: Column, points: Column | None = None) -> tuple[Column, Column, bool]:
-    """A part with an array of findings."""
-    return F.lit(0.0) if points is None else points, findings, True
+def _said(points: float, kind: str, code: str) -> Column:
+    """A constant part: its points, and its finding if it has a code. One expression, as hundreds of them make a page's plan."""
+    about, _, how = code.replace("-", " ").rpartition(".")
+    found = f"named_struct('type', '{kind}', 'code', '{code}', 'message', '{about.replace('.', ': ')} is {how}')" if code else ""
+    return F.expr(f"named_struct('p', {float(points)}D, 'f', " + (f"array({found})" if code else f"cast(array() as array<{FINDING}>)") + ")")
+
+
+def ladder(*rungs: Rung) -> Column:
+    """PART: points and findings of the first rung that holds; a rung without a code adds no finding, nor does none."""
+    chain, last = None, _said(0, "", "")
+    for cond, points, kind, code in rungs:
+        own = _said(points, kind, code)
+        if cond is True:
+            last = own
+            break
+        chain = F.when(cond, own) if chain is None else chain.when(cond, own)
+    return last if chain is None else chain.otherwise(last)
+
+
+def several(findings: Column, points: Column | None = None) -> Column:
+    """A PART with an array of findings."""
+    return F.struct((F.lit(0.0) if points is None else points).alias("p"), findings.alias("f"))
 
 
 def _finding(kind: Column, code: Column) -> Column:
@@ -132,22 +143,15 @@ def advice(findings: Column) -> Column:
 
 @dataclass
 class Factor:
-    parts: list[tuple[Column, ...]]
+    parts: list[Column]
     applicable: Column | None = None
     score: Column | None = None
 
-    @property
-    def many(self) -> list[bool]:
-        return [len(p) > 2 for p in self.parts]
-
-    def points(self) -> Column:
-        total = self.score if self.score is not None else sum((p[0] for p in self.parts), F.lit(0.0))
-        return X.clamp_score(total)
-
-    def findings(self) -> Column:
-        """All parts' findings in order; a part has one, none (null) or an array of them."""
-        lists = [f if many else F.array(f) for f, many in zip((p[1] for p in self.parts), self.many, strict=True)]
-        return F.array_compact(F.concat(*lists) if len(lists) > 1 else lists[0])
+    def row(self, key: str, place: int, name: str, weight: int) -> Column:
+        """What of a factor is its own: constants, parts, whether it applies, and its score where that isn't the parts' sum."""
+        fixed = F.expr(f"named_struct('factor_id', '{key}', 'ord', {place}, 'name', '{name}', 'weight', {weight})")
+        applies, own = (F.expr(f"cast(null as {kind})") if x is None else x.cast(kind) for x, kind in ((self.applicable, "boolean"), (self.score, "double")))
+        return F.struct(fixed.alias("fixed"), F.array(*self.parts).alias("parts"), applies.alias("applicable"), own.alias("own"), F.lit(self.score is not None).alias("scored"))
 
 
 #: Canonical targets whose state is looked at.
@@ -395,12 +399,12 @@ def technical_seo(e: Env) -> Factor:
     images = p("images")
     bad = F.filter(images, lambda i: i["alt"].isNull() | (F.trim(i["alt"]) == ""))
     covered = F.floor((F.size(images) - F.size(bad)) / F.when(F.size(images) > 0, F.size(images)) * 30 + 0.5)
-    alt, alt_found = ladder((F.size(images) == 0, 30, "info", f"{c}.alt-text.none"), (F.size(bad) == 0, 30, "found", f"{c}.alt-text.ok"), (F.exists(images, lambda i: i["alt"].isNull()), 0, "missing", f"{c}.alt-text.missing"), (True, 0, "info", f"{c}.alt-text.empty"))
+    alt = ladder((F.size(images) == 0, 30, "info", f"{c}.alt-text.none"), (F.size(bad) == 0, 30, "found", f"{c}.alt-text.ok"), (F.exists(images, lambda i: i["alt"].isNull()), 0, "missing", f"{c}.alt-text.missing"), (True, 0, "info", f"{c}.alt-text.empty"))
     size = F.length(F.coalesce(p("meta_description"), F.lit("")))
     score, found = canonical(e, c)
     return Factor([
         ladder((h1 == 1, 40, "found", f"{c}.h1.single"), (h1 == 0, 0, "missing", f"{c}.h1.missing"), (True, 20, "info", f"{c}.h1.multiple")),
-        (F.when(F.size(bad) > 0, covered.cast("double")).otherwise(alt), alt_found),
+        several(alt["f"], F.when(F.size(bad) > 0, covered.cast("double")).otherwise(alt["p"])),
         ladder((size == 0, 0, "missing", f"{c}.meta-description.missing"), (size < 120, 8, "info", f"{c}.meta-description.short"), (size > 160, 12, "info", f"{c}.meta-description.long"), (True, 20, "found", f"{c}.meta-description.present")),
         several(found, score / 2),
     ])
@@ -438,14 +442,14 @@ def agent_skill_exposure(e: Env) -> Factor:
     part = lambda f, k, w: f[k] / f["fields"] * w
     one = lambda f: F.floor(part(f, "labelled", 35.0) + part(f, "autocomplete", 25.0) + part(f, "typed", 15.0) + part(f, "named", 10.0) + F.when(f["has_name"], 10).otherwise(0) + F.when(f["has_submit"], 5).otherwise(0) + 0.5)
     mean = F.aggregate(forms, F.lit(0.0), lambda acc, f: acc + one(f)) / F.when(F.size(forms) > 0, F.size(forms))
-    _, finding = ladder((mean >= 80, 0, "found", f"{c}.forms.strong"), (mean >= 40, 0, "info", f"{c}.forms.partial"), (mean >= 0, 0, "missing", f"{c}.forms.weak"), (True, 0, "info", f"{c}.forms.none"))
+    told_forms = ladder((mean >= 80, 0, "found", f"{c}.forms.strong"), (mean >= 40, 0, "info", f"{c}.forms.partial"), (mean >= 0, 0, "missing", f"{c}.forms.weak"), (True, 0, "info", f"{c}.forms.none"))
     return Factor([
         ladder((p("actions_ready") > 0, 35, "found", f"{c}.schema-action.well-formed"), (p("actions") > 0, 18, "info", f"{c}.schema-action.partial"), (True, 0, "missing", f"{c}.schema-action.missing")),
         ladder((rel("mcp", "webmcp", "ai-plugin") | meta("mcp-server", "mcp-server-url", "ai-plugin") | told("mcp|webmcp|ai-plugin"), 20, "found", f"{c}.mcp-discovery.found"), (True, 0, "info", f"{c}.mcp-discovery.missing")),
         ladder((rel("agent-card", "a2a") | href("/.well-known/agent.json") | href("agent-card.json") | meta("agent-card", "a2a-agent-card") | told("agent-card|a2a"), 12, "found", f"{c}.a2a-agent-card.found"), (True, 0, "info", f"{c}.a2a-agent-card.missing")),
         ladder((described, 10, "found", f"{c}.openapi.found"), (True, 0, "info", f"{c}.openapi.missing")),
         ladder(((p("n_itemprop") >= 3) | (p("n_itemtype") >= 1), 10, "found", f"{c}.microdata.found"), (True, 0, "info", f"{c}.microdata.missing")),
-        (F.coalesce(F.floor(mean / 100 * 25 + 0.5), F.lit(0)).cast("double"), finding),
+        several(told_forms["f"], F.coalesce(F.floor(mean / 100 * 25 + 0.5), F.lit(0)).cast("double")),
     ])
 
 
@@ -476,10 +480,11 @@ def chosen(only: list[str] | None = None, optional: tuple[str, ...] = ()) -> dic
 
 def factor_array(env: Env, only: list[str] | None = None, optional: tuple[str, ...] = ()) -> Column:
     """array<struct<factor_id, ord, name, weight, score, applicable, findings>> of a page."""
-    rows = []
-    for i, (key, (name, weight)) in enumerate(chosen(only, optional).items()):
-        f = BUILDERS[key](env)
-        found = f.findings()
-        applies = f.applicable if f.applicable is not None else F.lit(None).cast("boolean")
-        rows.append(F.struct(F.lit(key).alias("factor_id"), F.lit(i).alias("ord"), F.lit(name).alias("name"), F.lit(weight).alias("weight"), f.points().alias("score"), applies.alias("applicable"), found.alias("findings")))
-    return F.array(*rows)
+    rows = F.array(*[BUILDERS[key](env).row(key, i, name, weight) for i, (key, (name, weight)) in enumerate(chosen(only, optional).items())])
+
+    def scored(r: Column) -> Column:
+        total = F.when(r["scored"], r["own"]).otherwise(F.aggregate(r["parts"], F.lit(0.0), lambda acc, x: acc + x["p"]))
+        fixed = [r["fixed"][k].alias(k) for k in ("factor_id", "ord", "name", "weight")]
+        return F.struct(*fixed, X.clamp_score(total).alias("score"), r["applicable"].alias("applicable"), F.flatten(F.transform(r["parts"], lambda x: x["f"])).alias("findings"))
+
+    return F.transform(rows, scored)
