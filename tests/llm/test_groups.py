@@ -161,6 +161,10 @@ def test_every_passage_of_51_words_is_found_wherever_it_stands(docs):
             wrap = (1000, 11)[side]
             rows.append((10 * k + side, "\n".join(" ".join(words[j : j + wrap]) for j in range(0, len(words), wrap))))
         rows.append((10 * k + 5, " ".join(draw.choices(vocab, k=120)) + " All rights reserved under the terms of the license that comes with it."))
+    for i in range(6):  # one word over and over, and two by turns, among others
+        words = [f"x{draw.randrange(10**6)}" for _ in range(80)]
+        rows.append((100_000 + 10 * i, " ".join([*words[: 9 * i], *["la"] * (51 + 40 * i), *words[9 * i :]])))
+        rows.append((200_000 + 10 * i, " ".join([*words[9 * i :], *["do", "re"] * (30 + 20 * i), *words[: 9 * i]])))
     found = {r.doc_id for r in paragraphs.repeated_paragraphs(docs(rows)).collect()}
     assert found == {i for i, _ in rows if i % 10 < 2}
 

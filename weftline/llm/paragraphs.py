@@ -2,9 +2,10 @@
 
 Line breaks are no guide: a passage may stand inside a longer line or be wrapped anew. A text's words are cut where the
 hash of a three-word run is the least of WINDOW in a row, so equal passages are cut at equal places whatever surrounds them.
-Of 49 runs, which 51 words have, the first and the last window inside choose places 18 words apart at least; between
-these, every cut and so every paragraph is the same in all texts that hold the passage. A paragraph is the set of the
-5-word shingles that begin between two cuts.
+In a passage of 51 words the first window chooses one of the first 16 places, and the last whose shingles end inside one from
+the 32nd to the 47th: 16 words apart at least. Between these, every cut and so every paragraph is the same in all texts that
+hold the passage. A paragraph is the set of the 5-word shingles that begin between two cuts; a stretch of one word over and
+over is one of its own, alike however long.
 
 Bands of MinHash values are dealt to buckets together with the paragraph's key, so that copies of a paragraph meet once.
 Another exchange finds the keys that two documents hold. Paragraphs that collide in a band but differ are read again from
@@ -28,7 +29,7 @@ from weftline.llm.streams import consecutive
 #: Runs of three words among which the least one is a cut.
 WINDOW = 16
 #: Shingles of a passage, at least: the stretch that is surely found of one with 51 words.
-LEAST = 18
+LEAST = 16
 #: Rows in a band; and the probability at most with which a pair at the threshold collides in none.
 ROWS = 1
 MISS = 1e-3
@@ -63,6 +64,16 @@ def cuts(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return found[~again & (found + SHINGLE_WORDS <= end[found])]
 
 
+def stretches(text: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Of shingles in order, those where a stretch of equal ones begins or has ended."""
+    if len(tokens) < 2:
+        return np.zeros(0, np.int64)
+    same = np.concatenate([[False], (tokens[1:] == tokens[:-1]) & (text[1:] == text[:-1])])  # as the one before
+    begin = ~same & np.concatenate([same[1:], [False]])
+    ended = ~same & np.concatenate([[False], same[:-1]]) & np.concatenate([[False], text[1:] == text[:-1]])
+    return np.flatnonzero(begin | ended)
+
+
 class Paragraphs:
     """The paragraphs of a slice of texts: for each its text, first word and number of words, size and key; and all distinct (paragraph, shingle), in order."""
 
@@ -71,11 +82,12 @@ class Paragraphs:
         begins = np.zeros(len(words), bool)
         begins[at[:-1][np.diff(at) > 0]] = True
         begins[cuts(words, at)] = True
+        start, text, tokens, _ = shingled(words, at)
+        begins[start[stretches(text, tokens)]] = True
         first = np.flatnonzero(begins)
         self.text = np.searchsorted(at, first, "right") - 1
         self.first = first - at[self.text]
         self.words = np.diff(np.concatenate([first, [len(words)]]))
-        start, _, tokens, _ = shingled(words, at)
         own = (np.cumsum(begins) - 1)[start] if len(start) else start
         some = distinct(own, tokens)
         self.own, self.tokens = own[some], tokens[some]
