@@ -332,3 +332,23 @@ def test_static_files_and_paths(spark, tmp_path):
 
     df = spark.createDataFrame([(x,) for x in ("https://a.test/x/?q", "x", "/x//", "", "/", "https://a.test")], "p string")
     assert [r.r for r in df.select(route_path(F.col("p")).alias("r")).collect()] == ["/x", "/x", "/x", "/", "/", "/"]
+
+
+def test_advice_cites_rules_and_names_schemas(spark):
+    from weftline.operators import advice
+
+    row, f = audit(spark, "<p>x")
+    assert any(r.startswith("See https://") for r in f["ai-access-files"].recommendations) and not any("See https" in r for r in f["citations"].recommendations)
+    phrase = lambda category, specific: one(spark, advice.schema_phrase(F.struct(F.lit(category).alias("category"), F.lit(specific).alias("specific"))))[0]
+    assert phrase("ecommerce", True) == "Organization, Product, and AggregateRating schema" and phrase("ecommerce", False).startswith("Organization schema, plus")
+    audits = [("a", 0.5, "numeric"), ("b", 0.1, "binary"), ("c", 0.95, "numeric"), ("d", None, "numeric"), (None, 0.0, "numeric"), ("e", 0.0, "manual"), *[(f"f{i}", 0.6, "numeric") for i in range(6)]]
+    df = spark.createDataFrame([(audits,)], "a array<struct<title:string,score:double,mode:string>>")
+    assert df.select(advice.worst_audits(F.col("a"))).first()[0] == ["b (score 10/100)", "a (score 50/100)", "f0 (score 60/100)", "f1 (score 60/100)", "f2 (score 60/100)"]
+
+
+def test_retry_after(spark):
+    from weftline.operators.crawl import retry_after, transient
+
+    df = spark.createDataFrame([("3",), (" 7 ",), ("99999",), ("Wed, 21 Oct 2015 07:28:00 GMT",), ("-1",), (None,)], "h string")
+    assert [r[0] for r in df.select(retry_after(F.col("h"), F.lit(500))).collect()] == [3000.0, 7000.0, 10000.0, 500.0, 500.0, 500.0]
+    assert list(one(spark, *[transient(F.lit(c)) for c in ("TIMEOUT", "unreachable", "BLOCKED_HOST", None)])) == [True, True, False, False]

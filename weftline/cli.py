@@ -48,6 +48,10 @@ def _pages(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     wanted = wanted_paths(args, spark)
     if wanted is not None:
         pages = pages.withColumn("wanted", U.route_path(F.col("url"))).join(wanted, "wanted", "left_semi").drop("wanted")
+    if args.sitemap:
+        entries = site.resolved_sitemap(spark.read.parquet(args.sitemap_docs), args.sitemap)
+        listed = entries.groupBy(U.page_key(F.col("loc")).alias("_key")).agg(F.min_by(F.struct("priority"), F.struct("member", "ord")).alias("x")).select("_key", "x.priority")
+        pages = pages.drop("priority").withColumn("_key", U.page_key(F.col("url"))).join(listed, "_key").drop("_key").where(~U.skipped(F.col("url")))
     if args.skip_files:
         pages = pages.where(~U.skipped(F.col("url")))
     if args.limit:
@@ -194,6 +198,8 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--include", help="only these paths, by commas")
         s.add_argument("--changed", help="a list of changed source files: only the pages that they make")
         s.add_argument("--critical", help="paths, by commas, that --changed always takes along")
+        s.add_argument("--sitemap", help="only pages that this sitemap lists, or a member of its index, with their priorities")
+        s.add_argument("--sitemap-docs", help="table of sitemap documents (sitemap_url, body)")
         s.add_argument("--skip-files", action="store_true", help="leave out URLs that end like files")
         s.add_argument("--limit", type=int, help="a stratified sample of so many pages")
         s.add_argument("--files", help="table of auxiliary files (host, kind, state, url, body); a folder's own are read")

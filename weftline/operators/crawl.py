@@ -13,12 +13,13 @@ from weftline.functions.page import parsed
 from weftline.functions.tables import cut
 from weftline.operators import robots
 from weftline.operators.graph import version_copy, version_pattern
-from weftline.sources.site import child_sitemaps, sitemap_entries
+from weftline.sources.site import child_sitemaps, looks_like_sitemap, sitemap_entries
 
 # Floors of the bounds that follow from the number of pages, and ceilings of all.
 FLOORS = {"edges": 100_000, "fetches": 5_000, "seconds": 120.0, "bytes": 100 * 1024 * 1024}
 MOST_SECONDS = 2_147_483.647
 MOST = 2**53 - 1
+MOST_WAIT_MS = 10_000
 #: Stops that end all fetching; any other only keeps further URLs out.
 HARD = ("max-fetches", "max-duration", "max-bytes")
 
@@ -91,6 +92,12 @@ PAGE = "url string, depth int, state string, status int, location string, canoni
 EDGE = "`from` string, `to` string, type string, ord int, text string, nofollow boolean, placement string, internal boolean"
 
 
+def retry_after(header: Column, standard_ms: Column) -> Column:
+    """Milliseconds to wait before another try: what a Retry-After header says in seconds, MOST_WAIT_MS at most; a date, or none, is the standard."""
+    seconds = F.try_to_number(F.trim(header), F.lit("999999999")).cast("double")
+    return F.when(F.trim(header).rlike(r"^[0-9]{1,9}$"), F.least(seconds * 1000, F.lit(float(MOST_WAIT_MS)))).otherwise(standard_ms.cast("double"))
+
+
 def transient(error_code: Column) -> Column:
     """Whether a failure says nothing about the URL, so that another try may succeed."""
     return F.coalesce(F.upper(error_code).isin("TIMEOUT", "UNREACHABLE"), F.lit(False))
@@ -103,6 +110,7 @@ def sitemap_seeds(docs: DataFrame, starts: DataFrame, limits: Limits = Limits())
     queue but for those handled before. No more than sitemap_urls different URLs count, by sitemap and then URL.
     """
     most, stopped = limits.resolved(), None
+    docs = docs.where(looks_like_sitemap(F.col("body")))
     queue = cut(starts.select("sitemap_url").distinct())
     handled = queue
     while queue.head(1):

@@ -32,7 +32,7 @@ def shapes(urls: DataFrame) -> DataFrame:
 def sample(items: DataFrame, limit: int, key: str = "template", spread: str | None = None, pin: Column | None = None, rank: tuple[Column, ...] = ()) -> DataFrame:
     """items (ord, key, ...): pinned ones, then one of each key in turn, the largest group first, up to limit; in the order of ord.
 
-    Inside a group items go by rank, then ord; with spread they are dealt in turn over its values, the most frequent first.
+    Inside a group items go by rank, then ord; with spread (not null) they are dealt in turn over its values, the most frequent first.
     Round-robin is a sort by (place in the group, place of the group), so no loop runs.
     """
     if limit <= 0:
@@ -40,14 +40,14 @@ def sample(items: DataFrame, limit: int, key: str = "template", spread: str | No
     held = items.withColumn("_pin", F.coalesce(pin, F.lit(False)) if pin is not None else F.lit(False))
     inside = [*rank, F.col("ord")]
     rest = held.where(~F.col("_pin"))
+    sizes = rest.groupBy(key).agg(F.count(F.lit(1)).alias("_size"))
+    # Only the first `limit` of a group can be taken, and those are picked out before rows are exchanged; counts are taken apart.
     if spread:
-        values = Window.partitionBy(key, spread)
-        rest = rest.withColumn("_round", F.row_number().over(values.orderBy(*inside))).withColumn("_n", F.count(F.lit(1)).over(values))
+        counts = rest.groupBy(key, spread).agg(F.count(F.lit(1)).alias("_n"))
+        rest = rest.withColumn("_round", F.row_number().over(Window.partitionBy(key, spread).orderBy(*inside))).where(F.col("_round") <= limit).join(counts, [key, spread])
         inside = [F.col("_round"), F.desc("_n"), F.col(spread)]
-    group = Window.partitionBy(key)
-    rest = rest.withColumn("_place", F.row_number().over(group.orderBy(*inside))).withColumn("_size", F.count(F.lit(1)).over(group))
-    # Only the first `limit` of a group can be taken, and of the whole only the first `limit` by place.
-    ranked = rest.where(F.col("_place") <= limit).select("ord", "_place", "_size", key)
+    rest = rest.withColumn("_place", F.row_number().over(Window.partitionBy(key).orderBy(*inside))).where(F.col("_place") <= limit)
+    ranked = rest.join(sizes, key).select("ord", "_place", "_size", key)
     pinned = held.where("_pin").select("ord", F.lit(0).alias("_place"), F.lit(0).cast("long").alias("_size"), F.lit("").alias(key))
     chosen = pinned.unionByName(ranked).orderBy("_place", F.when(F.col("_place") > 0, -F.col("_size")).otherwise(0), F.when(F.col("_place") > 0, F.col(key)).otherwise(""), "ord").limit(limit)
     return items.join(chosen.select("ord"), "ord", "left_semi").orderBy("ord")
