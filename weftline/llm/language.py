@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from weftline.llm.common import table, tidy
+from weftline.llm.common import stored, table, tidy
 
 UNDETERMINED = "und"
 #: Labelled documents to learn from: so many at most of each language, the first by a hash of doc_id; and of each so many stretches, at places chosen by a hash in the whole text.
@@ -33,6 +33,8 @@ RATE = 0.02
 SEED = 3
 #: Texts handled at once.
 SLICE = 512
+#: Languages whose counts are broadcast, at most.
+BROADCAST_ROWS = 100_000
 PAD = 256
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -177,8 +179,12 @@ def fit(documents: DataFrame) -> Network | None:
     """Learns from a bounded sample of labelled documents that aren't held out, as many of each language; None if there is none with a letter. A language's first documents are found before any shuffle, and texts leave the executors only as stretches."""
     known = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     key = F.xxhash64(F.col("doc_id").cast("string"))
+    rows = known.select("doc_id", "lang", key.alias("h"), F.xxhash64("text").alias("text_hash"))
+    counts = stored(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    if counts.count() <= BROADCAST_ROWS:  # of a language with many documents only a hashed share, with four times as many as are taken, is put in order
+        rows = rows.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 20)) * F.col("n") < F.lit(4 * DOCUMENTS << 20))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text_hash"))
-    first = known.select("doc_id", "lang", key.alias("h"), F.xxhash64("text").alias("text_hash")).withColumn("place", place).where(F.col("place") <= DOCUMENTS)
+    first = rows.withColumn("place", place).where(F.col("place") <= DOCUMENTS)
     ids = F.broadcast(first.select("doc_id", "lang", "text_hash").distinct())  # DOCUMENTS a language
     rows = known.withColumn("text_hash", F.xxhash64("text")).join(ids, ["doc_id", "lang", "text_hash"], "left_semi").dropDuplicates(["doc_id", "lang", "text_hash"])
     some = F.transform(F.sequence(F.lit(1), F.lit(STRETCHES)), lambda i: F.substring("text", F.pmod(F.xxhash64(F.col("text_hash"), i), F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int") + 1, F.lit(WINDOW)))
