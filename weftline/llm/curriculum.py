@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import WORD, stored, table
 
 #: Rows in a bucket of running sums.
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 2048
 #: A document is used so many times at most.
 MAX_REPEATS = 3
 #: Schedule start by weight: light sources come early, heavy ones late.
