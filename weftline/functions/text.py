@@ -36,6 +36,7 @@ def count_words(s: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(s, F.lit("")), SPACE + "+"), lambda w: w != ""))
 
 
+# What counts as an e-mail address, and as a phone number.
 def emails(s: Column) -> Column:
     return F.regexp_extract_all(s, F.lit(r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"), F.lit(0))
 
@@ -77,6 +78,7 @@ def sitemap_lastmod(xml: Column, url: Column) -> Column:
 
 def copyright_year(s: Column) -> Column:
     """The latest year next to a copyright mark; the end of a range counts."""
+    # Marks and years after and before them.
     after = r"(?i)(?:©|copyright(?!ed)|\(c\)(?=\s*\d))\D{0,60}?((?:19|20)\d{2})(?!\d)(?:\s*[-–—]\s*((?:19|20)\d{2})(?!\d))?"
     before = r"(?i)(?<!\d)((?:19|20)\d{2})\s*(?:©|\(c\))"
     found = F.concat(*[F.regexp_extract_all(s, F.lit(p), F.lit(g)) for p, g in ((after, 1), (after, 2), (before, 1))])
