@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.common import table, tidy
 
 #: Distinct chunks whose ids a task remembers; beyond it the memory starts anew.
-MEMORY = 400_000
+MEMORY = 200_000
 #: Texts encoded at once.
 SLICE = 512
 FIRST = 0x100

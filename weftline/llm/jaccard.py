@@ -30,7 +30,7 @@ PERCENT = 75
 #: A token in so many classes or more is frequent: indexed in pairs.
 FREQUENT = 64
 #: Input bytes for each bucket of tokens, and tokens of a bucket that are sorted at once.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 SORTED = 1 << 20
 #: Texts taken from a batch at once.
 SLICE = 512
@@ -338,7 +338,7 @@ def near_pairs(group: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, percent
 
 def class_sets(documents: DataFrame) -> DataFrame:
     """The stored rows of gathered()."""
-    parts = max(documents.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(documents) // BUCKET_BYTES))
+    parts = max(2 * documents.sparkSession.sparkContext.defaultParallelism, -(-input_bytes(documents) // BUCKET_BYTES))
     return stored(gathered(shared_tokens(token_blobs(documents, parts), parts), parts), "shingle-sets")
 
 
