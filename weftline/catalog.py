@@ -157,7 +157,7 @@ fs as (
   select page_id, url, map {{
     'structured-data': 0, 'content-depth': {_DEPTH}, 'ai-access-files': 0, 'eeat-signals': 0, 'faq-content': 0, 'citations': 24, 'schema-completeness': 0, 'schema-validity': 100,
     'entity-consistency': case when entity = '' then 0 else 40 end + case when length(title) between 1 and 70 then 10 else 0 end, 'content-freshness': 6,
-    'content-extractability': 25 + case when citable >= 5 then 25 when citable >= 2 then 15 else 5 end + 20, 'definition-blocks': defs, 'ai-crawler-access': 30,
+    'content-extractability': case when length(text) > 0.3 * length(html) then 25 when length(text) > 0.15 * length(html) then 15 else 5 end + case when citable >= 5 then 25 when citable >= 2 then 15 else 5 end + 20, 'definition-blocks': defs, 'ai-crawler-access': 30,
     'named-entities': case when brand = '' then 0 when told >= 3 then 36 when told > 0 then 20 else 6 end + 10 + case when proper >= 0.08 then 30 when proper >= 0.04 then 18 else 8 end,
     'technical-seo': case when n_h1 = 1 then 40 when n_h1 = 0 then 0 else 20 end + 30, 'snippet-eligibility': 100, 'geographic-signals': case when regexp_matches(text, '(?i)\b\d{{1,5}}\s+[A-Za-z0-9.''\-\s]+,?\s+[A-Za-z.''\-\s]+,?\s+[A-Z]{{2}}\b') then 12 else 0 end, 'agent-skill-exposure': 0}} as scores, defs, title, n_h1
   from u)"""
