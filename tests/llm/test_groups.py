@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -272,6 +273,30 @@ def test_search_recall_and_odd_rows(spark):
     assert permutations.search(few.limit(0)).count() == 0
 
 
+def test_search_by_blocks_is_exact_and_cheap():
+    """All that a block compares is found as by brute force, whatever the scales, at a fraction of its time."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((4096, 64))
+    x[:64] *= 10.0 ** rng.integers(-200, 140, (64, 1))
+    x[64:96] = x[96:128]
+    q, pivots = np.concatenate([x[:16], x[64:304]]), x[1000:1256]
+    block = permutations.Block(np.arange(4096), x, pivots)
+    own = np.concatenate([np.arange(16), np.arange(64, 304)])
+    asked = permutations.weights(permutations.nearest_pivots(q, pivots, 64), 256)
+    for i, (ids, d) in enumerate(block.nearest(own, q, asked, 4096, 10, np.full(256, np.inf))):
+        every = permutations.distances(q[i], x)
+        every[own[i]] = np.inf
+        want = np.lexsort((np.arange(4096), every))[:10]
+        assert ids.tolist() == want.tolist() and d.tolist() == every[want].tolist()
+    block = permutations.Block(np.arange(4096), x[64:].repeat(2, 0)[:4096], pivots)
+    began = time.thread_time()
+    block.nearest(own, q, asked, 820, 10, np.full(256, np.inf))
+    took, began = time.thread_time() - began, time.thread_time()
+    for v in q:
+        permutations.distances(v, x)
+    assert took < (time.thread_time() - began) / 2
+
+
 # --- archives -----------------------------------------------------------------------------------------------------------
 
 

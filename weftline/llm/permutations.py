@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its nearest pivots in order. A block of vectors keeps an inverted file: for each pivot the
-vectors that have it among theirs, and at which place. A query reads the lists of its own pivots, adds up the footrule
-distance between places, and the vectors ranked first by it are compared exactly.
+A vector is represented by its nearest pivots in order. A block of vectors keeps for each of them a row with the weight of
+every pivot: the nearest one weighs most, those beyond the prefix nothing. The product of two such rows orders vectors as
+Spearman's rho between their permutations does; those that come first for a query are compared exactly.
 """
 
 from __future__ import annotations
@@ -29,6 +29,11 @@ RERANK_LEAST = 64
 #: Vectors in a block of the index, and queries in a block.
 BLOCK = 4096
 QUERIES = 256
+#: Memory of the blocks that meet the queries in one task, and the number of tasks below which blocks aren't put together.
+SHELF_BYTES = 128 << 20
+SHELVES = 48
+#: Partitions that shelves are dealt to, at most.
+TASKS = 960
 
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
@@ -37,30 +42,62 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray
     return np.argsort(d, axis=1, kind="stable")[:, :prefix]
 
 
-def inverted_file(order: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start of each pivot's list, vectors, places): the vectors that have a pivot, and where in their order."""
-    n, prefix = order.shape
-    flat = order.ravel()
-    by = np.argsort(flat, kind="stable")
-    start = np.searchsorted(flat[by], np.arange(pivots + 1))
-    return start, (by // prefix).astype(np.int32), (by % prefix).astype(np.int16)
+def weights(order: np.ndarray, pivots: int) -> np.ndarray:
+    """A row for each permutation: what is left of its prefix at each pivot's place, 0 for those beyond it. All rows are of one length, so the product of two falls as Spearman's rho rises; it is whole and exact in single precision."""
+    out = np.zeros((len(order), pivots), np.float32)
+    np.put_along_axis(out, order, np.arange(order.shape[1], 0, -1, dtype=np.float32)[None], 1)
+    return out
 
 
-def footrule(query: np.ndarray, file: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
-    """For each of n vectors the footrule distance from a query, up to a constant; a pivot that a vector lacks counts as at the place after the last."""
-    start, vectors, places = file
-    prefix = len(query)
-    near = np.zeros(n, np.int32)
-    for place, pivot in enumerate(query):
-        a, b = start[pivot], start[pivot + 1]
-        near[vectors[a:b]] += prefix - np.abs(places[a:b] - place)
-    return -near
+def shelves_of(rows: int, dim: int) -> int:
+    """Shelves for so many vectors: one for each block up to SHELVES, then as many as memory asks for."""
+    blocks, full = -(-rows // BLOCK), max(1, SHELF_BYTES // (BLOCK * (12 * dim + 4 * PIVOTS)))
+    return min(blocks, max(SHELVES, -(-blocks // full)))
 
 
 def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(((x - q) ** 2).sum(1))
 
 
+class Block:
+    """Vectors of one block with their weights, and rough copies: scaled to at most 1 and in single precision."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray):
+        self.ids, self.x = ids, x
+        self.weights = weights(nearest_pivots(x, pivots, min(PREFIX, len(pivots))), len(pivots))
+        self.scale = np.abs(x).max()
+        self.rough = (x / self.scale).astype(np.float32)
+        self.norms = np.linalg.norm(x / self.scale, axis=1)
+
+    def nearest(self, own: np.ndarray, q: np.ndarray, asked: np.ndarray, depth: int, k: int, bound: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (own id, vector, weights) up to k (ids, distances), nearest first, of the depth vectors that its permutation puts first; those farther than its bound may be left out.
+
+        Candidates are compared in single precision; all that its error leaves possible are compared in doubles.
+        """
+        near = asked @ self.weights.T
+        n = len(self.ids)
+        first = np.argpartition(near, n - depth, axis=1)[:, n - depth :] if depth < n else np.tile(np.arange(n), (len(own), 1))
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough, norms = (q / self.scale).astype(np.float32), np.linalg.norm(q / self.scale, axis=1)
+        slack = (q.shape[1] + 8) * 2.0**-21
+        out = []
+        for i, some in enumerate(first):
+            some = some[self.ids[some] != own[i]]
+            with np.errstate(over="ignore", invalid="ignore"):
+                size = self.norms[some] ** 2 + norms[i] ** 2
+                d = size - 2.0 * (self.rough[some] @ rough[i])
+                error = 2 * slack * size + 1e-30
+            if np.isfinite(d).all() and np.isfinite(error).all():
+                most = (bound[i] / self.scale) ** 2 * (1 + 1e-9)
+                if len(d) > k:
+                    most = min(most, np.partition(d + error, k - 1)[k - 1])
+                some = some[d - error <= most]
+            exact = distances(q[i], self.x[some])
+            best = np.lexsort((self.ids[some], exact))[:k]
+            out.append((self.ids[some][best], exact[best]))
+        return out
+
+
 def search(embeddings: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY, rerank: float = RERANK) -> DataFrame:
     """embeddings (vec_id, embedding, ...): the k nearest that are found of each query, a row whose vec_id is divisible by `every`: query_id, rank, vec_id, score.
 
@@ -82,49 +119,44 @@ def search(embeddings: DataFrame, k: int = NEIGHBOURS, every: int = QUERY_EVERY,
     sent = spark.sparkContext.broadcast(pivots)
     counts = {r["dim"]: (r["n"], r["q"]) for r in rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).collect()}
     blocks = F.element_at(F.create_map(*[F.lit(x).cast("int") for d, (n, _) in counts.items() for x in (d, -(-n // BLOCK))]), F.col("dim")) if counts else F.lit(1)
+    shelves = F.element_at(F.create_map(*[F.lit(x).cast("int") for d, (n, _) in counts.items() for x in (d, shelves_of(n, d))]), F.col("dim")) if counts else F.lit(1)
     parts = F.element_at(F.create_map(*[F.lit(x).cast("int") for d, (_, q) in counts.items() for x in (d, max(1, -(-q // QUERIES)))]), F.col("dim")) if counts else F.lit(1)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of vectors with their ids and inverted files, as bytes."""
-        for run in consecutive(batches, 2):
-            x, ids = rows_of(run.column(3)), np.asarray(run.column(2))
-            p = sent.value[run.column(0)[0].as_py()]
-            file = inverted_file(nearest_pivots(x, p, min(PREFIX, len(p))), len(p))
-            yield pa.RecordBatch.from_arrays([run.column(0).chunk(0)[:1], run.column(1).chunk(0)[:1], *[pa.array([a.tobytes()], pa.binary()) for a in (ids.astype(np.int64), x, file[0].astype(np.int64), file[1], file[2])]], ["dim", "block", "ids", "x", "start", "vectors", "places"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in consecutive(batches, 2):
-            x, ids = rows_of(run.column(3)), np.asarray(run.column(2))
-            yield pa.RecordBatch.from_arrays([run.column(0).chunk(0)[:1], run.column(1).chunk(0)[:1], pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["dim", "part", "query_ids", "queries"])
-
-    dealt = rows.select("dim", F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int").alias("block"), "id", "vector")
-    files = dealt.repartition("dim", "block").sortWithinPartitions("dim", "block", "id").mapInArrow(index, "dim int, block int, ids binary, x binary, start binary, vectors binary, places binary")
-    asked = rows.where(F.col("id") % every == 0).select("dim", F.pmod(F.xxhash64("id", F.lit(2)), parts).cast("int").alias("part"), "id", "vector")
-    asked = asked.repartition("dim", "part").sortWithinPartitions("dim", "part", "id").mapInArrow(gather, "dim int, part int, query_ids binary, queries binary")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tasks = min(TASKS, max(1, sum(shelves_of(n, d) for d, (n, _) in counts.items())))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                p = sent.value[r["dim"]]
-                ids = np.frombuffer(r["ids"], np.int64)
-                x = np.frombuffer(r["x"]).reshape(len(ids), -1)
-                file = np.frombuffer(r["start"], np.int64), np.frombuffer(r["vectors"], np.int32), np.frombuffer(r["places"], np.int16)
-                query_ids = np.frombuffer(r["query_ids"], np.int64)
-                queries = np.frombuffer(r["queries"]).reshape(len(query_ids), -1)
-                depth = min(len(ids), max(RERANK_LEAST, k + 1, int(np.ceil(rerank * len(ids)))))
-                out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for own, q, order in zip(query_ids, queries, nearest_pivots(queries, p, min(PREFIX, len(p))), strict=True):
-                    far = footrule(order, file, len(ids))
-                    some = np.argpartition(far, depth - 1)[:depth] if depth < len(ids) else np.arange(len(ids))
-                    some = some[ids[some] != own]
-                    d = distances(q, x[some])
-                    best = np.lexsort((ids[some], d))[:k]
-                    out.append((np.full(len(best), own), ids[some][best], d[best]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
-
-    pairs = asked.join(files, ["dim", "block"]).select("dim", "ids", "x", "start", "vectors", "places", "query_ids", "queries")
-    found = pairs.mapInArrow(find, "query_id long, vec_id long, score double")
+        """Runs of a shelf's blocks, then of the queries that meet them."""
+        shelf: list[Block] = []
+        last = None
+        for run in consecutive(batches, 4):
+            dim, number, part = (run.column(i)[0].as_py() for i in range(3))
+            if last != (dim, number):
+                shelf, last = [], (dim, number)
+            x, ids, p = rows_of(run.column(5)), np.asarray(run.column(4)), sent.value[dim]
+            if part < 0:
+                shelf.append(Block(ids, x, p))
+                continue
+            for at in range(0, len(ids) if shelf else 0, QUERIES):
+                own, q = ids[at : at + QUERIES], x[at : at + QUERIES]
+                asked = weights(nearest_pivots(q, p, min(PREFIX, len(p))), len(p))
+                best = [(np.zeros(0, np.int64), np.zeros(0))] * len(own)
+                bound = np.full(len(own), np.inf)
+                for block in shelf:
+                    depth = min(len(block.ids), max(RERANK_LEAST, k + 1, int(np.ceil(rerank * len(block.ids)))))
+                    for i, (some, d) in enumerate(block.nearest(own, q, asked, depth, k, bound)):
+                        if len(some):
+                            some, d = np.concatenate([best[i][0], some]), np.concatenate([best[i][1], d])
+                            first = np.lexsort((some, d))[:k]
+                            best[i] = some[first], d[first]
+                            bound[i] = d[first[-1]] if len(first) == k else np.inf
+                of = np.repeat(own, [len(some) for some, _ in best])
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate([some for some, _ in best])), pa.array(np.concatenate([d for _, d in best]))], ["query_id", "vec_id", "score"])
+
+    block = F.pmod(F.xxhash64("id", F.lit(1)), blocks).cast("int")
+    dealt = rows.select("dim", F.pmod(block, shelves).alias("shelf"), F.lit(-1).alias("part"), block.alias("block"), "id", "vector")
+    asked = rows.where(F.col("id") % every == 0).select("dim", F.explode(F.sequence(F.lit(0), shelves - 1)).alias("shelf"), F.pmod(F.xxhash64("id", F.lit(2)), parts).cast("int").alias("part"), F.lit(0).alias("block"), "id", "vector")
+    together = dealt.unionByName(asked).repartition(tasks, "dim", "shelf").sortWithinPartitions("dim", "shelf", "part", "block", "id")
+    found = together.mapInArrow(find, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))  # only the first k of a task's rows are sent
     return found.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
