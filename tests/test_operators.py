@@ -143,6 +143,36 @@ def test_graph(spark):
     assert abs(sum(small.values()) - 1) < 1e-9 and all(abs(large[u] - five[u]) < 1e-9 for u in five)
 
 
+def test_pagerank_of_large_graphs(spark):
+    """Links in blocks, and joins: a target of many links, ends, loops, repeated links and links that leave the graph; ranks aren't rounded."""
+    pairs = [(i, i * 7 % 90) for i in range(100)] + [(i, 3) for i in range(0, 90, 2)] + [(5, 5), (5, 5), (4, 200), (300, 4)]
+    edges = spark.createDataFrame([(f"u{a}", f"u{b}") for a, b in pairs if a not in (11, 12)], "`from` string, `to` string")
+    nodes = spark.createDataFrame([(f"u{i}",) for i in range(120)], "url string")
+    n, links = 120, {(a, b) for a, b in pairs if a < 120 and b < 120 and a not in (11, 12)}
+    outs = [sum(a == i for a, _ in links) for i in range(n)]
+
+    def ranked(iterations):
+        rank = [1 / n] * n
+        for _ in range(iterations):
+            given = [0.0] * n
+            for a, b in links:
+                given[b] += rank[a] / outs[a]
+            lost = sum(r for r, k in zip(rank, outs, strict=True) if not k)
+            rank = [0.15 / n + 0.85 * (g + lost / n) for g in given]
+        return rank
+
+    limits = graph.ONE_TASK, graph.DRIVER, graph.BLOCK, graph.NUMBERED
+    try:
+        for one, driver, iterations in ((limits[0], 0, 50), (0, limits[1], 50), (0, 0, 4)):
+            graph.ONE_TASK, graph.DRIVER, graph.BLOCK, graph.NUMBERED = one, driver, 20, 50
+            got = {r.url: r for r in graph.pagerank(nodes, edges, iterations=iterations).collect()}
+            want = ranked(iterations)
+            assert len(got) == n and all(abs(got[f"u{i}"].rank - want[i]) < 1e-15 for i in range(n))
+            assert all(abs(got[f"u{i}"].score - want[i] / max(want) * 100) < 0.0051 for i in range(n))
+    finally:
+        graph.ONE_TASK, graph.DRIVER, graph.BLOCK, graph.NUMBERED = limits
+
+
 def chase(hops, url):
     """The page at which a chain ends, or the URL where it closes into a loop."""
     seen = [url]

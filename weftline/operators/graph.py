@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +16,14 @@ from weftline.functions.urls import host, path, query
 
 DAMPING = 0.85
 ITERATIONS = 50
-CHECKPOINT_EVERY = 10
 COMPACT_EVERY = 8
 ANCHORS = 5
 #: Links and nodes that one task holds, at most.
 ONE_TASK = 2_000_000
+#: Nodes of which the driver holds numbers, at most; links in a block; nodes that are numbered in one place.
+DRIVER = 8_000_000
+BLOCK = 500_000
+NUMBERED = 200_000
 
 
 def edges(anchors: DataFrame) -> DataFrame:
@@ -67,37 +72,105 @@ def _rank(parts: Iterator[pd.DataFrame], iterations: int, damping: float) -> Ite
     for _ in range(iterations):
         given = np.bincount(b, rank[a] / outs[a], minlength=n)
         rank = (1 - damping) / n + damping * (given + rank[outs == 0].sum() / n)
-    yield pd.DataFrame({"url": urls, "rank": rank.round(12), "score": (rank / rank.max() * 100).round(2) if n else rank})
+    yield pd.DataFrame({"url": urls, "rank": rank, "score": (rank / rank.max() * 100).round(2) if n else rank})
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
     """nodes (url), edges (from, to) -> url, rank, score: a fixed number of iterations; a node without out-links spreads its rank over all; score is rank with the largest as 100, two decimals.
 
     Links count once and only between nodes; loops stay. A graph of up to ONE_TASK links and nodes, counted first, goes
-    through one task. Beyond that each iteration joins the links with the ranks and sums by target,
-    on the same partitioning; every CHECKPOINT_EVERY iterations the ranks are written.
+    through one task. Of up to DRIVER nodes, the driver holds a number each, and tasks hold the links, see _rank_blocks().
+    Beyond that each iteration joins the links with the ranks, sums by target and writes the ranks.
     """
-    nodes = cut(nodes.select("url").distinct())
+    spark = nodes.sparkSession
+    nodes, edges = cut(nodes.select("url").distinct()), cut(edges.select("from", "to"))
     n = nodes.count()
     if not n:
         return nodes.select("url", F.lit(0.0).alias("rank"), F.lit(0.0).alias("score"))
-    links = edges.select("from", "to").distinct().join(nodes.withColumnRenamed("url", "from"), "from", "left_semi").join(nodes.withColumnRenamed("url", "to"), "to", "left_semi")
-    outs = links.groupBy("from").agg(F.count(F.lit(1)).alias("outs"))
     if n + edges.count() <= ONE_TASK:
+        links = edges.distinct().join(nodes.withColumnRenamed("url", "from"), "from", "left_semi").join(nodes.withColumnRenamed("url", "to"), "to", "left_semi")
         rows = links.select("from", "to").union(nodes.select("url", F.lit(None).cast("string")))
         return rows.coalesce(1).mapInPandas(lambda parts: _rank(parts, iterations, damping), "url string, rank double, score double")
-    links = cut(links.join(outs, "from").select(F.col("from").alias("url"), "to", "outs"))
-    dangling = cut(nodes.join(links.select("url").distinct(), "url", "left_anti"))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for i in range(1, iterations + 1):
-        lost = ranks.join(dangling, "url", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        given = links.join(ranks, "url").groupBy(F.col("to").alias("url")).agg(F.sum(F.col("rank") / F.col("outs")).alias("given"))
-        base = (1 - damping) / n
-        ranks = nodes.join(given, "url", "left").crossJoin(F.broadcast(lost)).select("url", (base + damping * (F.coalesce("given", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))  # lost is one row
-        if i % CHECKPOINT_EVERY == 0 or i == iterations:
-            ranks = cut(ranks)
-    most = ranks.agg(F.max("rank").alias("most"))
-    return ranks.crossJoin(F.broadcast(most)).select("url", F.round("rank", 12).alias("rank"), F.round(F.col("rank") / F.col("most") * 100, 2).alias("score"))
+    nodes = _numbered(nodes, n)
+    a, b = (nodes.select(F.col("url").alias(c), F.col("number").alias(k)) for c, k in (("from", "a"), ("to", "b")))
+    links = edges.where("`from` is not null and `to` is not null").join(a, "from").join(b, "to").select("a", "b").distinct()
+    if n <= DRIVER:
+        rank = spark.sparkContext.broadcast(_rank_blocks(links, n, iterations, damping))
+        most = float(rank.value.max())
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = rank.value[np.asarray(batch.column(1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own), pa.array((own / most * 100).round(2))], ["url", "rank", "score"])
+
+        return nodes.select("url", "number").mapInArrow(named, "url string, rank double, score double")
+    links = cut(links)
+    links = cut(links.join(links.groupBy("a").agg(F.count(F.lit(1)).alias("outs")), "a"))
+    dangling = cut(nodes.select(F.col("number").alias("a")).join(links.select("a").distinct(), "a", "left_anti"))
+    ranks = nodes.select(F.col("number").alias("a"), F.lit(1.0 / n).alias("rank"))
+    for _ in range(iterations):
+        lost = ranks.join(dangling, "a", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        given = links.join(ranks, "a").groupBy(F.col("b").alias("a")).agg(F.sum(F.col("rank") / F.col("outs")).alias("given"))
+        ranks = cut(nodes.select(F.col("number").alias("a")).join(given, "a", "left").select("a", (F.lit((1 - damping) / n) + damping * (F.coalesce("given", F.lit(0.0)) + lost / n)).alias("rank")))
+    most = ranks.agg(F.max("rank")).first()[0]
+    return nodes.join(ranks.withColumnRenamed("a", "number"), "number").select("url", "rank", F.round(F.col("rank") / most * 100, 2).alias("score"))
+
+
+def _numbered(nodes: DataFrame, n: int) -> DataFrame:
+    """nodes (url, each once) with a number from 0 to n - 1: by parts of a hash, and inside a part by URL."""
+    spark, parts = nodes.sparkSession, -(-n // NUMBERED)
+    nodes = nodes.withColumn("part", F.pmod(F.xxhash64("url"), F.lit(parts)).cast("int"))
+    sizes = np.zeros(parts, np.int64)
+    for r in nodes.groupBy("part").count().collect():
+        sizes[r["part"]] = r["count"]
+    first = spark.createDataFrame(list(enumerate((np.cumsum(sizes) - sizes).tolist())), "part int, first long")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("url")) - 1
+    return cut(nodes.withColumn("place", place).join(F.broadcast(first), "part").select("url", (F.col("first") + F.col("place")).alias("number")))
+
+
+def _rank_blocks(links: DataFrame, n: int, iterations: int, damping: float) -> np.ndarray:
+    """links (a, b), each once -> the rank of each of n nodes.
+
+    Links are sorted by target and kept in blocks, in a table. An iteration reads the blocks and returns a sum for each target
+    in one; the links themselves never move again. A target with many links may stand in several blocks.
+    """
+    spark = links.sparkSession
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of BLOCK links: their sources, the different targets, and where each target's sources begin."""
+        held: list[pa.RecordBatch] = []
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+            if sum(x.num_rows for x in held) < (BLOCK if batch is not None else 1):
+                continue
+            a, b = (np.concatenate([np.asarray(x.column(i)) for x in held]) for i in (0, 1))
+            targets, begins = np.unique(b, return_index=True)
+            held = []
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in (a, targets, begins)], ["sources", "targets", "begins"])
+
+    links = cut(links)
+    blocks = cut(links.repartitionByRange("b", "a").sortWithinPartitions("b", "a").mapInArrow(packed, "sources binary, targets binary, begins binary").withColumn("id", F.monotonically_increasing_id()))
+    outs = np.zeros(n)
+    told = links.groupBy("a").count().toArrow()
+    outs[np.asarray(told.column(0))] = np.asarray(told.column(1))
+    ends = {r.id: np.frombuffer(r.targets, np.int64) for r in blocks.select("id", "targets").toLocalIterator()}
+    dangling = outs == 0
+    rank = np.full(n, 1 / n)
+    for _ in range(iterations):
+        sent = spark.sparkContext.broadcast(rank / np.maximum(outs, 1))
+
+        def summed(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sums = [np.add.reduceat(sent.value[np.frombuffer(a, np.int64)], np.frombuffer(at, np.int64)).tobytes() for a, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.binary())], ["id", "sums"])
+
+        given = np.zeros(n)
+        for r in blocks.select("id", "sources", "begins").mapInArrow(summed, "id long, sums binary").collect():
+            given[ends[r.id]] += np.frombuffer(r.sums)
+        sent.destroy()
+        rank = (1 - damping) / n + damping * (given + rank[dangling].sum() / n)
+    return rank
 
 
 def terminals(redirects: DataFrame) -> DataFrame:
