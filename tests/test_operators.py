@@ -51,6 +51,14 @@ def test_factors_of_a_rich_and_an_empty_page(spark):
     assert g["structured-data"].score == 0 and not g["faq-content"].applicable
 
 
+def test_words_end_at_ascii_letters(spark):
+    """As in JavaScript and SQL: a letter with a mark is no part of a word, so an address may stand next to one."""
+    for text, score in (("call +1 (782) 555-7259 que esuemente rrllco ar\u00ed, \u00d1ado", 12), ("so \u00fc12 Main Road, Town ABC", 0), ("\u00fc12 Main Road, Town, CA\u00fc", 12), ("x12 main road", 0), ("12 Main Road, Town, CA", 12)):
+        assert audit(spark, f"<body><p>{text}</p></body>", optional=("geographic-signals",))[1]["geographic-signals"].score == score
+    for title, own in (("\u00fcFAQ", True), ("faqs\u00e9", True), ("xfaq", False), ("all faqs here", True)):
+        assert audit(spark, f"<title>{title}</title>")[1]["faq-content"].applicable == own
+
+
 def test_files_decide_access_factors(spark):
     words = " ".join(["word"] * 260)
     robots_txt = "User-agent: GPTBot\nDisallow: /bread\nAllow: /bread/\n\nUser-agent: *\nDisallow: /\nContent-Signal: ai-input=yes, search=no\nSitemap: https://acme.test/s.xml"

@@ -7,6 +7,8 @@ from re import _constants, _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.text import ascii_edges
+
 HIGH, MEDIUM, LOW, UNIT = 70, 40, 15, 18
 
 # Platform, category, signals (kind, pattern, weight). Kinds: generator, html (regular expressions; the first
@@ -73,7 +75,7 @@ def _hit(kind: str, pattern: str, html: Column, page: Column, headers: Column) -
         return page["generator"].rlike(pattern)
     if kind == "html":  # most pages lack the plain part, and looking for that is cheap
         part = literal(pattern)
-        return F.contains(F.col("_low"), F.lit(part.lower())) & html.rlike(pattern) if part else html.rlike(pattern)
+        return F.contains(F.col("_low"), F.lit(part.lower())) & html.rlike(ascii_edges(pattern)) if part else html.rlike(ascii_edges(pattern))
     if kind == "script":
         return F.exists(page["scripts"], lambda s: F.contains(s, F.lit(pattern)))
     if kind == "link":
