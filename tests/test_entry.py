@@ -62,3 +62,27 @@ def test_references_as_in_html():
     page = '<title>a &amp;&amp</title><script type="x">a &amp b</script><body title="&amp">1 &lt 2 &copy; &am</body>'
     assert (read_page(page, "http://a.test/")["title"], read_page(page, "http://a.test/")["text"]) == ("a &&", "1 < 2 \u00a9 &am")
     assert (read_page(page, "http://a.test/", unclosed=False)["title"], read_page(page, "http://a.test/", unclosed=False)["text"]) == ("a &&amp", "1 &lt 2 \u00a9 &am")
+
+
+def test_duplicate_titles_as_in_sql(spark, tmp_path):
+    """Pairs of titles with other references, marks, line ends and blanks; null URLs, HTML and repeats; descriptions; a section of unknown name."""
+    titles = ["a &lt; b", "a < b", "it&#39;s", "it's", "&eacute;t&nbsp;", "ét", "a &AMP; b", "a &ampx; b", "a <b &am", "if a<b then", "a <!-- x --> b", "\tHome\n", "Home", " Home　", "", " ", "\n", "&quot;&middot;&copy;&amp;lt;"]
+    page = lambda t, more="": f'<html><head><title>{t}</title><meta name="description" content="one for all"></head><body>{more}<p>{t} words</p></body></html>'
+    pages = [(f"http://a.test/{i}/{k}", page(t)) for i, t in enumerate(titles) for k in range(2)]
+    pages += [("http://a.test/0/0", page(titles[0])), ("http://b.test/1", page("Once")), ("http://b.test/1", page("Once")), ("http://b.test/2", page("Section", "<![x[ y ]]>")), ("http://b.test/3", page("Section"))]
+    pages += [(None, page("Home")), (None, page("Nowhere")), (None, page("Nowhere")), ("http://b.test/4", page("Nowhere")), ("http://b.test/5", None), ("http://b.test/6", "")]
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", [(i, *p) for i, p in enumerate(pages)])
+    con.execute(f"copy pages to '{tmp_path}/pages.parquet'")
+    want = con.execute(entry.oracle_sql()["duplicate_titles"])
+    got = entry.queries()["duplicate_titles"](spark, str(tmp_path)).select(*[c[0] for c in want.description])
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_titles_hold_no_elements():
+    for t, text in (("if a<b &lt; c", "if a<b < c"), ("a <!-- x --> <i>b</i>", "a <!-- x --> <i>b</i>")):
+        f = read_page(f"<title>{t}</title><textarea>{t}</textarea><p>more", "http://a.test/")
+        assert (f["title"], f["text"]) == (text, text + "more")
+    assert read_page("<p>x</p><title>a &amp; <p>b", "http://a.test/")["title"] == "a & <p>b"
+    assert read_page("<title>t</title><![x[ y ]]><p>z</p>", "http://a.test/")["text"] == "z"

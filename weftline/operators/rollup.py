@@ -88,11 +88,11 @@ def fixes(issues: DataFrame, advice: DataFrame, defects: DataFrame, pages: DataF
 
 
 def duplicates(pages: DataFrame) -> DataFrame:
-    """pages (url, title, description) -> code, value, url, n_urls: each page with a trimmed text that two different URLs or more share word for word."""
+    """pages (url, title, description) -> code, value, url, n_urls: each page with a trimmed text that two different URLs or more share word for word; a null URL counts as none."""
     both = F.explode(F.array(F.struct(F.lit("site.duplicate-title").alias("code"), F.trim("title").alias("value")), F.struct(F.lit("site.duplicate-meta-description").alias("code"), F.trim("description").alias("value"))))
     rows = pages.select("url", both.alias("x")).select("url", "x.*").where("value <> ''")
     rows = rows.distinct()
-    several = rows.groupBy("code", "value").agg(F.count(F.lit(1)).alias("n_urls")).where("n_urls >= 2")
+    several = rows.groupBy("code", "value").agg(F.count("url").alias("n_urls")).where("n_urls >= 2")
     return rows.join(several, ["code", "value"]).select("code", "value", "url", "n_urls")
 
 
